@@ -9,6 +9,7 @@ import public_tokenizers
 
 from .bpe import encode_decode
 from .linededup import dedup_lines
+from .neardup import near_duplicates
 from .packing import pack_documents
 
 
@@ -27,12 +28,16 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_byte_bpe, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_byte_bpe, op8_minhash_join, op9_packing)}
 
 ORACLE_SQL = {
     "op2_line_dedup": """
