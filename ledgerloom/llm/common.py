@@ -30,8 +30,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it again. A lost executor costs nothing that was written."""
+    """Cut the lineage: write df as Parquet to the shared folder and read it again. A lost executor costs nothing that was written.
+
+    What was shuffled to make the table is deleted as soon as it is written.
+    """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

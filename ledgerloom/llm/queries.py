@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from .bpe import encode_decode
+from .common import crc_mod
 from .linededup import dedup_lines
+from .lm import score_texts
 from .neardup import near_duplicates
 from .packing import pack_documents
 
@@ -17,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hpyp_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -37,7 +43,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_byte_bpe, op8_minhash_join, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_hpyp_lm, op2_line_dedup, op6_byte_bpe, op8_minhash_join, op9_packing)}
 
 ORACLE_SQL = {
     "op2_line_dedup": """
