@@ -9,6 +9,7 @@ import public_tokenizers
 
 from .bpe import encode_decode
 from .common import crc_mod
+from .langid import identify
 from .linededup import dedup_lines
 from .lm import score_texts
 from .neardup import near_duplicates
@@ -43,7 +44,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_hpyp_lm, op2_line_dedup, op6_byte_bpe, op8_minhash_join, op9_packing)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    out = identify(docs, ~held_out)
+    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_hpyp_lm, op2_line_dedup, op6_byte_bpe, op8_minhash_join, op9_packing, op10_language_id)}
 
 ORACLE_SQL = {
     "op2_line_dedup": """
