@@ -14,6 +14,7 @@ from .linededup import dedup_lines
 from .lm import score_texts
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .pii import KINDS, find_personal_data, spans_text
 from .quality import score_quality
 
 
@@ -30,6 +31,17 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_email to n_phone count the base spans; spans lists all."""
+    out = find_personal_data(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *map(count, KINDS), F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
 def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     out = score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held_out)
@@ -58,7 +70,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_hpyp_lm, op2_line_dedup, op5_compression_quality, op6_byte_bpe, op8_minhash_join, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_hpyp_lm, op2_line_dedup, op4_weak_pii, op5_compression_quality, op6_byte_bpe, op8_minhash_join, op9_packing, op10_language_id)}
 
 ORACLE_SQL = {
     "op2_line_dedup": """
