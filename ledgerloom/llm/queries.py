@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from .balltree import exact_top_k
 from .bpe import encode_decode
 from .common import crc_mod
+from .hnsw import nearest
 from .langid import identify
 from .linededup import dedup_lines
 from .lm import score_texts
@@ -31,6 +33,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_email to n_phone count the base spans; spans lists all."""
     out = find_personal_data(_table(spark, sf_dir, "documents"))
@@ -54,6 +60,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -70,9 +80,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_hpyp_lm, op2_line_dedup, op4_weak_pii, op5_compression_quality, op6_byte_bpe, op8_minhash_join, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_hpyp_lm, op2_line_dedup, op3_ball_tree, op4_weak_pii, op5_compression_quality, op6_byte_bpe, op7_hnsw, op8_minhash_join, op9_packing, op10_language_id)}
 
 ORACLE_SQL = {
+    "op3_ball_tree": """
+with good as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v, len(embedding) as width from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from good q join good c on q.width = c.width and q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+)
+select query_id, cast(rank as integer) as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 5""",
     "op2_line_dedup": """
 with lines as (
   select doc_id, pos, line, lower_ascii as key from (
