@@ -7,6 +7,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -86,7 +87,8 @@ class PieceCodec:
         ids = {w: [i - 1 for i in found] for w, found in zip(new, self.pieces.encode(new, num_threads=1) if new else [])}
         return [[i for w in ws for i in ((self.whole[w],) if w in self.whole else ids[w])] for ws in words]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and where each text's begin."""
         return self.cache.encode(texts)
 
     def decode(self, ids: list[int]) -> bytes:
@@ -120,8 +122,11 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
-                ids = codec.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(codec.decode, ids)), pa.binary())], ["doc_id", "ids", "decoded"])
+                ids, bounds = codec.encode(part.column(1).to_pylist())
+                plain = ids.tolist()
+                decoded = [codec.decode(plain[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

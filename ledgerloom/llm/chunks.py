@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
+from itertools import repeat
 
-#: A space between two characters that are no white space: no token of the byte-level pattern spans it.
-_plain = re.compile(r"\s\s|^\s|\s$")
+import numpy as np
+
+
+def _alone(key: str) -> bool:
+    """Whether a chunk's ids don't depend on its neighbours: no white space meets the spaces around it."""
+    if key[0] == " ":
+        return not key[1:] or not key[-1].isspace()
+    return not (key[0].isspace() or key[-1].isspace())
 
 
 class ChunkCache:
@@ -15,26 +21,59 @@ class ChunkCache:
     A single space between non-space characters always begins a token of the byte-level pattern, so
     a text without runs of white space splits there into chunks that are encoded apart. Other texts
     are encoded whole. ``encode_many`` maps a list of strings to lists of ids; at most ``most``
-    chunks are kept, then the cache starts anew, which changes no result.
+    chunks are kept, then the cache starts anew, which changes no result. The ids lie in one array,
+    with each chunk's bounds, so that looking up a text is a few array operations.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], most: int = 400_000):
-        self.encode_many, self.most, self.known = encode_many, most, {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        split = [None if _plain.search(x) else x.split(" ") for x in texts]
-        missing = {c for chunks in split if chunks for c in chunks[1:] if c not in known}
-        if missing:
-            missing = list(missing)
-            known.update(zip(missing, self.encode_many([" " + c for c in missing])))
-        whole = [x if chunks is None else chunks[0] for x, chunks in zip(texts, split)]
-        out = []
-        for first, chunks in zip(self.encode_many(whole), split):
-            ids = list(first)
-            for c in chunks[1:] if chunks else ():
-                ids += known[c]
-            out.append(ids)
-        return out
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], most: int = 800_000):
+        self.encode_many, self.most = encode_many, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.bounds, self.ids = np.zeros(1 << 12, dtype=np.int64), np.empty(1 << 14, dtype=np.uint32)
+
+    def _learn(self, keys: list[str]) -> None:
+        """Keys are chunks; only a text's first one has a space, which isn't its own."""
+        found = self.encode_many([k[1:] if k[0] == " " else " " + k for k in keys])
+        n, sizes = len(self.number), [len(x) for x in found]
+        ends = self.bounds[n] + np.cumsum(sizes)
+        while n + len(keys) >= len(self.bounds):
+            self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
+        while ends[-1] > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        self.ids[self.bounds[n] : ends[-1]] = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=sum(sizes))
+        self.bounds[n + 1 : n + 1 + len(keys)] = ends
+        self.number.update(zip(keys, range(n, n + len(keys))))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and where each text's ids begin (and the last one's end)."""
+        if len(self.number) > self.most:
+            self._clear()
+        keys: list[str] = []
+        sizes = np.empty(len(texts), dtype=np.int64)
+        for i, x in enumerate(texts):
+            own = x.split(" ")
+            own[0] = " " + own[0]
+            sizes[i] = len(own)
+            keys += own
+        at = np.fromiter(map(self.number.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
+        odd = {}
+        if len(new := np.flatnonzero(at < 0)):
+            distinct = dict.fromkeys(keys[j] for j in new)
+            if fit := [k for k in distinct if k and _alone(k)]:
+                self._learn(fit)
+            at[new] = [self.number.get(keys[j], -1) for j in new]
+            text_of = np.repeat(np.arange(len(texts)), sizes)
+            odd = {int(i): texts[i] for i in np.unique(text_of[at < 0])}
+            at = np.maximum(at, 0)
+        start, size = self.bounds[at], self.bounds[np.minimum(at + 1, len(self.bounds) - 1)] - self.bounds[at]
+        ends = np.cumsum(size)
+        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - start, size)]
+        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
+        if odd:
+            parts = np.split(ids, bounds[1:-1])
+            for i, own in zip(odd, self.encode_many(list(odd.values()))):
+                parts[i] = np.array(own, dtype=np.uint32)
+            ids, bounds = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        return ids, bounds

@@ -128,23 +128,49 @@ class VectorPacker:
             yield row
 
 
+class WordEncoder:
+    """Ids of texts by a tokenizer whose pre-tokens ``pattern`` gives; each distinct one is encoded once while it is remembered."""
+
+    def __init__(self, tokenizer, pattern: str, most: int = 400_000):
+        import regex
+
+        self.tokenizer, self.split, self.most, self.known = tokenizer, regex.compile(pattern).findall, most, {}
+        #: Texts of special tokens, which the tokenizer takes out before it splits.
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def _words(self, text: str) -> list[str]:
+        if text[1:].isalpha() and text[0] == " ":
+            return [text]
+        return [text] if any(t in text for t in self.special) else self.split(text)
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        words = [self._words(x) for x in texts]
+        if new := list({w for ws in words for w in ws}.difference(known)):
+            known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        return [known[ws[0]] if len(ws) == 1 else [i for w in ws for i in known[w]] for ws in words]
+
+
 @lru_cache(maxsize=2)
-def _encoder(name: str) -> ChunkCache:
+def _encoder(name: str, pattern: str) -> ChunkCache:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(SparkFiles.get(name))
-    return ChunkCache(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+    return ChunkCache(WordEncoder(Tokenizer.from_file(SparkFiles.get(name)), pattern))
 
 
 PIECES = "start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, limits: Limits = Limits(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Tokenise texts, close each with ``end_id`` and pack them: one row for each piece.
 
+    ``pattern`` is the one by which the byte-level tokenizer splits texts into pre-tokens.
+
     Columns: doc_id, start (ids of the document before the piece), length, ids (unsigned 32-bit
     little-endian), doc_tokens, loss_tokens, sequence_id, offset (in the sequence). Each task packs
     its own partition, so nothing is shuffled and a lost task is simply packed again. All ids bear
@@ -156,7 +182,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits
     name = add_vocabulary(spark, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, packer = _encoder(name), VectorPacker(limits)
+        cache, packer = _encoder(name, pattern), VectorPacker(limits)
         sequence = TaskContext.get().partitionId() << 36
 
         def rows(done: list[list[Piece]], kind) -> pa.RecordBatch:
@@ -177,11 +203,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits
             kind = batch.schema.field(0).type
             for lo in range(0, batch.num_rows, 200):
                 part, done = batch.slice(lo, 200), []
-                for key, ids in zip(part.column(0).to_pylist(), cache.encode(part.column(1).to_pylist())):
-                    ids = np.array([*ids, end_id], dtype=np.uint32)
-                    loss = np.ones(len(ids), dtype=bool)
+                ids, bounds = cache.encode(part.column(1).to_pylist())
+                for key, a, b in zip(part.column(0).to_pylist(), bounds, bounds[1:]):
+                    own = np.append(ids[a:b], np.uint32(end_id))
+                    loss = np.ones(len(own), dtype=bool)
                     loss[0] = False
-                    done += packer.add(key, ids, loss)
+                    done += packer.add(key, own, loss)
                 yield rows(done, kind)
         if kind is not None:
             yield rows(list(packer.finish()), kind)
