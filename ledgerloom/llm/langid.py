@@ -205,52 +205,75 @@ def sample_labelled(docs: DataFrame, t: Training) -> list[tuple[str, str]]:
     return [(r.lang, r.text) for r in chosen.select("lang", "text").collect()]
 
 
-def identify(docs: DataFrame, learn_from: Column, training: Training = Training(), runs: bool = False) -> DataFrame:
-    """docs (doc_id, text, lang) -> (doc_id, lang_pred, score), one row for each input row; one narrow pass.
-
-    Learns from the rows where ``learn_from`` holds and lang isn't null, at most ``training.texts`` whole
-    texts of each language. Each word gets a posterior for every language by forward-backward; lang_pred has the
-    largest sum over words with a letter, score is its mean posterior there. A text that is null or has no
-    letter gets ``und`` and score 0; so does every text if there is nothing to learn from. Whole texts are
-    labelled, in chains of CHAIN words. With ``runs``, a column runs lists (lang, words) of equal word labels in
-    order, for code-switched text. Repeated rows get equal results.
+def learn(docs: DataFrame, learn_from: Column, training: Training = Training()) -> Model:
+    """A model of the languages of docs (doc_id, text, lang), from a bounded sample of the rows where ``learn_from`` holds."""
+    return fit(sample_labelled(docs.where(learn_from).select("doc_id", "text", "lang"), training), training)
+
+
+def _label(texts: list[str | None], emissions: Emissions, runs: bool = False):
+    """Label number (the last stands for ``und``) and score of each text, and the runs of its word labels if wanted."""
+    model, k = emissions.model, len(emissions.model.labels)
+    emissions.tidy()
+    split = [x.split() if x else [] for x in texts]
+    lengths = np.array([len(x) for x in split], dtype=np.int64)
+    best, score, found = np.full(len(split), k), np.zeros(len(split)), [[] for _ in split]
+    full = np.flatnonzero(lengths)
+    if len(full) and k:
+        rows = emissions.rows([w for x in split for w in x])
+        posterior = Chains(lengths[full]).marginals(emissions.scores[rows], model.moves)
+        lettered = emissions.lettered[rows]
+        first = np.cumsum(lengths[full]) - lengths[full]
+        sums = np.add.reduceat(posterior * lettered[:, None], first, axis=0)
+        n = np.add.reduceat(lettered.astype(np.int64), first)
+        best[full] = np.where(n > 0, sums.argmax(axis=1), k)
+        score[full] = np.clip(np.where(n > 0, sums.max(axis=1) / np.maximum(n, 1), 0.0), 0, 1)
+        if runs:
+            label = posterior.argmax(axis=1)
+            for i, lo, size in zip(full, first, lengths[full]):
+                bounds = [0, *(np.flatnonzero(np.diff(label[lo : lo + size])) + 1).tolist(), int(size)]
+                found[i] = [{"lang": model.labels[label[lo + a]], "words": b - a} for a, b in zip(bounds, bounds[1:])]
+    return best, score, found
+
+
+def identify(docs: DataFrame, model: Model, runs: bool = False) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, lang_pred, score), one row for each input row; one narrow pass.
+
+    Each word gets a posterior for every language by forward-backward; lang_pred has the largest sum over words
+    with a letter, score is its mean posterior there. A text that is null or has no letter gets ``und`` and score
+    0; so does every text if there was nothing to learn from. Whole texts are labelled, in chains of CHAIN words.
+    With ``runs``, a column runs lists (lang, words) of equal word labels in order, for code-switched text.
+    Repeated rows get equal results; other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    model = fit(sample_labelled(docs.where(learn_from).select("doc_id", "text", "lang"), training), training)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        emissions, k = Emissions(model), len(model.labels)
-        names = np.array([*model.labels, "und"], dtype=object)
+        emissions = Emissions(shared.value)
+        names = np.array([*shared.value.labels, "und"], dtype=object)
         for batch in batches:
-            emissions.tidy()
-            split = [x.split() if x else [] for x in batch.column(1).to_pylist()]
-            lengths = np.array([len(x) for x in split])
-            best, score, found = np.full(len(split), k), np.zeros(len(split)), [[] for _ in split]
-            full = np.flatnonzero(lengths)
-            if len(full) and k:
-                rows = emissions.rows([w for x in split for w in x])
-                chains = Chains(lengths[full])
-                posterior = chains.marginals(emissions.scores[rows], model.moves)
-                lettered = emissions.lettered[rows]
-                first = np.cumsum(lengths[full]) - lengths[full]
-                sums = np.add.reduceat(posterior * lettered[:, None], first, axis=0)
-                n = np.add.reduceat(lettered.astype(np.int64), first)
-                best[full] = np.where(n > 0, sums.argmax(axis=1), k)
-                score[full] = np.where(n > 0, sums.max(axis=1) / np.maximum(n, 1), 0.0)
-                if runs:
-                    label = posterior.argmax(axis=1)
-                    for i, lo, size in zip(full, first, lengths[full]):
-                        cuts = np.flatnonzero(np.diff(label[lo : lo + size])) + 1
-                        bounds = [0, *cuts.tolist(), int(size)]
-                        found[i] = [{"lang": names[label[lo + a]], "words": b - a} for a, b in zip(bounds, bounds[1:])]
-            cols = [batch.column(0), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))]
+            best, score, found = _label(batch.column(1).to_pylist(), emissions, runs)
+            cols = [batch.column(0), pa.array(names[best], pa.string()), pa.array(score)]
             if runs:
                 cols.append(pa.array(found, pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())]))))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang_pred", "score", "runs"][: len(cols)])
 
     more = ", runs array<struct<lang:string,words:int>>" if runs else ""
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double{more}")
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
+    """The rows of docs, with all columns, whose text has a language of the model with a score of ``least`` at least."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emissions = Emissions(shared.value)
+        for batch in batches:
+            best, score, _ = _label(batch.column(at).to_pylist(), emissions)
+            yield batch.filter(pa.array((best < len(shared.value.labels)) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

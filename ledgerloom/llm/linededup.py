@@ -61,6 +61,27 @@ class LineRuns:
         return self.rows().groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
 
+def _marked(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
+    """docs with columns line_texts and line_drops: the lines of text and the positions of those that go."""
+    spark = docs.sparkSession
+    rows = docs.withColumn("line_doc", F.col("doc_id").cast("long"))
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    keys = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    postings = materialise(keys.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(batches)).cast("int").alias("batch")), "postings")
+    store = LineRuns(spark, fanout)
+    for i in range(batches):
+        store.add(postings.where(F.col("batch") == i).select("h1", "h2", "doc_id").distinct())
+    frequent = materialise(store.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "frequent")
+    dropped = postings.join(frequent, ["h1", "h2"]).where("doc_id < last_doc").groupBy(F.col("doc_id").alias("line_doc")).agg(F.collect_set("pos").alias("line_drops"))
+    none = F.array().cast("array<int>")
+    return rows.join(dropped, "line_doc", "left").drop("line_doc").withColumn("line_texts", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("line_drops", F.coalesce("line_drops", none))
+
+
+def _kept_text() -> Column:
+    kept = F.array_except(F.sequence(F.lit(0), F.size("line_texts") - 1), F.col("line_drops"))
+    return F.when(F.size("line_drops") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get("line_texts", i)), "\n"))
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_lines, n_dropped, kept_text), one row for each input row.
 
@@ -68,24 +89,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     points that ``min_docs`` documents hold loses its lines, but in the largest doc_id holding it.
     Batches of documents, dealt by a hash of doc_id, go through LineRuns one after the other; the
     result doesn't depend on how they are dealt. A null or empty text is one empty line. Rows with
-    the same doc_id count as one document and are treated alike; rows with a null doc_id count for no
-    key and lose nothing. Very common lines are counted by partial aggregates.
+    the same doc_id count as one document; a line position that goes in one of them goes in all.
+    Rows with a null doc_id count for no key and lose nothing. Very common lines are counted by
+    partial aggregates.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = rows.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    keys = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    postings = materialise(keys.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(batches)).cast("int").alias("batch")), "postings")
-    store = LineRuns(spark, fanout)
-    for i in range(batches):
-        store.add(postings.where(F.col("batch") == i).select("h1", "h2", "doc_id").distinct())
-    frequent = materialise(store.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "frequent")
-    dropped = postings.join(frequent, ["h1", "h2"]).where("doc_id < last_doc").groupBy("doc_id").agg(F.collect_set("pos").alias("dropped"))
-    whole = rows.join(dropped, "doc_id", "left").withColumn("lines", F.split("text", "\n", -1)).withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
-    return whole.select(
-        "doc_id",
-        F.size("lines").cast("long").alias("n_lines"),
-        F.size("dropped").cast("long").alias("n_dropped"),
-        F.when(F.size("dropped") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")).alias("kept_text"),
-    )
+    whole = _marked(docs.select("doc_id", "text"), min_chars, min_docs, batches, fanout)
+    return whole.select("doc_id", F.size("line_texts").cast("long").alias("n_lines"), F.size("line_drops").cast("long").alias("n_dropped"), _kept_text().alias("kept_text"))
+
+
+def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
+    """docs with all columns, their texts without the lines that ``dedup_lines`` drops; texts that lose none stay as they are."""
+    whole = _marked(docs, min_chars, min_docs, batches, fanout)
+    return whole.select(*(F.when(F.size("line_drops") == 0, F.col("text")).otherwise(_kept_text()).alias("text") if c == "text" else F.col(c) for c in docs.columns))

@@ -125,19 +125,19 @@ def _voted(text: Column, span: Column, base: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, spans): the strict and the wider matches of each text with votes and features."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """docs (doc_id, text) -> (doc_id, text_hash, spans): the strict and the wider matches of each text with votes and features."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
     has = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[ -]?[0-9]){12}"), "phone": F.contains(text, F.lit("+"))}
     wide_has = {"email": ascii_lower(text).rlike(r"[(\[{]at[)\]}]"), "ip": text.rlike(r"[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"), "card": has["card"], "phone": text.rlike(r"[0-9]{3}[.-][0-9]{4}")}
-    spans = rows.select("doc_id", "text", *(located(text, STRICT[k], k, has[k]).alias(k) for k in KINDS), *(located(text, WIDE[k], k, wide_has[k]).alias(f"wide_{k}") for k in KINDS))
-    valid = spans.select("doc_id", "text", *(_only_valid(k).alias(k) for k in KINDS), *(f"wide_{k}" for k in KINDS))
+    spans = rows.select("doc_id", "text_hash", "text", *(located(text, STRICT[k], k, has[k]).alias(k) for k in KINDS), *(located(text, WIDE[k], k, wide_has[k]).alias(f"wide_{k}") for k in KINDS))
+    valid = spans.select("doc_id", "text_hash", "text", *(_only_valid(k).alias(k) for k in KINDS), *(f"wide_{k}" for k in KINDS))
     # A wider match counts only beside the base spans of all kinds.
     base = valid.withColumn("base", F.concat(*KINDS))
     more = F.filter(F.concat(*(f"wide_{k}" for k in KINDS)), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    both = base.select("doc_id", "text", "base", more.alias("more"))
+    both = base.select("doc_id", "text_hash", "text", "base", more.alias("more"))
     voted = F.concat(F.transform("base", lambda s: _voted(text, s, F.lit(True))), F.transform("more", lambda s: _voted(text, s, F.lit(False))))
-    return both.select("doc_id", F.when(F.size("base") + F.size("more") > 0, voted).alias("spans"))
+    return both.select("doc_id", "text_hash", F.when(F.size("base") + F.size("more") > 0, voted).alias("spans"))
 
 
 def reliabilities(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[str, tuple[int, ...]], float]:
@@ -172,7 +172,7 @@ def _literal_map(d: dict[str, float]) -> Column:
 
 
 def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, spans array<struct<kind, start, end, base, score>>), one row for each input row.
+    """docs (doc_id, text) -> (doc_id, text_hash, spans array<struct<kind, start, end, base, score>>), one row for each input row.
 
     start and end are code points, end exclusive; spans are ordered by kind as in KINDS, then start. base marks
     what the strict patterns find; the others have a classifier score of ``threshold`` at least. A null or
@@ -208,7 +208,7 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFra
     kept = F.filter(F.transform("spans", scored), lambda s: s["base"] | (s["score"] >= threshold))
     final = F.transform(F.array_sort(kept), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s["score"].alias("score")))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,base:boolean,score:double>>")
-    return found.select("doc_id", F.when(F.col("spans").isNotNull(), final).otherwise(none).alias("spans"))
+    return found.select("doc_id", "text_hash", F.when(F.col("spans").isNotNull(), final).otherwise(none).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -217,8 +217,9 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span of text replaced by [KIND]; doc_id must be unique. Overlapping spans are replaced together."""
-    spans = find_personal_data(docs).where(F.size("spans") > 0).select("doc_id", F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("pii_spans"))
+    """docs with all columns, each span of text replaced by [KIND]. Overlapping spans are replaced together; null ids are left out."""
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans = find_personal_data(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("pii_doc"), F.col("text_hash").alias("pii_text"), ordered.alias("pii_spans")).dropDuplicates(["pii_doc", "pii_text"])
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     text = F.col("text")
 
@@ -229,5 +230,5 @@ def redact(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate("pii_spans", zero, step)
     clean = F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text)))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "pii_doc"), F.col("doc_id") == F.col("pii_doc"), "left")
+    joined = docs.withColumn("pii_hash", F.xxhash64("text")).join(spans, (F.col("doc_id") == F.col("pii_doc")) & (F.col("pii_hash") == F.col("pii_text")), "left")
     return joined.select(*(F.when(F.col("pii_spans").isNotNull(), clean).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns))

@@ -11,7 +11,7 @@ from .balltree import exact_top_k
 from .bpe import encode_decode
 from .common import crc_mod
 from .hnsw import nearest
-from .langid import identify
+from .langid import identify, learn
 from .linededup import dedup_lines
 from .lm import score_texts
 from .neardup import near_duplicates
@@ -76,8 +76,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
-    out = identify(docs, ~held_out)
-    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    out = identify(docs, learn(docs, ~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {f.__name__: f for f in (op1_hpyp_lm, op2_line_dedup, op3_ball_tree, op4_weak_pii, op5_compression_quality, op6_byte_bpe, op7_hnsw, op8_minhash_join, op9_packing, op10_language_id)}
