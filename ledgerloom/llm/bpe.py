@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -81,11 +82,11 @@ class PieceCodec:
         self.whole = {name: i for i, name in enumerate(names)}
         self.cache = ChunkCache(self._encode_many)
 
-    def _encode_many(self, texts: list[str]) -> list[list[int]]:
+    def _encode_many(self, texts: list[str]) -> list[bytes]:
         words = [[w.encode().decode("latin-1").translate(self.to_letters) for w in self.split(x)] for x in texts]
         new = list({w for ws in words for w in ws if w not in self.whole})
         ids = {w: [i - 1 for i in found] for w, found in zip(new, self.pieces.encode(new, num_threads=1) if new else [])}
-        return [[i for w in ws for i in ((self.whole[w],) if w in self.whole else ids[w])] for ws in words]
+        return [array("I", [i for w in ws for i in ((self.whole[w],) if w in self.whole else ids[w])]).tobytes() for ws in words]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text's begin."""

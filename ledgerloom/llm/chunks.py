@@ -20,12 +20,12 @@ class ChunkCache:
 
     A single space between non-space characters always begins a token of the byte-level pattern, so
     a text without runs of white space splits there into chunks that are encoded apart. Other texts
-    are encoded whole. ``encode_many`` maps a list of strings to lists of ids; at most ``most``
+    are encoded whole. ``encode_many`` maps strings to ids, unsigned 32-bit bytes; at most ``most``
     chunks are kept, then the cache starts anew, which changes no result. The ids lie in one array,
     with each chunk's bounds, so that looking up a text is a few array operations.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], most: int = 800_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], most: int = 800_000):
         self.encode_many, self.most = encode_many, most
         self._clear()
 
@@ -36,13 +36,13 @@ class ChunkCache:
     def _learn(self, keys: list[str]) -> None:
         """Keys are chunks; only a text's first one has a space, which isn't its own."""
         found = self.encode_many([k[1:] if k[0] == " " else " " + k for k in keys])
-        n, sizes = len(self.number), [len(x) for x in found]
+        n, sizes = len(self.number), [len(x) // 4 for x in found]
         ends = self.bounds[n] + np.cumsum(sizes)
         while n + len(keys) >= len(self.bounds):
             self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
         while ends[-1] > len(self.ids):
             self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-        self.ids[self.bounds[n] : ends[-1]] = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=sum(sizes))
+        self.ids[self.bounds[n] : ends[-1]] = np.frombuffer(b"".join(found), dtype="<u4")
         self.bounds[n + 1 : n + 1 + len(keys)] = ends
         self.number.update(zip(keys, range(n, n + len(keys))))
 
@@ -74,6 +74,6 @@ class ChunkCache:
         if odd:
             parts = np.split(ids, bounds[1:-1])
             for i, own in zip(odd, self.encode_many(list(odd.values()))):
-                parts[i] = np.array(own, dtype=np.uint32)
+                parts[i] = np.frombuffer(own, dtype="<u4")
             ids, bounds = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         return ids, bounds

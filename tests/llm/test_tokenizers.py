@@ -45,7 +45,7 @@ def test_piece_model_encodes_as_the_ranks_do(texts, expected):
 
 def test_word_encoder_equals_the_tokenizer(texts, expected):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    cache = ChunkCache(WordEncoder(tokenizer, P.PATTERN, most=1000), most=1000)
+    cache = ChunkCache(WordEncoder(P.path("byte_bpe_50k.json"), P.PATTERN, most=1000), most=1000)
     assert _encode(cache, texts) == expected
     special = "a <|endoftext|> b<|endoftext|>"
     assert _encode(cache, [special]) == [tokenizer.encode(special, add_special_tokens=False).ids]
