@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -192,22 +193,29 @@ def fit(texts: list[tuple[str, str]], t: Training) -> Model:
     return model
 
 
-def sample_labelled(docs: DataFrame, t: Training) -> list[tuple[str, str]]:
-    """(lang, text) of the ``texts`` rows of lowest hash for each language; docs (doc_id, text, lang)."""
+def sample_labelled(docs: DataFrame, t: Training) -> DataFrame:
+    """(lang, text, n): the ``texts`` rows of lowest hash for each of the ``labels`` most frequent languages; docs (doc_id, text, lang)."""
     known = docs.where("lang is not null and text is not null")
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(t.labels)
     share = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = known.join(F.broadcast(counts), "lang").withColumn("share", share).where(F.col("share") * F.col("count") <= 2 * t.texts + 20)
-    from pyspark.sql import Window
-
     order = Window.partitionBy("lang").orderBy("share", "doc_id", "text")
-    chosen = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= t.texts).orderBy("lang", "n")
-    return [(r.lang, r.text) for r in chosen.select("lang", "text").collect()]
+    return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= t.texts).select("lang", "text", "n")
 
 
 def learn(docs: DataFrame, learn_from: Column, training: Training = Training()) -> Model:
-    """A model of the languages of docs (doc_id, text, lang), from a bounded sample of the rows where ``learn_from`` holds."""
-    return fit(sample_labelled(docs.where(learn_from).select("doc_id", "text", "lang"), training), training)
+    """A model of the languages of docs (doc_id, text, lang), from a bounded sample of the rows where ``learn_from`` holds.
+
+    The sample is fitted in one task, which holds texts * labels texts at most; the driver gets the weights alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, training))], pa.binary())], ["model"])
+
+    rows = sample_labelled(docs.where(learn_from).select("doc_id", "text", "lang"), training)
+    made = rows.repartition(1).sortWithinPartitions("lang", "n").mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0].model) if made else fit([], training)
 
 
 def _label(texts: list[str | None], emissions: Emissions, runs: bool = False):
