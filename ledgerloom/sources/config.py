@@ -7,6 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.scalars import strip
+
 PRIORITY = "section string, field string, sources array<string>"
 #: What holds where a section has no default of its own.
 LAST_RESORT = ["hub", "paper", "repo"]
@@ -90,6 +92,20 @@ def master_bank(bank: DataFrame, priority: DataFrame, spec: DataFrame) -> DataFr
 def read_spec(spark: SparkSession, path: str) -> DataFrame:
     """Markdown pages as (path, name, summary, description): the title and the second-level sections; files that begin with _ are left out."""
     v = F.col("value")
-    section = lambda title: F.trim(F.regexp_extract(v, rf"(?s)\n## {title}\s*\n(.*?)(?=\n## |\z)", 1))
+    section = lambda title: strip(F.regexp_extract(v, rf"(?s)\n## {title}\s*\n(.*?)(?=\n## |\z)", 1))
     rows = spark.read.text(path, wholetext=True).where(~F.col("_metadata.file_name").startswith("_"))
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.trim(F.regexp_extract(v, r"(?m)^# (.+)$", 1)).alias("name"), section("Summary").alias("summary"), section("Description").alias("description"))
+    return rows.select(F.col("_metadata.file_path").alias("path"), strip(F.regexp_extract(v, r"(?m)^# (.+)$", 1)).alias("name"), section("Summary").alias("summary"), section("Description").alias("description"))
+
+
+def spec_owners(spec: DataFrame) -> DataFrame:
+    """spec (field, properties array) -> (property, fields): the fields that own each property, by name."""
+    each = spec.select("field", F.explode("properties").alias("property")).distinct()
+    return each.groupBy("property").agg(F.sort_array(F.collect_list("field")).alias("fields"))
+
+
+def token_audit(bank: DataFrame) -> DataFrame:
+    """(least, middle, most, entries) of the passages' token estimates; of an even number, the upper middle."""
+    n = (F.length("retrieval.hypothetical_passage") / 3.5).cast("int")
+    sizes = F.sort_array(F.collect_list(n))
+    g = bank.agg(sizes.alias("s"))
+    return g.select(F.array_min("s").alias("least"), F.get("s", F.floor(F.size("s") / 2).cast("int")).alias("middle"), F.array_max("s").alias("most"), F.size("s").alias("entries"))

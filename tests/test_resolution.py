@@ -197,3 +197,25 @@ def test_stream(spark, tmp_path):
     last = spark.read.parquet(sink)
     top = last.where(F.col("batch") == last.agg(F.max("batch")).first()[0])
     assert one(top) == ("new", "hub", "repo: other")
+
+
+def test_bank(spark, tmp_path):
+    import json
+
+    entry = {"question": "Which license?", "keywords": "license", "summary": "S", "description": "D", "post_process": "normalize_license", "priority": ["hub"], "retrieval": {"hypothetical_passage": "p " * 20, "bm25_terms": ["a", "b"]}, "extraction": {"instruction": "i", "field_spec": "f", "output_guidance": ""}}
+    (tmp_path / "license.json").write_text(json.dumps(entry))
+    (tmp_path / "broken.json").write_text("{")
+    (tmp_path / "short.json").write_text(json.dumps({"question": "q"}))
+    bank = config.read_bank(spark, str(tmp_path))
+    q = config.queries_of(bank).collect()
+    assert [(r.field, r.sparse, r.described, r.output_guidance) for r in q] == [("license", "a b", "S\n\nD", "")]
+    assert {r.violation for r in config.bank_violations(bank).collect()} == {"too few terms", "no output_guidance"}
+    spec = spark.createDataFrame([("license", "S", "New", ["p"])], "field string, summary string, description string, properties array<string>")
+    assert config.bank_changes(bank, spec).first().description == "New" and config.bank_changes(bank, spec.withColumn("description", F.lit("D"))).count() == 0
+    assert config.spec_owners(spec).first().fields == ["license"] and config.token_audit(bank).first().entries == 1
+    page = tmp_path / "spec"
+    page.mkdir()
+    (page / "a.md").write_text("# Name\n\n## Summary\n\nShort.\n\n## Description\n\nLong\ntext.\n")
+    (page / "_skip.md").write_text("# No")
+    assert [(r.name, r.summary, r.description) for r in config.read_spec(spark, str(page)).collect()] == [("Name", "Short.", "Long\ntext.")]
+    assert config.choose_path(None, None, "NO_SUCH_VARIABLE_HERE", "b") == "b" and config.choose_path("a", "p") == "a"

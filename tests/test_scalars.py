@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import licenses as li
+from ledgerloom.functions import links as ln
 from ledgerloom.functions import scalars as fn
 from ledgerloom.functions import text as tx
 
@@ -69,3 +70,16 @@ def test_chunk_table(spark):
     rows = [("a", "hub", "word " * 800), ("a", "repo", "tiny"), ("b", "hub", None)]
     out = tx.chunks(spark.createDataFrame(rows, "artifact_id string, source string, text string")).collect()
     assert {r.source for r in out} <= {"hub"} and all(r.chunk_size == len(r.text) for r in out)
+
+
+@pytest.mark.parametrize(
+    ("kind", "cases"),
+    [
+        ("hub", {"see https://huggingface.co/org/m).": "https://huggingface.co/org/m", "at hf.co/org/m, or": None, "none": None, None: None}),
+        ("paper", {"arxiv.org/abs/1234.5678.": "https://arxiv.org/abs/1234.5678", "https://arxiv.org/list": None}),
+        ("repo", {"github.com/a/b and https://github.com/c/d": "https://github.com/c/d", "git": None}),
+    ],
+)
+def test_links(spark, kind, cases):
+    assert run(spark, lambda c: ln.link_in_text(c, kind), cases) == list(cases.values())
+    assert run(spark, lambda c: ln.model_name(c, F.lit("https://h.co/a/b?x")), ["org/m", None]) == ["m", "b"]
