@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the word rules: space, and tab to carriage return.
@@ -80,8 +80,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         small = e.join(low, "u")
         e = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = materialise(e, name)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        seen = Observation()
+        e = materialise(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")), name)
+        now = seen.get
         if now == before:
             break
         before = now
