@@ -118,23 +118,26 @@ class Emissions:
 
     def clear(self):
         self.number: dict[str, int] = {}
+        self.of_key: dict[str, int] = {}
         self.scores = np.empty((1024, len(self.model.labels)))
         self.lettered = np.zeros(1024, dtype=bool)
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Where each word's scores are."""
-        number = self.number
+        number, of_key = self.number, self.of_key
         if new := list(set(words).difference(number)):
-            keys = [word_key(w) for w in new]
-            lists = [features(k, self.model.lexicon) for k in keys]
-            flat = np.fromiter((f for x in lists for f in x), dtype=np.int64)
-            size = np.array([len(x) for x in lists])
-            values = np.add.reduceat(self.model.weights[flat], np.cumsum(size) - size, axis=0)
-            n = len(number)
-            while n + len(new) > len(self.scores):
-                self.scores, self.lettered = (np.concatenate((x, np.zeros_like(x))) for x in (self.scores, self.lettered))
-            self.scores[n : n + len(new)], self.lettered[n : n + len(new)] = values, [bool(k) for k in keys]
-            number.update(zip(new, range(n, n + len(new))))
+            own = [word_key(w) for w in new]
+            if keys := list(set(own).difference(of_key)):
+                lists = [features(k, self.model.lexicon) for k in keys]
+                flat = np.fromiter((f for x in lists for f in x), dtype=np.int64)
+                size = np.array([len(x) for x in lists])
+                values = np.add.reduceat(self.model.weights[flat], np.cumsum(size) - size, axis=0)
+                n = len(of_key)
+                while n + len(keys) > len(self.scores):
+                    self.scores, self.lettered = (np.concatenate((x, np.zeros_like(x))) for x in (self.scores, self.lettered))
+                self.scores[n : n + len(keys)], self.lettered[n : n + len(keys)] = values, [bool(k) for k in keys]
+                of_key.update(zip(keys, range(n, n + len(keys))))
+            number.update(zip(new, map(of_key.__getitem__, own)))
         return np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
 
     def tidy(self):
