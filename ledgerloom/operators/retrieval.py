@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerloom.functions.text import useful
 
 # Candidates of each ranker and source, chunks of a question, the constant of rank fusion, BM25's parameters.
 CANDIDATES, FINAL, RRF_K = 20, 10, 60
 K1, B, FLOOR = 1.5, 0.75, 0.25
+#: Vectors of a shard, and queries of a block, about.
+SHARD, QUERIES = 8192, 256
 
 
 def l2_distance(a: Column, b: Column) -> Column:
@@ -24,20 +29,58 @@ def tokens(c: Column) -> Column:
 def dense_top(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, on: tuple[str, ...] = ()) -> DataFrame:
     """queries (query_id, *on, embedding), vectors (*on, doc_id, embedding) -> (query_id, *on, doc_id, rank, score).
 
-    Queries meet the vectors of their own corpus (``on``); without one, they are a stated small set that is joined in
-    blocks of equal keys. Scores are rounded before ranking, ties go to smaller ids.
+    Queries meet the vectors of their own corpus (``on``), or all vectors without one. Scores are rounded before
+    ranking, ties go to smaller ids.
     """
-    keys = list(on) or ["all"]
-    q = queries.select("query_id", *on, F.col("embedding").alias("q"))
-    v = vectors.select(*on, "doc_id", "embedding")
-    if not on:
-        # Vectors keep their partitions; the query block is sent to each by its size.
-        q, v = q.withColumn("all", F.lit(0)), v.withColumn("all", F.lit(0))
-    scored = v.join(q, keys).select("query_id", *on, "doc_id", F.round(l2_distance(F.col("q"), F.col("embedding")), 6).alias("score"))
+    if on:
+        q = queries.select("query_id", *on, F.col("embedding").alias("q"))
+        v = vectors.select(*on, "doc_id", "embedding")
+        scored = v.join(q, list(on)).select("query_id", *on, "doc_id", F.round(l2_distance(F.col("q"), F.col("embedding")), 6).alias("score"))
+    else:
+        scored = _nearest_of_shards(queries, vectors, k).select("query_id", "doc_id", F.round("score", 6).alias("score"))
     w = Window.partitionBy("query_id", *on).orderBy("score", "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _nearest_of_shards(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score): of every shard of vectors, each query's k nearest and those that may tie with them once rounded.
+
+    Every query meets every vector: blocks of queries are sent to all shards, and the shards to all blocks, so a task
+    holds one of each. Null vectors, null components and vectors of another length than the query's have no distance.
+    """
+    q, v = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v")), vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("v"))
+    q, v = (x.where(F.col("v").isNotNull() & F.forall("v", lambda c: c.isNotNull())).withColumn("width", F.size("v")) for x in (q, v))
+    blocks, shards = (max(1, -(-x.count() // n)) for x, n in ((q, QUERIES), (v, SHARD)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", each(shards))
+    held = v.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).withColumn("block", each(blocks))
+    kinds = [to_arrow_type(q.schema["query_id"].dataType), to_arrow_type(v.schema["doc_id"].dataType), pa.float64()]
+    names = ["query_id", "doc_id", "score"]
+
+    def run(of_q: pa.Table, of_v: pa.Table) -> pa.Table:
+        if not of_q.num_rows or not of_v.num_rows:
+            return pa.table([pa.array([], t) for t in kinds], names=names)
+        a, b = (x.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(x.num_rows, -1) for x in (of_q, of_v))
+        at, found, scores = [], [], []
+        for i, x in enumerate(a):
+            # Components are added one after the other, as l2_distance does.
+            squares = np.zeros(len(b))
+            for j in range(b.shape[1]):
+                squares += (x[j] - b[:, j]) ** 2
+            d = np.sqrt(squares)
+            kth = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
+            near = np.flatnonzero(~(d > kth + 2e-6))
+            at.append(np.full(len(near), i))
+            found.append(near)
+            scores.append(d[near])
+        ids = of_q.column("query_id").take(pa.array(np.concatenate(at))), of_v.column("doc_id").take(pa.array(np.concatenate(found)))
+        return pa.table([*ids, pa.array(np.concatenate(scores))], names=names)
+
+    key = ["width", "shard", "block"]
+    kind = f"query_id {q.schema['query_id'].dataType.simpleString()}, doc_id {v.schema['doc_id'].dataType.simpleString()}, score double"
+    return asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(run, kind)
+
+
 def bm25(queries: DataFrame, docs: DataFrame, on: tuple[str, ...] = (), floor: bool = True) -> DataFrame:
     """queries (query_id, *on, terms array), docs (*on, doc_id, text) -> (query_id, *on, doc_id, score) of documents with a term.
 
@@ -120,3 +163,26 @@ def sources_used(ranked: DataFrame) -> DataFrame:
     rows = F.sort_array(F.collect_list(F.struct("first", "source", "n")))
     g = each.groupBy("artifact_id", "field").agg(rows.alias("s"))
     return g.select("artifact_id", "field", F.transform("s", lambda x: x["source"]).alias("sources"), F.map_from_arrays(F.transform("s", lambda x: x["source"]), F.transform("s", lambda x: x["n"])).alias("counts"))
+
+
+def similar_sets(sets: DataFrame, least: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """sets (*on, id, tokens) -> (*on, a, b, similarity) of all pairs a < b of a group with a Jaccard similarity of ``least`` (above 0) at least.
+
+    Ids are unique. In the order from the rarest token of a group, two such sets of n tokens share one of the first
+    n - ceil(least * n) + 1 of each; only pairs that meet there are verified. Empty and null sets have no pairs.
+    """
+    distinct = sets.select(*on, "id", F.array_distinct("tokens").alias("tokens")).where(F.size("tokens") > 0)
+    each = distinct.select(*on, "id", F.explode("tokens").alias("token"))
+    often = each.groupBy(*on, "token").agg(F.count("*").alias("n"))
+    ordered = each.join(often, [*on, "token"]).groupBy(*on, "id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
+    # A little is taken off so that rounding up never shortens a prefix.
+    size = F.size("t")
+    prefix = size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + 1
+    posted = ordered.select(*on, "id", size.alias("size"), F.explode(F.slice("t", F.lit(1), prefix)).alias("p")).select(*on, "id", "size", F.col("p.token").alias("token"))
+    a, b = (posted.select(*on, "token", F.col("id").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
+    met = a.join(b, [*on, "token"]).where("a < b").where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(least) - 1e-9).select(*on, "a", "b").distinct()
+    ta, tb = (distinct.select(F.col("id").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
+    pairs = met.join(ta, "a").join(tb, "b")
+    both = F.size(F.array_intersect("ta", "tb"))
+    value = both / (F.size("ta") + F.size("tb") - both)
+    return pairs.select(*on, "a", "b", value.alias("similarity")).where(F.col("similarity") >= least)

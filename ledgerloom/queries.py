@@ -193,6 +193,23 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fuse([dense, other], ("query_id",)).select("query_id", "doc_id", "rrf")
 
 
+@_query()
+def knn_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """knn_topk with every 20th vector of the whole table as a query, against all vectors."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return retrieval.dense_top(e.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), e).select("query_id", "doc_id", "score", "rank")
+
+
+@_query()
+def rrf_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 20th vector of the whole table as a query; ranks by distance and by angle, each over all vectors."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    queries = e.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    # The second ranking sees unit vectors, so it orders by angle.
+    unit = lambda df: df.withColumn("embedding", F.col("embedding").cast("array<double>")).withColumn("n", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))).where("n > 0").withColumn("embedding", F.transform("embedding", lambda x: x / F.col("n"))).drop("n")
+    return retrieval.fuse([retrieval.dense_top(queries, e), retrieval.dense_top(unit(queries), unit(e))], ("query_id",)).select("query_id", "doc_id", "rrf")
+
+
 @_query(r"""
 with t as (select p_partkey, p_brand, list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[;,\s]+'), lambda x: x <> '')) as t from part where p_partkey < 400)
 select a.p_partkey as a, b.p_partkey as b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) as similarity from t a join t b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey""")
@@ -202,6 +219,14 @@ def jaccard_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.round(fn.jaccard(F.col("a.t"), F.col("b.t")), 6).alias("similarity"))
 
 
+@_query()
+def jaccard_tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of all parts of a brand with a similarity of 0.6 at least."""
+    tags = F.filter(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), r"[;,\s]+"), lambda x: x != "")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", tags.alias("tokens"))
+    return retrieval.similar_sets(p, 0.6, ("p_brand",)).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @_query()
 def fuzzy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
@@ -300,11 +325,23 @@ select 'c' || c_custkey as node_id, 'Customer' as type, c_name as name from cust
 union all select 'c' || c_custkey, 'dataset_DatasetPackage', c_name from customer where c_custkey % 10 = 0 and c_custkey % 20 <> 0
 union all select 'o' || o_orderkey, 'Order', 'Customer#' || lpad(cast(o_custkey as varchar), 9, '0') from orders where o_orderkey % 50 = 0""")
 def linked_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bundle(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"))
+
+
+@_query("""
+select 'c' || c_custkey as node_id, 'Customer' as type, c_name as name from customer where c_custkey % 10 <> 0
+union all select 'c' || c_custkey, 'dataset_DatasetPackage', c_name from customer where c_custkey % 10 = 0 and c_custkey % 20 <> 0
+union all select 'o' || o_orderkey, 'Order', 'Customer#' || lpad(cast(o_custkey as varchar), 9, '0') from orders""")
+def linked_bundle_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """linked_bundle with all orders as children."""
+    return _bundle(spark, sf_dir, table(spark, sf_dir, "orders"))
+
+
+def _bundle(spark: SparkSession, sf_dir: str, o: DataFrame) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     kind = F.when(F.col("c_custkey") % 10 == 0, "dataset_DatasetPackage").otherwise("Customer")
     nodes = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node_id"), kind.alias("type"), F.col("c_name").alias("name"))
     edges = nodes.select(F.concat(F.lit("e"), "node_id").alias("edge_id"), F.lit("contains").alias("rel_type"), F.lit("root").alias("from_id"), F.col("node_id").alias("to_id"))
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
     children = o.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node_id"), F.lit("Order").alias("type"), F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("name"))
     links = c.where("c_custkey % 20 = 0").select(F.lit("dependsOn").alias("rel_type"), F.lit("Customer#000000001").alias("from_name"), F.col("c_name").alias("to_name"), F.lit(1).alias("depth"))
     return graph.link_bundle(nodes, edges, children, links)[0]

@@ -219,3 +219,58 @@ def test_bank(spark, tmp_path):
     (page / "_skip.md").write_text("# No")
     assert [(r.name, r.summary, r.description) for r in config.read_spec(spark, str(page)).collect()] == [("Name", "Short.", "Long\ntext.")]
     assert config.choose_path(None, None, "NO_SUCH_VARIABLE_HERE", "b") == "b" and config.choose_path("a", "p") == "a"
+
+
+def test_whole_table_queries(spark, sf, tmp_path, monkeypatch):
+    """Every row takes part, whatever its id; shards and blocks of queries change nothing."""
+    import math
+    import random
+
+    import duckdb
+
+    from ledgerloom import queries
+    from ledgerloom.operators import retrieval
+
+    r = random.Random(3)
+    vectors = [(i, [r.choice((-1.0, 0.0, 1.0)) for _ in range(4)]) for i in range(1000, 1200)] + [(5000, None), (5020, [1.0, 2.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    parts = [(i, f"Brand#{i % 3}", " ".join(r.sample("abcdefgh", r.randint(1, 5))), r.choice(("X Y", "X Z", ""))) for i in range(600, 900)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(retrieval, "SHARD", 30)
+    monkeypatch.setattr(retrieval, "QUERIES", 4)
+    norm = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+
+    def brute(rows):
+        out = {}
+        for q, x in rows:
+            if q % 20 == 0:
+                near = sorted((round(math.dist(x, y), 6), d) for d, y in rows if len(x) == len(y))[:20]
+                out |= {(q, d): (s, n) for n, (s, d) in enumerate(near, 1)}
+        return out
+
+    rows = [(i, v) for i, v in vectors if v]
+    first, second = brute(rows), brute([(i, norm(v)) for i, v in rows if any(v)])
+    assert {(x.query_id, x.doc_id): (x.score, x["rank"]) for x in queries.knn_topk_all(spark, str(tmp_path)).collect()} == first and len(first) == 201
+    fused = {k: round(sum(1 / (60 + ranks[k][1]) for ranks in (first, second) if k in ranks), 6) for k in first.keys() | second.keys()}
+    assert {(x.query_id, x.doc_id): x.rrf for x in queries.rrf_fusion_all(spark, str(tmp_path)).collect()} == pytest.approx(fused)
+    sets = {i: (b, set(f"{n} {t}".lower().split())) for i, b, n, t in parts}
+    want = {(a, b): round(len(sets[a][1] & sets[b][1]) / len(sets[a][1] | sets[b][1]), 6) for a in sets for b in sets if a < b and sets[a][0] == sets[b][0] and len(sets[a][1] & sets[b][1]) >= 0.6 * len(sets[a][1] | sets[b][1])}
+    got = [tuple(x) for x in queries.jaccard_tags_all(spark, str(tmp_path)).collect()]
+    assert {(a, b): s for a, b, s in got} == want and len(got) == len(want) > 100
+    con = duckdb.connect()
+    for name in ("customer", "orders"):
+        con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
+    whole = sorted(con.execute(queries.ORACLE_SQL["linked_bundle_all"]).fetchall())
+    assert sorted(tuple(x) for x in queries.linked_bundle_all(spark, sf).collect()) == whole and sum(x[1] == "Order" for x in whole) == con.execute("select count(*) from orders").fetchone()[0]
+
+
+def test_knn_of_the_first_queries(spark, sf):
+    import duckdb
+
+    from ledgerloom import queries
+
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    for name in ("knn_topk", "rrf_fusion"):
+        want = sorted(con.execute(queries.ORACLE_SQL[name]).fetchall())
+        assert sorted(tuple(x) for x in queries.QUERIES[name](spark, sf).collect()) == want
