@@ -1,11 +1,12 @@
-"""A hierarchical Pitman-Yor bigram model: restaurants seated by Gibbs sampling, predictives averaged over samples.
+"""A hierarchical Pitman-Yor bigram model: restaurants seated by blocked Gibbs sampling, predictives averaged over samples.
 
 Every previous word has a restaurant whose customers are the words that follow it; all of them share one
 parent restaurant, whose customers are their tables and whose own base is uniform over the V training tokens
 and one unknown token. Work is cut twice: into blocks of documents, kept as integer-coded tokens, and into
 buckets of (context, word) pairs by a hash of the pair, so no frequent word makes a large task. Seating a
 pair's customers needs only its context's number of tables and its word's parent probability; both are
-held fixed during a round and recounted between rounds.
+held fixed during a round and recounted between rounds. Given them, the number of tables of all of a pair's
+customers is drawn at once from its exact distribution.
 """
 
 from __future__ import annotations
@@ -24,20 +25,19 @@ from pyspark.sql.types import _parse_datatype_string
 
 from .common import discard, materialise, small_batches
 
-#: Tokens of a block at most (but for a longer document), bytes of coded tokens for each bucket of pairs, and dishes seated at once.
-BLOCK_TOKENS, BUCKET_BYTES, DISHES = 1 << 21, 3 << 20, 1 << 16
+#: Tokens of a block at most (but for a longer document), and bytes of coded tokens for each bucket of pairs.
+BLOCK_TOKENS, BUCKET_BYTES = 1 << 21, 3 << 20
 #: The end token; it also stands before a text's first word. No word hashes to it but by chance.
 END = np.uint64(0x5EED0E4D)
 
 
 class Settings(NamedTuple):
-    """rounds: recounts between sweeps; sweeps: Gibbs sweeps before the samples of a round; samples: averaged
-    ones of the last round; moves: customers of a pair reseated in a sweep; strengths: of contexts and parent."""
+    """rounds: recounts between draws; sweeps: not used, as draws are exact from the first; samples: averaged
+    ones of the last round; strengths: of contexts and parent."""
 
     rounds: int = 2
     sweeps: int = 2
     samples: int = 4
-    moves: int = 2
     context_strength: float = 1.0
     parent_strength: float = 10.0
     seed: int = 1
@@ -61,66 +61,65 @@ def _uniform(keys: np.ndarray, seed: int) -> np.ndarray:
     return (((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
 
 
-class Tables:
-    """Sizes of the tables of many dishes; a dish has ``count`` customers of which it starts with one table each
-    ``count`` up to a few, else with a number near the expected one.
+def _steps(counts: np.ndarray, most: int, discount: float) -> Iterator[np.ndarray]:
+    """For each of the ascending counts n, S(n, t + 1) / S(n, t) for t from 1 to n - 1, or to ``most``.
 
-    ``new`` is the weight of a new table against the customers' weights: (strength + discount * tables of the
-    restaurant) * the parent's probability of the dish.
+    S(n, t) is the weight of all seatings of n customers at t tables: S(n + 1, t) = S(n, t - 1) + (n - discount * t) S(n, t).
+    In quotients of neighbours nothing is subtracted and nothing overflows.
     """
-
-    def __init__(self, keys: np.ndarray, count: np.ndarray, discount: float, new: np.ndarray, spare: int):
-        self.keys, self.count, self.discount, self.new = keys, count, discount, new
-        n = count.astype(float)
-        guess = 1 + new * np.log1p((n - 1) / np.maximum(new + 1 - discount, 1e-9))
-        tables = np.clip(np.rint(guess), 1, np.minimum(n, 1 + new * 64 + 16)).astype(np.int64)
-        self.first = np.concatenate(([0], np.cumsum(tables + spare)))
-        self.used = tables.copy()
-        self.size = np.zeros(self.first[-1])
-        row = np.repeat(np.arange(len(n)), tables)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(tables) - tables, tables)
-        share = count // tables
-        self.size[self.first[row] + at] = share[row] + (at < (count - share * tables)[row])
-        self.tables = tables
-
-    def move(self, seed: int) -> None:
-        """One customer of each dish, drawn evenly, leaves its table and sits down again."""
-        start, end, size = self.first[:-1], self.first[1:], self.size
-        total = np.concatenate(([0.0], np.cumsum(size)))
-        draw = _uniform(self.keys, seed) * (total[end] - total[start]) + total[start]
-        at = np.clip(np.searchsorted(total, draw, side="right") - 1, start, end - 1)
-        at = np.where(size[at] > 0, at, start + 0)
-        ok = size[at] > 0
-        size[at[ok]] -= 1
-        self.tables -= ok & (size[at] == 0)
-        weight = np.where(size > 0, size - self.discount, 0.0)
-        total = np.concatenate(([0.0], np.cumsum(weight)))
-        mass = total[end] - total[start]
-        draw = _uniform(self.keys, seed + 1) * (mass + self.new)
-        joins = (draw < mass) | ~ok
-        to = np.clip(np.searchsorted(total, total[start] + draw, side="right") - 1, start, end - 1)
-        free = start + self.used
-        full = free >= end
-        joins |= full & (mass > 0)
-        to = np.where(joins, np.where(size[to] > 0, to, at), np.where(full, at, free))
-        opened = ok & (size[to] == 0)
-        size[to[ok]] += 1
-        self.tables += opened
-        self.used += ok & ~joins & ~full
+    r, tables = np.zeros(most), np.arange(2, most + 2)
+    i = 1
+    for n in counts:
+        for i in range(i, n):
+            k = min(i, most)
+            g = 1 + (i - discount * tables[:k]) * r[:k]
+            r[1:k] = r[: k - 1] * g[1:] / g[:-1]
+            r[0] = g[0] / (i - discount)
+        i = max(i, n)
+        yield r[: n - 1]
 
 
 def seat(keys: np.ndarray, count: np.ndarray, discount: float, new: np.ndarray, s: Settings, salt: int) -> np.ndarray:
-    """Numbers of tables (samples x dishes) that Gibbs sampling gives. A single customer always has one table."""
+    """Numbers of tables (samples x dishes) of dishes of ``count`` customers, each sample drawn anew from its distribution.
+
+    ``new`` is the weight of a new table against the customers' weights: (strength + discount * tables of the
+    restaurant) * the parent's probability of the dish. While it is held, t tables have a probability in proportion to
+    new ** t * S(count, t): what Gibbs sampling of all customers tends to, drawn here without its sweeps. Numbers of
+    tables beyond the mode of less than exp(-45) of its probability are left out. Time grows with the largest count
+    times the tables in question, and for the others with their tables. A single customer always has one table.
+    """
     out = np.ones((s.samples, len(count)))
     several = np.flatnonzero(count > 1)
-    for lo in range(0, len(several), DISHES):
-        many = several[lo : lo + DISHES]
-        t = Tables(keys[many], count[many], discount, new[many], (s.sweeps + s.samples) * s.moves)
-        for sweep in range(s.sweeps + s.samples):
-            for m in range(s.moves):
-                t.move((s.seed * 1009 + salt) * 100_003 + (sweep * s.moves + m) * 2)
-            if sweep >= s.sweeps:
-                out[sweep - s.sweeps, many] = t.tables
+    if not len(several):
+        return out
+    several = several[np.lexsort((new[several], count[several]))]
+    counts, first = np.unique(count[several], return_index=True)
+    groups = np.split(several, first[1:])
+    with np.errstate(divide="ignore"):
+        weight = np.log(np.maximum(new, 1e-300))
+    tops = np.array([new[g[-1]] for g in groups])
+    expected = 1 + tops * np.log1p(counts / np.maximum(tops, 1e-9))
+    most = int(np.minimum(counts - 1, expected + 12 * np.sqrt(expected) + 64).max())
+    done = 0
+    while done < len(groups):
+        for g, r in zip(groups[done:], _steps(counts[done:], most, discount)):
+            log_s = np.concatenate(([0.0], np.cumsum(np.log(r))))
+            at = np.arange(len(log_s))
+            # Larger weights reach further, so the last dish of a group says how far to look.
+            top = log_s + at * weight[g[-1]]
+            far = np.flatnonzero(top > top.max() - 45)[-1] + 1
+            if far == len(top) < count[g[0]]:
+                most *= 2
+                break
+            rows = max(1, (1 << 20) // far)
+            for lo in range(0, len(g), rows):
+                own = g[lo : lo + rows]
+                p = log_s[:far] + at[:far] * weight[own][:, None]
+                p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
+                for i in range(s.samples):
+                    draw = _uniform(keys[own], (s.seed * 1009 + salt) * 100_003 + i) * p[:, -1]
+                    out[i, own] = 1 + (p <= draw[:, None]).sum(axis=1)
+            done += 1
     return out
 
 
@@ -466,7 +465,9 @@ def _parent(words: DataFrame, s: Settings, discount: float, base: float, salt: i
             more = b.column(2)
             at = np.repeat(before[:, None], s.samples, axis=1)
             at[more.is_valid().to_numpy(zero_copy_only=False)] += more.flatten().to_numpy().reshape(-1, s.samples)
-            seats = np.array([seat(keys, at[:, i], discount, np.full(len(keys), new), one, 7000 + salt * 100 + i)[0] for i in range(s.samples)], dtype=np.int64).T
+            # All samples at once; each has keys of its own.
+            own = np.concatenate([keys ^ np.uint64((7000 + i) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for i in range(s.samples)])
+            seats = seat(own, at.T.ravel(), discount, np.full(len(own), new), one, 7000 + salt * 100)[0].reshape(s.samples, -1).astype(np.int64).T
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(at, pa.int64()), _lists(seats, pa.int64())], ["word", "customers", "seats"])
 
     many = words.where("before > 1 or more_before is not null").select("word", "before", "more_before")
