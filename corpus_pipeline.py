@@ -23,7 +23,7 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and those in no language clearly."""
+    """Rejects texts without a letter and those whose words are in no language clearly; several languages in a text are none the worse."""
     return accepted(docs, learn(docs, F.lit(True)))
 
 

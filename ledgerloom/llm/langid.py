@@ -222,12 +222,13 @@ def learn(docs: DataFrame, learn_from: Column, training: Training = Training())
 
 
 def _label(texts: list[str | None], emissions: Emissions, runs: bool = False):
-    """Label number (the last stands for ``und``) and score of each text, and the runs of its word labels if wanted."""
+    """Label number (the last stands for ``und``) and score of each text, the runs of its word labels if wanted, and how sure
+    its words are: the mean of each lettered word's highest posterior, whatever its language; 0 without a letter."""
     model, k = emissions.model, len(emissions.model.labels)
     emissions.tidy()
     split = [x.split() if x else [] for x in texts]
     lengths = np.array([len(x) for x in split], dtype=np.int64)
-    best, score, found = np.full(len(split), k), np.zeros(len(split)), [[] for _ in split]
+    best, score, found, sure = np.full(len(split), k), np.zeros(len(split)), [[] for _ in split], np.zeros(len(split))
     full = np.flatnonzero(lengths)
     if len(full) and k:
         rows = emissions.rows([w for x in split for w in x])
@@ -238,12 +239,13 @@ def _label(texts: list[str | None], emissions: Emissions, runs: bool = False):
         n = np.add.reduceat(lettered.astype(np.int64), first)
         best[full] = np.where(n > 0, sums.argmax(axis=1), k)
         score[full] = np.clip(np.where(n > 0, sums.max(axis=1) / np.maximum(n, 1), 0.0), 0, 1)
+        sure[full] = np.clip(np.add.reduceat(posterior.max(axis=1) * lettered, first) / np.maximum(n, 1), 0, 1)
         if runs:
             label = posterior.argmax(axis=1)
             for i, lo, size in zip(full, first, lengths[full]):
                 bounds = [0, *(np.flatnonzero(np.diff(label[lo : lo + size])) + 1).tolist(), int(size)]
                 found[i] = [{"lang": model.labels[label[lo + a]], "words": b - a} for a, b in zip(bounds, bounds[1:])]
-    return best, score, found
+    return best, score, found, sure
 
 
 def identify(docs: DataFrame, model: Model, runs: bool = False) -> DataFrame:
@@ -264,7 +266,7 @@ def identify(docs: DataFrame, model: Model, runs: bool = False) -> DataFrame:
         emissions = Emissions(shared.value)
         names = np.array([*shared.value.labels, "und"], dtype=object)
         for batch in batches:
-            best, score, found = _label(batch.column(1).to_pylist(), emissions, runs)
+            best, score, found, _ = _label(batch.column(1).to_pylist(), emissions, runs)
             cols = [batch.column(0), pa.array(names[best], pa.string()), pa.array(score)]
             if runs:
                 cols.append(pa.array(found, pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())]))))
@@ -275,7 +277,12 @@ def identify(docs: DataFrame, model: Model, runs: bool = False) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
-    """The rows of docs, with all columns, whose text has a language of the model with a score of ``least`` at least."""
+    """The rows of docs, with all columns, whose text has a letter and words of whose languages the model is sure.
+
+    The mean over words with a letter of each one's highest posterior, whatever its language, is ``least`` at least;
+    so a text in several languages stays if its words are told apart. A model without labels has no doubts: then all
+    texts with a letter stay.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -283,8 +290,13 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emissions = Emissions(shared.value)
+        k = len(shared.value.labels)
         for batch in batches:
-            best, score, _ = _label(batch.column(at).to_pylist(), emissions)
-            yield batch.filter(pa.array((best < len(shared.value.labels)) & (score >= least)))
+            texts = batch.column(at).to_pylist()
+            if k:
+                best, _, _, sure = _label(texts, emissions)
+                yield batch.filter(pa.array((best < k) & (sure >= least)))
+            else:
+                yield batch.filter(pa.array([any(word_key(w) for w in (x or "").split()) for x in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from test_operators import _base_spans, _components
 
 import corpus_pipeline
@@ -82,3 +83,13 @@ def test_packing_stage(steps):
 def test_run(spark, sf):
     rows = corpus_pipeline.run(spark, sf)
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and rows.count() > 100
+
+
+def test_language_stage_keeps_switched_texts_and_unlabelled_corpora(spark):
+    words = {x: [f"{a}{b}{c}" for a in s for b in s for c in s] for x, s in (("aa", "abcde"), ("bb", "fghij"), ("cc", "klmno"), ("dd", "pqrst"))}
+    rows = [(100 * n + i, " ".join(w[(i * 7 + j * 3) % 125] for j in range(40)), x, "s", 0) for n, (x, w) in enumerate(words.items()) for i in range(40)]
+    rows += [(9000, " ".join(x for w in words.values() for x in w[:30]), "aa", "s", 0), (9001, "12 -- 34", "aa", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {r[0] for r in rows} - {9001}
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, bare, "").collect()} == {r[0] for r in rows} - {9001}
