@@ -17,16 +17,19 @@ from .common import small_batches
 CHAIN = 64
 #: Hashed features.
 FEATURES = 1 << 16
+#: Words times labels of the chains that are computed at once, but for a longer text, and of remembered scores.
+CELLS, KEPT_CELLS = 4_000_000, 20_000_000
 
 
 class Training(NamedTuple):
     """texts: whole labelled texts of each language at most, of lowest hash; words: of a language in all, from the
-    same texts, at most; lexicon: entries for each language; labels: languages at most."""
+    same texts, at most; lexicon: entries for each language; labels: languages that a model has room for, beyond which
+    learning fails: no language is left out."""
 
     texts: int = 200
     words: int = 150_000
     lexicon: int = 3000
-    labels: int = 200
+    labels: int = 400
     steps: int = 60
     rate: float = 0.1
     decay: float = 1e-4
@@ -100,8 +103,8 @@ class Chains:
                 back = e[t] * beta
                 live = self.mask[t]
                 if want_pairs:
-                    joint = alpha[t - 1][live][:, :, None] * m * back[live][:, None, :]
-                    pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+                    was, then = alpha[t - 1][live], back[live]
+                    pairs += m * ((was / ((was @ m) * then).sum(axis=1, keepdims=True)).T @ then)
                 b = back @ m.T
                 b /= b.sum(axis=1, keepdims=True)
                 beta = np.where(live[:, None], b, beta)
@@ -113,7 +116,7 @@ class Emissions:
     """Scores of word keys for each label, remembered for ``most`` words at most."""
 
     def __init__(self, model: Model, most: int = 400_000):
-        self.model, self.most = model, most
+        self.model, self.most = model, min(most, KEPT_CELLS // max(1, len(model.labels)))
         self.clear()
 
     def clear(self):
@@ -161,12 +164,12 @@ def fit(texts: list[tuple[str, str]], t: Training) -> Model:
             lexicon[w] = lexicon.get(w, 0) | 1 << i
     model = Model(labels, np.zeros((FEATURES, len(labels))), np.zeros((len(labels), len(labels))), lexicon)
     room = {x: t.words for x in labels}
-    words, lengths, gold = [], [], []
+    words, lengths, gold, known = [], [], [], {}
     for lang, text in texts:
         own = text.split()
         if own and room[lang] > 0:
             room[lang] -= len(own)
-            words += own
+            words += [known.setdefault(w, w) for w in own]
             lengths.append(len(own))
             gold.append(of[lang])
     if len(labels) < 2 or not words:
@@ -175,31 +178,47 @@ def fit(texts: list[tuple[str, str]], t: Training) -> Model:
     types, of_word = np.unique(np.array(words, dtype=object), return_inverse=True)
     lists = [features(word_key(w), lexicon) for w in types]
     size = np.array([len(x) for x in lists])
-    flat, at, owner = np.fromiter((f for x in lists for f in x), dtype=np.int64), np.cumsum(size) - size, np.repeat(np.arange(len(types)), size)
+    flat, at = np.fromiter((f for x in lists for f in x), dtype=np.int64), np.cumsum(size) - size
     gold = np.repeat(np.array(gold), lengths)
-    chains, n, k = Chains(lengths), len(words), len(labels)
-    truth = np.zeros((len(types), k))
-    np.add.at(truth, (of_word, gold), 1.0)
-    inside = (np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)) % CHAIN > 0
+    n, k = len(words), len(labels)
+    ends = np.cumsum(lengths)
+    inside = (np.arange(n) - np.repeat(ends - lengths, lengths)) % CHAIN > 0
     kept = np.diag(np.bincount(gold[inside], minlength=k).astype(float))
+    # Parts are whole texts, so that what a step holds beside the weights doesn't grow with the labels.
+    part = (ends - lengths) * k // CELLS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lengths)]
+    parts = [(lengths[lo:hi], slice(int(ends[lo] - lengths[lo]), int(ends[hi - 1]))) for lo, hi in zip(cuts, cuts[1:])]
     sums_w, sums_m = np.full_like(model.weights, 1e-8), np.full_like(model.moves, 1e-8)
     for _ in range(t.steps):
-        scores = np.add.reduceat(model.weights[flat], at, axis=0)
-        expected, _, pairs = chains.marginals(scores[of_word], model.moves, want_pairs=True)
-        by_type = truth - np.array([np.bincount(of_word, weights=expected[:, j], minlength=len(types)) for j in range(k)]).T
-        slope = np.array([np.bincount(flat, weights=by_type[owner, j], minlength=FEATURES) for j in range(k)]).T / n - t.decay * model.weights
+        slope, pairs = np.zeros_like(model.weights), np.zeros_like(model.moves)
+        for own_lengths, where in parts:
+            own, of_own = np.unique(of_word[where], return_inverse=True)
+            many = size[own]
+            first = np.cumsum(many) - many
+            listed = flat[np.repeat(at[own] - first, many) + np.arange(many.sum())]
+            scores = np.add.reduceat(model.weights[listed], first, axis=0) if len(listed) * k <= 3 * CELLS else np.stack([np.add.reduceat(model.weights[listed, j], first) for j in range(k)], axis=1)
+            expected, _, moved = Chains(own_lengths).marginals(scores[of_own], model.moves, want_pairs=True)
+            pairs += moved
+            owner = np.repeat(np.arange(len(own)), many)
+            for j in range(k):
+                by_type = np.bincount(of_own[gold[where] == j], minlength=len(own)) - np.bincount(of_own, weights=expected[:, j], minlength=len(own))
+                slope[:, j] += np.bincount(listed, weights=by_type[owner], minlength=FEATURES)
+        slope /= n
+        slope -= t.decay * model.weights
         turn = (kept - pairs) / n - t.decay * model.moves
         sums_w += slope**2
         sums_m += turn**2
-        model.weights[:] += t.rate * slope / np.sqrt(sums_w)
+        slope *= t.rate
+        slope /= np.sqrt(sums_w)
+        model.weights[:] += slope
         model.moves[:] += t.rate * turn / np.sqrt(sums_m)
     return model
 
 
 def sample_labelled(docs: DataFrame, t: Training) -> DataFrame:
-    """(lang, text, n): the ``texts`` rows of lowest hash for each of the ``labels`` most frequent languages; docs (doc_id, text, lang)."""
+    """(lang, text, n): the ``texts`` rows of lowest hash for each language; docs (doc_id, text, lang)."""
     known = docs.where("lang is not null and text is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(t.labels)
+    counts = known.groupBy("lang").count()
     share = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = known.join(F.broadcast(counts), "lang").withColumn("share", share).where(F.col("share") * F.col("count") <= 2 * t.texts + 20)
     order = Window.partitionBy("lang").orderBy("share", "doc_id", "text")
@@ -209,8 +228,13 @@ def sample_labelled(docs: DataFrame, t: Training) -> DataFrame:
 def learn(docs: DataFrame, learn_from: Column, training: Training = Training()) -> Model:
     """A model of the languages of docs (doc_id, text, lang), from a bounded sample of the rows where ``learn_from`` holds.
 
-    The sample is fitted in one task, which holds texts * labels texts at most; the driver gets the weights alone.
+    Every language takes part. The sample is fitted in one task, which holds texts * labels texts at most and takes time
+    with the square of the labels; the driver gets the weights alone, FEATURES * labels doubles. More languages than
+    ``training.labels`` raise a ValueError, as the weights would outgrow a task.
     """
+    known = docs.where(learn_from).where("lang is not null and text is not null")
+    if (n := known.select("lang").distinct().limit(training.labels + 1).count()) > training.labels:
+        raise ValueError(f"more than {training.labels} languages in lang ({n} counted at least); a model has room for Training.labels")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
@@ -225,9 +249,13 @@ def _label(texts: list[str | None], emissions: Emissions, runs: bool = False):
     """Label number (the last stands for ``und``) and score of each text, the runs of its word labels if wanted, and how sure
     its words are: the mean of each lettered word's highest posterior, whatever its language; 0 without a letter."""
     model, k = emissions.model, len(emissions.model.labels)
-    emissions.tidy()
     split = [x.split() if x else [] for x in texts]
     lengths = np.array([len(x) for x in split], dtype=np.int64)
+    if len(texts) > 1 and lengths.sum() * k > CELLS:
+        half = len(texts) // 2
+        (a, b, c, d), (e, f, g, h) = _label(texts[:half], emissions, runs), _label(texts[half:], emissions, runs)
+        return np.concatenate((a, e)), np.concatenate((b, f)), c + g, np.concatenate((d, h))
+    emissions.tidy()
     best, score, found, sure = np.full(len(split), k), np.zeros(len(split)), [[] for _ in split], np.zeros(len(split))
     full = np.flatnonzero(lengths)
     if len(full) and k:

@@ -357,6 +357,29 @@ def test_language_id(spark, docs, odd, none):
     assert sum(r.words for r in runs) == 80 and {"en", "de"} <= {r.lang for r in runs}
 
 
+def test_every_language_is_learnt(spark):
+    """More than 200 languages, each of words of its own; and a bound that fails loudly."""
+    import string
+
+    names = [a + b for a in string.ascii_lowercase[:15] for b in string.ascii_lowercase[:14]]
+    text = lambda x: " ".join(f"{x}{x}{c}" for c in "abcd" * 2)
+    docs = spark.createDataFrame([(10 * i + j, text(x), x) for i, x in enumerate(names) for j in range(2)], "doc_id long, text string, lang string").coalesce(2)
+    model = langid.learn(docs, F.lit(True), langid.Training(steps=8))
+    assert model.labels == sorted(names) and len(names) == 210
+    out = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r.lang == r.lang_pred for r in out]) > 0.99
+    with pytest.raises(ValueError, match="209 languages"):
+        langid.learn(docs, F.lit(True), langid.Training(labels=209))
+
+
+def test_parts_of_the_sample_give_one_model(monkeypatch):
+    texts = [(x, f"{x}one {x}two both {x}three " * 20) for x in ("aa", "bb", "cc") for _ in range(5)]
+    whole = langid.fit(texts, langid.Training(steps=5))
+    monkeypatch.setattr(langid, "CELLS", 30)
+    parts = langid.fit(texts, langid.Training(steps=5))
+    assert np.allclose(whole.weights, parts.weights, atol=1e-6) and np.allclose(whole.moves, parts.moves, atol=1e-6)
+
+
 def test_chain_marginals_equal_enumeration():
     r = np.random.default_rng(1)
     e, m = r.normal(size=(5, 3)), r.normal(size=(3, 3))
