@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import materialise
 from ledgerloom.llm.langid import accepted, learn
 from ledgerloom.llm.linededup import drop_lines
-from ledgerloom.llm.neardup import near_duplicates
+from ledgerloom.llm.neardup import one_of_each
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.pii import redact
 
@@ -33,9 +33,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that of the smallest doc_id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component stays, of the smallest doc_id; rows outside components are untouched."""
+    return one_of_each(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -217,7 +217,7 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with all columns, each span of text replaced by [KIND]. Overlapping spans are replaced together; null ids are left out."""
+    """docs with all columns, each span of text replaced by [KIND]. Overlapping spans are replaced together; rows of null or repeated ids are redacted like any other."""
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     spans = find_personal_data(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("pii_doc"), F.col("text_hash").alias("pii_text"), ordered.alias("pii_spans")).dropDuplicates(["pii_doc", "pii_text"])
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
@@ -230,5 +230,5 @@ def redact(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate("pii_spans", zero, step)
     clean = F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text)))
-    joined = docs.withColumn("pii_hash", F.xxhash64("text")).join(spans, (F.col("doc_id") == F.col("pii_doc")) & (F.col("pii_hash") == F.col("pii_text")), "left")
+    joined = docs.withColumn("pii_hash", F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("pii_doc")) & (F.col("pii_hash") == F.col("pii_text")), "left")
     return joined.select(*(F.when(F.col("pii_spans").isNotNull(), clean).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns))

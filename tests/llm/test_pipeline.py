@@ -93,3 +93,17 @@ def test_language_stage_keeps_switched_texts_and_unlabelled_corpora(spark):
     assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {r[0] for r in rows} - {9001}
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.doc_id for r in corpus_pipeline.language_id(spark, bare, "").collect()} == {r[0] for r in rows} - {9001}
+
+
+def test_stages_tell_rows_of_null_or_repeated_ids_apart(spark):
+    copied, own = "these ten words stand in many rows of this table", "another text of seven words or more follows here"
+    rows = [(1, copied, "en", "a", 0), (2, copied, "en", "a", 0), (2, own, "en", "a", 0), (3, "a b c d e f g", "en", "a", 0), (3, "a b c d e f g", "en", "b", 0)]
+    rows += [(1, copied.upper(), "en", "a", 0), (4, None, "en", "a", 0), (4, None, "en", "a", 0), (None, copied, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    left = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    of_one = [r for r in left if r[0] == 1]
+    assert len(of_one) == 1 and of_one[0] in rows
+    assert sorted(map(str, (r for r in left if r[0] != 1))) == sorted(map(str, [rows[2], rows[3], rows[6], rows[7], rows[8]]))
+    mail = "write to a.b@example.org, please"
+    private = spark.createDataFrame([(i, mail, "en", "a", 0) for i in (None, 5, 5)], docs.schema)
+    assert [r.text for r in corpus_pipeline.pii(spark, private, "").collect()] == ["write to [EMAIL], please"] * 3
