@@ -1,17 +1,19 @@
-"""A hierarchical Pitman-Yor bigram model: restaurants seated by blocked Gibbs sampling, predictives averaged over samples.
+"""A hierarchical Pitman-Yor bigram model: restaurants seated by blocked Gibbs sampling, predictives averaged over chains.
 
 Every previous word has a restaurant whose customers are the words that follow it; all of them share one
 parent restaurant, whose customers are their tables and whose own base is uniform over the V training tokens
-and one unknown token. Work is cut twice: into blocks of documents, kept as integer-coded tokens, and into
-buckets of (context, word) pairs by a hash of the pair, so no frequent word makes a large task. Seating a
-pair's customers needs only its context's number of tables and its word's parent probability; both are
-held fixed during a round and recounted between rounds. Given them, the number of tables of all of a pair's
-customers is drawn at once from its exact distribution.
+and one unknown token. Several chains are sampled side by side. In a round each chain draws the number of tables
+of every pair of words, and of every word in the parent, from its distribution given all other tables as they
+were in the round before; a token's probability is averaged over the chains' last states.
+
+Work is cut three ways, so that nothing grows but the number of parts: *blocks* of documents, kept as coded tokens;
+*slices* of the vocabulary, by a range of word hashes; *buckets* of pairs, by a hash of the pair, so that no frequent
+word makes a large task. Parts talk in rows of packed arrays, whose order both sides know, so that no keys travel back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,139 +22,243 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from .common import discard, materialise, small_batches
 
-#: Tokens of a block at most (but for a longer document), and bytes of coded tokens for each bucket of pairs.
-BLOCK_TOKENS, BUCKET_BYTES = 1 << 21, 3 << 20
+#: Tokens of a block at most (but for a longer document), tokens for each bucket of pairs, block words for each slice.
+BLOCK_TOKENS, BUCKET_TOKENS, SLICE_WORDS = 1 << 20, 1 << 20, 1 << 20
+#: Ids are numbers below 2 ** 32, so that a pair is one unsigned long.
+MOST_IDS = 1 << 32
 #: The end token; it also stands before a text's first word. No word hashes to it but by chance.
 END = np.uint64(0x5EED0E4D)
+#: Customers up to which the numbers of seatings are counted one customer at a time.
+COUNTED = 4096
 
 
 class Settings(NamedTuple):
-    """rounds: recounts between draws; sweeps: not used, as draws are exact from the first; samples: averaged
-    ones of the last round; strengths: of contexts and parent."""
+    """rounds: of seating all customers anew; chains: sampled side by side; strengths: of contexts and parent."""
 
-    rounds: int = 2
-    sweeps: int = 2
-    samples: int = 4
+    rounds: int = 3
+    chains: int = 4
     context_strength: float = 1.0
     parent_strength: float = 10.0
     seed: int = 1
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """An array's bytes by significance, compressed: most high bytes are zeros."""
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+# Seating ----------------------------------------------------------------------------------------------------------
 
 
-def _unpack(b: bytes, kind) -> np.ndarray:
-    raw, size = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8), np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+def log_seatings(counts: np.ndarray, most: int, discount: float) -> Iterator[np.ndarray]:
+    """For each of the ascending counts n: log(S(n, t) / S(n, 1)) for t from 1 to n, or to ``most``.
 
+    S(n, t) is the weight of all seatings of n customers at t tables: S(n + 1, t) = S(n, t - 1) + (n - discount * t) S(n, t).
+    In quotients r of neighbours nothing is subtracted and nothing overflows. Beyond COUNTED customers (or four times
+    ``most``) log r changes so smoothly with log n that the steps are integrated instead of taken one by one (fourth-order
+    Runge-Kutta); the quotients are then right to about seven digits.
+    """
+    r, at = np.zeros(most), np.arange(2, most + 2) * discount
+    i, limit = 1, max(COUNTED, 4 * most)
+    stride = min(0.05, 1.5 / (1 + discount * most))
 
-def _uniform(keys: np.ndarray, seed: int) -> np.ndarray:
-    """Numbers in (0, 1) drawn from the keys, so that a task run again draws the same."""
-    x = keys ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
-    return (((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+    def change(m: float, y: np.ndarray) -> np.ndarray:
+        """d log r / d log n at n = m, from the step between m - 1/2 and m + 1/2."""
 
+        def step(y: np.ndarray) -> np.ndarray:
+            q = np.exp(-y) + (m - 0.5)
+            below = np.concatenate(([m - 0.5], q[:-1])) - np.concatenate(([discount], at[:-1]))
+            return np.log((q - at) / below)
 
-def _steps(counts: np.ndarray, most: int, discount: float) -> Iterator[np.ndarray]:
-    """For each of the ascending counts n, S(n, t + 1) / S(n, t) for t from 1 to n - 1, or to ``most``.
+        return m * step(y - 0.5 * step(y))
 
-    S(n, t) is the weight of all seatings of n customers at t tables: S(n + 1, t) = S(n, t - 1) + (n - discount * t) S(n, t).
-    In quotients of neighbours nothing is subtracted and nothing overflows.
-    """
-    r, tables = np.zeros(most), np.arange(2, most + 2)
-    i = 1
-    for n in counts:
-        for i in range(i, n):
+    for n in counts.tolist():
+        for i in range(i, min(n, limit)):
             k = min(i, most)
-            g = 1 + (i - discount * tables[:k]) * r[:k]
+            g = 1 + (i - at[:k]) * r[:k]
             r[1:k] = r[: k - 1] * g[1:] / g[:-1]
             r[0] = g[0] / (i - discount)
-        i = max(i, n)
-        yield r[: n - 1]
-
-
-def seat(keys: np.ndarray, count: np.ndarray, discount: float, new: np.ndarray, s: Settings, salt: int) -> np.ndarray:
-    """Numbers of tables (samples x dishes) of dishes of ``count`` customers, each sample drawn anew from its distribution.
-
-    ``new`` is the weight of a new table against the customers' weights: (strength + discount * tables of the
-    restaurant) * the parent's probability of the dish. While it is held, t tables have a probability in proportion to
-    new ** t * S(count, t): what Gibbs sampling of all customers tends to, drawn here without its sweeps. Numbers of
-    tables beyond the mode of less than exp(-45) of its probability are left out. Time grows with the largest count
-    times the tables in question, and for the others with their tables. A single customer always has one table.
+        i = max(i, min(n, limit))
+        if n > limit:
+            x, y = np.log(i), np.log(r)
+            steps = int(np.ceil((np.log(n) - x) / stride))
+            h = (np.log(n) - x) / steps
+            for _ in range(steps):
+                a = change(np.exp(x), y)
+                b = change(np.exp(x + h / 2), y + h / 2 * a)
+                c = change(np.exp(x + h / 2), y + h / 2 * b)
+                d = change(np.exp(x + h), y + h * c)
+                x, y = x + h, y + h / 6 * (a + 2 * b + 2 * c + d)
+            r, i, limit = np.exp(y), n, n
+        yield np.concatenate(([0.0], np.cumsum(np.log(r[: n - 1]))))
+
+
+def draw_tables(count: np.ndarray, others: np.ndarray, prob: np.ndarray, strength: float, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables (chains x dishes) of dishes of ``count`` customers, drawn given all other tables.
+
+    others (chains x dishes): tables of the restaurant's other dishes; prob (chains x dishes): the parent's probability
+    of the dish. t tables have a probability in proportion to S(count, t) * prob ** t * (strength + discount * others) *
+    (strength + discount * (others + 1)) * ... of t factors: the conditional of a Gibbs step for all of a dish's customers at
+    once. Numbers of tables beyond the mode of less than exp(-45) of its probability are left out.
+    A single customer always has one table.
     """
-    out = np.ones((s.samples, len(count)))
+    out = np.ones(others.shape, dtype=np.int64)
     several = np.flatnonzero(count > 1)
     if not len(several):
         return out
-    several = several[np.lexsort((new[several], count[several]))]
-    counts, first = np.unique(count[several], return_index=True)
-    groups = np.split(several, first[1:])
-    with np.errstate(divide="ignore"):
-        weight = np.log(np.maximum(new, 1e-300))
-    tops = np.array([new[g[-1]] for g in groups])
+    several = several[np.argsort(count[several], kind="stable")]
+    counts, starts = np.unique(count[several], return_index=True)
+    groups = np.split(several, starts[1:])
+    new = prob * (strength + discount * others)
+    tops = np.array([new[:, g].max() for g in groups])
     expected = 1 + tops * np.log1p(counts / np.maximum(tops, 1e-9))
     most = int(np.minimum(counts - 1, expected + 12 * np.sqrt(expected) + 64).max())
     done = 0
     while done < len(groups):
-        for g, r in zip(groups[done:], _steps(counts[done:], most, discount)):
-            log_s = np.concatenate(([0.0], np.cumsum(np.log(r))))
-            at = np.arange(len(log_s))
-            # Larger weights reach further, so the last dish of a group says how far to look.
-            top = log_s + at * weight[g[-1]]
-            far = np.flatnonzero(top > top.max() - 45)[-1] + 1
-            if far == len(top) < count[g[0]]:
+        for g, log_s in zip(groups[done:], log_seatings(counts[done:], most, discount)):
+            n, p, first = int(count[g[0]]), prob[:, g].ravel(), new[:, g].ravel()
+            order = np.argsort(first, kind="stable") if n > 16 else np.arange(len(p))
+            drawn, hi = np.empty(len(p), dtype=np.int64), len(p)
+            x = rng.random(len(p))
+            while hi:
+                # The largest first factor and the largest growth bound how far any of the rows reaches.
+                lo = max(0, hi - max(1, min((1 << 18) // min(n, 64), hi)))
+                own = order[lo:hi]
+                reach = log_s + np.cumsum(np.log(np.maximum(first[own].max() + p[own].max() * discount * np.arange(len(log_s)), 1e-300)))
+                far = np.flatnonzero(reach > reach.max() - 45)[-1] + 1
+                if far == len(log_s) < n:
+                    break
+                lo = max(lo, hi - max(1, (1 << 20) // far))
+                own = order[lo:hi]
+                weight = np.cumsum(np.log(np.maximum(first[own][:, None] + (p[own] * discount)[:, None] * np.arange(far), 1e-300)), axis=1) + log_s[:far]
+                total = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+                drawn[own] = 1 + (total[:, :-1] <= (x[own] * total[:, -1])[:, None]).sum(axis=1)
+                hi = lo
+            if hi:
                 most *= 2
                 break
-            rows = max(1, (1 << 20) // far)
-            for lo in range(0, len(g), rows):
-                own = g[lo : lo + rows]
-                p = log_s[:far] + at[:far] * weight[own][:, None]
-                p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
-                for i in range(s.samples):
-                    draw = _uniform(keys[own], (s.seed * 1009 + salt) * 100_003 + i) * p[:, -1]
-                    out[i, own] = 1 + (p <= draw[:, None]).sum(axis=1)
+            out[:, g] = drawn.reshape(len(out), -1)
             done += 1
     return out
 
 
+def parent_probability(customers: np.ndarray, seats: np.ndarray, facts: dict) -> np.ndarray:
+    """Of words by chain (chains x words) in the parent; words without customers are unknown ones."""
+    c, t = (np.array(facts[k], dtype=float)[:, None] for k in ("customers", "seats"))
+    strength, discount = facts["strength"], facts["discount"]
+    return (customers - discount * seats) / (strength + c) + (strength + discount * t) / (strength + c) * facts["base"]
+
+
+# Packed arrays ----------------------------------------------------------------------------------------------------
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """An array's bytes by significance, compressed: most high bytes are zeros."""
+    a = np.ascontiguousarray(a).ravel()
+    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+
+
+def _unpack(b: bytes, kind=np.int64) -> np.ndarray:
+    raw, size = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8), np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+
+
+def _pack_rising(a: np.ndarray) -> bytes:
+    return _pack(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def _unpack_rising(b: bytes, kind=np.int64) -> np.ndarray:
+    return np.cumsum(_unpack(b, kind), dtype=kind)
+
+
+def _pack_pairs(pairs: np.ndarray) -> bytes:
+    """Rising pairs: steps of the context above, the word itself below."""
+    u = pairs >> np.uint64(32)
+    return _pack(np.diff(u, prepend=np.uint64(0)) << np.uint64(32) | pairs & np.uint64(MOST_IDS - 1))
+
+
+def _unpack_pairs(b: bytes) -> np.ndarray:
+    x = _unpack(b, np.uint64)
+    return np.cumsum(x >> np.uint64(32), dtype=np.uint64) << np.uint64(32) | x & np.uint64(MOST_IDS - 1)
+
+
+def _split(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(MOST_IDS - 1)).astype(np.int64)
+
+
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+class Rows:
+    """Rows of a schema as Arrow tables; columns that a row doesn't name are null. ids: the type of a column of ids."""
+
+    def __init__(self, schema: str, ids: DataType | None = None):
+        kinds = _KINDS | ({"id": to_arrow_type(ids)} if ids else {})
+        named = [c.split() for c in schema.split(", ")]
+        self.schema = ", ".join(f"{c} {k.replace('id', ids.simpleString()) if ids and k in ('id', 'array<id>') else k}" for c, k in named)
+        self.fields = pa.schema([(c, pa.list_(kinds[k[6:-1]]) if k.startswith("array<") else kinds[k]) for c, k in named])
+
+    def table(self, rows: list[dict]) -> pa.Table:
+        return pa.table([pa.array([r.get(f.name) for r in rows], f.type) for f in self.fields], names=self.fields.names)
+
+    def map(self, df: DataFrame, make: Callable[[dict], Iterator[dict]]) -> DataFrame:
+        """make(row) gives rows; at most 64 of them make a batch."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = []
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    for row in make(batch.slice(i, 1).to_pylist()[0]):
+                        out.append(row)
+                        if len(out) == 64:
+                            yield from self.table(out).to_batches()
+                            out = []
+            if out:
+                yield from self.table(out).to_batches()
+
+        return df.mapInArrow(run, self.schema)
+
+    def group(self, df: DataFrame, by: str, make: Callable[[list[dict]], Iterator[dict]]) -> DataFrame:
+        return df.groupBy(by).applyInArrow(lambda table: self.table(list(make(table.to_pylist()))), self.schema)
+
+    def meet(self, df: DataFrame, more: DataFrame, by: str, make: Callable[[dict, list[dict]], Iterator[dict]]) -> DataFrame:
+        """make(row, rows) for each row of df and the rows of more with the same key."""
+
+        def run(one: pa.Table, many: pa.Table) -> pa.Table:
+            return self.table(list(make(one.to_pylist()[0], many.to_pylist())) if one.num_rows else [])
+
+        return df.groupBy(by).cogroup(more.groupBy(by)).applyInArrow(run, self.schema)
+
+
 # Blocks -----------------------------------------------------------------------------------------------------------
 
-BLOCK = "block long, words binary, counts binary, doc_ids array<{}>, held array<boolean>, lengths binary, tokens binary"
+BLOCK = "block long, size long, distinct long, words binary, order binary, counts binary, doc_ids array<id>, held array<boolean>, lengths binary, tokens binary"
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Documents (doc_id, text, held) coded as numbers of the block's own words; one narrow pass."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    """Documents (doc_id, text, held) coded as numbers of the block's own words in order of appearance (0: the end).
+
+    words: their hashes, rising; order: the number of each; counts: its training tokens.
+    """
+    schema = Rows(BLOCK, rows.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         number = TaskContext.get().partitionId() << 24
         known: dict[bytes, int] = {}
-        ids, held, codes, size, id_type = [], [], [], 0, None
+        ids, held, codes, size = [], [], [], 0
 
-        def block() -> pa.RecordBatch:
-            nonlocal number, known, ids, held, codes, size
-            lengths = np.array([len(c) for c in codes], dtype=np.int32)
-            tokens = np.concatenate(codes)
+        def block() -> pa.Table:
+            lengths, tokens = np.array([len(c) for c in codes], dtype=np.int32), np.concatenate(codes)
             trained = np.repeat(~np.array(held, dtype=bool), lengths)
             hashes = np.fromiter([END, *(xxh3_64_intdigest(w) for w in known)], dtype=np.uint64, count=len(known) + 1)
-            counts = np.bincount(tokens[trained], minlength=len(hashes)).astype(np.int32)
-            row = [[number], [hashes.tobytes()], [_pack(counts)], [ids], [held], [_pack(lengths)], [_pack(tokens)]]
-            number, known, ids, held, codes, size = number + 1, {}, [], [], [], 0
-            types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(id_type), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], ["block", "words", "counts", "doc_ids", "held", "lengths", "tokens"])
+            order = np.argsort(hashes, kind="stable")
+            counts = np.bincount(tokens[trained], minlength=len(hashes))[order]
+            row = {"block": number, "size": len(tokens), "distinct": len(hashes), "words": _pack_rising(hashes[order]), "order": _pack(order.astype(np.int32)), "counts": _pack(counts)}
+            return schema.table([row | {"doc_ids": ids, "held": held, "lengths": _pack(lengths), "tokens": _pack(tokens)}])
 
         for batch in batches:
-            id_type = batch.schema.field(0).type
             for key, text, out in zip(*(c.to_pylist() for c in batch.columns)):
                 words = text.encode().lower().split() if text else []
                 codes.append(np.fromiter([*(known.setdefault(w, len(known) + 1) for w in words), 0], dtype=np.int32, count=len(words) + 1))
@@ -160,227 +266,293 @@ def _blocks(rows: DataFrame) -> DataFrame:
                 held.append(bool(out))
                 size += len(words) + 1
                 if size >= BLOCK_TOKENS:
-                    yield block()
+                    yield from block().to_batches()
+                    number, known, ids, held, codes, size = number + 1, {}, [], [], [], 0
         if ids:
-            yield block()
+            yield from block().to_batches()
 
-    return rows.mapInArrow(run, BLOCK.format(kind))
+    return rows.mapInArrow(run, schema.schema)
 
 
-def _pairs(lengths: np.ndarray, tokens: np.ndarray, n_words: int) -> np.ndarray:
-    """context * n_words + word for each token; the end stands before a first word."""
-    context = np.empty_like(tokens)
-    context[1:] = tokens[:-1]
-    context[np.cumsum(lengths) - lengths] = 0
-    return context.astype(np.int64) * n_words + tokens
-
+def _slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
+    """Ranges of hashes, so that a block's rising words lie slice by slice."""
+    return ((hashes >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
 
-def _pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    x = (u ^ (u >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + w * np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
+def _parts(of: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
+    """Where each number below n lies in a rising array."""
+    ends = np.searchsorted(of, np.arange(n + 1))
+    for i in np.flatnonzero(np.diff(ends)).tolist():
+        yield i, slice(int(ends[i]), int(ends[i + 1]))
 
-def _block_pairs(words: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, buckets: int):
-    """The block's distinct pairs in bucket order: where each token's pair is, contexts, words and bucket bounds."""
-    pairs, inverse = np.unique(_pairs(lengths, tokens, len(words)), return_inverse=True)
-    u, w = np.divmod(pairs, len(words))
-    h = _pair_hash(words[u], words[w])
-    to = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    return place[inverse], u[order], w[order], np.searchsorted(to[order], np.arange(buckets + 1))
 
+WORDS = Rows("slice int, block long, words binary, counts binary")
 
-def _read_block(row: dict):
-    return np.frombuffer(row["words"], np.uint64), np.repeat(~np.array(row["held"], dtype=bool), lengths := _unpack(row["lengths"], np.int32)), lengths, _unpack(row["tokens"], np.int32)
 
+def _post_words(slices: int):
+    def make(row: dict) -> Iterator[dict]:
+        words, counts = _unpack_rising(row["words"], np.uint64), _unpack(row["counts"])
+        for i, part in _parts(_slice_of(words, slices), slices):
+            yield {"slice": i, "block": row["block"], "words": _pack_rising(words[part]), "counts": _pack(counts[part])}
 
-def _post(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, pairs): a block's distinct pairs for each bucket, with training counts."""
+    return make
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, trained, lengths, tokens = _read_block(row)
-                place, u, w, bounds = _block_pairs(words, lengths, tokens, buckets)
-                count = np.bincount(place[trained], minlength=len(u)).astype(np.int32)
-                out = []
-                for b in np.flatnonzero(np.diff(bounds)):
-                    part = slice(bounds[b], bounds[b + 1])
-                    local, where = np.unique(np.concatenate((u[part], w[part])), return_inverse=True)
-                    out.append((int(b), row["block"], words[local].tobytes(), _pack(where.astype(np.int32)), _pack(count[part])))
-                    if len(out) == 64:
-                        yield _post_batch(out)
-                        out = []
-                if out:
-                    yield _post_batch(out)
-
-    def _post_batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "block", "words", "where", "counts"])
-
-    return blocks.select("block", "words", "held", "lengths", "tokens").mapInArrow(run, "bucket long, block long, words binary, where binary, counts binary")
 
+NUMBERED = Rows("slice int, block long, ids binary, n binary, distinct long, total long")
 
-# Buckets ----------------------------------------------------------------------------------------------------------
 
-BUCKET = "bucket long, words binary, context binary, word binary, counts binary, blocks array<long>, places array<binary>"
+def _number(slices: int):
+    """Ids of a slice's words that training has, frequent ones first: rank * slices + slice; -1 for the others."""
 
+    def make(rows: list[dict]) -> Iterator[dict]:
+        i = rows[0]["slice"]
+        words = [_unpack_rising(r["words"], np.uint64) for r in rows]
+        every, where = np.unique(np.concatenate(words), return_inverse=True)
+        n = np.bincount(where, weights=np.concatenate([_unpack(r["counts"]) for r in rows]), minlength=len(every)).astype(np.int64)
+        order = np.lexsort((every, -n))
+        known = int((n > 0).sum())
+        if known * slices >= MOST_IDS:
+            raise ValueError("more than four billion distinct words")
+        ids = np.full(len(every), -1, dtype=np.int64)
+        ids[order[:known]] = np.arange(known) * slices + i
+        yield {"slice": i, "n": _pack(n[order[:known]]), "distinct": known, "total": int(n.sum())}
+        at = 0
+        for r, own in zip(rows, words):
+            yield {"slice": i, "block": r["block"], "ids": _pack(ids[where[at : at + len(own)]])}
+            at += len(own)
 
-def _merge(table: pa.Table) -> pa.Table:
-    """The postings of a bucket as one list of distinct pairs, and for each block where its pairs are in it."""
-    pa.default_memory_pool().release_unused()
-    rows = table.to_pylist()
-    us, ws, cs = [], [], []
-    for r in rows:
-        words, where = np.frombuffer(r["words"], np.uint64), _unpack(r["where"], np.int32)
-        n = len(where) // 2
-        us.append(words[where[:n]])
-        ws.append(words[where[n:]])
-        cs.append(_unpack(r["counts"], np.int32))
-    u, w, c = map(np.concatenate, (us, ws, cs))
-    words, where = np.unique(np.concatenate((u, w)), return_inverse=True)
-    pairs, inverse = np.unique(where[: len(u)] * len(words) + where[len(u) :], return_inverse=True)
-    context, word = (x.astype(np.int32) for x in np.divmod(pairs, len(words)))
-    counts = np.bincount(inverse, weights=c, minlength=len(pairs)).astype(np.int64)
-    places, at = [], 0
-    for x in us:
-        places.append(_pack(inverse[at : at + len(x)].astype(np.int32)))
-        at += len(x)
-    out = [[rows[0]["bucket"]], [words.tobytes()], [_pack(context)], [_pack(word)], [_pack(counts)], [[r["block"] for r in rows]], [places]]
-    return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary())))], names=["bucket", "words", "context", "word", "counts", "blocks", "places"])
+    return make
 
 
-def _read_bucket(row: dict):
-    return np.frombuffer(row["words"], np.uint64), _unpack(row["context"], np.int32), _unpack(row["word"], np.int32), _unpack(row["counts"], np.int64)
+def _in_order(row: dict, rows: list[dict], column: str) -> np.ndarray:
+    """What the slices tell of a block's words, by the words' numbers in the block."""
+    told = np.concatenate([_unpack(r[column]) for r in rows])
+    order = _unpack(row["order"], np.int32)
+    out = np.empty((len(told) // len(order), len(order)), dtype=np.int64)
+    at = 0
+    for r in rows:
+        part = _unpack(r[column]).reshape(len(out), -1)
+        out[:, order[at : at + part.shape[1]]] = part
+        at += part.shape[1]
+    return out
 
 
-def _map_rows(df: DataFrame, make, schema: str) -> DataFrame:
-    """make(row) gives the columns of a row's output."""
-    kinds = to_arrow_schema(_parse_datatype_string(schema))
+def _asked(ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, buckets: int):
+    """The block's distinct pairs of known words in bucket order, rising within each; the bucket of each, and for every token
+    where its pair is (their number: one of an unknown word)."""
+    context = np.empty_like(tokens)
+    context[1:] = tokens[:-1]
+    context[np.cumsum(lengths) - lengths] = 0
+    u, w = ids[context], ids[tokens]
+    known = (u >= 0) & (w >= 0)
+    pairs, inverse = np.unique(u[known].astype(np.uint64) << np.uint64(32) | w[known].astype(np.uint64), return_inverse=True)
+    h = (pairs ^ (pairs >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    of = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(of, kind="stable")
+    place = np.empty(len(order) + 1, dtype=np.int64)
+    place[order], place[-1] = np.arange(len(order)), len(order)
+    at = np.full(len(tokens), len(order))
+    at[known] = place[inverse]
+    return pairs[order], of[order], at, context
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(make(row), kinds)], names=kinds.names)
 
-    return df.mapInArrow(run, schema)
+POSTS = Rows("bucket long, block long, pairs binary, counts binary")
 
 
-def _signed(a: np.ndarray) -> np.ndarray:
-    return a.view(np.int64)
+def _post_pairs(buckets: int):
+    def make(row: dict, rows: list[dict]) -> Iterator[dict]:
+        rows = sorted(rows, key=lambda r: r["slice"])
+        lengths, tokens = _unpack(row["lengths"], np.int32), _unpack(row["tokens"], np.int32)
+        pairs, of, at, _ = _asked(_in_order(row, rows, "ids")[0], lengths, tokens, buckets)
+        trained = np.repeat(~np.array(row["held"], dtype=bool), lengths)
+        counts = np.bincount(at[trained], minlength=len(pairs) + 1)
+        for b, part in _parts(of, buckets):
+            yield {"bucket": b, "block": row["block"], "pairs": _pack_pairs(pairs[part]), "counts": _pack(counts[part])}
 
+    return make
 
-def _repeats(row: dict):
-    """For words in pairs of two tokens or more: tokens beyond each pair's first, with the word as context and as word.
 
-    A word's distinct successors and predecessors are its tokens less these, so words of single pairs need no row.
-    """
-    words, context, word, count = _read_bucket(row)
-    many = count > 1
-    after, before = (np.bincount(x[many], weights=count[many] - 1, minlength=len(words)).astype(np.int64) for x in (context, word))
-    some = np.flatnonzero((after > 0) | (before > 0))
-    return _signed(words[some]), after[some], before[some]
-
-
-def _singles(row: dict):
-    """Pairs of one and of two tokens."""
-    count = _unpack(row["counts"], np.int64)
-    return [(count == 1).sum()], [(count == 2).sum()]
-
-
-def _words_in(row: dict):
-    """The words that take part in pairs of two tokens or more."""
-    words, context, word, count = _read_bucket(row)
-    many = count > 1
-    need = np.unique(np.concatenate((context[many], word[many])))
-    return np.full(len(need), row["bucket"]), need, _signed(words[need])
-
-
-def _sampler(s: Settings, discount: float, salt: int):
-    def sample(bucket: pa.Table, facts: pa.Table) -> tuple:
-        """Seat the pairs of two tokens or more; facts: their words' numbers of tables and parent probabilities."""
-        row = bucket.to_pylist()[0]
-        words, context, word, count = _read_bucket(row)
-        tables, parent = np.zeros(len(words)), np.zeros(len(words))
-        if facts.num_rows:
-            at = facts.column("at").to_numpy()
-            tables[at], parent[at] = facts.column("tables").to_numpy(), facts.column("parent").to_numpy()
-        many = np.flatnonzero(count > 1)
-        u, w = context[many], word[many]
-        new = (s.context_strength + discount * tables[u]) * parent[w]
-        return row, words, u, w, many, seat(_pair_hash(words[u], words[w]), count[many], discount, new, s, salt)
-
-    return sample
-
-
-def _lists(rows: np.ndarray, kind) -> pa.Array:
-    """A matrix as a column of lists."""
-    n, width = rows.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(np.ascontiguousarray(rows).ravel(), kind))
-
-
-SEATED = "word long, after array<int>, before array<int>, block long, bucket long, seats binary"
-
-
-def _seat_bucket(s: Settings, discount: float, salt: int, answer: bool):
-    """What a bucket's seating tells: tables beyond a pair's first, by word and sample; with ``answer`` also what its blocks asked."""
-    sample = _sampler(s, discount, salt)
-    names, kinds = ["word", "after", "before", "block", "bucket", "seats"], [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.binary()]
-
-    def run(key, bucket: pa.Table, facts: pa.Table) -> pa.Table:
-        if not bucket.num_rows:
-            return pa.table([pa.array([], k) for k in kinds], names=names)
-        row, words, u, w, many, tables = sample(bucket, facts)
-        extra = (tables - 1).astype(np.int64)
-        after, before = (np.array([np.bincount(x, weights=e, minlength=len(words)) for e in extra], dtype=np.int32).T for x in (u, w))
-        some = np.flatnonzero((after > 0).any(axis=1) | (before > 0).any(axis=1))
-        none = [pa.nulls(len(some), k) for k in kinds[3:]]
-        out = [pa.table([pa.array(_signed(words[some])), _lists(after[some], pa.int32()), _lists(before[some], pa.int32()), *none], names=names)]
-        if answer:
-            # For each block: count - discount * mean tables of its pairs in this bucket.
-            count = _unpack(row["counts"], np.int64)
-            seats = np.where(count > 0, count - discount, 0.0)
-            seats[many] = count[many] - discount * tables.mean(axis=0)
-            told = [_pack(seats[_unpack(p, np.int32)]) for p in row["places"]]
-            n = len(told)
-            out.append(pa.table([*(pa.nulls(n, k) for k in kinds[:3]), pa.array(row["blocks"], pa.int64()), pa.array([row["bucket"]] * n, pa.int64()), pa.array(told, pa.binary())], names=names))
-        return pa.concat_tables(out)
+# Buckets ----------------------------------------------------------------------------------------------------------
 
-    return run
+BUCKETS = Rows("bucket long, pairs binary, counts binary, ones long, twos long, blocks array<long>, places array<binary>")
 
 
-def _scores(id_type: pa.DataType, buckets: int, strength: float, discount: float, n: int, v: int, none: float, single: float):
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-    kinds = [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-
-    def run(key, block: pa.Table, answers: pa.Table) -> pa.Table:
-        """block with its words' counts, table numbers and parent probabilities; answers: seats of pairs by bucket."""
-        row = block.to_pylist()[0]
-        words, _, lengths, tokens = _read_block(row)
-        place, u, w, _ = _block_pairs(words, lengths, tokens, buckets)
-        parts = sorted(zip(answers.column("bucket").to_pylist(), answers.column("seats").to_pylist()))
-        seats = np.concatenate([_unpack(b, np.float64) for _, b in parts])
-        total = np.minimum(_unpack(row["counts"], np.int32), 1).astype(float)
-        back, parent = np.where(total > 0, (strength + discount) / (strength + 1), 1.0), np.where(total > 0, single, none)
-        if row["at"] is not None:
-            at = _unpack(row["at"], np.int32)
-            total[at], back[at], parent[at] = (_unpack(row[k], np.float64) for k in ("totals", "backs", "parents"))
-        p = seats / (strength + total[u]) + back[u] * parent[w]
+def _merge(rows: list[dict]) -> Iterator[dict]:
+    """The postings of a bucket as one list of distinct pairs, and for each block where its pairs are in it."""
+    own = [_unpack_pairs(r["pairs"]) for r in rows]
+    pairs, where = np.unique(np.concatenate(own), return_inverse=True)
+    counts = np.bincount(where, weights=np.concatenate([_unpack(r["counts"]) for r in rows]), minlength=len(pairs)).astype(np.int64)
+    places = np.split(where, np.cumsum([len(x) for x in own])[:-1])
+    yield {
+        "bucket": rows[0]["bucket"], "pairs": _pack_pairs(pairs), "counts": _pack(counts), "ones": int((counts == 1).sum()), "twos": int((counts == 2).sum()),
+        "blocks": [r["block"] for r in rows], "places": [_pack_rising(p) for p in places],
+    }
+
+
+def _several(row: dict, slices: int):
+    """The bucket's pairs of two tokens or more: where they are, counts, their words slice by slice, and contexts and words as numbers of those."""
+    pairs, counts = _unpack_pairs(row["pairs"]), _unpack(row["counts"])
+    many = np.flatnonzero(counts > 1)
+    u, w = _split(pairs[many])
+    words, where = np.unique(np.concatenate((u, w)), return_inverse=True)
+    of = words % slices
+    order = np.argsort(of, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    where = place[where]
+    return counts, many, words[order], of[order], where[: len(many)], where[len(many) :]
+
+
+#: after, before: for each word, tables of pairs with it as context and as word; at first, tokens beyond each pair's first.
+SEATED = Rows("slice int, bucket long, block long, ranks binary, after binary, before binary, tables binary, counts binary")
+
+
+def _by_slice(bucket: int, words: np.ndarray, of: np.ndarray, slices: int, after: np.ndarray, before: np.ndarray) -> Iterator[dict]:
+    for i, part in _parts(of, slices):
+        yield {"slice": i, "bucket": bucket, "ranks": _pack_rising(words[part] // slices), "after": _pack(after[:, part]), "before": _pack(before[:, part])}
+
+
+def _repeats(slices: int):
+    """A word's distinct successors and predecessors are its tokens less these; words of single pairs need no row."""
+
+    def make(row: dict) -> Iterator[dict]:
+        counts, many, words, of, u, w = _several(row, slices)
+        after, before = (np.bincount(x, weights=counts[many] - 1, minlength=len(words)).astype(np.int64)[None] for x in (u, w))
+        yield from _by_slice(row["bucket"], words, of, slices, after, before)
+
+    return make
+
+
+def _seat_bucket(s: Settings, discount: float, slices: int, parent: dict, salt: int, answer: bool):
+    """Seats a bucket's pairs in all chains. Tells the slices of tables beyond each pair's first, itself of all, and with
+    ``answer`` the blocks of what they asked."""
+
+    def make(row: dict, rows: list[dict]) -> Iterator[dict]:
+        counts, many, words, of, u, w = _several(row, slices)
+        facts = sorted((r for r in rows if r["slice"] is not None), key=lambda r: r["slice"])
+        tables, customers, seats = (np.concatenate([np.empty((s.chains, 0), dtype=np.int64), *(_unpack(r[c]).reshape(s.chains, -1) for r in facts)], axis=1) for c in ("tables", "customers", "seats"))
+        before = next((_unpack(r["own"]).reshape(s.chains, -1) for r in rows if r["own"] is not None), np.ones((s.chains, len(many)), dtype=np.int64))
+        rng = np.random.default_rng([s.seed, 1, salt, row["bucket"]])
+        now = draw_tables(counts[many], tables[:, u] - before, parent_probability(customers, seats, parent)[:, w], s.context_strength, discount, rng)
+        sums = (np.array([np.bincount(x, weights=t - 1, minlength=len(words)) for t in now], dtype=np.int64) for x in (u, w))
+        yield from _by_slice(row["bucket"], words, of, slices, *sums)
+        if not answer:
+            yield {"bucket": row["bucket"], "tables": _pack(now)}
+            return
+        total = np.minimum(counts, 1) * s.chains
+        total[many] = now.sum(axis=0)
+        for block, place in zip(row["blocks"], row["places"]):
+            own = _unpack_rising(place)
+            c = counts[own]
+            yield {"bucket": row["bucket"], "block": block, "counts": _pack(c), "tables": _pack(total[own][c > 1])}
+
+    return make
+
+
+# Slices -----------------------------------------------------------------------------------------------------------
+
+#: A row without bucket and block is the slice's state: first_after and first_before are its words' distinct successors and
+#: predecessors, to which each chain adds the tables beyond a pair's first.
+SLICES = Rows(
+    "slice int, bucket long, block long, ids binary, n binary, first_after binary, first_before binary, tables binary, customers binary, seats binary, own binary, "
+    "customer_sums array<long>, seat_sums array<long>, ones long, twos long"
+)
+
+
+def _start(chains: int):
+    """State of a slice with each pair at one table."""
+
+    def make(rows: list[dict]) -> Iterator[dict]:
+        n = next(_unpack(r["n"]) for r in rows if r["n"] is not None)
+        after, before = n.copy(), n.copy()
+        for r in rows:
+            if r["ranks"] is not None:
+                ranks = _unpack_rising(r["ranks"])
+                after[ranks] -= _unpack(r["after"])
+                before[ranks] -= _unpack(r["before"])
+        one = np.ones((chains, len(n)), dtype=np.int64)
+        yield {"slice": rows[0]["slice"], "n": _pack(n), "first_after": _pack(after), "first_before": _pack(before), "seats": _pack(one), "ones": int((before == 1).sum()), "twos": int((before == 2).sum())}
+
+    return make
+
+
+def _seat_slice(s: Settings, slices: int, parent: dict, salt: int, first: bool):
+    """Adds up what the buckets seated, seats the parent's customers and answers the buckets and blocks that have rows."""
+
+    def make(rows: list[dict]) -> Iterator[dict]:
+        state = next(r for r in rows if r["first_after"] is not None)
+        n, after, before = (_unpack(state[c]) for c in ("n", "first_after", "first_before"))
+        tables, customers = np.repeat(after[None], s.chains, axis=0), np.repeat(before[None], s.chains, axis=0)
+        for r in rows if not first else ():
+            if r["ranks"] is not None:
+                ranks = _unpack_rising(r["ranks"])
+                tables[:, ranks] += _unpack(r["after"]).reshape(s.chains, -1)
+                customers[:, ranks] += _unpack(r["before"]).reshape(s.chains, -1)
+        was = _unpack(state["seats"]).reshape(s.chains, -1)
+        seats = np.ones_like(was)
+        # Each chain has customers of its own.
+        for i in range(s.chains):
+            rng = np.random.default_rng([s.seed, 2, salt, i, state["slice"]])
+            prob = np.full((1, len(n)), parent["base"])
+            seats[i] = draw_tables(customers[i], (parent["seats"][i] - was[i])[None], prob, parent["strength"], parent["discount"], rng)[0]
+        own = {k: state[k] for k in ("slice", "n", "first_after", "first_before")}
+        yield own | {"seats": _pack(seats), "customer_sums": customers.sum(axis=1).tolist(), "seat_sums": seats.sum(axis=1).tolist()}
+        for r in rows:
+            if r["ranks"] is not None and r["bucket"] is not None:
+                at = _unpack_rising(r["ranks"])
+                yield {"slice": state["slice"], "bucket": r["bucket"], "tables": _pack(tables[:, at]), "customers": _pack(customers[:, at]), "seats": _pack(seats[:, at])}
+            elif r["ids"] is not None:
+                # Words of one token have one table and one customer, and unknown ones none: n alone tells.
+                ids = _unpack(r["ids"])
+                tokens = np.where(ids >= 0, np.append(n, 0)[ids // slices], 0)
+                many = ids[tokens > 1] // slices
+                yield {
+                    "slice": state["slice"], "block": r["block"], "ids": r["ids"], "n": _pack(tokens),
+                    "tables": _pack(tables[:, many]), "customers": _pack(customers[:, many]), "seats": _pack(seats[:, many]),
+                }
+
+    return make
+
+
+# Scores -----------------------------------------------------------------------------------------------------------
+
+def _score(schema: Rows, s: Settings, discount: float, buckets: int, parent: dict, n: int, v: int):
+    def make(row: dict, rows: list[dict]) -> Iterator[dict]:
+        by_slice = sorted((r for r in rows if r["slice"] is not None), key=lambda r: r["slice"])
+        by_bucket = sorted((r for r in rows if r["bucket"] is not None), key=lambda r: r["bucket"])
+        lengths, tokens = _unpack(row["lengths"], np.int32), _unpack(row["tokens"], np.int32)
+        ids, total = (_in_order(row, by_slice, c)[0] for c in ("ids", "n"))
+        told = np.concatenate([_unpack(r["n"]) for r in by_slice])
+        order = _unpack(row["order"], np.int32)
+        tables, customers, seats = (np.repeat(np.minimum(total, 1)[None], s.chains, axis=0) for _ in range(3))
+        for out, c in ((tables, "tables"), (customers, "customers"), (seats, "seats")):
+            out[:, order[told > 1]] = np.concatenate([_unpack(r[c]).reshape(s.chains, -1) for r in by_slice], axis=1)
+        _, _, at, context = _asked(ids, lengths, tokens, buckets)
+        counts = np.concatenate([np.empty(0, dtype=np.int64), *(_unpack(r["counts"]) for r in by_bucket)])
+        seated = np.minimum(counts, 1) * float(s.chains)
+        seated[counts > 1] = np.concatenate([np.empty(0, dtype=np.int64), *(_unpack(r["tables"]) for r in by_bucket)])
+        own = np.append(counts - discount * seated / s.chains, 0.0)
+        parents, backs = parent_probability(customers, seats, parent), (s.context_strength + discount * tables) / (s.context_strength + total)
+        # The chains' predictive probabilities, averaged; the part of the pair's own customers is linear in its tables.
+        p = own[at] / (s.context_strength + total[context])
+        for back, of_parent in zip(backs, parents):
+            p += back[context] * of_parent[tokens] / s.chains
         first = np.cumsum(lengths) - lengths
-        score = np.add.reduceat(np.log10(p)[place], first)
+        score = np.add.reduceat(np.log10(p), first)
         base = np.add.reduceat(np.log10((total[tokens] + 1) / (n + v + 1)), first)
         known = np.add.reduceat((total[tokens] > 0).astype(np.int64), first)
         cols = [row["doc_ids"], row["held"], lengths.astype(np.int64), known, base, score]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+        return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema.fields)], names=schema.fields.names)
+
+    def run(one: pa.Table, many: pa.Table) -> pa.Table:
+        return make(one.to_pylist()[0], many.to_pylist()) if one.num_rows else schema.table([])
 
     return run
 
 
-def _facts(table: pa.Table) -> pa.Table:
-    """The (at, total, back, parent) rows of one block as one row of packed columns."""
-    cols = [table.column("block").slice(0, 1), *(pa.array([_pack(table.column(c).to_numpy())], pa.binary()) for c in ("at", "total", "back", "parent"))]
-    return pa.table(cols, names=["block", "at", "totals", "backs", "parents"])
+def _ratio(ones: float, twos: float) -> float:
+    """A discount from the numbers of counts of one and of two."""
+    return min(0.95, max(0.05, ones / (ones + 2 * twos) if ones else 0.5))
 
 
 def score_texts(docs: DataFrame, held_out, settings: Settings = Settings()) -> DataFrame:
@@ -388,94 +560,65 @@ def score_texts(docs: DataFrame, held_out, settings: Settings = Settings()) -> D
 
     ``held_out``: a boolean column; the model learns from the other rows (null counts as not held out). Tokens
     are words (A-Z lower-cased) and one end for each text; an empty or null text is the end alone. score is the
-    log10 probability of the text, each restaurant's predictive averaged over Gibbs samples; base_score is
-    add-one unigram. Repeated rows and null ids are scored like any other row; an empty table gives no rows;
-    without training rows every token is unknown. Discounts are estimated from counts of one and two; random
-    numbers are drawn from hashes of what they seat, so a lost task repeats its result.
+    log10 probability of the text, the predictive averaged over chains; base_score is add-one unigram. Repeated
+    rows and null ids are scored like any other row, other columns aren't read; an empty table gives no rows;
+    without training rows every token is unknown. Very long texts make a block of their own. Discounts are
+    estimated from counts of one and two; random numbers are drawn for parts in their own order, so a lost task
+    repeats its result. Nothing is capped: all counts grow with the rows.
     """
-    s = settings
-    spark = docs.sparkSession
+    s, spark = settings, docs.sparkSession
     small_batches(spark)
-    rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))
-    blocks = materialise(_blocks(rows), "blocks")
-    # Rows are whole blocks or buckets, or short facts from here on: the bytes of a batch are what bounds it.
-    small_batches(spark, 20_000)
-    own = lambda r: (np.full(len(c := _unpack(r["counts"], np.int32)), r["block"]), np.arange(len(c), dtype=np.int32), _signed(np.frombuffer(r["words"], np.uint64)), c.astype(np.int64))
-    in_blocks = _map_rows(blocks.select("block", "words", "counts"), own, "block long, at int, word long, n long")
-    counts = materialise(in_blocks.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "counts")
-    n, v = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
-    buckets = max(8, -(-(blocks.agg(F.sum(F.length("tokens"))).first()[0] or 0) // BUCKET_BYTES))
-    bucketed = materialise(_post(blocks, buckets).groupBy("bucket").applyInArrow(_merge, BUCKET), "buckets")
-    slim = bucketed.drop("blocks", "places")
-    repeats = materialise(_map_rows(slim, _repeats, "word long, over_after long, over_before long").groupBy("word").agg(F.sum("over_after").alias("over_after"), F.sum("over_before").alias("over_before")), "repeats")
-    ones, twos = (float(x or 0) for x in _map_rows(bucketed.select("counts"), _singles, "ones long, twos long").agg(F.sum("ones"), F.sum("twos")).first())
-    request = materialise(_map_rows(slim, _words_in, "bucket long, at int, word long"), "requests")
-    zero = F.lit(0).cast("long")
-    words = _replace([counts, repeats], counts.join(repeats, "word", "left").select("word", "n", (F.col("n") - F.coalesce("over_after", zero)).alias("after"), (F.col("n") - F.coalesce("over_before", zero)).alias("before")), "words")
-    b1, b2 = (float(x or 0) for x in words.agg(F.count_if(F.col("before") == 1), F.count_if(F.col("before") == 2)).first())
-    discount, parent_discount = (min(0.95, max(0.05, a / (a + 2 * b) if a else 0.5)) for a, b in ((ones, twos), (b1, b2)))
-    extra = spark.createDataFrame([], "word long, more_after array<long>, more_before array<long>")
-    for r in range(s.rounds):
-        model, _, _, seated = _parent(words.join(extra, "word", "left"), s, parent_discount, 1.0 / (v + 1), r)
-        facts = _replace([seated], request.join(model.select("word", "tables", "parent"), "word").select("bucket", "at", "tables", "parent"), "facts")
-        last = r == s.rounds - 1
-        pair = (bucketed if last else slim).groupBy("bucket").cogroup(facts.groupBy("bucket"))
-        told = _replace([facts], pair.applyInArrow(_seat_bucket(s, discount, r, last), SEATED), "seated")
-        sums = told.where("word is not null").groupBy("word").agg(*(F.array(*(F.sum(F.get(c, F.lit(i))) for i in range(s.samples))).alias(f"more_{c}") for c in ("after", "before")))
-        extra = _replace([extra] if last else [extra, told], sums, "extra")
-    answers = told.where("block is not null").select("block", "bucket", "seats")
-    model, none, single, seated = _parent(words.join(extra, "word", "left"), s, parent_discount, 1.0 / (v + 1), s.rounds)
-    back = (s.context_strength + discount * F.col("tables")) / (s.context_strength + F.col("total"))
-    known = model.select("word", F.col("n").cast("double").alias("total"), "tables", "parent")
-    # A word that is new, or of one token in training and that one in this block, needs no row: its facts are the same for all.
-    of_block = in_blocks.join(known, "word").where("total > 1 or n = 0").select("block", "at", "total", back.alias("back"), "parent")
-    packed = _replace([seated, words, extra, request, bucketed], of_block.groupBy("block").applyInArrow(_facts, "block long, at binary, totals binary, backs binary, parents binary"), "packed")
-    ready = blocks.join(packed, "block", "left")
-    kind = rows.schema["doc_id"].dataType
-    score = _scores(to_arrow_type(kind), buckets, s.context_strength, discount, n, v, none, single)
-    scored = ready.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    blocks = materialise(_blocks(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))), "blocks")
+    # Rows are whole parts from here on: the bytes of a batch are what bounds it.
+    small_batches(spark, 64)
+    size, distinct = (int(x or 0) for x in blocks.agg(F.sum("size"), F.sum("distinct")).first())
+    buckets, slices = max(8, -(-size // BUCKET_TOKENS)), max(4, -(-distinct // SLICE_WORDS))
+    numbered = materialise(NUMBERED.group(WORDS.map(blocks.select("block", "words", "counts"), _post_words(slices)), "slice", _number(slices)), "numbered")
+    v, n = (int(x or 0) for x in numbered.agg(F.sum("distinct"), F.sum("total")).first())
+    ids = numbered.where("block is not null").select("slice", "block", "ids")
+    texts = blocks.select("block", "order", "doc_ids", "held", "lengths", "tokens")
+    posts = POSTS.meet(texts.drop("doc_ids"), ids, "block", _post_pairs(buckets))
+    bucketed = materialise(BUCKETS.group(posts, "bucket", _merge), "buckets")
+    slim = bucketed.select("bucket", "pairs", "counts")
+    seated = materialise(SEATED.map(slim, _repeats(slices)), "seated")
+    state = materialise(SLICES.group(numbered.where("n is not null").select("slice", "n").unionByName(seated, allowMissingColumns=True), "slice", _start(s.chains)), "state")
+    discount, parent_discount = (_ratio(*(float(x or 0) for x in t.agg(F.sum("ones"), F.sum("twos")).first())) for t in (bucketed, state))
+    # Sums by chain over all of the parent; seats are those that a word's own are left out of when it is seated anew.
+    parent = {"base": 1.0 / (v + 1), "strength": s.parent_strength, "discount": parent_discount, "seats": [v] * s.chains, "customers": [0] * s.chains}
+    sums = [F.sum(F.get(c, F.lit(i))) for c in ("customer_sums", "seat_sums") for i in range(s.chains)]
+    for r in range(s.rounds + 1):
+        last = r == s.rounds
+        known = state.where("first_after is not null").select("slice", "n", "first_after", "first_before", "seats")
+        rows = known.unionByName(seated.where("slice is not null").select("slice", "bucket", "ranks", "after", "before"), allowMissingColumns=True)
+        rows = rows.unionByName(ids if last else ids.limit(0), allowMissingColumns=True)
+        own = None if r == 0 else materialise(seated.where("slice is null and block is null").select("bucket", F.col("tables").alias("own")), "own")
+        state = _replace([state] if last else [state, seated], SLICES.group(rows, "slice", _seat_slice(s, slices, parent, r, r == 0)), "state")
+        told = [int(x or 0) for x in state.agg(*sums).first()]
+        parent = parent | {"customers": told[: s.chains], "seats": told[s.chains :]}
+        if not last:
+            facts = state.where("bucket is not null").select("slice", "bucket", "tables", "customers", "seats")
+            facts = facts.withColumn("own", F.lit(None).cast("binary")) if own is None else facts.unionByName(own, allowMissingColumns=True)
+            final = r == s.rounds - 1
+            seated = SEATED.meet(bucketed if final else slim, facts, "bucket", _seat_bucket(s, discount, slices, parent, r, final))
+            seated = _replace([own] if own is not None else [], seated, "seated")
+    told = state.where("block is not null").select("block", "slice", "ids", "n", "tables", "customers", "seats")
+    told = told.unionByName(seated.where("block is not null").select("block", "bucket", "tables", "counts"), allowMissingColumns=True)
+    for old in (numbered, bucketed):
+        _discard(old)
+    schema = Rows("doc_id id, held_out boolean, n_tokens long, n_known long, base_score double, score double", docs.schema["doc_id"].dataType)
+    score = _score(schema, s, discount, buckets, parent, n, v)
+    scored = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema.schema)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _discard(df: DataFrame) -> None:
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        discard(df.sparkSession, path)
+
+
 def _replace(old: list[DataFrame], new: DataFrame, name: str) -> DataFrame:
     """new as a scratch table; the old ones, which nothing else reads, are deleted."""
     new = materialise(new, name)
-    for path in {f.rsplit("/", 1)[0] for df in old for f in df.inputFiles()}:
-        discard(new.sparkSession, path)
+    for df in old:
+        _discard(df)
     return new
-
-
-def _parent(words: DataFrame, s: Settings, discount: float, base: float, salt: int) -> tuple[DataFrame, float, float, DataFrame]:
-    """(word, n, tables, parent), the parent's probabilities of an unknown token and of a word of one customer, and the seats it reads.
-
-    words (word, n, after, before, more_after, more_before): the customers of a word in the parent restaurant are
-    its tables in all contexts, ``before`` and for each sample ``more_before``. tables: of the word's own
-    restaurant, averaged; parent: the parent's probability of the word, averaged. The parent is seated anew for
-    each sample; a single customer has a single table, so only the others are kept and sampled.
-    """
-    spark = words.sparkSession
-    total = words.agg(F.count("*"), *(F.sum(F.col("before") + F.coalesce(F.get("more_before", F.lit(i)), F.lit(0))) for i in range(s.samples)), F.count_if(F.expr("before = 1 and more_before is null"))).first()
-    size, customers, lone = total[0], [float(x or 0) for x in total[1:-1]], total[-1] or 0
-    new = (s.parent_strength + discount * size) * base
-    one = s._replace(samples=1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, before = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            more = b.column(2)
-            at = np.repeat(before[:, None], s.samples, axis=1)
-            at[more.is_valid().to_numpy(zero_copy_only=False)] += more.flatten().to_numpy().reshape(-1, s.samples)
-            # All samples at once; each has keys of its own.
-            own = np.concatenate([keys ^ np.uint64((7000 + i) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for i in range(s.samples)])
-            seats = seat(own, at.T.ravel(), discount, np.full(len(own), new), one, 7000 + salt * 100)[0].reshape(s.samples, -1).astype(np.int64).T
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(at, pa.int64()), _lists(seats, pa.int64())], ["word", "customers", "seats"])
-
-    many = words.where("before > 1 or more_before is not null").select("word", "before", "more_before")
-    seated = materialise(many.mapInArrow(run, "word long, customers array<long>, seats array<long>"), "parent")
-    tables = [lone + float(x or 0) for x in seated.agg(*(F.sum(F.get("seats", F.lit(i))) for i in range(s.samples))).first()]
-    back = [(s.parent_strength + discount * t) / (s.parent_strength + c) for t, c in zip(tables, customers)]
-    one_customer = [(1 - discount) / (s.parent_strength + c) + b * base for c, b in zip(customers, back)]
-    terms = [F.coalesce((F.get("customers", F.lit(i)) - F.lit(discount) * F.get("seats", F.lit(i))) / F.lit(s.parent_strength + c) + F.lit(b * base), F.lit(x)) for i, (c, b, x) in enumerate(zip(customers, back, one_customer))]
-    own = F.col("after") + F.coalesce(F.aggregate("more_after", F.lit(0).cast("long"), lambda a, x: a + x) / s.samples, F.lit(0.0))
-    model = words.join(seated, "word", "left").select("word", "n", own.alias("tables"), (sum(terms[1:], terms[0]) / s.samples).alias("parent"))
-    return model, sum(back) / s.samples * base, sum(one_customer) / s.samples, seated

@@ -93,40 +93,6 @@ def test_language_model_probabilities_sum_to_one(spark):
     assert sum(sums) < 1 and sum(sums) + (sums[6] + sums[7]) * rate / (1 - rate) == pytest.approx(1, abs=3e-3)
 
 
-def test_seating_counts():
-    s = lm.Settings(samples=50, sweeps=5)
-    keys = np.arange(2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    count = np.tile([1, 2, 5, 100], 500)
-    new, d = np.full(2000, 0.8), 0.3
-    tables = lm.seat(keys, count, d, new, s, 3)
-    assert (tables >= 1).all() and (tables <= count).all() and (tables[:, count == 1] == 1).all()
-    # Two customers with fixed new-table weight: two tables with probability new / (new + 1 - d).
-    assert (tables[:, count == 2].mean() - 1) == pytest.approx(0.8 / (0.8 + 0.7), abs=0.03)
-
-
-def test_seating_of_many_customers_follows_its_distribution():
-    """Mean and spread of the tables of frequent dishes, against the recursion over all seatings in logarithms."""
-    d = 0.3
-    cases = [(30, 0.01), (500, 3.0), (2000, 40.0), (300, 2000.0)]
-    keys = np.arange(1000 * len(cases), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    count, new = (np.tile(x, 1000) for x in (np.array([n for n, _ in cases]), np.array([w for _, w in cases])))
-    tables = lm.seat(keys, count, d, new, lm.Settings(), 3)
-    for i, (n, w) in enumerate(cases):
-        t = np.arange(n + 1)
-        log_s = np.where(t == 1, 0.0, -np.inf)
-        for seated in range(1, n):
-            stay = log_s + np.log(np.maximum(seated - d * t, 1e-300))
-            log_s = np.logaddexp(stay, np.concatenate(([-np.inf], log_s[:-1])))
-        p = np.exp(log_s + t * math.log(w) - (log_s + t * math.log(w)).max())
-        p /= p.sum()
-        mean = (p * t).sum()
-        sd = math.sqrt((p * (t - mean) ** 2).sum())
-        got = tables[:, i :: len(cases)]
-        assert got.mean() == pytest.approx(mean, abs=5 * sd / math.sqrt(got.size)) and got.std() == pytest.approx(sd, rel=0.1)
-        # Samples are independent of each other.
-        assert sd < 0.05 or n == 30 or abs(np.corrcoef(got[0], got[1])[0, 1]) < 0.15
-
-
 def test_line_dedup(docs, odd, none):
     out = {(r.doc_id, r.kept_text): (r.n_lines, r.n_dropped) for r in linededup.dedup_lines(odd).collect()}
     assert out[1, ""] == (1, 0) and out[8, "x"] == (3, 2) and out[9, "own 1"] == (2, 1)
