@@ -60,7 +60,6 @@ def log_seatings(counts: np.ndarray, most: int, discount: float) -> Iterator[np.
     """
     r, at = np.zeros(most), np.arange(2, most + 2) * discount
     i, limit = 1, max(COUNTED, 4 * most)
-    stride = min(0.05, 1.5 / (1 + discount * most))
 
     def change(m: float, y: np.ndarray) -> np.ndarray:
         """d log r / d log n at n = m, from the step between m - 1/2 and m + 1/2."""
@@ -81,7 +80,8 @@ def log_seatings(counts: np.ndarray, most: int, discount: float) -> Iterator[np.
         i = max(i, min(n, limit))
         if n > limit:
             x, y = np.log(i), np.log(r)
-            steps = int(np.ceil((np.log(n) - x) / stride))
+            # Strides that are stable for the steepest quotient, which only flattens.
+            steps = int(np.ceil((np.log(n) - x) / min(0.05, 1.2 / (1 + np.exp(-y.min())))))
             h = (np.log(n) - x) / steps
             for _ in range(steps):
                 a = change(np.exp(x), y)
