@@ -13,8 +13,9 @@ TREE = "depth int, ids binary, points binary, centres binary, radii binary"
 
 
 def quantised(x: np.ndarray, scale: int) -> np.ndarray:
-    """floor(scale * component) as doubles, which hold integers below 2 ** 53 exactly."""
-    return np.floor(scale * x)
+    """floor(scale * component) as doubles, which hold integers below 2 ** 53 exactly; what overflows is held to the largest double."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(scale * x), -np.finfo(float).max, np.finfo(float).max)
 
 
 def build_tree(points: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +59,8 @@ def _build(scale: int):
     def build(key, table: pa.Table) -> pa.Table:
         points = quantised(matrix(table.column("v")), scale)
         depth = max(0, int(np.ceil(np.log2(max(1, len(points) / LEAF)))))
-        order, centres, radii = build_tree(points, depth)
+        with np.errstate(over="ignore", invalid="ignore"):
+            order, centres, radii = build_tree(points, depth)
         ids = table.column("vec_id").to_numpy()[order]
         row = [key[0].as_py(), key[1].as_py(), depth, ids.tobytes(), points[order].tobytes(), centres.tobytes(), radii.tobytes()]
         types = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
@@ -67,12 +69,27 @@ def _build(scale: int):
     return build
 
 
+#: Scores are held to this, one less than a long holds; what is below stands for none.
+MOST = (1 << 63) - 1
+NONE = -MOST - 1
+
+
 def _products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Exact integer inner products: in doubles while their sums stay below 2 ** 53, else in Python's integers, held to the range of a long."""
     if q.size and p.size and np.abs(q).max() * np.abs(p).max() * q.shape[1] >= 2**53:
         exact = np.array([[int(x) for x in r] for r in q], dtype=object) @ np.array([[int(x) for x in r] for r in p], dtype=object).T
-        return np.clip(exact, -(2**63), 2**63 - 1)
-    return q @ p.T
+        return np.clip(exact, -MOST, MOST).astype(np.int64)
+    return (q @ p.T).astype(np.int64)
+
+
+def _first_of_each(ids: np.ndarray) -> np.ndarray:
+    """Marks each row's first place of an id."""
+    order = np.argsort(ids, axis=1, kind="stable")
+    own = np.take_along_axis(ids, order, axis=1)
+    new = np.concatenate((np.ones((len(ids), 1), dtype=bool), own[:, 1:] != own[:, :-1]), axis=1)
+    out = np.empty_like(new)
+    np.put_along_axis(out, order, new, axis=1)
+    return out
 
 
 def _probe(k: int, scale: int):
@@ -82,15 +99,16 @@ def _probe(k: int, scale: int):
         points = np.frombuffer(row["points"], float).reshape(len(ids), -1)
         centres = np.frombuffer(row["centres"], float).reshape(-1, points.shape[1])
         radii, depth = np.frombuffer(row["radii"], float), row["depth"]
-        bounds = _bounds(len(ids), depth)
+        bounds, repeats = _bounds(len(ids), depth), len(np.unique(ids)) < len(ids)
         norms = np.sqrt((q**2).sum(axis=1))
         kth = floors.copy()
-        best = [(np.empty(0, dtype=object), np.empty(0, dtype=np.int64)) for _ in q]
+        scores, found = np.full((len(q), k), NONE, dtype=np.int64), np.full((len(q), k), MOST, dtype=np.int64)
 
         def limit(node: int, who: np.ndarray) -> np.ndarray:
-            """No point of the node has a larger product; a little is added for what doubles round off."""
+            """No point of the node has a larger product; a little is added for what doubles round off. Beyond doubles there is no bound."""
             top = q[who] @ centres[node] + norms[who] * radii[node]
-            return top + 1e-9 * (np.abs(top) + norms[who] * (np.sqrt((centres[node] ** 2).sum()) + radii[node])) + 1e-9
+            top = top + 1e-9 * (np.abs(top) + norms[who] * (np.sqrt((centres[node] ** 2).sum()) + radii[node])) + 1e-9
+            return np.where(np.isfinite(top), top, np.inf)
 
         def visit(node: int, level: int, who: np.ndarray) -> None:
             who = who[limit(node, who) >= kth[who]]
@@ -98,18 +116,21 @@ def _probe(k: int, scale: int):
                 return
             if level == depth:
                 leaf = node - (2**depth - 1)
-                lo, hi = bounds[leaf], bounds[leaf + 1]
-                if lo == hi:
-                    return
-                products = _products(q[who], points[lo:hi])
-                for i, scores in zip(who, products):
-                    fit = (scores >= kth[i]) & (ids[lo:hi] != query_ids[i])
-                    if fit.any():
-                        s, d = np.concatenate((best[i][0], scores[fit])), np.concatenate((best[i][1], ids[lo:hi][fit]))
-                        keep = np.lexsort((d, -s.astype(float)))[:k] if s.dtype != object or len(s) == 0 else np.array(sorted(range(len(s)), key=lambda j: (-s[j], d[j]))[:k])
-                        best[i] = s[keep], d[keep]
-                        if len(keep) == k:
-                            kth[i] = max(kth[i], float(s[keep[-1]]))
+                own = ids[bounds[leaf] : bounds[leaf + 1]]
+                products = _products(q[who], points[bounds[leaf] : bounds[leaf + 1]])
+                products[own == query_ids[who][:, None]] = NONE
+                some = (products >= np.maximum(kth[who], -float(MOST))[:, None]).any(axis=1)
+                who, products = who[some], products[some]
+                both, names = np.concatenate((scores[who], products), axis=1), np.concatenate((found[who], np.broadcast_to(own, products.shape)), axis=1)
+                order = np.lexsort((names, ~both), axis=-1)
+                both, names = np.take_along_axis(both, order, axis=1), np.take_along_axis(names, order, axis=1)
+                if repeats:
+                    both = np.where(_first_of_each(np.where(both > NONE, names, MOST)), both, NONE)
+                    order = np.lexsort((names, ~both), axis=-1)
+                    both, names = np.take_along_axis(both, order, axis=1), np.take_along_axis(names, order, axis=1)
+                scores[who], found[who] = both[:, :k], np.where(both > NONE, names, MOST)[:, :k]
+                last = scores[who, k - 1]
+                kth[who] = np.where(last > NONE, np.maximum(kth[who], last), kth[who])
                 return
             left, right = 2 * node + 1, 2 * node + 2
             first = limit(left, who) >= limit(right, who)
@@ -118,9 +139,10 @@ def _probe(k: int, scale: int):
                     visit(a, level + 1, who[side])
                     visit(b, level + 1, who[side])
 
-        visit(0, 0, np.arange(len(q)))
-        at = np.repeat(np.arange(len(q)), [len(d) for _, d in best])
-        return at, np.concatenate([d for _, d in best]), np.array([int(x) for s, _ in best for x in s], dtype=object)
+        with np.errstate(over="ignore", invalid="ignore"):
+            visit(0, 0, np.arange(len(q)))
+        at, place = np.nonzero(scores > NONE)
+        return at, found[at, place], scores[at, place]
 
     return probe
 
@@ -129,9 +151,11 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
     """vectors (vec_id, embedding) -> (query_id, rank, vec_id, score long): each query's k largest integer inner products.
 
     Components become floor(scale * x). ``is_query``: a condition on vec_id. Each shard's ball tree is descended
-    depth first, the child of the larger upper bound first, by all queries of a block at once; a branch is left
-    when its bound is below the kth score so far, which starts at the one that the first shard gave. Ties go
+    depth first, the child of the larger upper bound first, by the queries of a block at once; a branch is left
+    when its bound is below the kth score so far, which starts at the best that earlier lots of shards gave. Ties go
     to smaller vec_ids. Vectors that are null, empty or hold null or non-finite components take no part, as rows
-    of null vec_id; zero vectors do. Scores beyond a long are held to its range.
+    of null vec_id; zero vectors do. Scores beyond a long are held to its range. Rows that repeat a vec_id are one
+    candidate, which counts with its best score, and one query, which takes the best of its vectors. An empty table
+    gives no rows; other columns aren't read.
     """
-    return search(vectors, is_query, k, _build(scale), _probe(k, scale), TREE, True, "long", waves=2)
+    return search(vectors, is_query, k, _build(scale), _probe(k, scale), TREE, True, "long", waves=True)

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Vectors of a shard, and queries of a block, about.
-SHARD, QUERIES = 8192, 256
+#: Vectors of a shard, queries of a task (so that a shard's index and the queries sent with a copy of it are of one size), and
+#: of those the queries that are searched at once.
+SHARD, QUERIES, TOGETHER = 8192, 8192, 256
+#: Widths that are sent to every executor at most; more are joined by a shuffle.
+SMALL = 10_000
 
 
 def usable(vectors: DataFrame, allow_zero: bool) -> DataFrame:
@@ -32,49 +35,66 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return a.flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int, build: Callable, probe: Callable, index: str, allow_zero: bool, score: str, waves: int = 1) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int, build: Callable, probe: Callable, index: str, allow_zero: bool, score: str, waves: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): every query against every shard's index, merged.
 
-    build(table) makes one row of ``index`` columns from a shard's vectors (vec_id, v); probe(index row,
-    query ids, query matrix, floors) gives arrays (query position, vec_id, score), in which floors holds a score
-    for each query that k candidates reach already (-inf at first). Shards are dealt by a hash of vec_id, so
-    equal vectors spread evenly; queries go through them in blocks. With two waves, the first shard of each
-    width is searched first and its kth scores are the floors of the rest. Only vectors of a query's own width
-    are compared with it. A candidate of the query's own vec_id is left out.
+    build(key, table) makes one row of ``index`` columns from a shard's vectors (vec_id, v); probe(index row, query ids,
+    query matrix, floors) gives arrays (query position, vec_id, score) of different vec_ids for each query, in which floors
+    holds a score for each query that k candidates reach already (-inf at first). Shards are dealt by a hash of vec_id, so
+    equal vectors spread evenly and rows of one vec_id meet; queries go through them in blocks. With ``waves``, 1, 3, 12,
+    48 ... shards of each width are searched one lot after the other, and what a lot found is the floor of the next.
+    Only vectors of a query's own width are compared with it. A candidate of the query's own vec_id is left out.
     """
     rows = materialise(usable(vectors, allow_zero), "vectors")
     widths = rows.groupBy("width").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"))
-    dealt = rows.join(F.broadcast(widths), "width").withColumns({"shards": F.ceil(F.col("n") / SHARD).cast("int"), "blocks": F.greatest(F.lit(1), F.ceil(F.col("q") / QUERIES).cast("int"))})
+    widths = materialise(widths.withColumns({"shards": F.ceil(F.col("n") / SHARD).cast("int"), "blocks": F.ceil(F.col("q") / QUERIES).cast("int")}), "widths")
+    few, most = widths.agg(F.count("*"), F.max("shards")).first()
+    of_width = F.broadcast(widths) if few <= SMALL else widths
+    dealt = rows.join(of_width, "width")
     of_shard = dealt.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
-    indexed = materialise(of_shard.groupBy("width", "shard").applyInArrow(lambda key, t: build(key, t), f"width int, shard int, {index}"), "index")
+    indexed = materialise(of_shard.where("q > 0").groupBy("width", "shard").applyInArrow(lambda key, t: build(key, t), f"width int, shard int, {index}"), "index")
     queries = dealt.where(is_query).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("blocks")).cast("int")).select("vec_id", "v", "width", "shards", "block")
-    kind = "query_id long, vec_id long, score " + score
+    names, kind = ["query_id", "vec_id", "score"], pa.int64() if score == "long" else pa.float64()
 
     def run(key, shard: pa.Table, q: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        types = [pa.int64(), pa.int64(), pa.int64() if score == "long" else pa.float64()]
-        if not shard.num_rows or not q.num_rows:
-            return pa.table([pa.array([], t) for t in types], names=names)
-        ids = q.column("vec_id").to_numpy()
-        floors = q.column("floor").to_numpy()
-        at, found, scores = probe(shard.to_pylist()[0], ids, matrix(q.column("v")), floors)
-        return pa.table([pa.array(c, t) for c, t in zip((ids[at], found, scores), types)], names=names)
-
-    def pass_over(q: DataFrame, shards: Column, of: DataFrame) -> DataFrame:
-        """q is sent to each of the shards in blocks; the index row of a shard is sent to each block."""
-        spread = q.select("vec_id", "v", "width", "block", "floor", F.explode(shards).alias("shard"))
-        blocks = widths.select("width", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("q") / QUERIES).cast("int") - 1))).alias("block"))
-        copies = of.join(F.broadcast(blocks), "width")
-        on = ["width", "shard", "block"]
-        return copies.groupBy(*on).cogroup(spread.groupBy(*on)).applyInArrow(run, kind)
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    low = F.lit(float("-inf"))
-    if waves == 1:
-        found = pass_over(queries.withColumn("floor", low), F.sequence(F.lit(0), F.col("shards") - 1), indexed)
-    else:
-        first = materialise(pass_over(queries.withColumn("floor", low), F.array(F.lit(0)), indexed.where("shard = 0")), "first")
-        floors = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor")).dropDuplicates(["vec_id"])
-        later = queries.where("shards > 1").join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", low))
-        found = first.unionByName(pass_over(later, F.sequence(F.lit(1), F.col("shards") - 1), indexed.where("shard > 0")))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        out = [pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), kind)], names=names)]
+        row = shard.to_pylist()[0] if shard.num_rows and q.num_rows else None
+        for lo in range(0, q.num_rows if row else 0, TOGETHER):
+            part = q.slice(lo, TOGETHER)
+            ids = part.column("vec_id").to_numpy()
+            at, found, scores = probe(row, ids, matrix(part.column("v")), part.column("floor").to_numpy())
+            out.append(pa.table([pa.array(ids[at]), pa.array(found, pa.int64()), pa.array(scores, kind)], names=names))
+        return pa.concat_tables(out)
+
+    on = ["width", "shard", "block"]
+    blocks = of_width.where("blocks > 0").select("width", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")) if few > SMALL else None
+
+    def pass_over(q: DataFrame, first: int, end: int) -> DataFrame:
+        """q is sent to each of the shards from first on; a shard's index row is sent to each block of queries."""
+        last = F.least(F.col("shards"), F.lit(end)) - 1
+        spread = q.where(F.col("shards") > first).select("vec_id", "v", "width", "block", "floor", F.explode(F.sequence(F.lit(first), last)).alias("shard"))
+        of = indexed.where((F.col("shard") >= first) & (F.col("shard") < end))
+        of = of.join(blocks, "width") if blocks else of.join(of_width.select("width", "blocks"), "width").where("blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        return of.groupBy(*on).cogroup(spread.groupBy(*on)).applyInArrow(run, f"query_id long, vec_id long, score {score}")
+
+    def best(found: DataFrame) -> DataFrame:
+        """Rows of a repeated query id are one query, which takes each candidate at its best."""
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    none = F.lit(float("-inf"))
+    first, end, found = 0, 1 if waves else max(1, most or 1), None
+    while True:
+        # A repeated id's rows share no floor: one's kth score says nothing of the other's.
+        q = queries.withColumn("floor", none)
+        if found is not None:
+            once = queries.groupBy("vec_id").agg(F.count("*").alias("n")).where("n = 1").select("vec_id")
+            floors = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor")).join(once, "vec_id", "left_semi")
+            q = queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", none))
+        now = pass_over(q, first, end)
+        found = best(now if found is None else found.select("query_id", "vec_id", "score").unionByName(now))
+        first, end = end, 4 * end
+        if first >= (most or 1):
+            return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        found = materialise(found, "found")
