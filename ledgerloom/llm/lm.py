@@ -13,7 +13,10 @@ word makes a large task. Parts talk in rows of packed arrays, whose order both s
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
@@ -50,47 +53,69 @@ class Settings(NamedTuple):
 # Seating ----------------------------------------------------------------------------------------------------------
 
 
-def log_seatings(counts: np.ndarray, most: int, discount: float) -> Iterator[np.ndarray]:
-    """For each of the ascending counts n: log(S(n, t) / S(n, 1)) for t from 1 to n, or to ``most``.
+class Seatings:
+    """log(S(n, t) / S(n, 1)) for t from 1 to n, or to ``most`` + 1; some states are kept, so that further n are near one.
 
     S(n, t) is the weight of all seatings of n customers at t tables: S(n + 1, t) = S(n, t - 1) + (n - discount * t) S(n, t).
     In quotients r of neighbours nothing is subtracted and nothing overflows. Beyond COUNTED customers (or four times
     ``most``) log r changes so smoothly with log n that the steps are integrated instead of taken one by one (fourth-order
     Runge-Kutta); the quotients are then right to about seven digits.
     """
-    r, at = np.zeros(most), np.arange(2, most + 2) * discount
-    i, limit = 1, max(COUNTED, 4 * most)
 
-    def change(m: float, y: np.ndarray) -> np.ndarray:
-        """d log r / d log n at n = m, from the step between m - 1/2 and m + 1/2."""
+    def __init__(self, discount: float, most: int):
+        self.discount, self.most, self.limit = discount, most, max(COUNTED, 4 * most)
+        self.at, self.every = np.arange(2, most + 2) * discount, max(64, self.limit // 64)
+        self.states, self.known = {1: np.zeros(most)}, {}
+
+    def log(self, n: int) -> np.ndarray:
+        if n in self.known:
+            return self.known[n]
+        r = self._integrated(n) if n > self.limit else self._counted(n)
+        out = np.concatenate(([0.0], np.cumsum(np.log(r[: n - 1]))))
+        if n <= 512:
+            self.known[n] = out
+        return out
+
+    def _counted(self, n: int) -> np.ndarray:
+        start = max(i for i in self.states if i <= n)
+        r = self.states[start].copy()
+        for i in range(start, n):
+            k = min(i, self.most)
+            g = 1 + (i - self.at[:k]) * r[:k]
+            r[1:k] = r[: k - 1] * g[1:] / g[:-1]
+            r[0] = g[0] / (i - self.discount)
+            if (i + 1) % self.every == 0:
+                self.states[i + 1] = r.copy()
+        return r
+
+    def _change(self, x: float, y: np.ndarray) -> np.ndarray:
+        """d log r / d log n at n = exp(x), from the step between n - 1/2 and n + 1/2."""
+        m = np.exp(x)
 
         def step(y: np.ndarray) -> np.ndarray:
             q = np.exp(-y) + (m - 0.5)
-            below = np.concatenate(([m - 0.5], q[:-1])) - np.concatenate(([discount], at[:-1]))
-            return np.log((q - at) / below)
+            return np.log((q - self.at) / (np.concatenate(([m - 0.5], q[:-1])) - self.at + self.discount))
 
         return m * step(y - 0.5 * step(y))
 
-    for n in counts.tolist():
-        for i in range(i, min(n, limit)):
-            k = min(i, most)
-            g = 1 + (i - at[:k]) * r[:k]
-            r[1:k] = r[: k - 1] * g[1:] / g[:-1]
-            r[0] = g[0] / (i - discount)
-        i = max(i, min(n, limit))
-        if n > limit:
-            x, y = np.log(i), np.log(r)
-            # Strides that are stable for the steepest quotient, which only flattens.
-            steps = int(np.ceil((np.log(n) - x) / min(0.05, 1.2 / (1 + np.exp(-y.min())))))
-            h = (np.log(n) - x) / steps
-            for _ in range(steps):
-                a = change(np.exp(x), y)
-                b = change(np.exp(x + h / 2), y + h / 2 * a)
-                c = change(np.exp(x + h / 2), y + h / 2 * b)
-                d = change(np.exp(x + h), y + h * c)
-                x, y = x + h, y + h / 6 * (a + 2 * b + 2 * c + d)
-            r, i, limit = np.exp(y), n, n
-        yield np.concatenate(([0.0], np.cumsum(np.log(r[: n - 1]))))
+    def _integrated(self, n: int) -> np.ndarray:
+        x, y = np.log(self.limit), np.log(self._counted(self.limit))
+        # Strides that are stable for the steepest quotient, which only flattens.
+        steps = int(np.ceil((np.log(n) - x) / min(0.05, 1.2 / (1 + np.exp(-y.min())))))
+        h = (np.log(n) - x) / steps
+        for _ in range(steps):
+            a = self._change(x, y)
+            b = self._change(x + h / 2, y + h / 2 * a)
+            c = self._change(x + h / 2, y + h / 2 * b)
+            d = self._change(x + h, y + h * c)
+            x, y = x + h, y + h / 6 * (a + 2 * b + 2 * c + d)
+        return np.exp(y)
+
+
+@lru_cache(maxsize=4)
+def seatings(discount: float, most: int) -> Seatings:
+    """Kept between a worker's tasks."""
+    return Seatings(discount, most)
 
 
 def draw_tables(count: np.ndarray, others: np.ndarray, prob: np.ndarray, strength: float, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -112,10 +137,12 @@ def draw_tables(count: np.ndarray, others: np.ndarray, prob: np.ndarray, strengt
     new = prob * (strength + discount * others)
     tops = np.array([new[:, g].max() for g in groups])
     expected = 1 + tops * np.log1p(counts / np.maximum(tops, 1e-9))
-    most = int(np.minimum(counts - 1, expected + 12 * np.sqrt(expected) + 64).max())
+    # As many tables as a power of two, so that the same seatings do for other calls.
+    most = 1 << int(np.minimum(counts - 1, expected + 12 * np.sqrt(expected) + 32).max()).bit_length()
     done = 0
     while done < len(groups):
-        for g, log_s in zip(groups[done:], log_seatings(counts[done:], most, discount)):
+        for g in groups[done:]:
+            log_s = seatings(discount, most).log(int(count[g[0]]))
             n, p, first = int(count[g[0]]), prob[:, g].ravel(), new[:, g].ravel()
             order = np.argsort(first, kind="stable") if n > 16 else np.arange(len(p))
             drawn, hi = np.empty(len(p), dtype=np.int64), len(p)
@@ -153,14 +180,17 @@ def parent_probability(customers: np.ndarray, seats: np.ndarray, facts: dict) ->
 
 
 def _pack(a: np.ndarray) -> bytes:
-    """An array's bytes by significance, compressed: most high bytes are zeros."""
+    """Integers in as few bytes as they need (negative ones in eight), by significance, compressed: most high bytes are zeros."""
     a = np.ascontiguousarray(a).ravel()
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+    low, high = (int(a.min()), int(a.max())) if len(a) else (0, 0)
+    size = 8 if low < 0 else next(n for n in (1, 2, 4, 8) if high < 1 << 8 * n)
+    a = a.astype(f"u{size}")
+    return bytes([size]) + zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), size).T.tobytes())
 
 
 def _unpack(b: bytes, kind=np.int64) -> np.ndarray:
-    raw, size = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8), np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+    raw, size = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(b)[1:]), np.uint8), b[0]
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(f"u{size}").ravel().astype(kind)
 
 
 def _pack_rising(a: np.ndarray) -> bytes:
@@ -246,7 +276,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
         from xxhash import xxh3_64_intdigest
 
         number = TaskContext.get().partitionId() << 24
-        known: dict[bytes, int] = {}
+        known = defaultdict(count(1).__next__)
         ids, held, codes, size = [], [], [], 0
 
         def block() -> pa.Table:
@@ -261,13 +291,15 @@ def _blocks(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for key, text, out in zip(*(c.to_pylist() for c in batch.columns)):
                 words = text.encode().lower().split() if text else []
-                codes.append(np.fromiter([*(known.setdefault(w, len(known) + 1) for w in words), 0], dtype=np.int32, count=len(words) + 1))
+                own = np.zeros(len(words) + 1, dtype=np.int32)
+                own[:-1] = np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words))
+                codes.append(own)
                 ids.append(key)
                 held.append(bool(out))
                 size += len(words) + 1
                 if size >= BLOCK_TOKENS:
                     yield from block().to_batches()
-                    number, known, ids, held, codes, size = number + 1, {}, [], [], [], 0
+                    number, known, ids, held, codes, size = number + 1, defaultdict(count(1).__next__), [], [], [], 0
         if ids:
             yield from block().to_batches()
 
@@ -489,12 +521,10 @@ def _seat_slice(s: Settings, slices: int, parent: dict, salt: int, first: bool):
                 tables[:, ranks] += _unpack(r["after"]).reshape(s.chains, -1)
                 customers[:, ranks] += _unpack(r["before"]).reshape(s.chains, -1)
         was = _unpack(state["seats"]).reshape(s.chains, -1)
-        seats = np.ones_like(was)
-        # Each chain has customers of its own.
-        for i in range(s.chains):
-            rng = np.random.default_rng([s.seed, 2, salt, i, state["slice"]])
-            prob = np.full((1, len(n)), parent["base"])
-            seats[i] = draw_tables(customers[i], (parent["seats"][i] - was[i])[None], prob, parent["strength"], parent["discount"], rng)[0]
+        # Each chain has customers of its own, so all are dishes of one draw.
+        others = np.array(parent["seats"])[:, None] - was
+        rng = np.random.default_rng([s.seed, 2, salt, state["slice"]])
+        seats = draw_tables(customers.ravel(), others.reshape(1, -1), np.full((1, was.size), parent["base"]), parent["strength"], parent["discount"], rng).reshape(was.shape)
         own = {k: state[k] for k in ("slice", "n", "first_after", "first_before")}
         yield own | {"seats": _pack(seats), "customer_sums": customers.sum(axis=1).tolist(), "seat_sums": seats.sum(axis=1).tolist()}
         for r in rows:
