@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Words of a chain: texts are cut into chains of this length, so that a batch of texts is one array.
-CHAIN = 64
+#: Words that are labelled at once of each text; longer texts go on from there, so a text is one chain whatever its length.
+SEGMENT = 2048
 #: Hashed features.
 FEATURES = 1 << 16
 #: Words times labels of the chains that are computed at once, but for a longer text, and of remembered scores.
@@ -23,11 +24,14 @@ CELLS, KEPT_CELLS = 4_000_000, 20_000_000
 
 class Training(NamedTuple):
     """texts: whole labelled texts of each language at most, of lowest hash; words: of a language in all, from the
-    same texts, at most; lexicon: entries for each language; labels: languages that a model has room for, beyond which
-    learning fails: no language is left out."""
+    same texts, at most; chain: words of a training chain; switched: further chains made of runs of several languages'
+    texts, from which the moves between languages are learnt; lexicon: entries for each language; labels: languages that
+    a model has room for, beyond which learning fails: no language is left out."""
 
     texts: int = 200
     words: int = 150_000
+    chain: int = 256
+    switched: int = 400
     lexicon: int = 3000
     labels: int = 400
     steps: int = 60
@@ -54,62 +58,90 @@ def word_key(word: str) -> str:
     return word.lower()
 
 
-def features(key: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed affixes, character n-grams and lexicon entries of a word key; keys are long only in junk, whose n-grams repeat few times."""
-    from zlib import crc32
-
-    if not key:
-        return [0]
-    marked = f"^{key}$"
-    found = {f"p{key[:n]}" for n in (1, 2, 3)} | {f"s{key[-n:]}" for n in (1, 2, 3, 4)}
-    found |= {marked[i : i + n] for n in (1, 2, 3) for i in range(len(marked) - n + 1)}
-    listed = lexicon.get(key, 0)
-    found |= {f"L{i}" for i in range(listed.bit_length()) if listed >> i & 1}
-    found.add(f"L{bin(listed).count('1') if listed else 'none'}#")
-    return [crc32(f.encode()) % (FEATURES - 1) + 1 for f in found]
-
-
-class Chains:
-    """Forward-backward over many chains at once. emissions: words x labels, chained in order; starts: where each text begins."""
-
-    def __init__(self, lengths: np.ndarray):
-        rows = -(-lengths // CHAIN)
-        chain0 = np.cumsum(rows) - rows
-        at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.row = np.repeat(chain0, lengths) + at // CHAIN
-        self.column = at % CHAIN
-        self.n = int(rows.sum())
-        self.mask = np.zeros((CHAIN, self.n), dtype=bool)
-        self.mask[self.column, self.row] = True
-
-    def marginals(self, emissions: np.ndarray, moves: np.ndarray, want_pairs: bool = False):
-        """Of each word; with ``want_pairs`` also log Z in all and the expected number of each move."""
-        k = emissions.shape[1]
-        top = emissions.max(axis=1, keepdims=True)
-        e = np.ones((CHAIN, self.n, k))
-        e[self.column, self.row] = np.exp(emissions - top)
-        m = np.exp(moves)
-        alpha, scale = np.empty_like(e), np.ones((CHAIN, self.n))
-        for t in range(CHAIN):
-            a = e[t] if t == 0 else np.where(self.mask[t][:, None], (alpha[t - 1] @ m) * e[t], alpha[t - 1])
-            s = a.sum(axis=1)
-            alpha[t], scale[t] = a / s[:, None], s
-        beta = np.ones((self.n, k))
-        gamma, pairs = np.empty_like(e), np.zeros((k, k))
-        for t in range(CHAIN - 1, -1, -1):
-            g = alpha[t] * beta
-            gamma[t] = g / g.sum(axis=1, keepdims=True)
-            if t:
-                back = e[t] * beta
-                live = self.mask[t]
-                if want_pairs:
-                    was, then = alpha[t - 1][live], back[live]
-                    pairs += m * ((was / ((was @ m) * then).sum(axis=1, keepdims=True)).T @ then)
-                b = back @ m.T
-                b /= b.sum(axis=1, keepdims=True)
-                beta = np.where(live[:, None], b, beta)
-        out = gamma[self.column, self.row]
-        return (out, float(np.log(scale[self.mask]).sum() + top.sum()), pairs) if want_pairs else out
+def features(keys: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed affixes, character n-grams and lexicon entries of word keys, each once a key: all of them, and how many each key has.
+
+    A key is marked at both ends, so that n-grams of up to three tell short affixes, too; one longer prefix and two longer
+    suffixes are added.
+    """
+    marked = np.frombuffer("".join(f"^{k}$" for k in keys).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys)) + 2
+    owner = np.repeat(np.arange(len(keys)), size)
+    start = np.cumsum(size) - size
+    at = np.arange(len(marked)) - start[owner]
+    left = size[owner] - at
+    grams = [np.zeros(len(marked), dtype=np.uint64)]
+    with np.errstate(over="ignore"):
+        for n in range(1, 6):
+            code = np.concatenate((marked[n - 1 :], np.zeros(min(n - 1, len(marked)), dtype=np.uint64)))
+            h = (grams[-1] ^ (code + np.uint64(n))) * np.uint64(0x9E3779B97F4A7C15)
+            grams.append(h ^ (h >> np.uint64(29)))
+    full = size[owner] > 2
+    wanted = [(1, full), (2, full & (left >= 2)), (3, full & (left >= 3)), (4, full & ((at == 0) & (left >= 4) | (left == 4))), (5, full & (left == 5))]
+    value = lambda h: (h >> np.uint64(16)).astype(np.int64) % (FEATURES - 1) + 1
+    found = [owner[w] * FEATURES + value(grams[n][w]) for n, w in wanted]
+    # Which languages list a key, and how many; few sets of languages make up all of them.
+    sets: dict[int, int] = {}
+    of = np.fromiter((sets.setdefault(lexicon.get(k, 0), len(sets)) for k in keys), dtype=np.int64, count=len(keys))
+    for listed, i in sets.items():
+        names = [n for n in range(listed.bit_length()) if listed >> n & 1]
+        marks = [crc32(f"L{x}".encode()) % (FEATURES - 1) + 1 for x in (*names, f"{len(names) or 'none'}#")]
+        own = np.flatnonzero((of == i) & (size > 2))
+        found.append(np.repeat(own * FEATURES, len(marks)) + np.tile(np.array(marks), len(own)))
+    found.append(np.flatnonzero(size == 2) * FEATURES)
+    every = np.sort(np.concatenate(found))
+    every = every[np.diff(every, prepend=-1) > 0]
+    return every % FEATURES, np.bincount(every // FEATURES, minlength=len(keys))
+
+
+def posteriors(scores: np.ndarray, rows: np.ndarray, lengths: np.ndarray, moves: np.ndarray, segment: int = SEGMENT, pairs: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words, their posteriors over labels) by forward-backward over whole texts, all at once; the last segment comes first.
+
+    Word i of all texts in order has the scores ``scores[rows[i]]``. Texts are sorted by length, so the ith words of those
+    that have one lie together and nothing is padded. Only a segment of each text is held; the forward pass keeps
+    its state at the segments' beginnings and is taken again from there. ``pairs`` (for texts within one segment): the
+    expected numbers of moves are added to it.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    size, first = lengths[order], (np.cumsum(lengths) - lengths)[order]
+    alive = np.searchsorted(-size, -np.arange(size[0]), side="left")  # texts with a word at each place
+    m = np.exp(moves)
+
+    def forward(lo: int, before: np.ndarray | None):
+        n = alive[lo : lo + segment]
+        ends = np.cumsum(n)
+        rank = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        words = first[rank] + np.repeat(np.arange(lo, lo + len(n)), n)
+        e = scores[rows[words]]
+        e = np.exp(e - e.max(axis=1, keepdims=True))
+        alpha = np.empty_like(e)
+        for t, (end, k) in enumerate(zip(ends.tolist(), n.tolist())):
+            now = e[end - k : end] if before is None else (before[:k] @ m) * e[end - k : end]
+            before = np.divide(now, now.sum(axis=1, keepdims=True), out=alpha[end - k : end])
+        return words, e, alpha, ends.tolist(), n.tolist(), rank
+
+    starts = range(0, int(size[0]), segment)
+    carried: list[np.ndarray | None] = [None]
+    for lo in starts[:-1]:
+        _, _, alpha, ends, n, _ = forward(lo, carried[-1])
+        carried.append(alpha[ends[-1] - n[-1] :].copy())
+    after = None  # emission times beta of the word behind
+    for lo, before in zip(reversed(starts), reversed(carried)):
+        words, e, alpha, ends, n, rank = forward(lo, before)
+        beta = np.ones_like(e)
+        for end, k in zip(reversed(ends), reversed(n)):
+            own = beta[end - k : end]
+            if after is not None:
+                b = after @ m.T
+                np.divide(b, b.sum(axis=1, keepdims=True), out=own[: len(b)])
+            after = e[end - k : end] * own
+        if pairs is not None and len(n) > 1:
+            inside = np.arange(n[0], len(words))
+            was, then = alpha[inside - np.repeat(n[:-1], n[1:])], e[inside] * beta[inside]
+            pairs += m * ((was / ((was @ m) * then).sum(axis=1, keepdims=True)).T @ then)
+        alpha *= beta
+        alpha /= alpha.sum(axis=1, keepdims=True)
+        yield words, alpha
 
 
 class Emissions:
@@ -117,6 +149,7 @@ class Emissions:
 
     def __init__(self, model: Model, most: int = 400_000):
         self.model, self.most = model, min(most, KEPT_CELLS // max(1, len(model.labels)))
+        self.columns = np.ascontiguousarray(model.weights.T)
         self.clear()
 
     def clear(self):
@@ -131,10 +164,12 @@ class Emissions:
         if new := list(set(words).difference(number)):
             own = [word_key(w) for w in new]
             if keys := list(set(own).difference(of_key)):
-                lists = [features(k, self.model.lexicon) for k in keys]
-                flat = np.fromiter((f for x in lists for f in x), dtype=np.int64)
-                size = np.array([len(x) for x in lists])
-                values = np.add.reduceat(self.model.weights[flat], np.cumsum(size) - size, axis=0)
+                values = np.empty((len(keys), len(self.model.labels)))
+                for lo in range(0, len(keys), 20_000):
+                    flat, size = features(keys[lo : lo + 20_000], self.model.lexicon)
+                    cut = np.cumsum(size) - size
+                    for j in range(values.shape[1]):
+                        values[lo : lo + 20_000, j] = np.add.reduceat(self.columns[j][flat], cut)
                 n = len(of_key)
                 while n + len(keys) > len(self.scores):
                     self.scores, self.lettered = (np.concatenate((x, np.zeros_like(x))) for x in (self.scores, self.lettered))
@@ -165,26 +200,42 @@ def fit(texts: list[tuple[str, str]], t: Training) -> Model:
     model = Model(labels, np.zeros((FEATURES, len(labels))), np.zeros((len(labels), len(labels))), lexicon)
     room = {x: t.words for x in labels}
     words, lengths, gold, known = [], [], [], {}
+    pool = []
     for lang, text in texts:
-        own = text.split()
+        own = [known.setdefault(w, w) for w in text.split()]
         if own and room[lang] > 0:
             room[lang] -= len(own)
-            words += [known.setdefault(w, w) for w in own]
-            lengths.append(len(own))
-            gold.append(of[lang])
+            pool.append((of[lang], own))
+            for lo in range(0, len(own), t.chain):
+                part = own[lo : lo + t.chain]
+                words += part
+                gold += [of[lang]] * len(part)
+                lengths.append(len(part))
     if len(labels) < 2 or not words:
         return model
-    lengths = np.array(lengths)
+    draw = np.random.default_rng(len(pool))
+    by_label = [[own for k, own in pool if k == i] for i in range(len(labels))]
+    spoken = [i for i, own in enumerate(by_label) if own]
+    for _ in range(t.switched):
+        n = len(words)
+        for i in draw.choice(spoken, size=int(draw.integers(2, 6))).tolist():
+            own = by_label[i][int(draw.integers(len(by_label[i])))]
+            at = int(draw.integers(len(own)))
+            part = own[at : at + int(draw.integers(3, 25))]
+            words += part
+            gold += [i] * len(part)
+        lengths.append(len(words) - n)
+    lengths, gold = np.array(lengths), np.array(gold)
     types, of_word = np.unique(np.array(words, dtype=object), return_inverse=True)
-    lists = [features(word_key(w), lexicon) for w in types]
-    size = np.array([len(x) for x in lists])
-    flat, at = np.fromiter((f for x in lists for f in x), dtype=np.int64), np.cumsum(size) - size
-    gold = np.repeat(np.array(gold), lengths)
+    flat, size = features([word_key(w) for w in types], lexicon)
+    at = np.cumsum(size) - size
     n, k = len(words), len(labels)
     ends = np.cumsum(lengths)
-    inside = (np.arange(n) - np.repeat(ends - lengths, lengths)) % CHAIN > 0
-    kept = np.diag(np.bincount(gold[inside], minlength=k).astype(float))
-    # Parts are whole texts, so that what a step holds beside the weights doesn't grow with the labels.
+    follows = np.ones(n, dtype=bool)
+    follows[ends - lengths] = False
+    kept = np.zeros((k, k))
+    np.add.at(kept, (gold[np.flatnonzero(follows) - 1], gold[follows]), 1.0)
+    # Parts are whole chains, so that what a step holds beside the weights doesn't grow with the labels.
     part = (ends - lengths) * k // CELLS
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lengths)]
     parts = [(lengths[lo:hi], slice(int(ends[lo] - lengths[lo]), int(ends[hi - 1]))) for lo, hi in zip(cuts, cuts[1:])]
@@ -196,9 +247,10 @@ def fit(texts: list[tuple[str, str]], t: Training) -> Model:
             many = size[own]
             first = np.cumsum(many) - many
             listed = flat[np.repeat(at[own] - first, many) + np.arange(many.sum())]
-            scores = np.add.reduceat(model.weights[listed], first, axis=0) if len(listed) * k <= 3 * CELLS else np.stack([np.add.reduceat(model.weights[listed, j], first) for j in range(k)], axis=1)
-            expected, _, moved = Chains(own_lengths).marginals(scores[of_own], model.moves, want_pairs=True)
-            pairs += moved
+            scores = np.stack([np.add.reduceat(model.weights[listed, j], first) for j in range(k)], axis=1)
+            expected = np.empty((len(of_own), k))
+            for at_words, found in posteriors(scores, of_own, own_lengths, model.moves, t.chain + 25 * 6, pairs):
+                expected[at_words] = found
             owner = np.repeat(np.arange(len(own)), many)
             for j in range(k):
                 by_type = np.bincount(of_own[gold[where] == j], minlength=len(own)) - np.bincount(of_own, weights=expected[:, j], minlength=len(own))
@@ -215,6 +267,10 @@ def fit(texts: list[tuple[str, str]], t: Training) -> Model:
     return model
 
 
+def _slim(model: Model) -> Model:
+    return model._replace(weights=model.weights.astype(np.float32))
+
+
 def sample_labelled(docs: DataFrame, t: Training) -> DataFrame:
     """(lang, text, n): the ``texts`` rows of lowest hash for each language; docs (doc_id, text, lang)."""
     known = docs.where("lang is not null and text is not null")
@@ -229,7 +285,7 @@ def learn(docs: DataFrame, learn_from: Column, training: Training = Training())
     """A model of the languages of docs (doc_id, text, lang), from a bounded sample of the rows where ``learn_from`` holds.
 
     Every language takes part. The sample is fitted in one task, which holds texts * labels texts at most and takes time
-    with the square of the labels; the driver gets the weights alone, FEATURES * labels doubles. More languages than
+    with the square of the labels; the driver gets the weights alone, FEATURES * labels single-precision numbers. More languages than
     ``training.labels`` raise a ValueError, as the weights would outgrow a task.
     """
     known = docs.where(learn_from).where("lang is not null and text is not null")
@@ -238,7 +294,7 @@ def learn(docs: DataFrame, learn_from: Column, training: Training = Training())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, training))], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_slim(fit(texts, training)))], pa.binary())], ["model"])
 
     rows = sample_labelled(docs.where(learn_from).select("doc_id", "text", "lang"), training)
     made = rows.repartition(1).sortWithinPartitions("lang", "n").mapInArrow(run, "model binary").collect()
@@ -260,17 +316,23 @@ def _label(texts: list[str | None], emissions: Emissions, runs: bool = False):
     full = np.flatnonzero(lengths)
     if len(full) and k:
         rows = emissions.rows([w for x in split for w in x])
-        posterior = Chains(lengths[full]).marginals(emissions.scores[rows], model.moves)
-        lettered = emissions.lettered[rows]
-        first = np.cumsum(lengths[full]) - lengths[full]
-        sums = np.add.reduceat(posterior * lettered[:, None], first, axis=0)
-        n = np.add.reduceat(lettered.astype(np.int64), first)
+        own, lettered = lengths[full], emissions.lettered[rows]
+        text_of = np.repeat(np.arange(len(full)), own)
+        sums, doubt, label = np.zeros((len(full), k)), np.zeros(len(full)), np.empty(len(rows), dtype=np.int32) if runs else None
+        for words, posterior in posteriors(emissions.scores, rows, own, model.moves):
+            weighed, texts_of = lettered[words].astype(float), text_of[words]
+            for j in range(k):
+                sums[:, j] += np.bincount(texts_of, weights=posterior[:, j] * weighed, minlength=len(full))
+            doubt += np.bincount(texts_of, weights=posterior.max(axis=1) * weighed, minlength=len(full))
+            if runs:
+                label[words] = posterior.argmax(axis=1)
+        n = np.bincount(text_of, weights=lettered, minlength=len(full))
         best[full] = np.where(n > 0, sums.argmax(axis=1), k)
         score[full] = np.clip(np.where(n > 0, sums.max(axis=1) / np.maximum(n, 1), 0.0), 0, 1)
-        sure[full] = np.clip(np.add.reduceat(posterior.max(axis=1) * lettered, first) / np.maximum(n, 1), 0, 1)
+        sure[full] = np.clip(doubt / np.maximum(n, 1), 0, 1)
         if runs:
-            label = posterior.argmax(axis=1)
-            for i, lo, size in zip(full, first, lengths[full]):
+            first = np.cumsum(own) - own
+            for i, lo, size in zip(full, first, own):
                 bounds = [0, *(np.flatnonzero(np.diff(label[lo : lo + size])) + 1).tolist(), int(size)]
                 found[i] = [{"lang": model.labels[label[lo + a]], "words": b - a} for a, b in zip(bounds, bounds[1:])]
     return best, score, found, sure
@@ -281,7 +343,8 @@ def identify(docs: DataFrame, model: Model, runs: bool = False) -> DataFrame:
 
     Each word gets a posterior for every language by forward-backward; lang_pred has the largest sum over words
     with a letter, score is its mean posterior there. A text that is null or has no letter gets ``und`` and score
-    0; so does every text if there was nothing to learn from. Whole texts are labelled, in chains of CHAIN words.
+    0; so does every text if there was nothing to learn from. A whole text is one chain, however long. Ties go to the
+    label that sorts first; an empty table gives no rows.
     With ``runs``, a column runs lists (lang, words) of equal word labels in order, for code-switched text.
     Repeated rows get equal results; other columns are not read.
     """

@@ -352,8 +352,32 @@ def test_chain_marginals_equal_enumeration():
     weight = {p: math.exp(sum(e[i, p[i]] for i in range(5)) + sum(m[p[i], p[i + 1]] for i in range(4))) for p in itertools.product(range(3), repeat=5)}
     z = sum(weight.values())
     want = [[sum(w for p, w in weight.items() if p[i] == k) / z for k in range(3)] for i in range(5)]
-    got, log_z, pairs = langid.Chains(np.array([5])).marginals(e, m, want_pairs=True)
-    assert np.allclose(got, want) and log_z == pytest.approx(math.log(z)) and pairs.sum() == pytest.approx(4)
+    for segment in (5, 2, 1):
+        got, pairs = np.empty((8, 3)), np.zeros((3, 3))
+        both = np.concatenate((e[:3], e))  # a shorter text before it
+        for words, p in langid.posteriors(both, np.arange(8), np.array([3, 5]), m, segment, pairs if segment == 5 else None):
+            got[words] = p
+        assert np.allclose(got[3:], want) and (segment < 5 or pairs.sum() == pytest.approx(4 + 2))
+
+
+def test_switched_texts(docs):
+    """Words of texts that change their language every 12 words, held out from learning."""
+    held = common.crc_mod("doc_id", 5) == 0
+    model = langid.learn(docs, ~held, langid.Training(texts=60, steps=40))
+    by = collections.defaultdict(list)
+    for r in docs.where(held & F.col("lang").isNotNull() & F.col("text").isNotNull()).collect():
+        by[r.lang] += r.text.split()[:300]
+    names = sorted(x for x in by if len(by[x]) >= 300)
+    assert len(names) >= 2
+    words, gold = [], []
+    for i in range(0, 300, 12):
+        lang = names[(i // 12) % len(names)]
+        words += by[lang][i : i + 12]
+        gold += [lang] * len(by[lang][i : i + 12])
+    runs = langid._label([" ".join(words)], langid.Emissions(model), runs=True)[2][0]
+    said = [r["lang"] for r in runs for _ in range(r["words"])]
+    lettered = [bool(langid.word_key(w)) for w in words]
+    assert np.mean([a == b for a, b, c in zip(said, gold, lettered) if c]) > 0.85
 
 
 def test_line_dedup_sql(spark, sf):
