@@ -29,8 +29,16 @@ def test_integrated_steps_equal_single_ones(discount, monkeypatch):
         assert np.allclose(own.log(n), (want - want[0])[: min(n, 41)], atol=1e-4)
 
 
-def test_drawn_tables_follow_the_conditional():
-    """Mean and spread of the tables of dishes, against the conditional written out."""
+@pytest.mark.parametrize("discount, off", [(0.1, 1e-3), (0.5, 5e-3), (0.7, 1e-2)])
+def test_saddle_points_follow_the_recursion(discount, off):
+    t = np.arange(100.0, 400.0)
+    assert np.allclose(np.diff(lm.log_seatings_wide(2000, t, discount)), np.diff(_log_seatings(2000, discount)[100:400]), atol=off)
+
+
+@pytest.mark.parametrize("wide", [1000, 60])
+def test_drawn_tables_follow_the_conditional(wide, monkeypatch):
+    """Mean and spread of the tables of dishes, against the conditional written out; with a lower bound for saddle points, too."""
+    monkeypatch.setattr(lm, "WIDE", wide)
     d, strength, chains = 0.3, 2.0, 4
     cases = [(1, 3, 0.2), (2, 0, 0.4), (5, 40, 0.01), (30, 3, 0.001), (500, 10, 0.6), (2000, 400, 0.3)]
     count, others, prob = (np.tile(x, 1000) for x in map(np.array, zip(*cases)))
