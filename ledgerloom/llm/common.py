@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the word rules: space, and tab to carriage return.
@@ -16,9 +16,11 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode one of our own where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
         root = _own_dir[0]
@@ -34,10 +36,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     What was shuffled to make the table is deleted as soon as it is written.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, None)
+    spark.conf.set(clean, "true")
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +51,20 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the scratch table that df reads, once nothing else does."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        discard(df.sparkSession, path)
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """name, with as many underscores behind it as make it differ from the names taken, whatever their case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what a Python worker holds: rows, and bytes where this Spark has that setting, of an Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -63,26 +81,48 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
+#: Keys with more rows than this and than a thousandth of all rows are joined by broadcast; there are a thousand of them at most.
+HUB = 256
+
+
+def with_aggregate(rows: DataFrame, key: str, n: int, *aggregates: Column) -> DataFrame:
+    """rows (n of them) with aggregates of all rows of their key; no key's rows are gathered in one task.
+
+    Aggregates are partial before the shuffle. Rows of frequent keys meet theirs by broadcast: as such a key has more than a
+    thousandth of the rows, that is a thousand rows at most. The others meet in a join.
+    """
+    of_key = rows.groupBy(key).agg(*aggregates, F.count(F.lit(1)).alias("rows_of_key"))
+    frequent = F.col("rows_of_key") > max(HUB, n // 1000)
+    names = [c for c in of_key.columns if c not in (key, "rows_of_key")]
+    hubs = of_key.where(frequent).select(F.col(key).alias("hub"), F.struct(*names).alias("of_hub"))
+    marked = rows.join(F.broadcast(hubs), F.col(key) == F.col("hub"), "left").drop("hub")
+    few = marked.where("of_hub is null").drop("of_hub").join(of_key.where(~frequent).drop("rows_of_key"), key)
+    return few.unionByName(marked.where("of_hub is not null").select(*rows.columns, "of_hub.*"))
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(a, b) links -> (id, component): every linked id with the smallest id reachable from it.
 
-    Alternates large-star and small-star steps; each step is an aggregate and a join, so that
-    no neighbourhood is gathered in one task, and each round is written to the shared folder.
+    Alternates large-star and small-star steps; each step is an aggregate that its rows meet again (see ``with_aggregate``), so
+    that no neighbourhood is gathered in one task, and each round is written to the shared folder.
     Null ids and self links are ignored; an empty input gives an empty result.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = materialise(e, name)
-    before = None
+
+    def written(df: DataFrame) -> tuple[DataFrame, int, object]:
+        seen = Observation()
+        df = materialise(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")), name)
+        return df, seen.get["n"], seen.get
+
+    e, n, before = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        small = e.join(low, "u")
-        e = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        seen = Observation()
-        e = materialise(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")), name)
-        now = seen.get
+        low = with_aggregate(both, "u", 2 * n, F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = low.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = with_aggregate(large, "u", n, F.min("v").alias("m"))
+        both = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        old = e
+        e, n, now = written(both.where("u <> v").distinct())
+        forget(old)
         if now == before:
             break
         before = now
