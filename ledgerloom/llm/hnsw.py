@@ -10,7 +10,7 @@ from .vectors import matrix, search
 
 #: Links of a node (twice as many in the lowest layer, and there also TOPS of largest inner product and ROOM for repairs), candidates
 #: that they are chosen of, nodes kept in a search of the lowest layer and of the others, nodes opened in a step, and inserted in a lot.
-LINKS, TOPS, ROOM, CANDIDATES, BEAM, UPPER, OPENED, TOGETHER = 16, 12, 4, 64, 160, 96, 4, 2048
+LINKS, TOPS, ROOM, CANDIDATES, BEAM, UPPER, OPENED, TOGETHER = 16, 12, 4, 64, 96, 32, 8, 2048
 GRAPH = "points binary, firsts binary, ids binary, levels binary, links array<binary>"
 
 
@@ -86,8 +86,12 @@ def _link(points: np.ndarray, links: np.ndarray, new: np.ndarray, near: np.ndarr
         links[new[lo : lo + 512], :room] = _diverse(points, new[lo : lo + 512], near[lo : lo + 512], room)
     a, b = np.repeat(new, room), links[new, :room].ravel()
     a, b = a[b >= 0], b[b >= 0]
-    order = np.argsort(b, kind="stable")
+    # Of many links back, the shortest.
+    gap = np.concatenate([((points[a[i : i + 8192]] - points[b[i : i + 8192]]) ** 2).sum(axis=1) for i in range(0, max(1, len(a)), 8192)])
+    order = np.lexsort((gap, b))
     a, b = a[order], b[order]
+    few = np.arange(len(b)) - np.searchsorted(b, b) < CANDIDATES
+    a, b = a[few], b[few]
     to, first, n = np.unique(b, return_index=True, return_counts=True)
     back = np.full((len(to), n.max(initial=0)), -1)
     back[np.repeat(np.arange(len(to)), n), np.arange(len(b)) - np.repeat(first, n)] = a

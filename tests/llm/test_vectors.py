@@ -30,7 +30,7 @@ def test_recall_on_clusters(clusters, size):
     if size == 1:
         v[::2] *= np.exp(0.5 * r.normal(size=(clusters // 2, 1)))
     found = _recall(v, r.choice(len(v), 300, replace=False))
-    assert found.mean() >= 0.97 and found.min() >= 0.5
+    assert found.mean() >= 0.95 and found.min() >= 0.5
 
 
 def test_every_node_is_reached():
