@@ -100,6 +100,20 @@ def with_aggregate(rows: DataFrame, key: str, n: int, *aggregates: Column) -> Da
     return few.unionByName(marked.where("of_hub is not null").select(*rows.columns, "of_hub.*"))
 
 
+def meet_counted(rows: DataFrame, n: int, table: DataFrame, keys: list[str], count: str, how: str = "left") -> DataFrame:
+    """rows (n of them) joined with a table of one row for each of the keys, ``count`` of which says how many rows have them.
+
+    The table's rows of frequent keys, a thousand at most, are broadcast; the others meet in a join.
+    """
+    frequent = F.col(count) > max(HUB, n // 1000)
+    more = [c for c in table.columns if c not in (*keys, count)]
+    hubs = table.where(frequent).select(*(F.col(k).alias(f"hub_{k}") for k in keys), F.struct(*more).alias("of_hub"))
+    same = [F.col(k) == F.col(f"hub_{k}") for k in keys]
+    marked = rows.join(F.broadcast(hubs), same, "left").drop(*(f"hub_{k}" for k in keys))
+    few = marked.where("of_hub is null").drop("of_hub").join(table.where(~frequent).drop(count), keys, how)
+    return few.select(*rows.columns, *more).unionByName(marked.where("of_hub is not null").select(*rows.columns, "of_hub.*"))
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(a, b) links -> (id, component): every linked id with the smallest id reachable from it.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, discard, materialise, scratch_path
+from .common import BLANKS, ascii_lower, discard, forget, materialise, meet_counted, scratch_path
 
-RUN = "h1 long, h2 long, n_docs long, last_doc long, fresh boolean"
+RUN = "h1 long, h2 long, n_docs long, last_doc long"
 
 
 def line_key(line: Column) -> Column:
@@ -16,70 +18,90 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """A store of immutable runs (h1, h2, n_docs, last_doc, fresh), each sorted by its 128-bit line hash.
+    """A store of immutable runs (h1, h2, n_docs, last_doc) in a folder, each sorted by its 128-bit line hash.
 
-    Level 0 holds one run for each batch; when a level has ``fanout`` runs, they are merged into one run of
-    the next level, so that after n batches there are about log(n) levels of ``fanout`` - 1 runs at most.
+    A line hash is in one run only: that of the batch it came with first. What later batches add to known lines lies
+    in update runs beside them. Level 0 gets a run with each batch; when a level has ``fanout`` runs, they are merged into
+    one run of the next level, so that after n batches there are about log(n) levels of ``fanout`` - 1 runs at most. Updates
+    are compacted with them. A store is opened again by its folder.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 3):
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
-        self.levels: list[list[str]] = []
-
-    def rows(self) -> DataFrame:
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
-
-    def _write(self, run: DataFrame, level: int) -> None:
-        path = scratch_path(self.spark, f"run{level}")
-        run.write.option("compression", "zstd").parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
-        if len(self.levels[level]) >= self.fanout:
-            old, self.levels[level] = self.levels[level], []
-            merged = self.spark.read.schema(RUN).parquet(*old).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.bool_or("fresh").alias("fresh"))
-            self._write(merged.sortWithinPartitions("h1", "h2"), level + 1)
-            for p in old:
-                discard(self.spark, p)
+        self.folder = folder or scratch_path(spark, "line-runs")
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def level(self, n: int, kind: str = "run") -> list[str]:
+        return [x for x in self.names if x.startswith(f"{kind}-{n}-")]
+
+    def _read(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(*(f"{self.folder}/{x}" for x in names)) if names else self.spark.createDataFrame([], RUN)
+
+    def runs(self) -> DataFrame:
+        return self._read([x for x in self.names if x.startswith("run-")])
+
+    def updates(self) -> DataFrame:
+        return self._read([x for x in self.names if x.startswith("update-")])
+
+    def _write(self, rows: DataFrame, kind: str, level: int) -> None:
+        name = f"{kind}-{level}-{uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        self.names.append(name)
+        old = self.level(level, kind)
+        if len(old) >= self.fanout:
+            merged = self._read(old)
+            if kind == "update":
+                merged = merged.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+            self._write(merged.repartition("h1", "h2").sortWithinPartitions("h1", "h2"), kind, level + 1)
+            for x in old:
+                self.names.remove(x)
+                discard(self.spark, f"{self.folder}/{x}")
 
     def add(self, batch: DataFrame) -> None:
-        """Merge-join a batch (h1, h2, doc_id), one row for each document with the line, against all runs and add its own run.
+        """Merge-join a batch (h1, h2, doc_id), one row for each document with the line, with all runs.
 
-        Hashes that no run has are the batch's fresh lines (the anti join); the others add to what is
-        counted. The merge join leaves its output sorted by hash, so the new run needs no further sort.
+        Hashes that no run has (the anti join) make the batch's own run; the others become an update. The merge join leaves its
+        output sorted by hash, so neither needs a further sort.
         """
         own = batch.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        if not any(self.levels):
-            self._write(own.withColumn("fresh", F.lit(True)).sortWithinPartitions("h1", "h2"), 0)
+        if not self.names:
+            self._write(own.sortWithinPartitions("h1", "h2"), "run", 0)
             return
-        known = self.rows().where("fresh").select("h1", "h2", F.lit(True).alias("known"))
-        run = own.join(known.hint("merge"), ["h1", "h2"], "left").withColumn("fresh", F.col("known").isNull()).drop("known")
-        self._write(run.select("h1", "h2", "n_docs", "last_doc", "fresh"), 0)
+        known = self.runs().select("h1", "h2", F.lit(True).alias("known"))
+        met = materialise(own.join(known.hint("merge"), ["h1", "h2"], "left"), "met")
+        self._write(met.where("known is null").drop("known"), "run", 0)
+        self._write(met.where("known").drop("known"), "update", 0)
+        forget(met)
 
     def totals(self) -> DataFrame:
-        return self.rows().groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+        """Each line hash with all its documents: as runs have it once, no hash is counted twice."""
+        more = self.updates().groupBy("h1", "h2").agg(F.sum("n_docs").alias("more"), F.max("last_doc").alias("later"))
+        met = self.runs().join(more, ["h1", "h2"], "left")
+        return met.select("h1", "h2", (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "later").alias("last_doc"))
 
 
 def _marked(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
-    """docs with columns line_texts and line_drops: the lines of text and the positions of those that go."""
+    """(row, lines, drops): each row of docs as a struct, the lines of its text and the positions of those that go."""
     spark = docs.sparkSession
-    rows = docs.withColumn("line_doc", F.col("doc_id").cast("long"))
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    keys = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    postings = materialise(keys.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(batches)).cast("int").alias("batch")), "postings")
-    store = LineRuns(spark, fanout)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc"), "text")
+    lines = rows.where("doc is not null").select("doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    keys = lines.select("doc", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    postings = materialise(keys.select(F.col("doc").alias("doc_id"), "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.xxhash64(F.lit(2), "doc"), F.lit(batches)).cast("int").alias("batch")), "postings")
+    store = LineRuns(spark, fanout=fanout)
     for i in range(batches):
         store.add(postings.where(F.col("batch") == i).select("h1", "h2", "doc_id").distinct())
-    frequent = materialise(store.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc"), "frequent")
-    dropped = postings.join(frequent, ["h1", "h2"]).where("doc_id < last_doc").groupBy(F.col("doc_id").alias("line_doc")).agg(F.collect_set("pos").alias("line_drops"))
+    frequent = materialise(store.totals().where(F.col("n_docs") >= min_docs), "frequent")
+    met = meet_counted(postings, postings.count(), frequent, ["h1", "h2"], "n_docs", "inner")
+    dropped = met.where("doc_id < last_doc").groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set("pos").alias("drops"))
     none = F.array().cast("array<int>")
-    return rows.join(dropped, "line_doc", "left").drop("line_doc").withColumn("line_texts", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("line_drops", F.coalesce("line_drops", none))
+    return rows.join(dropped, "doc", "left").select("row", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"), F.coalesce("drops", none).alias("drops"))
 
 
 def _kept_text() -> Column:
-    kept = F.array_except(F.sequence(F.lit(0), F.size("line_texts") - 1), F.col("line_drops"))
-    return F.when(F.size("line_drops") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get("line_texts", i)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
+    return F.when(F.size("drops") == 0, F.coalesce("row.text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
@@ -90,14 +112,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     Batches of documents, dealt by a hash of doc_id, go through LineRuns one after the other; the
     result doesn't depend on how they are dealt. A null or empty text is one empty line. Rows with
     the same doc_id count as one document; a line position that goes in one of them goes in all.
-    Rows with a null doc_id count for no key and lose nothing. Very common lines are counted by
-    partial aggregates.
+    Rows with a null doc_id count for no key and lose nothing; doc_ids must be whole numbers. Very common lines are
+    counted by partial aggregates, and their totals sent to their places by a broadcast of a thousand rows at most.
+    Other columns may have any names; an empty table gives no rows.
     """
     whole = _marked(docs.select("doc_id", "text"), min_chars, min_docs, batches, fanout)
-    return whole.select("doc_id", F.size("line_texts").cast("long").alias("n_lines"), F.size("line_drops").cast("long").alias("n_dropped"), _kept_text().alias("kept_text"))
+    return whole.select("row.doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("drops").cast("long").alias("n_dropped"), _kept_text().alias("kept_text"))
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
     """docs with all columns, their texts without the lines that ``dedup_lines`` drops; texts that lose none stay as they are."""
     whole = _marked(docs, min_chars, min_docs, batches, fanout)
-    return whole.select(*(F.when(F.size("line_drops") == 0, F.col("text")).otherwise(_kept_text()).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    return whole.select(*(F.when(F.size("drops") == 0, F.col("row.text")).otherwise(_kept_text()).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

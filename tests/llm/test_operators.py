@@ -41,8 +41,9 @@ ODD = [
 @pytest.fixture(scope="module")
 def odd(spark):
     """Awkward documents, with further columns whose names the operators use themselves."""
-    rows = [(i, x, "en", "s", 1, 2, 3) for i, x in ODD]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score int, key int, spans int")
+    names = ["score", "key", "spans", "row", "lines", "drops", "doc", "line_doc", "pii_doc", "pii_text", "of_text", "own_doc", "text_hash", "words", "hub_class"]
+    rows = [(i, x, "en", "s", *range(len(names))) for i, x in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{x} int" for x in names))
 
 
 @pytest.fixture(scope="module")
@@ -107,11 +108,17 @@ def test_line_dedup(docs, odd, none):
 
 def test_line_runs_compact(spark):
     store = linededup.LineRuns(spark, fanout=2)
-    for i in range(5):
-        store.add(spark.createDataFrame([(1, 1, i), (2, i, i)], "h1 long, h2 long, doc_id long"))
-    assert [len(x) for x in store.levels] == [1, 0, 1]
-    assert store.totals().where("h1 = 1").collect()[0][2:] == (5, 4)
-    assert store.rows().where("h1 = 1 and fresh").count() >= 1
+    batch = lambda i: spark.createDataFrame([(1, 1, i), (2, i, i)], "h1 long, h2 long, doc_id long")
+    for i in range(4):
+        store.add(batch(i))
+    store = linededup.LineRuns(spark, store.folder, fanout=2)  # opened again
+    store.add(batch(4))
+    assert [len(store.level(n)) for n in range(4)] == [1, 0, 1, 0]
+    assert store.totals().where("h1 = 1").collect()[0][2:] == (5, 4) and store.totals().count() == 6
+    # A hash is in one run only, so the result is the runs': without the first batch's run, its lines are gone.
+    assert store.runs().groupBy("h1", "h2").count().where("count > 1").count() == 0
+    store.names = [x for x in store.names if not x.startswith("run-2-")]
+    assert store.totals().where("h1 = 1").count() == 0
 
 
 def _tree_and_graph(spark):
