@@ -40,10 +40,19 @@ GAZETTEER = {
     "card": r"\b(card|visa|mastercard|amex|credit|debit|payment|karte|tarjeta|carte)\b",
     "phone": r"\b(tel|telephone|phone|call|mobile|cell|fax|telefon|telefono)\b",
 }
+#: Values that lists know: domains in common use, first numbers of routed addresses, issuers' card numbers, country codes.
+LISTED = {
+    "email": r"(?i)(\.|dot[)\]}] ?)(com|org|net|edu|gov|info|example|io|ai|dev|eu|uk|de|fr|es|it|nl|pt|pl|ch|at|be|ru|cn|jp|in|br|us|ca|au)$",
+    "ip": r"(?i)^(([1-9][0-9]?|1[0-9]{2}|2[01][0-9]|22[0-3])\.|(2[0-9a-f]{3}|3[0-9a-f]{3}|f[cd][0-9a-f]{2}|fe[89ab][0-9a-f]|0*):)",
+    "card": r"^(4|5[ -]?[1-5]|2[ -]?[2-7]|3[ -]?[47068]|6[ -]?(0[ -]?1[ -]?1|5|2|4[ -]?[4-9]))",
+    "phone": r"^\+ ?\(?(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-689][0-9]|3[578][0-9]|42[0-9]|5[09][0-9]|6[7-9][0-9]|8[058][0-9]|9[679][0-9])|^\(?[2-9][0-9]{2}",
+}
+#: What shortly follows a span and speaks for or against a person's data.
+FOLLOWS_FOR, FOLLOWS_AGAINST = r"^[^a-z0-9]{0,3}(or|and|for|to|any|ext|asap|today|please|if|when)?\b", r"^ ?(%|percent|kg|km|cm|mm|mb|gb|px|usd|eur|dollars|euros|pages|items|units)\b"
 AGAINST = r"\b(version|release|build|section|chapter|isbn|issn|order|invoice|serial|part|figure|table|page|doi|id)\b[^a-z]*$"
 CONTEXT = 32  # code points before a span that labelers see
-LABELERS = ("pattern", "shape", "gazetteer", "context", "edges")
-FEATURES = ("form", "before", "after", "size", "marks")
+LABELERS = ("listed", "shape", "gazetteer", "context", "following", "edges")
+FEATURES = ("form", "before", "after", "size", "marks", "word")
 THRESHOLD = 0.9
 
 SPAN = "array<struct<kind:string,start:int,end:int,found:string>>"
@@ -101,7 +110,7 @@ def _voted(text: Column, span: Column, base: Column) -> Column:
     kind, found = span["kind"], span["found"]
     before = ascii_lower(F.substring(text, F.greatest(F.lit(1), span["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), span["start"])))
     previous = F.substring(text, span["start"], F.when(span["start"] > 0, 1).otherwise(0))
-    following = F.substring(text, span["end"] + 1, F.lit(1))
+    next_ = F.substring(text, span["end"] + 1, F.lit(1))
     n = F.length(_digits(found))
     shape = (
         F.when(kind == "email", found.rlike(r"[A-Za-z]{2,}$"))
@@ -112,32 +121,37 @@ def _voted(text: Column, span: Column, base: Column) -> Column:
     listed = F.lit(False)
     for k in KINDS:
         listed = listed | ((kind == k) & before.rlike(GAZETTEER[k]))
-    edges = ~previous.rlike(r"[\p{L}\p{N}]") & ~following.rlike(r"[\p{L}\p{N}]")
-    votes = F.array(base.cast("int"), shape.cast("int"), F.when(listed, 1).otherwise(-1), F.when(before.rlike(AGAINST), 0).otherwise(-1), edges.cast("int"))
+    known = F.lit(False)
+    for k in KINDS:
+        known = known | ((kind == k) & found.rlike(LISTED[k]))
+    behind = ascii_lower(F.substring(text, span["end"] + 1, F.lit(CONTEXT)))
+    following = F.when(behind.rlike(FOLLOWS_AGAINST), 0).when((behind == "") | behind.rlike(FOLLOWS_FOR), 1).otherwise(-1)
+    edges = ~previous.rlike(r"[\p{L}\p{N}]") & ~next_.rlike(r"[\p{L}\p{N}]")
+    votes = F.array(known.cast("int"), shape.cast("int"), F.when(listed, 1).otherwise(-1), F.when(before.rlike(AGAINST), 0).otherwise(-1), following, edges.cast("int"))
 
     def sort_of(c: Column) -> Column:
         return F.when(c == "", "none").when(c.rlike(r"\s"), "space").when(c.rlike(r"\p{L}"), "letter").when(c.rlike(r"\p{N}"), "number").when(c.rlike(r"[(\[{<\"']"), "open").otherwise("sign")
 
     form = F.substring(F.regexp_replace(F.regexp_replace(found, "[0-9]+", "9"), "[A-Za-z]+", "a"), 1, 12)
     marks = F.concat(*(F.instr(found, m).cast("boolean").cast("int").cast("string") for m in (" ", "-", "(", ".")))
-    values = F.array(F.concat(F.lit("f"), F.pmod(F.xxhash64(form), F.lit(64)).cast("string")), sort_of(previous), sort_of(following), F.least(n, F.lit(20)).cast("string"), marks)
+    values = F.array(F.concat(F.lit("f"), F.pmod(F.xxhash64(form), F.lit(64)).cast("string")), sort_of(previous), sort_of(next_), F.least(n, F.lit(20)).cast("string"), marks, F.concat(F.lit("w"), F.pmod(F.xxhash64(F.regexp_extract(before, r"([a-z]+)[^a-z]*$", 1)), F.lit(256)).cast("string")))
     return F.struct(kind.alias("kind"), span["start"].alias("start"), span["end"].alias("end"), base.alias("base"), votes.alias("votes"), values.alias("values"))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, text_hash, spans): the strict and the wider matches of each text with votes and features."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+def candidates(docs: DataFrame, *keep: str) -> DataFrame:
+    """docs (doc_id, text) -> (columns to keep, doc_id, text_hash, spans): the strict and the wider matches of each text with votes and features."""
+    rows = docs.select(*keep, "doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
     has = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[ -]?[0-9]){12}"), "phone": F.contains(text, F.lit("+"))}
     wide_has = {"email": ascii_lower(text).rlike(r"[(\[{]at[)\]}]"), "ip": text.rlike(r"[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"), "card": has["card"], "phone": text.rlike(r"[0-9]{3}[.-][0-9]{4}")}
-    spans = rows.select("doc_id", "text_hash", "text", *(located(text, STRICT[k], k, has[k]).alias(k) for k in KINDS), *(located(text, WIDE[k], k, wide_has[k]).alias(f"wide_{k}") for k in KINDS))
-    valid = spans.select("doc_id", "text_hash", "text", *(_only_valid(k).alias(k) for k in KINDS), *(f"wide_{k}" for k in KINDS))
+    spans = rows.select(*keep, "doc_id", "text_hash", "text", *(located(text, STRICT[k], k, has[k]).alias(k) for k in KINDS), *(located(text, WIDE[k], k, wide_has[k]).alias(f"wide_{k}") for k in KINDS))
+    valid = spans.select(*keep, "doc_id", "text_hash", "text", *(_only_valid(k).alias(k) for k in KINDS), *(f"wide_{k}" for k in KINDS))
     # A wider match counts only beside the base spans of all kinds.
     base = valid.withColumn("base", F.concat(*KINDS))
     more = F.filter(F.concat(*(f"wide_{k}" for k in KINDS)), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    both = base.select("doc_id", "text_hash", "text", "base", more.alias("more"))
+    both = base.select(*keep, "doc_id", "text_hash", "text", "base", more.alias("more"))
     voted = F.concat(F.transform("base", lambda s: _voted(text, s, F.lit(True))), F.transform("more", lambda s: _voted(text, s, F.lit(False))))
-    return both.select("doc_id", "text_hash", F.when(F.size("base") + F.size("more") > 0, voted).alias("spans"))
+    return both.select(*keep, "doc_id", "text_hash", F.when(F.size("base") + F.size("more") > 0, voted).alias("spans"))
 
 
 def reliabilities(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[str, tuple[int, ...]], float]:
@@ -179,7 +193,12 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFra
     empty text has no spans. Repeated rows get equal spans; an empty table gives no rows. Only counts of vote
     patterns and of feature values, both of bounded number, come to the driver.
     """
-    found = materialise(candidates(docs), "candidates")
+    return _judged(candidates(docs), threshold)
+
+
+def _judged(found: DataFrame, threshold: float) -> DataFrame:
+    """Candidates with the spans that stay, in order."""
+    found = materialise(found, "candidates")
     each = found.select(F.explode("spans").alias("s")).select("s.kind", "s.votes", "s.values")
     counted = each.groupBy("kind", "votes").count().collect()
     truth = reliabilities([(r.kind, tuple(r.votes), r["count"]) for r in counted])
@@ -208,7 +227,7 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFra
     kept = F.filter(F.transform("spans", scored), lambda s: s["base"] | (s["score"] >= threshold))
     final = F.transform(F.array_sort(kept), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s["score"].alias("score")))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,base:boolean,score:double>>")
-    return found.select("doc_id", "text_hash", F.when(F.col("spans").isNotNull(), final).otherwise(none).alias("spans"))
+    return found.withColumn("spans", F.when(F.col("spans").isNotNull(), final).otherwise(none))
 
 
 def spans_text(spans: Column) -> Column:
@@ -216,19 +235,23 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with all columns, each span of text replaced by [KIND]. Overlapping spans are replaced together; rows of null or repeated ids are redacted like any other."""
+def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with all columns, each span of text replaced by [KIND]. Overlapping spans are replaced together.
+
+    A row's spans go with the row itself, so rows of null or repeated ids are redacted like any other, whatever columns
+    there are; null texts stay null, and an empty table stays empty. Nothing is shuffled but counts.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    found = _judged(candidates(rows, "row"), threshold)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    spans = find_personal_data(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("pii_doc"), F.col("text_hash").alias("pii_text"), ordered.alias("pii_spans")).dropDuplicates(["pii_doc", "pii_text"])
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    text = F.col("text")
+    text = F.col("row.text")
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
         tag = F.when(s["start"] >= acc["at"], F.concat(gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["parts"], tag).alias("parts"))
 
-    done = F.aggregate("pii_spans", zero, step)
-    clean = F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text)))
-    joined = docs.withColumn("pii_hash", F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("pii_doc")) & (F.col("pii_hash") == F.col("pii_text")), "left")
-    return joined.select(*(F.when(F.col("pii_spans").isNotNull(), clean).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    done = found.select("row", F.when(F.size("spans") > 0, F.aggregate(ordered, zero, step)).alias("done"))
+    clean = F.concat(F.array_join(F.col("done.parts"), ""), F.substring(text, F.col("done.at") + 1, F.length(text)))
+    return done.select(*(F.when(F.col("done").isNotNull(), clean).otherwise(text).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -211,6 +211,38 @@ def test_wider_spans_need_evidence(spark):
     assert any(s.base for s in out[100] if s.kind == "email")
 
 
+def test_planted_spans(spark):
+    """Precision and recall of what the method adds to the base spans: national numbers and written-out addresses among look-alikes."""
+    r = __import__("random").Random(4)
+    rows, want = [], {}
+    for i in range(400):
+        number = f"{r.randint(200, 989)}-{r.randint(200, 999)}-{r.randint(1000, 9999)}"
+        kind = i % 5
+        if kind == 0:
+            x, mark = f"You can call our phone {number} or +1 {number.replace('-', ' ')} any day.", number
+        elif kind == 1:
+            x, mark = f"Tel: ({number[:3]}) {number[4:]}", f"({number[:3]}) {number[4:]}"
+        elif kind == 2:
+            x, mark = f"please write an e-mail to user{i} [at] mail{i}.com today", f"user{i} [at] mail{i}.com"
+        elif kind == 3:
+            x, mark = f"Part number ordered, serial {number}kg of it", None
+        else:
+            x, mark = f"mail a{i}@b{i}.org or phone +44 20 7946 {i:04d}", None
+        rows.append((i, x))
+        want[i] = mark
+    added = {d: {x[s.start : s.end] for s in spans if not s.base} for d, x, spans in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").select("doc_id", "text", "spans").collect()}
+    planted = [i for i in want if want[i]]
+    hits = sum(want[i] in added[i] for i in planted)
+    assert hits >= 0.9 * len(planted) and hits >= 0.95 * sum(map(len, added.values()))
+
+
+def test_redaction_keeps_rows(spark):
+    """Null and repeated ids, and columns of any name."""
+    rows = [(None, "to c@d.example", 1), (1, "to a@b.example", 2), (1, "x", 3), (2, None, 4)]
+    out = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, row int"))
+    assert sorted((str(r.doc_id), str(r.text), r["row"]) for r in out.collect()) == [("1", "to [EMAIL]", 2), ("1", "x", 3), ("2", "None", 4), ("None", "to [EMAIL]", 1)]
+
+
 def test_reliabilities_follow_the_majority():
     patterns = [("ip", (1, 1, 1, -1, 1), 90), ("ip", (0, 0, -1, 0, 0), 80), ("ip", (1, 1, -1, -1, 1), 50)]
     p = pii.reliabilities(patterns)
