@@ -186,16 +186,18 @@ def _encoder(name: str, pattern: str) -> ChunkCache:
 PIECES = "start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, limits: Limits = Limits(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, limits: Limits = Limits(), id_column: str = "doc_id", text_column: str = "text", prompt_column: str | None = None) -> DataFrame:
     """Tokenise texts, close each with ``end_id`` and pack them: one row for each piece.
 
     ``pattern`` is the one by which the byte-level tokenizer splits texts into pre-tokens.
 
     Columns: doc_id, start (ids of the document before the piece), length, ids (unsigned 32-bit
     little-endian), doc_tokens, loss_tokens, sequence_id, offset (in the sequence). Each task packs
-    its own partition, so nothing is shuffled and a lost task is simply packed again. All ids bear
-    loss but a document's first, which nothing precedes. A null or empty text is the end id alone;
-    repeated rows and null ids are packed like any other; an empty table gives no rows.
+    its own partition, so nothing is shuffled and a lost task is simply packed again. With ``prompt_column``
+    (instruction data) the prompt's ids come before the text's, encoded apart, and bear no loss. Else all ids bear
+    loss but a document's first, which nothing precedes. A null or empty text or prompt has no ids; a text without any is
+    the end id alone. Very long texts are cut; repeated rows and null ids are packed like any other; other columns
+    aren't read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -224,14 +226,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: i
             for lo in range(0, batch.num_rows, 200):
                 part, done = batch.slice(lo, 200), []
                 ids, bounds = cache.encode(part.column(1).to_pylist())
-                for key, a, b in zip(part.column(0).to_pylist(), bounds, bounds[1:]):
-                    own = np.append(ids[a:b], np.uint32(end_id))
+                before, starts = cache.encode(part.column(2).to_pylist()) if prompt_column else (ids[:0], np.zeros(part.num_rows + 1, dtype=np.int64))
+                for key, a, b, c, d in zip(part.column(0).to_pylist(), bounds, bounds[1:], starts, starts[1:]):
+                    own = np.concatenate((before[c:d], ids[a:b], [end_id])).astype(np.uint32)
                     loss = np.ones(len(own), dtype=bool)
-                    loss[0] = False
+                    loss[: max(1, d - c)] = False
                     done += packer.add(key, own, loss)
                 yield rows(done, kind)
         if kind is not None:
             yield rows(list(packer.finish()), kind)
 
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), *([F.coalesce(F.col(prompt_column), F.lit("")).alias("prompt")] if prompt_column else []))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {PIECES}")

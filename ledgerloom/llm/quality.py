@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -113,10 +114,11 @@ def fit(rows: list[tuple[str | None, int]], t: Training) -> Model:
     return Model(good, bad, w)
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, t: Training) -> list[tuple[str | None, int]]:
-    """(text, label) of bounded numbers of labelled rows, those of lowest hash, in hash order.
+def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, t: Training) -> DataFrame:
+    """(text, label, share) of bounded numbers of labelled rows, those of lowest hash (share).
 
-    A doc_id of several labels counts with each. Bound: texts + calibration rows of each label.
+    A doc_id of several labels counts with each. Bound: twice the texts + calibration rows of each label and a few more, of
+    which ``fit`` takes the first.
     """
     most = t.texts + t.calibration
     marked = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
@@ -124,14 +126,24 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, t: Training)
     share = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     few = marked.join(F.broadcast(counts), "label").withColumn("share", share).where(F.col("share") * F.col("count") <= 1.5 * most + 50)
     kept = few.orderBy("share", "doc_id", "label").limit(2 * (2 * most + 100))
-    rows = docs.select("doc_id", "text").join(kept, "doc_id").orderBy("share", "doc_id", "label", "text").select("text", "label").limit(4 * most + 200).collect()
-    seen = {0: 0, 1: 0}
-    out = []
-    for r in rows:
-        seen[r.label] += 1
-        if seen[r.label] <= most:
-            out.append((r.text, r.label))
-    return out
+    return docs.select("doc_id", "text").join(kept, "doc_id").orderBy("share", "doc_id", "label", "text").select("text", "label", "share").limit(4 * most + 200)
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str, t: Training) -> Model:
+    """A model fitted in one task on the bounded sample; the driver gets two dictionaries and six weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = {0: 0, 1: 0}, []
+        for b in batches:
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                seen[y] += 1
+                if seen[y] <= t.texts + t.calibration:
+                    rows.append((text, y))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows, t))], pa.binary())], ["model"])
+
+    rows = sample_labelled(docs, labels, label, t).repartition(1).sortWithinPartitions("share", "label", "text")
+    made = rows.mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0].model) if made else fit([], t)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "quality", training: Training = Training()) -> DataFrame:
@@ -141,12 +153,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, label:
     ``learn_from`` (a condition on doc_id) holds. Each whole text is compressed under both, piece by piece;
     the difference of the sizes, as a share of their sum, is calibrated to the probability of label 1. A null
     or empty text has difference 0 and the score that the calibrator gives to it. Without labels of both
-    kinds the score is the labels' own share. Nothing else of a row is read; repeated rows score alike.
+    kinds the score is the labels' own share. Nothing else of a row is read; repeated rows score alike, very long texts
+    are compressed whole, and an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     t = training
-    model = fit(sample_labelled(docs.where(learn_from), labels.where(learn_from), label, t), t)
+    model = learn(docs.where(learn_from), labels.where(learn_from), label, t)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -345,6 +345,50 @@ def test_packing(docs, odd, none, limits):
     assert packing.pack_documents(none, path, P.PATTERN).count() == 0
 
 
+def test_packing_of_instructions(spark):
+    """Conversations: prompts bear no loss, and the limit on loss-bearing tokens closes sequences that have room for more tokens."""
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    said = turns.groupBy("conv_id").agg(F.concat_ws(" ", F.collect_list(F.when(F.col("role") == "user", F.col("text")))).alias("asked"), F.concat_ws(" ", F.collect_list(F.when(F.col("role") != "user", F.col("text")))).alias("answer"))
+    limits = packing.Limits(512, 8, 120)
+    rows = packing.pack_documents(said, P.path("byte_bpe_50k.json"), P.PATTERN, limits=limits, id_column="conv_id", text_column="answer", prompt_column="asked").collect()
+    by_doc, by_seq = _check_packing(rows, limits)
+    full = [s for s in by_seq.values() if sum(r.loss_tokens for r in s) == limits.loss]
+    assert any(sum(r.length for r in s) < limits.tokens and len(s) < limits.segments for s in full)
+    from tokenizers import Tokenizer
+
+    encode = lambda x: Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(x, add_special_tokens=False).ids
+    for r in said.limit(20).collect():
+        own = sorted(by_doc[r.conv_id], key=lambda p: p.start)
+        assert np.frombuffer(b"".join(bytes(p.ids) for p in own), "<u4").tolist() == [*encode(r.asked), *encode(r.answer), 1]
+        assert sum(p.loss_tokens for p in own) == len(encode(r.answer)) + 1 - (not r.asked)
+
+
+def test_registered_tokenizer_queries(spark, sf, docs):
+    """op6's digests against tiktoken, op9's checksums against the tokenizer, op5's columns at its own threshold."""
+    import base64
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from ledgerloom.llm import queries
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    codec = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tokenizer, by_id = Tokenizer.from_file(P.path("byte_bpe_50k.json")), texts(docs)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for r in queries.op6_byte_bpe(spark, sf).collect():
+        ids = codec.encode_ordinary(by_id[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids)).encode()), sha((by_id[r.doc_id] or "").encode()))
+    for r in queries.op9_packing(spark, sf).collect():
+        ids = np.array([*tokenizer.encode(by_id[r.doc_id] or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        assert r.doc_tokens == len(ids) and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    more = "/root/testdata/sf0.01"
+    out = queries.op5_compression_quality(spark, more).join(spark.read.parquet(f"{more}/labels.parquet"), "doc_id").collect()
+    assert all(r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
+    assert np.mean([r.predicted == r.quality for r in out if r.held_out]) > 0.9
+
+
 def test_language_id(spark, docs, odd, none):
     model = langid.learn(docs, common.crc_mod("doc_id", 5) != 0, langid.Training(texts=40, steps=30))
     out = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(common.crc_mod("doc_id", 5) == 0).collect()
