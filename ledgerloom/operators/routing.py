@@ -22,11 +22,14 @@ def label_sources(present: DataFrame, priority: DataFrame) -> DataFrame:
     return named.select("artifact_id", "field", "source", F.char(F.row_number().over(w) + 64).alias("letter"))
 
 
-def _line(text: Column, label: Column) -> Column:
-    """What a label's first line says; null without such a line. Labels are of letters and underscores."""
-    lines = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\*", ""), "\n", -1), lambda x: F.startswith(strip(x), label) & F.startswith(strip(F.substring(strip(x), F.length(label) + 1, F.lit(1 << 30))), F.lit(":")))
-    said = strip(F.substring(F.get(lines, F.lit(0)), F.instr(F.get(lines, F.lit(0)), ":") + 1, F.lit(1 << 30)))
-    return F.when(said != "", said)
+def report_lines(text: Column) -> Column:
+    """A report as a map of its labels to what their first lines say; labels are of capitals and underscores, asterisks are left out."""
+    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\*", ""), "\n", -1)
+    form = r"(?U)^\s*([A-Z_]+)\s*:\s*(.*?)\s*$"
+    said = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, form, 1).alias("label"), F.regexp_extract(x, form, 2).alias("said")))
+    said = F.filter(said, lambda x: (x["label"] != "") & (x["said"] != ""))
+    labels = F.transform(said, lambda x: x["label"])
+    return F.map_from_entries(F.filter(said, lambda x, i: F.array_position(labels, x["label"]) == i + 1))
 
 
 def _claim(said: Column) -> Column:
@@ -42,15 +45,45 @@ def _narrative(said: Column) -> Column:
 def parse_report(reports: DataFrame) -> DataFrame:
     """reports (keys..., text, letters array<struct<letter, source>>) -> with claims, internal and external.
 
-    claims: map of source to claim or null; internal: map of self-contradicting sources; external: array of
+    A report is taken apart once; labels are CLAIM_A, CONFLICT_WITHIN_A and CONFLICT_A_VS_B. claims: map of source to claim or null; internal: map of self-contradicting sources; external: array of
     (sources, description), pairs in letter order.
     """
-    s = F.col("letters")
-    text = F.col("text")
-    claims = F.map_from_entries(F.transform(s, lambda x: F.struct(x["source"].alias("key"), _claim(_line(text, F.concat(F.lit("CLAIM_"), x["letter"]))).alias("value"))))
-    within = F.transform(s, lambda x: F.struct(x["source"].alias("key"), _narrative(_line(text, F.concat(F.lit("CONFLICT_WITHIN_"), x["letter"]))).alias("value")))
-    pairs = F.flatten(F.transform(s, lambda a: F.transform(F.filter(s, lambda b: b["letter"] > a["letter"]), lambda b: F.struct(F.array(a["source"], b["source"]).alias("sources"), _narrative(_line(text, F.concat(F.lit("CONFLICT_"), a["letter"], F.lit("_"), b["letter"]))).alias("description")))))
-    return reports.withColumns({"claims": claims, "internal": F.map_from_entries(F.filter(within, lambda x: x["value"].isNotNull())), "external": F.filter(pairs, lambda x: x["description"].isNotNull())})
+    s, says = F.col("letters"), lambda *label: F.try_element_at("said_by_label", F.concat(*label))
+    claims = F.map_from_entries(F.transform(s, lambda x: F.struct(x["source"].alias("key"), _claim(says(F.lit("CLAIM_"), x["letter"])).alias("value"))))
+    within = F.transform(s, lambda x: F.struct(x["source"].alias("key"), _narrative(says(F.lit("CONFLICT_WITHIN_"), x["letter"])).alias("value")))
+    pair = lambda a, b: F.struct(F.array(a["source"], b["source"]).alias("sources"), _narrative(says(F.lit("CONFLICT_"), a["letter"], F.lit("_VS_"), b["letter"])).alias("description"))
+    pairs = F.flatten(F.transform(s, lambda a: F.transform(F.filter(s, lambda b: b["letter"] > a["letter"]), lambda b: pair(a, b))))
+    taken = reports.withColumn("said_by_label", report_lines(F.col("text")))
+    return taken.withColumns({"claims": claims, "internal": F.map_from_entries(F.filter(within, lambda x: x["value"].isNotNull())), "external": F.filter(pairs, lambda x: x["description"].isNotNull())}).drop("said_by_label")
+
+
+def legacy_strings(audits: DataFrame) -> DataFrame:
+    """audits (internal, external) -> with internal_conflict and external_conflict: ``Yes: ...; ...`` or ``No``."""
+    within = F.transform(F.map_entries("internal"), lambda e: F.concat(e["key"], F.lit(" \u2014 "), e["value"]))
+    said = lambda parts: F.when(F.size(parts) > 0, F.concat(F.lit("Yes: "), F.array_join(parts, "; "))).otherwise("No")
+    return audits.withColumns({"internal_conflict": said(within), "external_conflict": said(F.transform("external", lambda x: x["description"]))})
+
+
+def groups(chunks: DataFrame, priority: DataFrame) -> DataFrame:
+    """Retrieved chunks (artifact_id, field, source, text, rank) -> (artifact_id, field, groups array<struct<letter, source, texts>>).
+
+    Sources get letters by priority, then by name; chunks without a source or of an unknown one are in no group.
+    """
+    letters = label_sources(chunks.select("artifact_id", "field", "source"), priority)
+    own = chunks.join(letters, ["artifact_id", "field", "source"]).groupBy("artifact_id", "field", "letter", "source").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("c"))
+    group = F.struct("letter", "source", F.transform("c", lambda x: x["text"]).alias("texts"))
+    return own.groupBy("artifact_id", "field").agg(F.sort_array(F.collect_list(group)).alias("groups"))
+
+
+def audit(grouped: DataFrame, reports: DataFrame) -> DataFrame:
+    """groups and their detector's reports (artifact_id, field, text) -> with claims, internal, external and the legacy strings.
+
+    One group or none has nothing to contradict: its claims are null, whatever a report says; so are those without a report
+    (of a prompt that was too long).
+    """
+    letters = F.transform("groups", lambda g: F.struct(g["letter"].alias("letter"), g["source"].alias("source")))
+    rows = grouped.join(reports.select("artifact_id", "field", "text"), ["artifact_id", "field"], "left").withColumn("letters", letters)
+    return legacy_strings(parse_report(rows.withColumn("text", F.when(F.size("groups") > 1, F.col("text"))))).drop("letters", "text")
 
 
 def select_sources(audits: DataFrame) -> DataFrame:

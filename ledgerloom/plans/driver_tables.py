@@ -45,7 +45,7 @@ def order_detector_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = event_claims(spark, sf_dir).groupBy("artifact_id").agg(F.sort_array(F.collect_list(F.struct("ord", "source", "value"))).alias("c"))
     letter = lambda o: F.char(o + 65)
     claims = F.transform("c", lambda x: F.concat(F.lit("**CLAIM_"), letter(x["ord"]), F.lit(":** "), F.when(x["value"] == "error", "No relevant information.").otherwise(F.concat(F.lit('"'), x["value"], F.lit('."')))))
-    pairs = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: b["ord"] > a["ord"]), lambda b: F.concat(F.lit("CONFLICT_"), letter(a["ord"]), F.lit("_"), letter(b["ord"]), F.lit(": "), F.when(a["value"] == b["value"], "No").otherwise(F.concat(F.lit("Yes: "), a["value"], F.lit(" or "), b["value"]))))))
+    pairs = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: b["ord"] > a["ord"]), lambda b: F.concat(F.lit("CONFLICT_"), letter(a["ord"]), F.lit("_VS_"), letter(b["ord"]), F.lit(": "), F.when(a["value"] == b["value"], "No").otherwise(F.concat(F.lit("Yes: "), a["value"], F.lit(" or "), b["value"]))))))
     within = F.transform("c", lambda x: F.concat(F.lit("CONFLICT_WITHIN_"), letter(x["ord"]), F.lit(": "), F.when(F.length(x["value"]) == 4, "Yes").otherwise("No")))
     letters = F.transform("c", lambda x: F.struct(letter(x["ord"]).alias("letter"), x["source"].alias("source")))
     return c.select("artifact_id", F.array_join(F.concat(claims, within, pairs), "\n").alias("text"), letters.alias("letters"))

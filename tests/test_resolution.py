@@ -130,7 +130,7 @@ def audit(spark, text, sources=("hub", "paper", "repo")):
 
 
 def test_report(spark):
-    text = '**CLAIM_A:** "MIT".\nCLAIM_B: No relevant information\n CLAIM_C : \'Apache\'\nCONFLICT_WITHIN_C: Yes: two\nCONFLICT_A_C: yes\nCONFLICT_A_B: No\nCONFLICT_A_Z: Yes'
+    text = '**CLAIM_A:** "MIT".\nCLAIM_B: No relevant information\n CLAIM_C : \'Apache\'\nCONFLICT_WITHIN_C: Yes: two\nCONFLICT_A_VS_C: yes\nCONFLICT_A_VS_B: No\nCONFLICT_A_VS_Z: Yes'
     r = audit(spark, text).first()
     assert r.claims["paper"] is None and r.claims["repo"] == "Apache" and r.internal == {"repo": "two"}
     assert [(x.sources, x.description) for x in r.external] == [(["hub", "repo"], "Yes")]
@@ -145,12 +145,12 @@ SPEAK = "CLAIM_A: x\nCLAIM_B: y\nCLAIM_C: z\n"
     ("text", "chunks", "kept", "selected"),
     [
         (SPEAK, 4, {"hub", "paper", "repo"}, ["hub", "paper", "repo"]),
-        ("CLAIM_A: x\nCLAIM_B: y\nCONFLICT_A_B: Yes", 4, {"hub"}, ["hub"]),
-        (SPEAK + "CONFLICT_A_B: Yes\nCONFLICT_A_C: Yes", 4, {"paper", "repo"}, ["paper", "repo"]),
-        (SPEAK + "CONFLICT_A_B: Yes\nCONFLICT_A_C: Yes\nCONFLICT_B_C: Yes", 4, {"hub"}, ["hub"]),
+        ("CLAIM_A: x\nCLAIM_B: y\nCONFLICT_A_VS_B: Yes", 4, {"hub"}, ["hub"]),
+        (SPEAK + "CONFLICT_A_VS_B: Yes\nCONFLICT_A_VS_C: Yes", 4, {"paper", "repo"}, ["paper", "repo"]),
+        (SPEAK + "CONFLICT_A_VS_B: Yes\nCONFLICT_A_VS_C: Yes\nCONFLICT_B_VS_C: Yes", 4, {"hub"}, ["hub"]),
         (SPEAK + "CONFLICT_WITHIN_A: Yes", 4, {"paper", "repo"}, ["paper", "repo"]),
         (SPEAK + "CONFLICT_WITHIN_A: Yes\nCONFLICT_WITHIN_B: Yes\nCONFLICT_WITHIN_C: Yes", 4, {"hub", "paper", "repo"}, ["hub", "paper", "repo"]),
-        (SPEAK + "CONFLICT_A_B: Yes\nCONFLICT_A_C: Yes\nCONFLICT_B_C: Yes", 1, {"hub", "paper", "repo"}, ["hub", "paper", "repo"]),
+        (SPEAK + "CONFLICT_A_VS_B: Yes\nCONFLICT_A_VS_C: Yes\nCONFLICT_B_VS_C: Yes", 1, {"hub", "paper", "repo"}, ["hub", "paper", "repo"]),
         ("", 4, {"hub", "paper", "repo"}, []),
     ],
 )
