@@ -45,7 +45,9 @@ def by_artifact(bom_fields: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def _node(rows: DataFrame, kind: str, node_id: Column, properties: list[Column]) -> DataFrame:
-    own = F.struct(F.lit(kind).alias("type"), node_id.alias("spdxId" if kind != "CreationInfo" else "@id"), *properties)
+    """Every element but the creation info itself refers to it."""
+    info = [] if kind == "CreationInfo" else [element_id("CreationInfo", "creation").alias("creationInfo")]
+    own = F.struct(F.lit(kind).alias("type"), node_id.alias("spdxId" if kind != "CreationInfo" else "@id"), *info, *properties)
     return rows.select(F.col("artifact_id").alias("doc_id"), node_id.alias("node_id"), F.lit(kind).alias("type"), F.to_json(own).alias("payload"))
 
 
@@ -123,12 +125,12 @@ def documents(rows: DataFrame, kind: str, created: Column) -> tuple[DataFrame, D
     license_id = element_id("License", "license")
     nodes = [
         _node(rows, "CreationInfo", info, [F.lit("3.0.1").alias("specVersion"), F.array(element_id("Person", "person")).alias("createdBy"), created.alias("created")]),
-        _node(rows, "Person", element_id("Person", "person"), [info.alias("creationInfo"), F.lit("BOM generator").alias("name")]),
-        _node(rows, "Organization", element_id("Organization", "organization"), [info.alias("creationInfo"), who.alias("name")]),
-        _node(rows, "SpdxDocument", element_id("Document", "document"), [info.alias("creationInfo"), profile.alias("profileConformance"), F.array(element_id("Bom", "bom")).alias("rootElement")]),
-        _node(rows, "Bom", element_id("Bom", "bom"), [info.alias("creationInfo"), profile.alias("profileConformance"), F.array(package).alias("rootElement")]),
+        _node(rows, "Person", element_id("Person", "person"), [F.lit("BOM generator").alias("name")]),
+        _node(rows, "Organization", element_id("Organization", "organization"), [who.alias("name")]),
+        _node(rows, "SpdxDocument", element_id("Document", "document"), [profile.alias("profileConformance"), F.array(element_id("Bom", "bom")).alias("rootElement")]),
+        _node(rows, "Bom", element_id("Bom", "bom"), [profile.alias("profileConformance"), F.array(package).alias("rootElement")]),
         (ai_packages if ai else data_packages)(rows, created),
-        _node(rows, "simplelicensing_LicenseExpression", license_id, [info.alias("creationInfo"), F.coalesce(_value("license"), F.lit("NOASSERTION")).alias("simplelicensing_licenseExpression")]),
+        _node(rows, "simplelicensing_LicenseExpression", license_id, [F.coalesce(_value("license"), F.lit("NOASSERTION")).alias("simplelicensing_licenseExpression")]),
     ]
     edges = None
     for relation in ("hasConcludedLicense", "hasDeclaredLicense"):
@@ -146,7 +148,8 @@ def documents(rows: DataFrame, kind: str, created: Column) -> tuple[DataFrame, D
 
 def rendered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, json): each document's elements and relationships as one graph."""
-    edge = F.struct(F.lit("Relationship").alias("type"), F.col("edge_id").alias("spdxId"), F.col("rel_type").alias("relationshipType"), F.col("from_id").alias("from"), F.array("to_id").alias("to"))
-    all_ = nodes.select("doc_id", F.lit(0).alias("part"), F.col("node_id").alias("id"), "payload").unionByName(edges.select("doc_id", F.lit(1).alias("part"), F.col("edge_id").alias("id"), F.to_json(edge).alias("payload")))
+    info = element_id("CreationInfo", "creation").alias("creationInfo")
+    edge = F.struct(F.lit("Relationship").alias("type"), F.col("edge_id").alias("spdxId"), info, F.col("rel_type").alias("relationshipType"), F.col("from_id").alias("from"), F.array("to_id").alias("to"))
+    all_ = nodes.select("doc_id", F.lit(0).alias("part"), F.col("node_id").alias("id"), "payload").unionByName(edges.withColumn("artifact_id", F.col("doc_id")).select("doc_id", F.lit(1).alias("part"), F.col("edge_id").alias("id"), F.to_json(edge).alias("payload")))
     g = all_.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("part", "id", "payload"))).alias("e"))
     return g.select("doc_id", F.concat(F.lit(f'{{"@context":"{CONTEXT}","@graph":['), F.array_join(F.transform("e", lambda x: x["payload"]), ","), F.lit("]}")).alias("json"))

@@ -302,12 +302,12 @@ select cast(min(depth) as integer) as depth, node from w group by node having mi
 @_query(_WALK.format(depth=5))
 def dependency_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = spark.createDataFrame([(1,)], "node long")
-    return graph.walk(dt.part_edges(spark, sf_dir), roots, depth=5, cap=None)[0].select("depth", "node")
+    return graph.walk(dt.part_edges(spark, sf_dir), roots, depth=5, cap=None).nodes.select("depth", "node")
 
 
 @_query()
 def bfs_safety_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.walk(dt.part_edges(spark, sf_dir), spark.createDataFrame([(1,)], "node long"), depth=5, cap=5)[0]
+    return graph.walk(dt.part_edges(spark, sf_dir), spark.createDataFrame([(1,)], "node long"), depth=5, cap=5).nodes
 
 
 @_query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem)")

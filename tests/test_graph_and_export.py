@@ -36,6 +36,40 @@ def test_cap(spark):
     assert [t for _, _, t, _ in walk(spark, chain, depth=20, cap=5, root="m0")[1]] == [f"m{i}" for i in range(1, 6)]
 
 
+def test_audit_of_a_walk(spark):
+    chain = [(f"m{i}", "modelLineage", f"m{i + 1}; x{i}") for i in range(6)]
+    out, nodes = walk(spark, chain, depth=20, cap=5, root="m0")
+    assert [t for _, _, t, _ in nodes] == ["m1", "x0", "m2", "x1", "m3"]
+    assert sorted((r.target, r.depth) for r in out["skipped"].collect()) == [("m4", 4), ("x2", 3), ("x3", 4)] and {r.reason for r in out["skipped"].collect()} == {"safety-cap-reached"}
+    assert tuple(out["summary"].first()) == (5, 3, False) and [r.key for r in out["visited"].collect()] == ["ai:m0", "ai:m1", "ai:m2", "ai:m3", "ai:x0", "ai:x1"]
+    out, _ = walk(spark, chain, depth=2, root="m0")
+    assert tuple(out["summary"].first()) == (4, 2, False)
+    out, _ = walk(spark, chain, depth=9, root="m0")
+    assert tuple(out["summary"].first()) == (12, 6, True)
+    assert tuple(graph.enriched_count(out["nodes"]).first()) == (12, 5)
+    assert walk(spark, chain, depth=0, root="m0")[1] == []
+
+
+def test_enrichment_asks_for_each_level(spark):
+    asked = []
+    more = {"b": [("b", "modelLineage", "c", None)], "c": [("c", "trainedOnDatasets", "d", None)]}
+
+    def enrich(fresh):
+        names = sorted(r.parent for r in fresh.collect())
+        asked.append(names)
+        return spark.createDataFrame([x for n in names for x in more.get(n, [])], REL)
+
+    c = spark.createDataFrame([("m", "modelLineage", "b", None), ("other", "trainedOnDatasets", "z", ("x", "repo", "inter", None, None, None))], REL)
+    out = graph.recursive_walk(spark.createDataFrame([("m",)], "parent string"), c, 5, 50, enrich)
+    assert [(r.depth, r.target, r.enriched) for r in out["nodes"].orderBy("seq").collect()] == [(1, "b", True), (2, "c", True), (3, "d", False)]
+    assert asked[:3] == [["m"], ["b"], ["c"]] and out["skipped"].count() == 0  # parents that aren't visited are not audited
+    seeds = {(r.artifact_id, r.field): r.value for r in graph.seed_children(out["nodes"]).collect()}
+    assert seeds["d", "dataset_id"] == "d" and seeds["b", "relationship"] == "dependsOn of m"
+    known = spark.createDataFrame([("ai", "B", "org/b", 1), ("ai", "b", "late/b", 2)], "kind string, name string, identifier string, pos int")
+    nodes = spark.createDataFrame([("b", "ai"), ("o/n", "ai"), ("none", "data")], "target string, kind string")
+    assert {r.target: r.identifier for r in graph.resolve_names(nodes, known).collect()} == {"b": "org/b", "o/n": "o/n", "none": None}
+
+
 def test_contested_fields_lead_nowhere(spark):
     c = spark.createDataFrame([("m", "modelLineage", "b", None), ("m", "trainedOnDatasets", "d", ("x", "repo", "inter", None, None, None)), ("m", "testedOnDatasets", "t", (None, None, None, None, "No", "No"))], REL)
     out = graph.recursive_walk(spark.createDataFrame([("m",)], "parent string"), c)
@@ -46,8 +80,8 @@ def test_partitions_do_not_matter(spark):
     edges = [(i, p, (i * 7 + p * 3) % 97) for i in range(97) for p in range(2)]
     df = spark.createDataFrame(edges, "parent long, pos int, target long")
     root = spark.createDataFrame([(1,)], "node long")
-    want = sorted(map(tuple, graph.walk(df.coalesce(1), root, 6, 40)[0].collect()))
-    assert sorted(map(tuple, graph.walk(df.repartition(7), root, 6, 40)[0].collect())) == want
+    want = sorted(map(tuple, graph.walk(df.coalesce(1), root, 6, 40).nodes.collect()))
+    assert sorted(map(tuple, graph.walk(df.repartition(7), root, 6, 40).nodes.collect())) == want
 
 
 def bom(spark, values, kind="ai"):
@@ -69,6 +103,8 @@ def test_spdx_ai(spark):
     assert p["software_downloadLocation"] == "NOASSERTION" and by["Organization"]["name"] == "Org" and by["simplelicensing_LicenseExpression"]["simplelicensing_licenseExpression"] == "MIT"
     assert sorted(r.rel_type for r in edges.collect()) == ["dependsOn", "hasConcludedLicense", "hasDeclaredLicense", "trainedOn", "trainedOn"]
     whole = json.loads(spdx.rendered(nodes, edges).first().json)
+    info = next(x["@id"] for x in whole["@graph"] if x["type"] == "CreationInfo")
+    assert all(x["creationInfo"] == info for x in whole["@graph"] if x["type"] != "CreationInfo")
     assert set(whole) == {"@context", "@graph"} and len(whole["@graph"]) == 7 + 3 + 5
     ids = [r.node_id for r in nodes.collect()]
     assert ids == [r.node_id for r in spdx.documents(rows, "ai", NOW())[0].collect()] and len(set(ids)) == len(ids)
@@ -139,6 +175,21 @@ def test_bundle(spark):
     assert {r.node_id for r in n.collect()} == {"r", "k"} and [tuple(r) for r in e.collect()] == [("urn:spdx:Relationship-trainedOn-squad-d1", "trainedOn", "r", "k")]
 
 
+def test_bundle_with_edges_of_children(spark):
+    shared = lambda d: [(d, f"{d}-info", "CreationInfo", None, "{}"), (d, f"{d}-org", "Organization", "o", "{}")]
+    schema = "doc_id string, node_id string, type string, name string, payload string"
+    parent = spark.createDataFrame([*shared("p"), ("p", "r", "ai_AIPackage", "root", "{}")], schema)
+    kids = spark.createDataFrame([*shared("k"), ("k", "kr", "ai_AIPackage", "kid", '{"by":"k-org","info":"k-info"}'), ("k", "kl", "License", None, "{}")], schema)
+    none = spark.createDataFrame([], "edge_id string, rel_type string, from_id string, to_id string")
+    edges = spark.createDataFrame([("k", "ke", "hasLicense", "kr", "kl"), ("k", "kf", "by", "kr", "k-org")], "doc_id string, edge_id string, rel_type string, from_id string, to_id string")
+    links = spark.createDataFrame([("dependsOn", "nobody", "Kid", 1), ("dependsOn", "root", "absent", 1)], "rel_type string, from_name string, to_name string, depth int")
+    n, e = graph.link_bundle(parent, none, kids, links, edges, "r")
+    assert {r.node_id: r.payload for r in n.collect()}["kr"] == '{"by":"p-org","info":"p-info"}' and n.count() == 5
+    assert {tuple(r) for r in e.collect()} == {("ke", "hasLicense", "kr", "kl"), ("kf", "by", "kr", "p-org"), ("urn:spdx:Relationship-dependsOn-Kid-d1", "dependsOn", "r", "kr")}
+    walked = spark.createDataFrame([(1, True)], "deepest int, exhausted boolean")
+    assert tuple(graph.bundle_summary(n, e, walked).first()) == (8, 1, 1, True)
+
+
 def test_fusion(spark):
     rank = lambda ids: spark.createDataFrame([(0, d, i + 1) for i, d in enumerate(ids)], "q int, doc_id int, rank int")
     got = {r.doc_id: r.rrf for r in retrieval.fuse([rank([7, 8, 9]), rank([1, 2, 7])], ("q",)).collect()}
