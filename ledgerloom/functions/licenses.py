@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .scalars import literal_map, normalize_default, strip
 
@@ -61,3 +65,14 @@ def license_in_text(c: Column) -> Column:
         return F.when(F.length(x).between(3, 80), x)
 
     return F.coalesce(*map(found, STATEMENTS))
+
+
+def license_similarity(a: Column, b: Column) -> Column:
+    """1 if both are the same licence, 0 if one is missing, else the share of characters in matching blocks of their names."""
+    x, y = normalize_license(a), normalize_license(b)
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(_matching(x, y))
+
+
+@F.pandas_udf(DoubleType())
+def _matching(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype=float)

@@ -137,11 +137,46 @@ def slug(c: Column, default: str = "related-artifact") -> Column:
     return F.when(own == "", F.lit(default)).otherwise(own)
 
 
-def artifact_key(hub_id: Column, url: Column) -> Column:
-    """A file-safe id: the hub id, else the last two parts of a URL."""
+def artifact_key(hub_id: Column, url: Column, otherwise: Column | None = None) -> Column:
+    """A file-safe id: the hub id, else the last two parts of a URL, else what is given (a dated name, say)."""
     parts = F.filter(F.split(F.regexp_replace(url, "[?#].*$", ""), "/"), lambda x: x != "")
     last = F.array_join(F.slice(parts, -2, 2), "_")
-    return F.translate(F.coalesce(missing_to_null(hub_id), F.when(F.size(parts) >= 2, last)), "/ ", "__")
+    found = F.coalesce(missing_to_null(hub_id), F.when(F.size(parts) >= 2, last))
+    return F.translate(found if otherwise is None else F.coalesce(found, otherwise), "/ ", "__")
+
+
+def dataset_key(hub_url: Column, repository_url: Column, otherwise: Column | None = None) -> Column:
+    """A file-safe id of a dataset: its hub id, else its repository's path."""
+    found = F.coalesce(hub_id(hub_url), repository_path(repository_url))
+    return F.translate(found if otherwise is None else F.coalesce(found, otherwise), "/", "_")
+
+
+def clean_number(c: Column) -> Column:
+    """Null for what is not a number."""
+    return F.when(~F.isnan(c), c)
+
+
+def rendered(template: Column, values: Mapping[str, Column]) -> Column:
+    """A template with each {name} replaced as it stands; nulls give ''."""
+    out = template
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
+    return out
+
+
+def named_in_list(items: Column) -> Column:
+    """``named_entities`` of a list's entries."""
+    return named_entities(F.array_join(items, "\n"))
+
+
+def named_in_map(values: Column) -> Column:
+    """``named_entities`` of a map's values, in the order of its keys."""
+    return named_in_list(F.transform(F.array_sort(F.map_entries(values)), lambda e: e["value"]))
+
+
+def map_entries(values: Column) -> Column:
+    """Key-value entries of a map, in the order of its keys."""
+    return F.transform(F.array_sort(F.map_entries(values)), lambda e: F.struct(F.lit("DictionaryEntry").alias("type"), e["key"].alias("key"), e["value"].alias("value")))
 
 
 def path_segments(url: Column) -> Column:

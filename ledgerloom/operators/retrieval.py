@@ -88,13 +88,13 @@ def bm25(queries: DataFrame, docs: DataFrame, on: tuple[str, ...] = (), floor: b
     weight becomes a share of the corpus's mean weight. Only terms of queries are kept of the documents, before any shuffle.
     """
     keys = list(on)
-    listed = docs.select(*on, "doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    sized = listed.select(*on, "doc_id", "t", F.size("t").alias("length"))
+    sized = docs.select(*on, "doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t")).select(*on, "doc_id", "t", F.size("t").alias("length"))
     stats = sized.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     asked = queries.select("query_id", *on, F.explode("terms").alias("term")).groupBy("query_id", *on, "term").agg(F.count("*").alias("times"))
     words = sized.select(*on, "doc_id", "length", F.explode("t").alias("term"))
     if floor:
-        df_all = words.groupBy(*keys, "term").agg(F.countDistinct("doc_id").alias("df"))
+        # A document's word counts once, so counting is partial before the shuffle.
+        df_all = sized.select(*on, F.explode(F.array_distinct("t")).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("df"))
         with_n = df_all.join(stats, keys) if keys else df_all.crossJoin(F.broadcast(stats))
         raw = with_n.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         mean_idf = raw.groupBy(*keys).agg(F.avg("idf").alias("mean_idf"))
@@ -111,13 +111,17 @@ def bm25(queries: DataFrame, docs: DataFrame, on: tuple[str, ...] = (), floor: b
 
 
 def bm25_top(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, on: tuple[str, ...] = (), floor: bool = True) -> DataFrame:
-    """The k best of ``bm25`` with ranks; documents without a term score 0 and fill up by id."""
+    """The k best of ``bm25`` with ranks; in a corpus (``on``), documents without a term score 0 and fill up by id. Without corpora only
+    documents with a term are ranked."""
     scored = bm25(queries, docs, on, floor)
     w = Window.partitionBy("query_id", *on).orderBy(F.desc("score"), "doc_id")
     if on:
-        # The k lowest ids of each corpus are enough to fill up with.
-        first = docs.select(*on, "doc_id").withColumn("n", F.row_number().over(Window.partitionBy(*on).orderBy("doc_id"))).where(F.col("n") <= 2 * k).drop("n")
-        zero = queries.select("query_id", *on).join(first, list(on)).join(scored.select("query_id", *on, "doc_id"), ["query_id", *on, "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+        # As many others as there are ranks could fill up; the lowest ids of those are enough.
+        keys = ["query_id", *on]
+        corpus = docs.select(*on, "doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
+        least = Window.partitionBy(*keys).orderBy("doc_id")
+        zero = corpus.join(queries.select(*keys, "terms"), list(on)).where(~F.arrays_overlap("t", "terms")).select(*keys, "doc_id")
+        zero = zero.withColumn("n", F.row_number().over(least)).where(F.col("n") <= k).select(*keys, "doc_id", F.lit(0.0).alias("score"))
         scored = scored.unionByName(zero)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

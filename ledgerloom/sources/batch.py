@@ -48,6 +48,20 @@ def write_documents(documents: DataFrame, path: str) -> None:
     documents.select("kind", F.col("json").alias("value")).write.partitionBy("kind").text(path)
 
 
+def write_combined(documents: DataFrame, path: str) -> None:
+    """documents (kind, artifact_id, json) as one JSON array for each kind, put together from sorted lines; meant for batches."""
+    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("artifact_id", "json"))), lambda x: x["json"]), ",")
+    documents.groupBy("kind").agg(F.concat(F.lit("["), rows, F.lit("]")).alias("value")).write.partitionBy("kind").text(path)
+
+
+def batch_records(bom_fields: DataFrame, kind: str) -> DataFrame:
+    """(artifact_id, record): kind, number of filled fields and the fields by section, as a batch reports them."""
+    one = F.struct("field", F.struct("value", "source", F.col("conflict.value").alias("conflict")))
+    sections = bom_fields.groupBy("artifact_id", "section").agg(F.map_from_entries(F.sort_array(F.collect_list(one))).alias("fields"), F.count_if(missing_to_null(F.col("value")).isNotNull()).alias("filled"))
+    whole = sections.groupBy("artifact_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "fields")))).alias("sections"), F.sum("filled").alias("filled"))
+    return whole.select("artifact_id", F.struct(F.lit(kind).alias("kind"), F.lit("ok").alias("status"), "filled", "sections").alias("record"))
+
+
 def csv_row(wide: DataFrame, fields: Sequence[str]) -> DataFrame:
     """A wide view with <field> and <field>_sources in order, and words in empty cells."""
     cells = [F.coalesce(missing_to_null(F.col(f)), F.lit(NOT_FOUND)).alias(f) for f in fields]

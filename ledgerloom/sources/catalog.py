@@ -27,3 +27,11 @@ def default_model(models: DataFrame, fallback: str) -> str:
     """The best free model's id."""
     best = ranked(free_models(models)).where("place = 1").select("id").first()
     return best.id if best else fallback
+
+
+def or_curated(models: DataFrame, curated: list[tuple[str, str, str]]) -> DataFrame:
+    """The catalog, or the curated rows (id, name, context_length) in their order if it is empty."""
+    if not models.isEmpty():
+        return models
+    rows = models.sparkSession.createDataFrame([(i, n, c, None, p) for p, (i, n, c) in enumerate(curated)], f"{MODEL}, pos int")
+    return rows.select(*(F.col(c).cast(models.schema[c].dataType).alias(c) for c in models.columns))

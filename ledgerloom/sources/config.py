@@ -97,6 +97,30 @@ def read_spec(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), strip(F.regexp_extract(v, r"(?m)^# (.+)$", 1)).alias("name"), section("Summary").alias("summary"), section("Description").alias("description"))
 
 
+def master_counts(master: DataFrame) -> DataFrame:
+    """(entries, mapped, internal): of a master bank's entries, those with a specification page and those of our own."""
+    return master.agg(F.count("*").alias("entries"), F.count_if("mapped").alias("mapped"), F.count_if(~F.col("mapped")).alias("internal"))
+
+
+def spec_pages(spec: DataFrame, base: str) -> DataFrame:
+    """read_spec's rows with prefixed name and page URL, from the folders namespace/kind that the file lies in."""
+    parts = F.split(F.regexp_replace("path", r"\.md$", ""), "/")
+    namespace, kind, page = (F.element_at(parts, i) for i in (-3, -2, -1))
+    prefix = F.lower(namespace)
+    return spec.withColumns({"prefixed": F.when(prefix == "core", F.col("name")).otherwise(F.concat(prefix, F.lit("_"), "name")), "url": F.concat_ws("/", F.lit(base.rstrip("/")), namespace, kind, page)})
+
+
+def write_spec(spec: DataFrame, path: str) -> None:
+    """Pages as JSON lines, and an index of names and URLs beside them."""
+    spec.select(F.to_json(F.struct(*spec.columns), {"ignoreNullFields": "false"}).alias("value")).write.text(f"{path}/pages")
+    spec.select("prefixed", "url").write.json(f"{path}/index")
+
+
+def with_priority(bank: DataFrame, priority: DataFrame) -> DataFrame:
+    """Bank entries whose own priority gives way to the configured one (field, sources), where there is one."""
+    return bank.join(priority.select("field", "sources"), "field", "left").withColumn("priority", F.coalesce("sources", "priority")).drop("sources")
+
+
 def spec_owners(spec: DataFrame) -> DataFrame:
     """spec (field, properties array) -> (property, fields): the fields that own each property, by name."""
     each = spec.select("field", F.explode("properties").alias("property")).distinct()

@@ -59,7 +59,9 @@ def hub_prose(hub: DataFrame, kind: str) -> DataFrame:
     lines = {"license": F.col("card.license"), "tags": F.concat_ws(", ", F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, MOST_TAGS)), "task_categories": joined("card.task_categories"), "pipeline_tag": F.col("card.pipeline_tag"), "base_model": joined("card.base_model"), "datasets": joined("card.datasets")}
     if kind == "data":
         total = F.aggregate("siblings", F.lit(0).cast("long"), lambda s, x: s + F.when(x["size"] > 0, x["size"]).otherwise(0))
-        lines |= {"source_datasets": joined("card.source_datasets"), "estimated_total_size_bytes": F.when(total > 0, total)}
+        card = hub.schema["card"].dataType.names
+        lines |= {n: joined(f"card.{n}") for n in ("source_datasets", "annotations_creators", "language", "size_categories") if n in card}
+        lines |= {"estimated_total_size_bytes": F.when(total > 0, total)}
     return hub.select("artifact_id", _prose("# Hub record", lines).alias("text"))
 
 
@@ -74,3 +76,22 @@ def with_readme(prose: DataFrame, readmes: DataFrame) -> DataFrame:
     """(artifact_id, text): the record, a blank line and the read-me."""
     r = readmes.select("artifact_id", F.col("text").alias("readme"))
     return prose.join(r, "artifact_id", "full_outer").select("artifact_id", F.concat_ws("\n\n", missing_to_null(F.col("text")), missing_to_null(F.col("readme"))).alias("text"))
+
+
+def with_sources(artifacts: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
+    """artifacts (artifact_id, <name>_url ...) with what was fetched of each source: name -> table (url, ...) joined as a struct <name>.
+
+    An artifact without a source's URL, or of one that wasn't fetched, has null there.
+    """
+    out = artifacts
+    for name, rows in sources.items():
+        own = rows.select(F.col("url").alias(f"{name}_url"), F.struct(*rows.columns).alias(name)).dropDuplicates([f"{name}_url"])
+        out = out.join(own, f"{name}_url", "left")
+    return out.select(*artifacts.columns, *sources)
+
+
+def model_or_dataset(artifacts: DataFrame, models: DataFrame, datasets: DataFrame) -> DataFrame:
+    """artifacts (artifact_id, hub_id) with record: of the model of that id, else of the dataset; both tables have the same columns (id, ...)."""
+    m, d = (x.select(F.col("id").alias("hub_id"), F.struct(*models.columns).alias(n)).dropDuplicates(["hub_id"]) for x, n in ((models, "of_model"), (datasets, "of_dataset")))
+    met = artifacts.join(m, "hub_id", "left").join(d, "hub_id", "left")
+    return met.select(*artifacts.columns, F.coalesce("of_model", "of_dataset").alias("record"), F.when(F.col("of_model").isNotNull(), "model").when(F.col("of_dataset").isNotNull(), "dataset").alias("found_as"))
