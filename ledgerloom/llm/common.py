@@ -88,11 +88,13 @@ HUB = 256
 def with_aggregate(rows: DataFrame, key: str, n: int, *aggregates: Column) -> DataFrame:
     """rows (n of them) with aggregates of all rows of their key; no key's rows are gathered in one task.
 
-    Aggregates are partial before the shuffle. Rows of frequent keys meet theirs by broadcast: as such a key has more than a
-    thousandth of the rows, that is a thousand rows at most. The others meet in a join.
+    Aggregates are partial before the shuffle. Rows of frequent keys, if there are any, meet theirs by broadcast: as such a key
+    has more than a thousandth of the rows, that is a thousand rows at most. The others meet in a join. rows are read for each.
     """
     of_key = rows.groupBy(key).agg(*aggregates, F.count(F.lit(1)).alias("rows_of_key"))
     frequent = F.col("rows_of_key") > max(HUB, n // 1000)
+    if of_key.where(frequent).isEmpty():
+        return rows.join(of_key.drop("rows_of_key"), key)
     names = [c for c in of_key.columns if c not in (key, "rows_of_key")]
     hubs = of_key.where(frequent).select(F.col(key).alias("hub"), F.struct(*names).alias("of_hub"))
     marked = rows.join(F.broadcast(hubs), F.col(key) == F.col("hub"), "left").drop("hub")
@@ -101,12 +103,14 @@ def with_aggregate(rows: DataFrame, key: str, n: int, *aggregates: Column) -> Da
 
 
 def meet_counted(rows: DataFrame, n: int, table: DataFrame, keys: list[str], count: str, how: str = "left") -> DataFrame:
-    """rows (n of them) joined with a table of one row for each of the keys, ``count`` of which says how many rows have them.
+    """rows (n of them) joined with a written table of one row for each of the keys, ``count`` of which says how many rows have them.
 
-    The table's rows of frequent keys, a thousand at most, are broadcast; the others meet in a join.
+    The table's rows of frequent keys, a thousand at most, are broadcast if there are any; the others meet in a join.
     """
     frequent = F.col(count) > max(HUB, n // 1000)
     more = [c for c in table.columns if c not in (*keys, count)]
+    if table.where(frequent).isEmpty():
+        return rows.join(table.drop(count), keys, how).select(*rows.columns, *more)
     hubs = table.where(frequent).select(*(F.col(k).alias(f"hub_{k}") for k in keys), F.struct(*more).alias("of_hub"))
     same = [F.col(k) == F.col(f"hub_{k}") for k in keys]
     marked = rows.join(F.broadcast(hubs), same, "left").drop(*(f"hub_{k}" for k in keys))
