@@ -157,7 +157,15 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25(q, table(spark, sf_dir, "documents").select("doc_id", "text"), floor=False)
 
 
-@_query()
+@_query("""
+with t as (select source, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') as t from documents where source is not null),
+s as (select source, count(*) as n, avg(len(t)) as mean from t group by source), q as (select term, count(*) as times from (select unnest(['the', 'der', 'mit', 'license', 'license', 'error']) as term) group by term),
+w as (select source, doc_id, len(t) as length, unnest(t) as term from t), d as (select source, term, count(distinct doc_id) as df from w group by all),
+i as (select source, term, ln(n - df + 0.5) - ln(df + 0.5) as idf from d join s using (source)), m as (select source, avg(idf) as mean_idf from i group by source),
+tf as (select source, doc_id, length, term, count(*) as tf from w where term in (select term from q) group by all),
+hit as (select source, doc_id, round(sum(times * case when idf < 0 then 0.25 * mean_idf else idf end * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) as score from tf join i using (source, term) join m using (source) join s using (source) join q using (term) group by all),
+every as (select source, doc_id, score from hit union all select source, doc_id, 0 from t where (source, doc_id) not in (select (source, doc_id) from hit))
+select 0 as query_id, source, doc_id, score, cast(row_number() over (partition by source order by score desc, doc_id) as integer) as rank from every qualify rank <= 20""")
 def bm25_top_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
     q = docs.select("source").distinct().withColumns({"query_id": F.lit(0), "terms": F.array(*map(F.lit, _TERMS))})
@@ -165,43 +173,37 @@ def bm25_top_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KNN = """
-with q as (select vec_id as query_id, embedding::double[] as e from embeddings where vec_id < 10), d as (
+with q as (select vec_id as query_id, embedding::double[] as e from embeddings where vec_id % 20 = 0), d as (
   select query_id, vec_id as doc_id, round(list_distance(e, embedding::double[]), 6) as score from embeddings, q), knn as (
   select *, row_number() over (partition by query_id order by score, doc_id) as rank from d qualify rank <= 20)"""
 
 
-@_query(_KNN + " select query_id, doc_id, score, cast(rank as integer) as rank from knn")
+_TOP = _KNN + " select query_id, doc_id, score, cast(rank as integer) as rank from knn"
+
+
+@_query(_TOP)
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 20th vector of the whole table as a query, against all vectors."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return retrieval.dense_top(e.where("doc_id < 10").withColumnRenamed("doc_id", "query_id"), e).select("query_id", "doc_id", "score", "rank")
+    return retrieval.dense_top(e.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), e).select("query_id", "doc_id", "score", "rank")
 
 
-@_query(
+@_query(_TOP)
+def knn_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_topk(spark, sf_dir)
+
+
+_FUSED = (
     _KNN
-    + """, other as (select query_id, doc_id, row_number() over (partition by query_id order by (doc_id * 7 + query_id) % 101, doc_id) as rank from (select vec_id as doc_id from embeddings where vec_id < 60), q qualify rank <= 20)
+    + """, u as (select vec_id, list_transform(embedding::double[], lambda x: x / sqrt(list_inner_product(embedding::double[], embedding::double[]))) as e from embeddings),
+angle as (select q.vec_id as query_id, u.vec_id as doc_id, round(list_distance(q.e, u.e), 6) as score from u q, u where q.vec_id % 20 = 0),
+other as (select query_id, doc_id, row_number() over (partition by query_id order by score, doc_id) as rank from angle qualify rank <= 20)
 select query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) as rrf from (select query_id, doc_id, rank from knn union all select query_id, doc_id, rank from other) group by all"""
 )
-def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    queries = e.where("doc_id < 10").withColumnRenamed("doc_id", "query_id")
-    dense = retrieval.dense_top(queries, e)
-    some = e.where("doc_id < 60").select("doc_id").withColumn("all", F.lit(0))
-    w = Window.partitionBy("query_id").orderBy((F.col("doc_id") * 7 + F.col("query_id")) % 101, "doc_id")
-    other = some.join(queries.select("query_id").withColumn("all", F.lit(0)), "all").withColumn("rank", F.row_number().over(w)).where("rank <= 20")
-    return retrieval.fuse([dense, other], ("query_id",)).select("query_id", "doc_id", "rrf")
-
 
-@_query()
-def knn_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """knn_topk with every 20th vector of the whole table as a query, against all vectors."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return retrieval.dense_top(e.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), e).select("query_id", "doc_id", "score", "rank")
 
-
-@_query()
-def rrf_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query(_FUSED)
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 20th vector of the whole table as a query; ranks by distance and by angle, each over all vectors."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     queries = e.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
@@ -210,23 +212,39 @@ def rrf_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fuse([retrieval.dense_top(queries, e), retrieval.dense_top(unit(queries), unit(e))], ("query_id",)).select("query_id", "doc_id", "rrf")
 
 
-@_query(r"""
-with t as (select p_partkey, p_brand, list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[;,\s]+'), lambda x: x <> '')) as t from part where p_partkey < 400)
-select a.p_partkey as a, b.p_partkey as b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) as similarity from t a join t b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey""")
-def jaccard_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey < 400").select("p_partkey", "p_brand", F.concat_ws(" ", "p_name", "p_type").alias("t"))
-    pairs = p.alias("a").join(p.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.round(fn.jaccard(F.col("a.t"), F.col("b.t")), 6).alias("similarity"))
+@_query(_FUSED)
+def rrf_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rrf_fusion(spark, sf_dir)
 
 
-@_query()
-def jaccard_tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+_SIMILAR = r"""
+with t as (select p_partkey, p_brand, list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[;,\s]+'), lambda x: x <> '')) as t from part), s as (
+  select a.p_partkey as a, b.p_partkey as b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) as similarity from t a join t b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey)
+select * from s where similarity >= 0.6"""
+
+
+@_query(_SIMILAR)
+def jaccard_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of all parts of a brand with a similarity of 0.6 at least."""
     tags = F.filter(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), r"[;,\s]+"), lambda x: x != "")
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", tags.alias("tokens"))
     return retrieval.similar_sets(p, 0.6, ("p_brand",)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@_query(_SIMILAR)
+def jaccard_tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_tags(spark, sf_dir)
+
+
+@_query("""
+select p_partkey, case when p_partkey % 3 = 0 then 1.0::double else round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) end as similarity from (
+  select p_partkey, list_filter(string_split_regex(lower(p_name), '[;,\\s]+'), lambda x: x <> '') as a, list_filter(string_split_regex(lower(p_type || ';' || p_name), '[;,\\s]+'), lambda x: x <> '') as b from part)""")
+def jaccard_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    other = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).otherwise(F.concat("p_type", F.lit(";"), "p_name"))
+    return p.select("p_partkey", F.round(fn.jaccard(F.col("p_name"), other), 6).alias("similarity"))
+
+
 @_query()
 def fuzzy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
@@ -305,7 +323,14 @@ def dependency_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.walk(dt.part_edges(spark, sf_dir), roots, depth=5, cap=None).nodes.select("depth", "node")
 
 
-@_query()
+@_query("""
+with n as (select count(*) as n from part), e as (select p_partkey as parent, 0 as pos, (p_partkey * 7 + p_size) % n as target from part, n union all select p_partkey, 1, (p_partkey * 3 + 1) % n from part, n),
+l1 as (select target as node, min(pos) as pos from e where parent = 1 and target <> 1 group by target), s1 as (select node, row_number() over (order by pos) as seq from l1),
+m2 as (select e.target as node, s1.seq as turn, e.pos, e.parent from e join s1 on e.parent = s1.node where e.target <> 1 and e.target not in (select node from l1)),
+f2 as (select node, arg_min(parent, (turn, pos)) as parent, min((turn, pos)) as place from m2 group by node), s2 as (select node, parent, (select count(*) from s1) + row_number() over (order by place) as seq from f2),
+m3 as (select e.target as node, s2.seq as turn, e.pos, e.parent from e join s2 on e.parent = s2.node where e.target <> 1 and e.target not in (select node from l1 union all select node from f2)),
+f3 as (select node, arg_min(parent, (turn, pos)) as parent, min((turn, pos)) as place from m3 group by node), s3 as (select node, parent, (select count(*) from s1) + (select count(*) from s2) + row_number() over (order by place) as seq from f3)
+select * from (select seq, 1 as depth, node, 1::bigint as parent from s1 union all select seq, 2, node, parent from s2 union all select seq, 3, node, parent from s3) where seq <= 5""")
 def bfs_safety_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.walk(dt.part_edges(spark, sf_dir), spark.createDataFrame([(1,)], "node long"), depth=5, cap=5).nodes
 
@@ -323,9 +348,9 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""
 select 'c' || c_custkey as node_id, 'Customer' as type, c_name as name from customer where c_custkey % 10 <> 0
 union all select 'c' || c_custkey, 'dataset_DatasetPackage', c_name from customer where c_custkey % 10 = 0 and c_custkey % 20 <> 0
-union all select 'o' || o_orderkey, 'Order', 'Customer#' || lpad(cast(o_custkey as varchar), 9, '0') from orders where o_orderkey % 50 = 0""")
+union all select 'o' || o_orderkey, 'Order', 'Customer#' || lpad(cast(o_custkey as varchar), 9, '0') from orders""")
 def linked_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bundle(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"))
+    return _bundle(spark, sf_dir, table(spark, sf_dir, "orders"))
 
 
 @_query("""
@@ -333,8 +358,7 @@ select 'c' || c_custkey as node_id, 'Customer' as type, c_name as name from cust
 union all select 'c' || c_custkey, 'dataset_DatasetPackage', c_name from customer where c_custkey % 10 = 0 and c_custkey % 20 <> 0
 union all select 'o' || o_orderkey, 'Order', 'Customer#' || lpad(cast(o_custkey as varchar), 9, '0') from orders""")
 def linked_bundle_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """linked_bundle with all orders as children."""
-    return _bundle(spark, sf_dir, table(spark, sf_dir, "orders"))
+    return linked_bundle(spark, sf_dir)
 
 
 def _bundle(spark: SparkSession, sf_dir: str, o: DataFrame) -> DataFrame:
@@ -382,13 +406,12 @@ def version_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-select p_partkey, case when lower(p_type) = lower(split_part(p_name, ' ', 2)) then split_part(p_name, ' ', 1) || '|' || split_part(p_name, ' ', 2) else p_name_parts end as entities from (
-  select *, array_to_string(list_filter([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), p_type], lambda x: x <> ''), '|') as p_name_parts from part where split_part(p_name, ' ', 1) <> split_part(p_name, ' ', 2) and lower(p_type) not in (lower(split_part(p_name, ' ', 1))))""")
+with p as (select p_partkey, split_part(p_name, ' ', 1) as a, split_part(p_name, ' ', 2) as b, p_type as c from part)
+select p_partkey, array_to_string(list_filter([a, case when lower(b) <> lower(a) then b end, case when lower(c) not in (lower(a), lower(b)) then c end], lambda x: coalesce(x, '') <> ''), '|') as entities from p""")
 def dedupe_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (F.split("p_name", " ")[0], F.get(F.split("p_name", " "), F.lit(1)))
-    p = table(spark, sf_dir, "part").where((a != b) & (F.lower("p_type") != F.lower(a)))
+    a, b = (F.split("p_name", " ")[0], F.coalesce(F.get(F.split("p_name", " "), F.lit(1)), F.lit("")))
     text = F.concat(F.lit("- "), a, F.lit("; "), b, F.lit("\n* N/A, "), F.upper(a), F.lit(","), F.col("p_type"), F.lit(", unknown"))
-    return p.select("p_partkey", F.array_join(fn.named_entities(text), "|").alias("entities"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(fn.named_entities(text), "|").alias("entities"))
 
 
 @_query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z' as stamp, 'never' as other from orders")
@@ -433,3 +456,6 @@ def element_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = c.select(F.col("c_custkey").cast("string").alias("artifact_id"), F.col("c_name").alias("name"), F.create_map().cast("map<string,string>").alias("fields"))
     body = F.from_json("payload", "name string, software_downloadLocation string, software_primaryPurpose string")
     return ai_packages(rows, F.lit("2024-01-01T00:00:00Z")).select(F.col("doc_id").cast("long").alias("c_custkey"), body.alias("b"), "node_id").select("c_custkey", "b.name", F.col("b.software_downloadLocation").alias("location"), F.col("b.software_primaryPurpose").alias("purpose"), F.col("node_id").alias("id"))
+
+
+from ledgerloom import part_queries  # noqa: E402, F401  (registers its queries here)

@@ -58,7 +58,7 @@ def batch_records(bom_fields: DataFrame, kind: str) -> DataFrame:
     """(artifact_id, record): kind, number of filled fields and the fields by section, as a batch reports them."""
     one = F.struct("field", F.struct("value", "source", F.col("conflict.value").alias("conflict")))
     sections = bom_fields.groupBy("artifact_id", "section").agg(F.map_from_entries(F.sort_array(F.collect_list(one))).alias("fields"), F.count_if(missing_to_null(F.col("value")).isNotNull()).alias("filled"))
-    whole = sections.groupBy("artifact_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "fields")))).alias("sections"), F.sum("filled").alias("filled"))
+    whole = sections.groupBy("artifact_id").agg(F.map_from_entries(F.collect_list(F.struct("section", "fields"))).alias("sections"), F.sum("filled").alias("filled"))
     return whole.select("artifact_id", F.struct(F.lit(kind).alias("kind"), F.lit("ok").alias("status"), "filled", "sections").alias("record"))
 
 
