@@ -107,4 +107,20 @@ with lines as (
 select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id""",
+    "op8_minhash_join": """
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') as w from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from words
+), each as (
+  select doc_id, len(s) as n, hash(unnest(s)) as shingle from sets
+), links as (
+  select a.doc_id as a, b.doc_id as b from each a join each b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reached as (
+  select a as doc_id, a as node from links union select reached.doc_id, links.b from reached join links on reached.node = links.a
+), components as (
+  select doc_id, min(node) as component_id from reached group by doc_id
+)
+select doc_id, cast(len(s) as bigint) as n_shingles, coalesce(component_id, doc_id) as component_id, coalesce(component_id, doc_id) = doc_id as kept from sets left join components using (doc_id)""",
 }

@@ -471,3 +471,12 @@ def test_line_dedup_sql(spark, sf):
     want = sorted(map(tuple, con.execute(queries.ORACLE_SQL["op2_line_dedup"]).fetchall()))
     assert sorted(tuple(r) for r in queries.op2_line_dedup(spark, sf).collect()) == want
     assert hashlib.sha256(b"").hexdigest() == queries.op2_line_dedup(spark, sf).selectExpr("sha2(cast('' as binary), 256) h").first().h
+
+
+def test_near_duplicates_sql(spark, sf):
+    from ledgerloom.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = sorted(map(tuple, con.execute(queries.ORACLE_SQL["op8_minhash_join"]).fetchall()))
+    assert sorted(tuple(r) for r in queries.op8_minhash_join(spark, sf).collect()) == want
