@@ -85,23 +85,6 @@ def ascii_lower(col):
 HUB = 256
 
 
-def with_aggregate(rows: DataFrame, key: str, n: int, *aggregates: Column) -> DataFrame:
-    """rows (n of them) with aggregates of all rows of their key; no key's rows are gathered in one task.
-
-    Aggregates are partial before the shuffle. Rows of frequent keys, if there are any, meet theirs by broadcast: as such a key
-    has more than a thousandth of the rows, that is a thousand rows at most. The others meet in a join. rows are read for each.
-    """
-    of_key = rows.groupBy(key).agg(*aggregates, F.count(F.lit(1)).alias("rows_of_key"))
-    frequent = F.col("rows_of_key") > max(HUB, n // 1000)
-    if of_key.where(frequent).isEmpty():
-        return rows.join(of_key.drop("rows_of_key"), key)
-    names = [c for c in of_key.columns if c not in (key, "rows_of_key")]
-    hubs = of_key.where(frequent).select(F.col(key).alias("hub"), F.struct(*names).alias("of_hub"))
-    marked = rows.join(F.broadcast(hubs), F.col(key) == F.col("hub"), "left").drop("hub")
-    few = marked.where("of_hub is null").drop("of_hub").join(of_key.where(~frequent).drop("rows_of_key"), key)
-    return few.unionByName(marked.where("of_hub is not null").select(*rows.columns, "of_hub.*"))
-
-
 def meet_counted(rows: DataFrame, n: int, table: DataFrame, keys: list[str], count: str, how: str = "left") -> DataFrame:
     """rows (n of them) joined with a written table of one row for each of the keys, ``count`` of which says how many rows have them.
 
@@ -121,25 +104,26 @@ def meet_counted(rows: DataFrame, n: int, table: DataFrame, keys: list[str], cou
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(a, b) links -> (id, component): every linked id with the smallest id reachable from it.
 
-    Alternates large-star and small-star steps; each step is an aggregate that its rows meet again (see ``with_aggregate``), so
-    that no neighbourhood is gathered in one task, and each round is written to the shared folder.
+    Alternates large-star and small-star steps; each step is an aggregate, partial before its shuffle, and a join with its rows,
+    which carries two ids a row: no neighbourhood is gathered, and where a hub's rows fill a partition, adaptive
+    execution splits it. Each round is written to the shared folder, and the one before deleted.
     Null ids and self links are ignored; an empty input gives an empty result.
     """
 
-    def written(df: DataFrame) -> tuple[DataFrame, int, object]:
+    def written(df: DataFrame) -> tuple[DataFrame, dict]:
         seen = Observation()
         df = materialise(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")), name)
-        return df, seen.get["n"], seen.get
+        return df, seen.get
 
-    e, n, before = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    e, before = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = with_aggregate(both, "u", 2 * n, F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = low.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = with_aggregate(large, "u", n, F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         both = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         old = e
-        e, n, now = written(both.where("u <> v").distinct())
+        e, now = written(both.where("u <> v").distinct())
         forget(old)
         if now == before:
             break
