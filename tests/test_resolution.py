@@ -6,7 +6,7 @@ from ledgerloom.operators import fields, routing
 from ledgerloom.operators.resolve import CLAIMS, first_by_priority, prioritise, resolve, resolve_dates, resolve_fields, resolve_fuzzy
 from ledgerloom.plans.bom import DIRECT, build, sentence_extractor
 from ledgerloom.sources import config
-from ledgerloom.streaming.claims import resolve_stream
+from ledgerloom.streaming.claims import current, resolve_stream
 
 
 def claims(spark, *values, field="license"):
@@ -194,9 +194,12 @@ def test_stream(spark, tmp_path):
     make(("hub", "new"), ("repo", "other")).write.mode("append").parquet(src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     resolve_stream(stream, sink, str(tmp_path / "cp")).awaitTermination()
-    last = spark.read.parquet(sink)
-    top = last.where(F.col("batch") == last.agg(F.max("batch")).first()[0])
-    assert one(top) == ("new", "hub", "repo: other")
+    assert one(current(spark, sink)) == ("new", "hub", "repo: other")
+    # A batch only resolves what it touches.
+    spark.createDataFrame([("b", "f", "hub", 0, "x")], CLAIMS).withColumn("ts", F.timestamp_seconds(F.lit(1_700_001_000))).write.mode("append").parquet(src)
+    resolve_stream(spark.readStream.schema(schema).parquet(src), sink, str(tmp_path / "cp")).awaitTermination()
+    rows = spark.read.parquet(f"{sink}/resolved")
+    assert rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).select("artifact_id").collect() == [("b",)] and current(spark, sink).count() == 2
 
 
 def test_bank(spark, tmp_path):
