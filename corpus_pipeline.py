@@ -23,27 +23,33 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and those whose words are in no language clearly; several languages in a text are none the worse."""
+    """Rejects texts without a letter (null and empty ones, too) and those whose words are in no language clearly; several languages
+    in a text are none the worse. Null and repeated ids and other columns play no part, very long texts are labelled whole;
+    without any lang all texts with a letter stay; an empty table stays empty."""
     return accepted(docs, learn(docs, F.lit(True)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops repeated lines; every document stays."""
+    """Drops repeated lines; every document stays. Null texts stay null, rows of null ids lose nothing, and rows of one id count as
+    one document; of equal lines the largest id keeps its own. Other columns may have any names."""
     return _recounted(drop_lines(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays, of the smallest doc_id; rows outside components are untouched."""
+    """One row of each component stays, of the smallest doc_id (of equal ones, that of the smallest text hash, then the smallest
+    row); rows without words or of null id stay, and rows are told apart by id and text. An empty table stays empty."""
     return one_of_each(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the kind in the place of personal data; every document stays."""
+    """Puts the kind in the place of personal data; every row stays, whatever its id. Null texts stay null; very long ones are
+    searched whole."""
     return _recounted(redact(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences, one row for each, with a checksum of their ids."""
+    """The pieces of packed sequences, one row for each, with a checksum of their ids. A null or empty text is the end alone; null and
+    repeated ids are packed like any other; an empty table gives no rows."""
     out = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
