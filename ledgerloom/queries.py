@@ -245,7 +245,21 @@ def jaccard_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.round(fn.jaccard(F.col("p_name"), other), 6).alias("similarity"))
 
 
-@_query()
+@_query(r"""
+with c as (
+  select cast(cast(floor(p_partkey / 4) as bigint) as varchar) as id, 's' || p_partkey % 4 as source, p_partkey % 4 as ord, p_name || ', ' || p_type as value,
+    list_distinct(list_filter(string_split_regex(lower(p_name || ', ' || p_type), '[;,\s]+'), lambda x: x <> '')) as t from part
+), r as (select *, row_number() over (partition by id order by ord) as n from c),
+s as (select a.id, a.n as a, b.n as b, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.4 as near from r a join r b on a.id = b.id and a.n < b.n),
+w as (select id, bool_or(near) filter (where a = 1 and b = 2) as s12, bool_or(near) filter (where a = 1 and b = 3) as s13, bool_or(near) filter (where a = 1 and b = 4) as s14,
+  bool_or(near) filter (where a = 2 and b = 3) as s23, bool_or(near) filter (where a = 2 and b = 4) as s24, bool_or(near) filter (where a = 3 and b = 4) as s34 from s group by id),
+two as (select r.id, w.*, case when s12 then 1 else 2 end as g2 from (select distinct id from r) r left join w on r.id = w.id),
+three as (select *, case when s13 then 1 when g2 = 2 and s23 then 2 else 3 end as g3 from two),
+four as (select *, case when s14 then 1 when g2 = 2 and s24 then 2 when g3 = 3 and s34 then 3 else 4 end as g4 from three),
+g as (select r.*, case n when 1 then 1 when 2 then g2 when 3 then g3 else g4 end as grp from r join four on r.id = four.id),
+z as (select *, count(*) over (partition by id, grp) as size from g), best as (select id, arg_min(grp, (-size, grp)) as grp from z group by id),
+lost as (select z.id, string_agg(source || ': ' || value, ', ' order by -size, z.grp, ord) as conflict from z join best on z.id = best.id where z.grp <> best.grp group by z.id)
+select z.id as artifact_id, 'tags' as field, arg_min(value, ord) as value, arg_min(source, ord) as source, any_value(conflict) as conflict from z join best on z.id = best.id and z.grp = best.grp left join lost on z.id = lost.id group by z.id""")
 def fuzzy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     ord_ = (F.col("p_partkey") % 4).cast("int")
