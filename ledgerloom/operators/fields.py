@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.licenses import normalize_license
-from ledgerloom.functions.scalars import collapse_whitespace, missing_to_null, named_entities, strip
+from ledgerloom.functions.scalars import collapse_whitespace, literal_map, missing_to_null, named_entities, strip
 
 CONFLICT = "struct<value:string,source:string,type:string,delta_days:int,internal:string,external:string>"
 
@@ -37,6 +37,18 @@ PRESETS = {
     },
 }
 
+# What each preset is called.
+PRESET_LABELS = {
+    "ai": {"complete": "Complete AI BOM", "safety": "Safety & Compliance", "security": "Security & Risk", "lineage": "Model Lineage", "license": "License Compliance"},
+    "data": {"complete": "Complete Data BOM", "safety": "Safety & Bias", "security": "Security & Privacy", "lineage": "Data Lineage", "license": "License & Rights"},
+}
+
+
+def preset_label(name: Column, kind: str) -> Column:
+    """What a preset is called; an unknown one is the complete one."""
+    labels = PRESET_LABELS["data" if kind == "dataset" else kind]
+    return F.coalesce(F.try_element_at(literal_map(labels), F.lower(strip(F.coalesce(name, F.lit(""))))), F.lit(labels["complete"]))
+
 
 def conflict(value: Column | None = None, source: Column | None = None, kind: str | Column | None = "inter", delta: Column | None = None, internal: Column | None = None, external: Column | None = None) -> Column:
     cols = {"value": value, "source": source, "type": F.lit(kind) if isinstance(kind, str) or kind is None else kind, "delta_days": delta, "internal": internal, "external": external}

@@ -249,6 +249,13 @@ def post_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part(spark, sf_dir).select("p_partkey", fields.post_process(value, name).alias("value"))
 
 
+@_query("""
+select p_partkey, ['Safety & Compliance', 'Complete AI BOM', 'License Compliance', 'Complete AI BOM'][p_partkey % 4 + 1] as ai, ['Safety & Bias', 'Complete Data BOM', 'License & Rights', 'Complete Data BOM'][p_partkey % 4 + 1] as data from part""")
+def preset_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.element_at(F.array(F.lit(" Safety"), F.lit("odd"), F.lit("license"), F.lit(None).cast("string")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return _part(spark, sf_dir).select("p_partkey", fields.preset_label(name, "ai").alias("ai"), fields.preset_label(name, "data").alias("data"))
+
+
 @_query("""
 select p_partkey, case when p_partkey % 3 <> 0 then 'u' || p_partkey end as link, p_partkey % 3 = 1 as link_warning from part""")
 def rejected_links(spark: SparkSession, sf_dir: str) -> DataFrame:
