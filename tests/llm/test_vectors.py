@@ -1,7 +1,6 @@
 """The two vector searches on clusters, repeated ids, huge components and as registered queries."""
 
 import collections
-import math
 
 import numpy as np
 import pytest
