@@ -15,6 +15,7 @@ from .hnsw import nearest
 from .langid import identify, learn
 from .linededup import dedup_lines
 from .lm import score_texts
+from .merkle import merkle_manifest
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .pii import KINDS, find_personal_data, spans_text
@@ -86,7 +87,13 @@ def op11_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hpyp_lm, op2_line_dedup, op3_ball_tree, op4_weak_pii, op5_compression_quality, op6_byte_bpe, op7_hnsw, op8_minhash_join, op9_packing, op10_language_id, op11_merge_automaton)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle_manifest(_table(spark, sf_dir, "documents"), crc_mod("doc_id", 2) == 0)
+    proof = F.sha2(F.array_join("proof", "").cast("binary"), 256)
+    return out.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_hpyp_lm, op2_line_dedup, op3_ball_tree, op4_weak_pii, op5_compression_quality, op6_byte_bpe, op7_hnsw, op8_minhash_join, op9_packing, op10_language_id, op11_merge_automaton, op12_merkle_manifest)}
 
 ORACLE_SQL = {
     "op3_ball_tree": """
@@ -129,4 +136,47 @@ with recursive words as (
   select doc_id, min(node) as component_id from reached group by doc_id
 )
 select doc_id, cast(len(s) as bigint) as n_shingles, coalesce(component_id, doc_id) as component_id, coalesce(component_id, doc_id) = doc_id as kept from sets left join components using (doc_id)""",
+    "op12_merkle_manifest": """
+with recursive fields as (
+  select doc_id, coalesce('+' || source, '') as tree, text, HEAD as head, case when text is null then '-' else strlen(text) || ':' || text end as whole,
+         case when text is null then '-' else strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '') end as cut
+  from documents
+), bits as (
+  select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select unnest(range(256)) as i)
+), crc_table as (
+  select list(c order by i) as t from bits
+), crcs as (
+  select doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(doc_id::varchar) + 1), lambda k: ascii(cast(doc_id as varchar)[k])::bigint)),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as crc from documents, crc_table
+), leaves as (
+  select doc_id, tree, sha256(head || whole) as leaf, sha256(head || case when crc % 2 = 0 then cut else whole end) as changed,
+         row_number() over (partition by tree order by doc_id) - 1 as pos, count(*) over (partition by tree) as n
+  from fields join crcs using (doc_id)
+), nodes as (
+  select 0 as level, tree, pos, n, leaf as h from leaves
+  union all
+  select level + 1, tree, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos)) from nodes where n > 1 group by level, tree, pos // 3, n
+), tops as (
+  select 0 as level, row_number() over (order by tree) - 1 as pos, count(*) over () as n, h, tree from nodes where n = 1
+), over_all as (
+  select level, pos, n, h from tops
+  union all
+  select level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos)) from over_all where n > 1 group by level, pos // 3, n
+), climbed as (
+  select doc_id, tree, 0 as level, pos, n, changed as acc, '' as proof from leaves
+  union all
+  select c.doc_id, c.tree, c.level + 1, c.pos // 3, (c.n + 2) // 3, sha256(string_agg(case when s.pos = c.pos then c.acc else s.h end, '' order by s.pos)),
+         c.proof || coalesce(string_agg(s.h, '' order by s.pos) filter (where s.pos <> c.pos), '')
+  from climbed c join nodes s on s.tree = c.tree and s.level = c.level and s.pos // 3 = c.pos // 3 where c.n > 1
+  group by c.doc_id, c.tree, c.level, c.pos, c.n, c.proof, c.acc
+), climbed_all as (
+  select c.doc_id, t.level, t.pos, t.n, c.acc, c.proof from climbed c join tops t using (tree) where c.n = 1
+  union all
+  select c.doc_id, c.level + 1, c.pos // 3, (c.n + 2) // 3, sha256(string_agg(case when s.pos = c.pos then c.acc else s.h end, '' order by s.pos)),
+         c.proof || coalesce(string_agg(s.h, '' order by s.pos) filter (where s.pos <> c.pos), '')
+  from climbed_all c join over_all s on s.level = c.level and s.pos // 3 = c.pos // 3 where c.n > 1
+  group by c.doc_id, c.level, c.pos, c.n, c.proof, c.acc
+)
+select l.doc_id, l.leaf, t.h as subroot, r.h as root, sha256(c.proof) as proof_sha256, c.acc as folded_root, c.acc = r.h as verified
+from leaves l join climbed_all c using (doc_id) join tops t on t.tree = l.tree cross join (select h from over_all where n = 1) r where c.n = 1""".replace("HEAD", " || ".join(f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c} end" for c in ("doc_id", "source", "lang", "n_chars"))),
 }
