@@ -11,6 +11,7 @@ from .automaton import encode_words
 from .balltree import exact_top_k
 from .bpe import encode_decode
 from .common import crc_mod
+from .divergence import source_divergence
 from .hnsw import nearest
 from .langid import identify, learn
 from .linededup import dedup_lines
@@ -93,7 +94,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_hpyp_lm, op2_line_dedup, op3_ball_tree, op4_weak_pii, op5_compression_quality, op6_byte_bpe, op7_hnsw, op8_minhash_join, op9_packing, op10_language_id, op11_merge_automaton, op12_merkle_manifest)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hpyp_lm, op2_line_dedup, op3_ball_tree, op4_weak_pii, op5_compression_quality, op6_byte_bpe, op7_hnsw, op8_minhash_join, op9_packing, op10_language_id, op11_merge_automaton, op12_merkle_manifest, op13_source_divergence)}
 
 ORACLE_SQL = {
     "op3_ball_tree": """
@@ -179,4 +184,40 @@ with recursive fields as (
 )
 select l.doc_id, l.leaf, t.h as subroot, r.h as root, sha256(c.proof) as proof_sha256, c.acc as folded_root, c.acc = r.h as verified
 from leaves l join climbed_all c using (doc_id) join tops t on t.tree = l.tree cross join (select h from over_all where n = 1) r where c.n = 1""".replace("HEAD", " || ".join(f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c} end" for c in ("doc_id", "source", "lang", "n_chars"))),
+    "op13_source_divergence": r"""
+with texts as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents
+), groups as (
+  select distinct lang, source from texts
+), words as (
+  select r, lang, source, unnest(terms) as term from texts
+), kept as (
+  select lang, term from (select distinct r, lang, term from words) group by lang, term having count(*) >= 3
+), sizes as (
+  select lang, count(*) as v from kept group by lang
+), counted as (
+  select lang, source, term, count(*) as c from words join kept using (lang, term) group by lang, source, term
+), dense as (
+  select lang, source, term, coalesce(c, 0) as c from groups join kept using (lang) left join counted using (lang, source, term)
+), shares as (
+  select lang, source, term, c, 1 + (1000000000 * (c + 1)::hugeint) // (sum(c) over (partition by lang, source) + v)::hugeint as p from dense join sizes using (lang)
+), totals as (
+  select lang, term, sum(c) as c from dense group by lang, term
+), of_lang as (
+  select lang, term, 1 + (1000000000 * (c + 1)::hugeint) // (sum(c) over (partition by lang) + v)::hugeint as q from totals join sizes using (lang)
+), distances as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source
+), pairs as (
+  select a.lang, a.source, b.source as item, coalesce(value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join distances d on d.lang = a.lang and d.source = a.source and d.item = b.source
+), telling as (
+  select lang, source, term as item, (p - q) * (p - q) // q as value from shares join of_lang using (lang, term) where c > 0 and p > q
+), ranked as (
+  select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+  union all
+  select lang, source, 'term' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from telling
+)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked where part = 'pair' or rank <= 200""",
 }
