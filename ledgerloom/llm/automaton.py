@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,10 +13,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import add_vocabulary
+from .bpe import add_vocabulary, byte_letters
 
 #: Stands for the end of a word in spelled words and tokens; no byte letter is U+0000.
 END = "\0"
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*").fullmatch
+LETTERS = dict(enumerate(byte_letters()))
 
 
 class MergeAutomaton:
@@ -57,13 +60,8 @@ class MergeAutomaton:
             self.lacks.append(b)
             self.made_by.append(k)
             self.target[a], self.target[ab] = len(self.original) - 1, after
-        #: Spelled tokens as a trie in two tables: (node, letter) -> node, and node -> token.
-        self.next, self.token_at = {}, {}
-        for i in self.target:
-            node = 0
-            for c in spelled(self.label[i]):
-                node = self.next.setdefault((node, c), len(self.next) + 1)
-            self.token_at[node] = i
+        self.arc = {spelled(self.label[i]): i for i in self.target}
+        self.longest = max(map(len, self.arc), default=0)
 
     def _has_arc(self, q: int, t: int) -> bool:
         """Of a token with arcs at all."""
@@ -85,27 +83,31 @@ class MergeAutomaton:
         return self.target[t] if found else -1
 
     def encode(self, word: str) -> list[int]:
-        """The one path of a word of byte letters. Letters without a symbol are left out."""
-        state, before, arc = [0] + [-1] * (len(word) + 1), {}, {}
+        """The one path of a word of byte letters; an error if there is none, as where a letter has no symbol.
+
+        Depth first, longest arcs first. As each place in the word is reached by one path at most, a place that led
+        nowhere is left for good: the time is linear in the word's length.
+        """
+        if not word:
+            return []
         word += END
-        for j in range(len(word)):
-            if state[j] < 0:
-                continue
-            node = 0
-            for i in range(j, len(word)):
-                node = self.next.get((node, word[i]))
-                if node is None:
+        arc, steps, target, longest, end, dead = self.arc.get, self._steps, self.target, self.longest, len(word), set()
+        path, places, at, state, reach = [], [], 0, 0, min(len(word), longest)
+        while True:
+            for to in range(reach, at, -1):
+                if (t := arc(word[at:to])) is not None and to not in dead and (steps[state, t] if (state, t) in steps else self.step(state, t) >= 0):
+                    if to == end:
+                        return [*path, t]
+                    path.append(t)
+                    places.append((at, state, to - 1))
+                    at, state, reach = to, target[t], min(to + longest, end)
                     break
-                t = self.token_at.get(node)
-                if t is not None and state[i + 1] < 0 and (to := self.step(state[j], t)) >= 0:
-                    state[i + 1], before[i + 1], arc[i + 1] = to, j, t
-        at, out = len(word), []
-        if at > 1 and at not in arc:
-            raise ValueError(f"no path spells {word[:-1]!r}")
-        while at in arc:
-            out.append(arc[at])
-            at = before[at]
-        return out[::-1]
+            else:
+                if not path:
+                    raise ValueError(f"no path spells {word[:-1]!r}")
+                dead.add(at)
+                path.pop()
+                at, state, reach = places.pop()
 
 
 class WordCodec:
@@ -129,13 +131,26 @@ class WordCodec:
         self.normal, self.words = own.normalizer.normalize_str, own.pre_tokenizer.pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in added}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if added else None
+        splitter = told["pre_tokenizer"].get("pretokenizers", [{}])[0]
+        kinds = [n["type"] for n in told["normalizer"].get("normalizers", [])]
+        self.split = None
+        if kinds == ["NFC", "Replace", "Lowercase"] and splitter.get("behavior") == "Removed" and splitter.get("invert"):
+            self.split = regex.compile(splitter["pattern"]["Regex"]).findall
         self.automaton = MergeAutomaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model["end_of_word_suffix"] or "")
         self.labels = self.automaton.label | {i: token for token, i in self.special.items()}
         self.most, self.pieces, self.known = most, {}, {}
 
+    def _words(self, text: str) -> list[str]:
+        """What the file's normaliser and splitter make of a text, in byte letters. A text of ASCII signs and Latin-1 letters is its own
+        normal form but for upper case, and the split pattern reads it alike in every library; others are left to the library."""
+        if self.split and PLAIN(text):
+            words = self.split(text.lower())
+            return words if text.isascii() else [w.encode().decode("latin-1").translate(LETTERS) for w in words]
+        return [word for word, _ in self.words(self.normal(text))]
+
     def _plain(self, text: str) -> list[int]:
         out = []
-        for word, _ in self.words(self.normal(text)) if text else ():
+        for word in self._words(text) if text else ():
             if (ids := self.known.get(word)) is None:
                 ids = self.automaton.encode(word)
                 if len(word) < 200:
