@@ -28,7 +28,7 @@ class Audit:
     top: int = 200
     #: Terms that one automaton holds, bytes of text that one meets at least, and the sources that meet a source's histogram at once.
     terms: int = 250_000
-    text: int = 16 << 20
+    text: int = 32 << 20
     sources: int = 256
     #: Entries of a task's tallies, bytes of a chunk of text and of all chunks that a task holds back, pairs worked out at once.
     tallies: int = 400_000
@@ -37,9 +37,11 @@ class Audit:
     pairs: int = 2_000_000
 
 
-def _counted(tally: dict[tuple, int]) -> pa.RecordBatch:
-    lang, source, term = (pa.array([k[i] for k in tally], pa.string()) for i in range(3))
-    return pa.RecordBatch.from_arrays([lang, source, term, pa.array(tally.values(), pa.int64())], ["lang", "source", "term", "n"])
+def _counted(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """One batch of parts (lang, source, array of terms, their counts)."""
+    if parts:
+        columns = zip(*((pa.repeat(pa.scalar(lang), len(n)), pa.repeat(pa.scalar(source, pa.string()), len(n)), term, pa.array(n, pa.int64())) for lang, source, term, n in parts))
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(list(c)) for c in columns], ["lang", "source", "term", "n"])
 
 
 def _first_pass(audit: Audit):
@@ -49,12 +51,12 @@ def _first_pass(audit: Audit):
         frequency: dict[str, Counter] = {}
         size: Counter = Counter()
 
-        def told() -> pa.RecordBatch:
-            out = {(lang, None, term.decode()): n for lang, c in frequency.items() for term, n in c.items()}
-            out |= {(*group, None): n for group, n in size.items()}
+        def told() -> Iterator[pa.RecordBatch]:
+            parts = [(lang, None, pa.array(c.keys(), pa.binary()).cast(pa.string()), np.fromiter(c.values(), np.int64, len(c))) for lang, c in frequency.items()]
+            parts += [(lang, source, pa.nulls(1, pa.string()), np.array([n])) for (lang, source), n in size.items()]
             frequency.clear()
             size.clear()
-            return _counted(out)
+            return _counted(parts)
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 100):
@@ -63,8 +65,8 @@ def _first_pass(audit: Audit):
                     size[lang, source] += len(plain)
                     frequency.setdefault(lang, Counter()).update(set(plain.split()))
                 if len(size) + sum(map(len, frequency.values())) > audit.tallies:
-                    yield told()
-        yield told()
+                    yield from told()
+        yield from told()
 
     return run
 
@@ -93,20 +95,22 @@ def _routed(salts: int, shards: int, audit: Audit):
         for batch in batches:
             for lo in range(0, batch.num_rows, 100):
                 for text, lang, source in zip(*(c.to_pylist() for c in batch.slice(lo, 100).columns)):
-                    words = text.encode().translate(PLAIN).split()
-                    for at in range(0, len(words), 20_000):
-                        cut = words[at : at + 20_000]
+                    plain, at = text.encode().translate(PLAIN), 0
+                    while at < len(plain):
+                        end = plain.find(b" ", at + audit.chunk // 2)
+                        cut, at = plain[at : end if end > 0 else None], end if end > 0 else len(plain)
                         lots = {0: cut}
                         if shards > 1:
-                            lots = {}
-                            for w in cut:
+                            words = {}
+                            for w in cut.split():
                                 if (s := shard_of.get(w)) is None:
                                     if len(shard_of) > audit.tallies:
                                         shard_of.clear()
                                     s = shard_of[w] = zlib.crc32(w) % shards
-                                lots.setdefault(s, []).append(w)
-                        for s, lot in lots.items():
-                            key, piece = (lang, source, s), b" ".join(lot)
+                                words.setdefault(s, []).append(w)
+                            lots = {s: b" ".join(ws) for s, ws in words.items()}
+                        for s, piece in lots.items():
+                            key = (lang, source, s)
                             held.setdefault(key, []).append(piece)
                             sizes[key] += len(piece) + 1
                             if sizes[key] > audit.chunk:
@@ -129,16 +133,20 @@ def _recounted(audit: Audit):
         at, terms, number, kept, machine = None, [], {}, {}, None
         tally: dict[tuple, Counter] = {}
 
-        def told() -> pa.RecordBatch:
-            out = {(lang, source, terms[i]): n for (lang, source), c in tally.items() for i, n in c.items() if i in kept.get(lang, ())}
+        def told() -> Iterator[pa.RecordBatch]:
+            names, parts = pa.array(terms, pa.string()), []
+            for (lang, source), c in tally.items():
+                found = np.fromiter(c.keys(), np.int64, len(c))
+                mine = np.fromiter(map(kept[lang].__contains__, found.tolist()), bool, len(c))
+                parts.append((lang, source, names.take(pa.array(found[mine])), np.fromiter(c.values(), np.int64, len(c))[mine]))
             tally.clear()
-            return _counted(out)
+            return _counted(parts)
 
         for batch in batches:
             for i in range(batch.num_rows):
                 salt, shard, kind, lang, source, body = (c[i].as_py() for c in batch.columns)
                 if (salt, shard) != at:
-                    yield told()
+                    yield from told()
                     at, terms, number, kept, machine = (salt, shard), [], {}, {}, None
                 if kind == 0:
                     own = kept.setdefault(lang, set())
@@ -155,8 +163,8 @@ def _recounted(audit: Audit):
                         machine.make_automaton()
                     tally.setdefault((lang, source), Counter()).update(map(itemgetter(1), machine.iter(body)))
                     if sum(map(len, tally.values())) > audit.tallies:
-                        yield told()
-        yield told()
+                        yield from told()
+        yield from told()
 
     return run
 
@@ -252,7 +260,7 @@ def source_divergence(docs: DataFrame, audit: Audit = Audit()) -> DataFrame:
 
     First pass: exact document frequencies of all terms of each language, tallied in tasks before they are shuffled. Second
     pass: texts become chunks of padded terms, which meet an automaton of at most ``terms`` kept terms. There are as many shards
-    of the vocabulary as that takes, a term goes to its shard's chunks alone, and chunks are dealt by salts to groups of 16 MB of text or
+    of the vocabulary as that takes, a term goes to its shard's chunks alone, and chunks are dealt by salts to groups of 32 MB of text or
     four times the vocabulary, so neither a frequent source nor a large vocabulary makes a large task, and vocabulary copies are
     a quarter of the text at most. Postings hold only what occurs. A pair's sum over all kept terms is worked out from each
     source's histogram of shares (with the other's floor) and a correction for the terms that both have.
