@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -140,12 +142,13 @@ def fuse(rankings: list[DataFrame], keys: tuple[str, ...], k: int = RRF_K) -> Da
     return fused.select(*keys, "doc_id", "rrf", (F.col("pos.ranking") * 1_000_000 + F.col("pos.rank")).alias("fused_pos"))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, source_order: DataFrame) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, source_order: DataFrame, sparse: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The best chunks of each question over all sources.
 
     questions (artifact_id, field, embedding, terms), chunks (artifact_id, source, chunk_index, text, embedding),
     source_order (field, source, ord). Both rankers see all chunks of an artifact's source; chunks that say nothing go
-    only after ranking; ties go by source order, then fused position.
+    only after ranking; ties go by source order, then fused position. ``sparse`` ranks (query_id, artifact_id, source, terms) by an
+    index of the chunks that was built before; without it their words are counted here.
     """
     key = F.struct("artifact_id", "field")
     q = questions.select(key.alias("query_id"), "artifact_id", "embedding", "terms")
@@ -153,7 +156,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, source_order: DataFrame) -
     sources = docs.select("artifact_id", "source").distinct()
     asked = q.join(sources, "artifact_id")
     on = ("artifact_id", "source")
-    fused = fuse([dense_top(asked, docs, on=on), bm25_top(asked, docs, on=on)], ("query_id", *on))
+    fused = fuse([dense_top(asked, docs, on=on), sparse(asked) if sparse else bm25_top(asked, docs, on=on)], ("query_id", *on))
     rows = fused.join(docs.select(*on, "doc_id", "text"), [*on, "doc_id"]).where(useful(F.col("text")))
     rows = rows.withColumn("field", F.col("query_id.field")).join(source_order.select("field", "source", "ord"), ["field", "source"], "left")
     w = Window.partitionBy("artifact_id", "field").orderBy(F.desc("rrf"), F.coalesce("ord", F.lit(99)), "source", "fused_pos", "doc_id")

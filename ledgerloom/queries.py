@@ -157,7 +157,7 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25(q, table(spark, sf_dir, "documents").select("doc_id", "text"), floor=False)
 
 
-@_query("""
+_BM25_TOP = """
 with t as (select source, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') as t from documents where source is not null),
 s as (select source, count(*) as n, avg(len(t)) as mean from t group by source), q as (select term, count(*) as times from (select unnest(['the', 'der', 'mit', 'license', 'license', 'error']) as term) group by term),
 w as (select source, doc_id, len(t) as length, unnest(t) as term from t), d as (select source, term, count(distinct doc_id) as df from w group by all),
@@ -165,13 +165,28 @@ i as (select source, term, ln(n - df + 0.5) - ln(df + 0.5) as idf from d join s
 tf as (select source, doc_id, length, term, count(*) as tf from w where term in (select term from q) group by all),
 hit as (select source, doc_id, round(sum(times * case when idf < 0 then 0.25 * mean_idf else idf end * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) as score from tf join i using (source, term) join m using (source) join s using (source) join q using (term) group by all),
 every as (select source, doc_id, score from hit union all select source, doc_id, 0 from t where (source, doc_id) not in (select (source, doc_id) from hit))
-select 0 as query_id, source, doc_id, score, cast(row_number() over (partition by source order by score desc, doc_id) as integer) as rank from every qualify rank <= 20""")
+select 0 as query_id, source, doc_id, score, cast(row_number() over (partition by source order by score desc, doc_id) as integer) as rank from every qualify rank <= 20"""
+
+
+@_query(_BM25_TOP)
 def bm25_top_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
     q = docs.select("source").distinct().withColumns({"query_id": F.lit(0), "terms": F.array(*map(F.lit, _TERMS))})
     return retrieval.bm25_top(q, docs, on=("source",))
 
 
+@_query(_BM25_TOP)
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranks from an inverted index that is written first and then read by the terms."""
+    from ledgerloom.operators.inverted import bm25_from_index, build_index
+    from ledgerloom.operators.scratch import fresh_path
+
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    index = build_index(docs, fresh_path(spark, "index"), ("source",))
+    q = docs.where("source is not null").select("source").distinct().withColumns({"query_id": F.lit(0), "terms": F.array(*map(F.lit, _TERMS))})
+    return bm25_from_index(index, q).select("query_id", "source", "doc_id", "score", "rank")
+
+
 _KNN = """
 with q as (select vec_id as query_id, embedding::double[] as e from embeddings where vec_id % 20 = 0), d as (
   select query_id, vec_id as doc_id, round(list_distance(e, embedding::double[]), 6) as score from embeddings, q), knn as (
