@@ -175,10 +175,25 @@ def recursive_walk(parents: DataFrame, catalog: DataFrame, depth: int = DEPTH, c
     return {"nodes": nodes, "skipped": over, "duplicates": done.duplicates.select(F.col("from").alias("parent"), F.col("name").alias("target"), "relation", "kind", "depth"), "visited": visited.orderBy("key"), "summary": summary}
 
 
+def _hinted(target: Column) -> Column:
+    """Whether a target reads like ``org/name``."""
+    return F.contains(target, F.lit("/")) & ~F.contains(target, F.lit(" "))
+
+
+def seed_fields(kind: Column, target: Column, parent: Column, relation: Column) -> Column:
+    """What is known of a target by its name and the relation that led there, as an array of (field, value)."""
+    entry = lambda f, v: F.struct(F.lit(f).alias("field"), v.alias("value"))
+    own, none = slug(target), F.lit("NOASSERTION")
+    use = F.concat(F.lit("Referenced by "), parent, F.lit(" via "), relation)
+    ai = [entry("model_id", own), entry("repo_id", F.when(_hinted(target), target).otherwise(own)), entry("license", none), entry("model_name", target)]
+    data = [entry("dataset_id", own), entry("name", target), entry("license", none), entry("intendedUse", use), entry("urls.huggingface", F.when(_hinted(target), F.concat(F.lit("https://huggingface.co/datasets/"), target)))]
+    return F.filter(F.when(kind == "ai", F.array(*ai)).otherwise(F.array(*data)), lambda e: e["value"].isNotNull())
+
+
 def seed_children(nodes: DataFrame) -> DataFrame:
-    """What is known of a walk's nodes without a catalog: bom_fields of their name and of the relation that led there."""
+    """``seed_fields`` of a walk's nodes as bom_fields."""
     source = F.concat(F.lit("recursive:"), "relation")
-    entries = F.array(F.struct(F.when(F.col("kind") == "ai", "model_id").otherwise("dataset_id").alias("field"), F.col("target").alias("value")), F.struct(F.lit("relationship").alias("field"), F.concat("relation", F.lit(" of "), "parent").alias("value")))
+    entries = seed_fields(F.col("kind"), F.col("target"), F.col("parent"), F.col("relation"))
     return nodes.select(F.col("target").alias("artifact_id"), "kind", source.alias("source"), F.explode(entries).alias("e")).select("artifact_id", "kind", F.lit("direct").alias("section"), "e.field", "e.value", "source")
 
 

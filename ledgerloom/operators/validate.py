@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import fresh_path, stored
+
 # Fixed values.
 PACKAGES = {"ai": "ai_AIPackage", "data": "dataset_DatasetPackage"}
 SPEC = "3.0.1"
@@ -54,6 +56,34 @@ def violations(nodes: DataFrame, refs: DataFrame, documents: DataFrame, strict:
     return reduce(DataFrame.unionByName, found)
 
 
+_ELEMENT = "struct<`@id`:string,spdxId:string,type:string,specVersion:string,created:string,createdBy:array<string>,profileConformance:array<string>,rootElement:array<string>,creationInfo:string,`from`:string,`to`:array<string>>"
+
+
+def parsed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs (doc_id, kind, json) -> what ``violations`` takes: documents, nodes and refs, read from the documents' texts.
+
+    A text that is no JSON object, or whose @graph is no list, has no graph; elements without an id have a null one.
+    """
+    read = F.from_json("json", f"struct<`@context`:string,`@graph`:array<{_ELEMENT}>>")
+    whole = stored(docs.select("doc_id", "kind", read.alias("d")), fresh_path(docs.sparkSession, "parsed"))  # each rule reads it
+    documents = whole.select("doc_id", "kind", (F.coalesce(F.col("d.@context"), F.lit("")) != "").alias("has_context"), F.col("d.@graph").isNotNull().alias("has_graph"))
+    each = whole.select("doc_id", F.explode(F.col("d.@graph")).alias("e"))
+    node_id = F.coalesce("e.spdxId", "e.@id").alias("node_id")
+    nodes = each.select("doc_id", node_id, "e.type", F.col("e.specVersion").alias("spec_version"), "e.created", F.col("e.createdBy").alias("created_by"), F.col("e.profileConformance").alias("profiles"), F.col("e.rootElement").alias("roots"))
+    lists = [("creationInfo", F.array("e.creationInfo")), ("from", F.array("e.from")), ("to", F.col("e.to")), ("rootElement", F.col("e.rootElement"))]
+    refs = None
+    for role, ids in lists:
+        one = each.select("doc_id", F.lit(role).alias("role"), F.explode(ids).alias("to_id")).where("to_id is not null")
+        refs = one if refs is None else refs.unionByName(one)
+    return documents, nodes, refs
+
+
+def of_documents(docs: DataFrame, strict: bool = False) -> DataFrame:
+    """(doc_id, valid, strict, validator, errors) of rendered documents (doc_id, kind, json)."""
+    documents, nodes, refs = parsed(docs)
+    return status(documents, violations(nodes, refs, documents, strict), strict)
+
+
 def status(documents: DataFrame, errors: DataFrame, strict: bool = False, validator: str = "structural") -> DataFrame:
     """(doc_id, valid, strict, validator, errors) for each document."""
     listed = errors.groupBy("doc_id").agg(F.sort_array(F.collect_list("error")).alias("errors"))

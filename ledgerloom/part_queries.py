@@ -281,15 +281,15 @@ def spdx_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-select cast(c_custkey as varchar) as doc_id, 'CycloneDX' as format, '1.7' as version, c_name as name, 'machine-learning-model' as type, 'MIT' as license, 'base' as ancestor, 'd1' as dataset, 'nlp' as use_case from customer""")
+select cast(c_custkey as varchar) as doc_id, 'CycloneDX' as format, '1.7' as version, c_name as name, 'machine-learning-model' as type, 'MIT' as license, 'base' as ancestor, 'd1' as dataset, 'nlp' as description from customer""")
 def cyclonedx_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = F.create_map(*(F.lit(x) for x in ("license", "MIT", "modelLineage", "base", "trainedOnDatasets", "d1, d2", "informationAboutApplication", "nlp")))
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("artifact_id"), F.col("c_name").alias("name"), some.alias("fields"), F.create_map().cast("map<string,string>").alias("conflicts"))
     j = lambda p: F.get_json_object("json", p)
     c = "$.components[0]"
     return cyclonedx.documents(rows, "ai", F.lit("2024-01-01T00:00:00Z")).select(
-        "doc_id", j("$.bomFormat").alias("format"), j("$.specVersion").alias("version"), j(f"{c}.name").alias("name"), j(f"{c}.type").alias("type"), j(f"{c}.licenses[0].license.name").alias("license"),
-        j(f"{c}.pedigree.ancestors[0].name").alias("ancestor"), j(f"{c}.modelCard.modelParameters.datasets[0].name").alias("dataset"), j(f"{c}.modelCard.considerations.useCases[0]").alias("use_case"),
+        "doc_id", j("$.bomFormat").alias("format"), j("$.specVersion").alias("version"), j(f"{c}.name").alias("name"), j(f"{c}.type").alias("type"), j(f"{c}.licenses[0].license.id").alias("license"),
+        j(f"{c}.pedigree.ancestors[0].name").alias("ancestor"), j(f"{c}.modelCard.modelParameters.datasets[0].name").alias("dataset"), j(f"{c}.description").alias("description"),
     )
 
 
@@ -336,7 +336,7 @@ def lineage_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     _TREE
     + """ select (select count(*) from found) as generated, (select cast(max(depth) as integer) from found) as deepest, (select min(n) from up) <= 1 as exhausted, (select count(*) from up where n % 9 = 0) as contested, (select count(*) from found) + 1 as visited, (select count(*) from found where enriched and target <> 'm1') as enriched,
-  (select count(*) from found) * 2 as seeds, (select count(*) from found where kind = 'ai') as resolved"""
+  (select count(*) from found) * 4 as seeds, (select count(*) from found where kind = 'ai') as resolved"""
 )
 def walk_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far a walk went, what was contested and visited, how many children are enriched, seeded and resolved by name."""

@@ -487,4 +487,4 @@ def element_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ai_packages(rows, F.lit("2024-01-01T00:00:00Z")).select(F.col("doc_id").cast("long").alias("c_custkey"), body.alias("b"), "node_id").select("c_custkey", "b.name", F.col("b.software_downloadLocation").alias("location"), F.col("b.software_primaryPurpose").alias("purpose"), F.col("node_id").alias("id"))
 
 
-from ledgerloom import part_queries  # noqa: E402, F401  (registers its queries here)
+from ledgerloom import document_queries, part_queries  # noqa: E402, F401  (they register their queries here)

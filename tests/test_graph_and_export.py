@@ -64,7 +64,7 @@ def test_enrichment_asks_for_each_level(spark):
     assert [(r.depth, r.target, r.enriched) for r in out["nodes"].orderBy("seq").collect()] == [(1, "b", True), (2, "c", True), (3, "d", False)]
     assert asked[:3] == [["m"], ["b"], ["c"]] and out["skipped"].count() == 0  # parents that aren't visited are not audited
     seeds = {(r.artifact_id, r.field): r.value for r in graph.seed_children(out["nodes"]).collect()}
-    assert seeds["d", "dataset_id"] == "d" and seeds["b", "relationship"] == "dependsOn of m"
+    assert seeds["d", "dataset_id"] == "d" and seeds["d", "intendedUse"] == "Referenced by c via trainedOn" and seeds["b", "license"] == "NOASSERTION" and ("d", "urls.huggingface") not in seeds
     known = spark.createDataFrame([("ai", "B", "org/b", 1), ("ai", "b", "late/b", 2)], "kind string, name string, identifier string, pos int")
     nodes = spark.createDataFrame([("b", "ai"), ("o/n", "ai"), ("none", "data")], "target string, kind string")
     assert {r.target: r.identifier for r in graph.resolve_names(nodes, known).collect()} == {"b": "org/b", "o/n": "o/n", "none": None}
@@ -115,7 +115,7 @@ def test_spdx_ai(spark):
 def test_spdx_data(spark):
     nodes, edges = spdx.documents(bom(spark, {"datasetSize": "1 KB", "datasetType": "Text, odd"}), "data", NOW())
     p = next(json.loads(r.payload) for r in nodes.collect() if r.type == "dataset_DatasetPackage")
-    assert (p["dataset_datasetSize"], p["dataset_datasetType"], p["dataset_datasetAvailability"], p["dataset_confidentialityLevel"], p["description"]) == (1000, ["text", "other"], "directDownload", "clear", "")
+    assert (p["dataset_datasetSize"], p["dataset_datasetType"], p["dataset_datasetAvailability"], p["dataset_confidentialityLevel"], p["dataset_intendedUse"]) == (1000, ["text", "other"], "directDownload", "clear", "")
     assert edges.count() == 2
 
 
