@@ -175,8 +175,15 @@ def named_in_map(values: Column) -> Column:
 
 
 def map_entries(values: Column) -> Column:
-    """Key-value entries of a map, in the order of its keys."""
-    return F.transform(F.array_sort(F.map_entries(values)), lambda e: F.struct(F.lit("DictionaryEntry").alias("type"), e["key"].alias("key"), e["value"].alias("value")))
+    """Key-value entries of a map, in the order of its keys; of a map that has a ``key``, the one entry that it tells.
+
+    Entries without a key or value are left out; the one entry may lack its value.
+    """
+    entry = lambda k, v: F.struct(F.lit("DictionaryEntry").alias("type"), k.alias("key"), v.alias("value"))
+    several = F.transform(F.filter(F.array_sort(F.map_entries(values)), lambda e: (e["key"] != "") & (e["value"] != "")), lambda e: entry(e["key"], e["value"]))
+    key = strip(F.coalesce(F.try_element_at(values, F.lit("key")), F.lit("")))
+    told = F.filter(F.array(entry(key, missing_to_null(F.try_element_at(values, F.lit("value"))))), lambda e: e["key"] != "")
+    return F.when(F.map_contains_key(values, F.lit("key")), told).otherwise(several)
 
 
 def path_segments(url: Column) -> Column:
@@ -206,9 +213,9 @@ def token_estimate(c: Column) -> Column:
     return (F.length(c) / F.lit(3.5)).cast("int")
 
 
-def truncated(c: Column, n: int, marker: str = "\n\n[... {} more characters]") -> Column:
-    before, after = marker.split("{}")
-    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(before), F.format_number(F.length(c) - n, 0), F.lit(after))).otherwise(c)
+def truncated(c: Column, n: int, marker: str = "\n\n[... Content truncated at {:,} characters ...]") -> Column:
+    """The first n characters and a marker that names the limit; shorter texts as they are."""
+    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(marker.format(n)))).otherwise(c)
 
 
 def json_envelope(c: Column) -> Column:

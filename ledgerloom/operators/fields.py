@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.licenses import normalize_license
 from ledgerloom.functions.scalars import collapse_whitespace, literal_map, missing_to_null, named_entities, strip
 
+TRACE = "struct<claims:map<string,string>,internal:map<string,string>,external:array<struct<sources:array<string>,description:string>>,selected:array<string>>"
 CONFLICT = "struct<value:string,source:string,type:string,delta_days:int,internal:string,external:string>"
 
 #: Post-processors by the name that a question bank gives.
@@ -88,11 +89,21 @@ def triplets(resolved: DataFrame, section: str) -> DataFrame:
     return resolved.select("artifact_id", F.lit(section).alias("section"), "field", "value", "source", parse_conflict(F.col("conflict")).alias("conflict"))
 
 
+#: What a wide view calls the parts of a trace.
+TRACE_COLUMNS = {"claims": "claims", "internal": "internal_conflicts", "external": "external_conflicts", "selected": "selected_sources"}
+
+
 def wide(bom_fields: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """One row for each artifact with the columns <f>, <f>_source and <f>_conflict of the given fields, so that no pass is needed to find them."""
-    one = F.first(F.struct("value", "source", F.col("conflict.value").alias("conflict")), ignorenulls=True)
+    """One row for each artifact with the columns <f>, <f>_source and <f>_conflict of the given fields, so that no pass is needed to find them.
+
+    Where bom_fields has raw_answer and trace, <f>_raw_answer and the trace's four columns follow.
+    """
+    more = [c for c in ("raw_answer", "trace") if c in bom_fields.columns]
+    one = F.first(F.struct("value", "source", F.col("conflict.value").alias("conflict"), *more), ignorenulls=True)
     g = bom_fields.where(F.col("field").isin(list(fields))).groupBy("artifact_id").pivot("field", list(fields)).agg(one)
-    return g.select("artifact_id", *(F.col(f"{f}.{x}").alias(f if x == "value" else f"{f}_{x}") for f in fields for x in ("value", "source", "conflict")))
+    names = [("value", ""), ("source", "_source"), ("conflict", "_conflict"), *((("raw_answer", "_raw_answer"),) if "raw_answer" in more else ())]
+    names += [(f"trace.{x}", f"_{n}") for x, n in TRACE_COLUMNS.items()] if "trace" in more else []
+    return g.select("artifact_id", *(F.col(f"{f}.{x}").alias(f + n) for f in fields for x, n in names))
 
 
 def preset(bom_fields: DataFrame, kind: str, name: str) -> DataFrame:
@@ -112,12 +123,18 @@ def conflict_report(bom_fields: DataFrame) -> DataFrame:
 
 
 def documents(bom_fields: DataFrame) -> DataFrame:
-    """(artifact_id, json): a provenance document for each artifact, fields by section; nulls are written."""
-    record = F.struct("value", "source", "conflict")
-    sections = bom_fields.groupBy("artifact_id", "section").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", record)))).alias("fields"))
-    whole = sections.groupBy("artifact_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", F.to_json("fields", {"ignoreNullFields": "false"}))))).alias("sections"))
-    body = F.array_join(F.transform(F.map_entries("sections"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ",")
-    return whole.select("artifact_id", F.concat(F.lit("{"), body, F.lit("}")).alias("json"))
+    """(artifact_id, json): a provenance document for each artifact, fields by section; nulls are written.
+
+    A field with a trace or a raw answer has them, too; others have no such key.
+    """
+    record = F.to_json(F.struct("value", "source", "conflict"), {"ignoreNullFields": "false"})
+    for c in ("trace", "raw_answer"):
+        if c in bom_fields.columns:
+            told = F.concat(F.substring(record, F.lit(1), F.length(record) - 1), F.lit(","), F.substring(F.to_json(F.struct(c)), 2, 1 << 30))
+            record = F.when(F.col(c).isNotNull(), told).otherwise(record)
+    listed = lambda rows: F.concat(F.lit("{"), F.array_join(F.transform(F.sort_array(F.collect_list(rows)), lambda e: F.concat(F.substring(F.to_json(F.array(e["name"])), F.lit(2), F.length(F.to_json(F.array(e["name"]))) - 2), F.lit(":"), e["json"])), ","), F.lit("}"))
+    sections = bom_fields.groupBy("artifact_id", "section").agg(listed(F.struct(F.col("field").alias("name"), record.alias("json"))).alias("json"))
+    return sections.groupBy("artifact_id").agg(listed(F.struct(F.col("section").alias("name"), "json")).alias("json"))
 
 
 def with_links(rows: DataFrame, links: Mapping[str, str]) -> DataFrame:

@@ -23,10 +23,12 @@ def label_sources(present: DataFrame, priority: DataFrame) -> DataFrame:
 
 
 def report_lines(text: Column) -> Column:
-    """A report as a map of its labels to what their first lines say; labels are of capitals and underscores, asterisks are left out."""
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\*", ""), "\n", -1)
+    """A report as a map of its labels to what stands behind them, in the line or, where that ends there, in the next that isn't blank;
+    labels are of capitals and underscores, asterisks are left out."""
+    lines = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\*", ""), "\n", -1), lambda x: strip(x) != "")
     form = r"(?U)^\s*([A-Z_]+)\s*:\s*(.*?)\s*$"
-    said = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, form, 1).alias("label"), F.regexp_extract(x, form, 2).alias("said")))
+    own = lambda x: F.regexp_extract(x, form, 2)
+    said = F.transform(lines, lambda x, i: F.struct(F.regexp_extract(x, form, 1).alias("label"), F.when(own(x) != "", own(x)).otherwise(strip(F.coalesce(F.get(lines, i + 1), F.lit("")))).alias("said")))
     said = F.filter(said, lambda x: (x["label"] != "") & (x["said"] != ""))
     labels = F.transform(said, lambda x: x["label"])
     return F.map_from_entries(F.filter(said, lambda x, i: F.array_position(labels, x["label"]) == i + 1))

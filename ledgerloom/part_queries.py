@@ -27,7 +27,7 @@ def _text(*parts):
 
 
 @_query("""
-select p_partkey, p_name || ' x' as collapsed, '{"k": ' || p_partkey || '}' as envelope, case when length(p_name || p_type) > 10 then substr(p_name || p_type, 1, 10) || chr(10) || chr(10) || '[... ' || (length(p_name || p_type) - 10) || ' more characters]' else p_name || p_type end as cut,
+select p_partkey, p_name || ' x' as collapsed, '{"k": ' || p_partkey || '}' as envelope, case when length(p_name || p_type) > 10 then substr(p_name || p_type, 1, 10) || chr(10) || chr(10) || '[... Content truncated at 10 characters ...]' else p_name || p_type end as cut,
   cast(floor(length(p_name) / 3.5) as integer) as tokens, p_name as answer, 'No' as status, '{k} of ' || p_name as filled from part""")
 def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """White space, JSON in answers, truncation, token estimates, marked answers and templates."""

@@ -62,7 +62,7 @@ def test_retries_and_fewer_chunks():
     def busy(x):
         calls.append(x)
         if len(calls) < 3:
-            raise RuntimeError("429 rate limit")
+            raise RuntimeError("Error 400: Provider returned error")
         return x
 
     assert bom.retried(busy, 5, sleep=waits.append) == 5 and waits == [2.0, 4.0]
@@ -87,3 +87,108 @@ def test_inferred_fields_follow_the_audit(spark):
     r = bom.inferred_fields(q, chunks, order, detector=lambda question, groups: "\n".join(f"CLAIM_{a}: {t[0].split()[1]}" for a, t in groups) + "\nCONFLICT_A_VS_B: Yes: GPL or MIT\nCONFLICT_A_VS_C: Yes: GPL or mit\nCONFLICT_B_VS_C: No").first()
     assert r.source in ("paper", "repo") and r.value.startswith("MIT") or r.value.lower().startswith("mit")
     assert r.conflict.external == "Yes: GPL or MIT; GPL or mit" and r.trace.selected == ["paper", "repo"] and r.trace.claims["hub"] == "GPL"
+
+
+def test_calls_run_side_by_side_in_order_and_share_pauses():
+    import threading
+    import time
+
+    running, most, lock = 0, 0, threading.Lock()
+
+    def call(i, pause):
+        nonlocal running, most
+        with lock:
+            running += 1
+            most = max(most, running)
+        time.sleep(0.02 * (5 - i % 5))
+        with lock:
+            running -= 1
+        return i
+
+    taken = []
+    rows = ((taken.append(i) or i,) for i in range(23))
+    found = bom.in_order(call, rows)
+    assert next(found) == 0 and len(taken) <= bom.CALLS + 1
+    assert list(found) == list(range(1, 23)) and 1 < most <= bom.CALLS
+    for said in ("Provider returned error", "[Errno 32] Broken pipe", "read ECONNRESET", "ECONNREFUSED", "(104, 'reset')", "Protocol error", "RemoteDisconnected"):
+        tries, waits = [], []
+
+        def busy(said=said, tries=tries):
+            tries.append(1)
+            if len(tries) < 3:
+                raise OSError(said)
+            return "done"
+
+        assert bom.retried(busy, sleep=waits.append) == "done" and waits == [2.0, 4.0]
+    for said in ("429 rate limit", "timed out", "bad key"):
+        with pytest.raises(ValueError):
+            bom.retried(lambda said=said: (_ for _ in ()).throw(ValueError(said)), sleep=None)
+    now = [0.0]
+    pause = bom.Pause(sleep=lambda s: now.__setitem__(0, now[0] + s), clock=lambda: now[0])
+    calls = []
+
+    def flaky(x):
+        calls.append((x, now[0]))
+        if len(calls) == 1:
+            raise OSError("broken pipe")
+        return x
+
+    assert bom.retried(flaky, 1, pause=pause) == 1 and bom.retried(flaky, 2, pause=pause) == 2
+    assert calls == [(1, 0.0), (1, 2.0), (2, 2.0)]
+    with pytest.raises(ValueError):
+        list(bom.in_order(lambda i, p: (_ for _ in ()).throw(ValueError("x")), ((i,) for i in range(3))))
+
+
+def test_values_on_the_next_line(spark):
+    said = "CLAIM_A:\n\n  MIT \nCLAIM_B: Apache-2.0\nCONFLICT_A_VS_B:\nYes: they differ\nCONFLICT_WITHIN_A: No\nCONFLICT_WITHIN_B:"
+    r = spark.createDataFrame([(said,)], "t string").select(routing.report_lines(F.col("t")).alias("m")).first().m
+    assert r == {"CLAIM_A": "MIT", "CLAIM_B": "Apache-2.0", "CONFLICT_A_VS_B": "Yes: they differ", "CONFLICT_WITHIN_A": "No"}
+
+
+def test_direct_answers_are_taken_apart_at_one_marker(spark):
+    said = {"a": "ANSWER: MIT CONFLICT_STATUS: No conflicts detected", "b": "MIT CONFLICT_STATUS: hub: MIT, repo: GPL", "c": "x CONFLICT_STATUS: y CONFLICT_STATUS: z", "d": "ANSWER: kept", "e": " ANSWER:  two words  CONFLICT_STATUS: No"}
+    texts = spark.createDataFrame([(a, "hub", a + " " + "w" * 60) for a in said], "artifact_id string, source string, text string")
+    q = spark.createDataFrame([(a, "license", "q") for a in said], "artifact_id string, field string, question string")
+    order = spark.createDataFrame([("license", "hub", 0)], "field string, source string, ord int")
+    out = {r.artifact_id: (r.value, r.conflict and (r.conflict.value, r.conflict.source)) for r in bom.direct_answers(texts, q, order, lambda question, t, s: said[t[0][0]]).collect()}
+    assert out == {"a": ("MIT", None), "b": ("MIT", ("MIT, GPL", "hub, repo")), "c": (said["c"], None), "d": (said["d"], None), "e": ("two words", None)}
+    from ledgerloom.functions.scalars import map_entries, truncated
+
+    one = spark.range(1).select(truncated(F.lit("x" * 1300), 1200).alias("cut"), map_entries(F.create_map(*map(F.lit, ("key", "lr", "value", "1")))).alias("told"), map_entries(F.create_map(*map(F.lit, ("a", "1", "b", "", "", "c")))).alias("some")).first()
+    assert one.cut == "x" * 1200 + "\n\n[... Content truncated at 1,200 characters ...]"
+    assert [(e.key, e.value) for e in one.told] == [("lr", "1")] and [(e.key, e.value) for e in one.some] == [("a", "1")]
+
+
+def test_bills_keep_answers_and_traces_and_ask_once(spark, tmp_path):
+    """Also where exchanges aren't reused."""
+    from ledgerloom.operators import fields
+
+    log = tmp_path / "asked"
+
+    def detector(question, groups):
+        with open(log, "a") as f:
+            f.write("x\n")
+        return "\n".join(f"CLAIM_{a}: {t[0].split()[1]}" for a, t in groups) + "\nCONFLICT_A_VS_B: Yes: GPL or MIT\nCONFLICT_B_VS_C: No\nCONFLICT_A_VS_C: Yes: GPL or mit"
+
+    texts = [(m, s, i, f"license: {v} License" + " words" * i, [1.0, float(i)]) for m in ("m", "n") for s, v in (("hub", "GPL"), ("paper", "MIT"), ("repo", "MIT")) for i in range(3)]
+    chunks = spark.createDataFrame(texts, "artifact_id string, source string, chunk_index int, text string, embedding array<float>")
+    q = spark.createDataFrame([(m, "license", "what is the license", [1.0, 0.0], ["license:"], "normalize_license") for m in ("m", "n")], "artifact_id string, field string, question string, embedding array<float>, terms array<string>, post_process string")
+    order = spark.createDataFrame([("license", "hub", 0), ("license", "paper", 1), ("license", "repo", 2)], "field string, source string, ord int")
+    claims = spark.createDataFrame([("m", "suppliedBy", "hub", 0, "Org")], "artifact_id string, field string, source string, ord int, value string")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        out = bom.build(claims, "ai", questions=q, chunks=chunks, source_order=order, detector=detector)
+        by = {(r.artifact_id, r.field): r for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert log.read_text().count("x") == 2
+    r = by["m", "license"]
+    assert (r.value, r.raw_answer) == ("MIT", "MIT License") and r.trace.selected == ["paper", "repo"] and r.trace.claims == {"hub": "GPL", "paper": "MIT", "repo": "MIT"}
+    assert by["m", "suppliedBy"].trace is None and by["m", "suppliedBy"].raw_answer is None
+    w = {x.artifact_id: x for x in fields.wide(out, ["license", "suppliedBy"]).collect()}["m"]
+    assert w.license_raw_answer == "MIT License" and w.license_selected_sources == ["paper", "repo"] and w.license_claims["hub"] == "GPL" and w.license_internal_conflicts == {} and len(w.license_external_conflicts) == 2 and w.suppliedBy_claims is None
+    import json
+
+    d = json.loads({x.artifact_id: x.json for x in fields.documents(out).collect()}["m"])
+    assert d["direct"]["suppliedBy"] == {"value": "Org", "source": "hub", "conflict": None}
+    assert d["inferred"]["license"]["trace"]["selected"] == ["paper", "repo"] and d["inferred"]["license"]["raw_answer"] == "MIT License"
