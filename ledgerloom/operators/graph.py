@@ -36,7 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.checkpoint()
 
 
-def numbered(df: DataFrame, *order: str, start: int = 1) -> DataFrame:
+def numbered(df: DataFrame, *order: str | Column, start: int = 1) -> DataFrame:
     """df with seq, counting from ``start`` in that order: a range sort, and the counts of its partitions."""
     rows = written(df.orderBy(*order).withColumn("seq", F.monotonically_increasing_id()), "numbered")
     part, at = F.shiftright("seq", 33), F.col("seq").bitwiseAND(F.lit((1 << 33) - 1))
@@ -197,11 +197,59 @@ def seed_children(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("target").alias("artifact_id"), "kind", source.alias("source"), F.explode(entries).alias("e")).select("artifact_id", "kind", F.lit("direct").alias("section"), "e.field", "e.value", "source")
 
 
-def resolve_names(nodes: DataFrame, catalog: DataFrame) -> DataFrame:
-    """nodes (target, kind) -> with identifier: ``org/name`` itself, else the catalog's (kind, name, identifier, pos) first of that name, else null."""
-    first = catalog.groupBy("kind", F.lower(F.trim("name")).alias("name_key")).agg(F.min_by("identifier", "pos").alias("found"))
-    met = nodes.withColumn("name_key", F.lower(F.trim("target"))).join(first, ["kind", "name_key"], "left")
-    return met.withColumn("identifier", F.when(F.trim("target").rlike(r"^[^/\s]+/[^/\s]+$"), F.trim("target")).otherwise(F.col("found"))).select(*nodes.columns, "identifier")
+def resolve_names(nodes: DataFrame, catalog: DataFrame, least: float | None = None) -> DataFrame:
+    """nodes (target, kind) -> with identifier: ``org/name`` itself, else the catalog's (kind, name, identifier, pos) first of that name, else null.
+
+    With ``least`` names are searched: of the catalog's names of that kind whose similarity (see ``search_names``) is at least so, the most
+    similar one, whose first entry is taken. An equal name has similarity 1.
+    """
+    first = catalog.groupBy("kind", F.lower(F.trim("name")).alias("name_key")).agg(F.min_by(F.struct("pos", "identifier"), "pos").alias("e"))
+    keyed = nodes.withColumn("name_key", F.lower(F.trim("target")))
+    if least is None:
+        found = first.select("kind", "name_key", F.col("e.identifier").alias("found"))
+    else:
+        asked = keyed.where(~F.trim("target").rlike(IDENTIFIER)).select("kind", "name_key").distinct()
+        found = search_names(asked, first.select("kind", F.col("name_key").alias("name"), "e.pos", "e.identifier"), least).select("kind", "name_key", F.col("identifier").alias("found"))
+    met = keyed.join(found, ["kind", "name_key"], "left")
+    return met.withColumn("identifier", F.when(F.trim("target").rlike(IDENTIFIER), F.trim("target")).otherwise(F.col("found"))).select(*nodes.columns, "identifier")
+
+
+#: What reads like ``org/name``.
+IDENTIFIER = r"^[^/\s]+/[^/\s]+$"
+
+
+def trigrams(name: Column) -> Column:
+    """The distinct runs of three letters of a name with two spaces before and one behind it."""
+    padded = F.concat(F.lit("  "), name, F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
+
+
+def search_names(asked: DataFrame, names: DataFrame, least: float) -> DataFrame:
+    """asked (kind, name_key) and names (kind, name, pos, identifier), each once -> (kind, name_key, name, identifier, similarity): the hit of the
+    largest share of common trigrams (of all of both), of ``least`` (above 0) at least; of equal ones the smallest pos.
+
+    An inverted join by prefixes: in the order from the rarest trigram of all names, two such sets share one of the first
+    n - ceil(least * n) + 1 of each, and their sizes differ by that share at most. So trigrams that most names have bring nothing together;
+    those that meet are compared whole.
+    """
+    q = asked.select("kind", "name_key", trigrams(F.col("name_key")).alias("q"))
+    c = names.select("kind", "name", "pos", "identifier", trigrams(F.col("name")).alias("c"))
+    often = c.select("kind", F.explode("c").alias("gram")).groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("n"))
+
+    def posted(rows: DataFrame, grams: str, own: list[str]) -> DataFrame:
+        each = rows.select("kind", *own, F.size(grams).alias(f"size_{grams}"), F.explode(grams).alias("gram")).join(often, ["kind", "gram"], "left")
+        ordered = each.groupBy("kind", *own, f"size_{grams}").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("o"))
+        size = F.col(f"size_{grams}")
+        prefix = size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + 1
+        return ordered.select("kind", *own, f"size_{grams}", F.explode(F.slice("o", F.lit(1), prefix)).alias("p")).select("kind", *own, f"size_{grams}", "p.gram")
+
+    near = F.least("size_q", "size_c") >= F.greatest("size_q", "size_c") * F.lit(least) - 1e-9
+    met = posted(q, "q", ["name_key"]).join(posted(c, "c", ["name"]), ["kind", "gram"]).where(near).select("kind", "name_key", "name").distinct()
+    both = met.join(q, ["kind", "name_key"]).join(c, ["kind", "name"])
+    common = F.size(F.array_intersect("q", "c"))
+    hits = both.withColumn("similarity", common / (F.size("q") + F.size("c") - common)).where(F.col("similarity") >= least)
+    best = hits.groupBy("kind", "name_key").agg(F.min_by(F.struct("name", "identifier", "similarity"), F.struct(-F.col("similarity"), "pos")).alias("b"))
+    return best.select("kind", "name_key", "b.*")
 
 
 def first_of_type(nodes: DataFrame, *types: str) -> DataFrame:

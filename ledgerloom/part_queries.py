@@ -212,7 +212,7 @@ def property_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""
 with t as (select cast(floor(length(p_type) / 3.5) as integer) as n from part where p_partkey % 2 = 0)
-select min(n) as least, list_sort(list(n))[cast(count(*) // 2 as integer) + 1] as middle, max(n) as most, cast(count(*) as integer) as entries from t""")
+select min(n) as least, list_sort(list(n), 'desc')[cast(count(*) // 2 as integer) + 1] as middle, max(n) as most, count(*) as entries from t""")
 def passage_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config.token_audit(_bank(spark, sf_dir).where("retrieval.hypothetical_passage is not null"))
 

@@ -203,11 +203,6 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense_top(e.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), e).select("query_id", "doc_id", "score", "rank")
 
 
-@_query(_TOP)
-def knn_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knn_topk(spark, sf_dir)
-
-
 _FUSED = (
     _KNN
     + """, u as (select vec_id, list_transform(embedding::double[], lambda x: x / sqrt(list_inner_product(embedding::double[], embedding::double[]))) as e from embeddings),
@@ -227,11 +222,6 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fuse([retrieval.dense_top(queries, e), retrieval.dense_top(unit(queries), unit(e))], ("query_id",)).select("query_id", "doc_id", "rrf")
 
 
-@_query(_FUSED)
-def rrf_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rrf_fusion(spark, sf_dir)
-
-
 _SIMILAR = r"""
 with t as (select p_partkey, p_brand, list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[;,\s]+'), lambda x: x <> '')) as t from part), s as (
   select a.p_partkey as a, b.p_partkey as b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) as similarity from t a join t b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey)
@@ -246,11 +236,6 @@ def jaccard_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.similar_sets(p, 0.6, ("p_brand",)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@_query(_SIMILAR)
-def jaccard_tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_tags(spark, sf_dir)
-
-
 @_query("""
 select p_partkey, case when p_partkey % 3 = 0 then 1.0::double else round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) end as similarity from (
   select p_partkey, list_filter(string_split_regex(lower(p_name), '[;,\\s]+'), lambda x: x <> '') as a, list_filter(string_split_regex(lower(p_type || ';' || p_name), '[;,\\s]+'), lambda x: x <> '') as b from part)""")
@@ -382,14 +367,6 @@ def linked_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bundle(spark, sf_dir, table(spark, sf_dir, "orders"))
 
 
-@_query("""
-select 'c' || c_custkey as node_id, 'Customer' as type, c_name as name from customer where c_custkey % 10 <> 0
-union all select 'c' || c_custkey, 'dataset_DatasetPackage', c_name from customer where c_custkey % 10 = 0 and c_custkey % 20 <> 0
-union all select 'o' || o_orderkey, 'Order', 'Customer#' || lpad(cast(o_custkey as varchar), 9, '0') from orders""")
-def linked_bundle_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked_bundle(spark, sf_dir)
-
-
 def _bundle(spark: SparkSession, sf_dir: str, o: DataFrame) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     kind = F.when(F.col("c_custkey") % 10 == 0, "dataset_DatasetPackage").otherwise("Customer")
@@ -487,4 +464,4 @@ def element_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ai_packages(rows, F.lit("2024-01-01T00:00:00Z")).select(F.col("doc_id").cast("long").alias("c_custkey"), body.alias("b"), "node_id").select("c_custkey", "b.name", F.col("b.software_downloadLocation").alias("location"), F.col("b.software_primaryPurpose").alias("purpose"), F.col("node_id").alias("id"))
 
 
-from ledgerloom import document_queries, part_queries  # noqa: E402, F401  (they register their queries here)
+from ledgerloom import bill_queries, document_queries, part_queries  # noqa: E402, F401  (they register their queries here)

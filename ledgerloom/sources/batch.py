@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,14 +35,70 @@ def remaining(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.where("status = 'ok'").select(key), key, "left_anti")
 
 
-def append_checkpoint(results: DataFrame, path: str, run_key: str) -> None:
-    """results (row_index, status, payload) of one run; other runs' rows stay."""
-    results.withColumn("run_key", F.lit(run_key)).write.mode("append").partitionBy("run_key").parquet(path)
+_ROWS = "row_index long, status string, payload string"
+_COMMIT = "number long, run_key string, first long, last long, part string"
+
+
+def write_part(results: DataFrame, path: str) -> str:
+    """Rows as a folder of their own, which no reader knows of before it is committed; its name."""
+    part = uuid.uuid4().hex
+    results.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in _ROWS.split(", "))).write.parquet(f"{path}/parts/{part}")
+    return part
+
+
+def commit_part(spark: SparkSession, path: str, run_key: str, rows: tuple[int, int], part: str) -> None:
+    """One line in the log: from now on the part holds rows first to last of the run, whatever was committed for them before.
+
+    The line is written beside the log and moved into it as a whole under the next number; commits are made by one driver at a time.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    log, conf = hadoop.Path(f"{path}/log"), spark._jsc.hadoopConfiguration()
+    files = log.getFileSystem(conf)
+    files.mkdirs(log)
+    taken = [int(s.getPath().getName().split(".")[0]) for s in files.listStatus(log) if s.getPath().getName().endswith(".json")]
+    number = max(taken, default=0) + 1
+    line = json.dumps({"number": number, "run_key": run_key, "first": rows[0], "last": rows[1], "part": part}) + "\n"
+    beside, at = hadoop.Path(f"{path}/{part}.commit"), hadoop.Path(f"{path}/log/{number:012d}.json")
+    out = files.create(beside, True)
+    out.write(bytearray(line.encode()))
+    out.close()
+    if files.exists(at) or not files.rename(beside, at):
+        raise RuntimeError(f"commit {number} was made by somebody else")
+
+
+def append_checkpoint(results: DataFrame, path: str, run_key: str, rows: tuple[int, int] | None = None) -> None:
+    """results (row_index, status, payload) of a batch of one run, which take the place of all that the run has in ``rows`` (of the
+    smallest to the largest row_index, if it isn't given): so a batch that is repeated doesn't double its rows. A failure at any time leaves the
+    checkpoint as it was or as it should be; other runs' rows stay."""
+    spark, part = results.sparkSession, write_part(results, path)
+    if rows is None:
+        own = spark.read.schema(_ROWS).parquet(f"{path}/parts/{part}").agg(F.min("row_index"), F.max("row_index")).first()
+        if own[0] is None:
+            return
+        rows = (own[0], own[1])
+    commit_part(spark, path, run_key, rows, part)
 
 
 def read_checkpoint(spark: SparkSession, path: str, run_key: str) -> DataFrame:
-    schema = "row_index long, status string, payload string, run_key string"
-    return spark.read.schema(schema).parquet(path).where(F.col("run_key") == run_key)
+    """(row_index, status, payload, run_key) of a run as its commits say: each row from the last commit whose rows it is among.
+
+    The log alone says which parts count. From the bounds of the run's commits come intervals, each of one part; rows meet the
+    intervals of their own part, so no row is compared with all commits.
+    """
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/log")
+    if not log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
+        return spark.createDataFrame([], f"{_ROWS}, run_key string")
+    commits = spark.read.schema(_COMMIT).json(f"{path}/log").where(F.col("run_key") == run_key)
+    bounds = commits.select(F.explode(F.array("first", F.col("last") + 1)).alias("lo")).distinct()
+    spans = bounds.withColumn("hi", F.lead("lo").over(Window.orderBy("lo")) - 1).where("hi is not null")  # a log is a small table
+    held = spans.join(commits, (F.col("first") <= F.col("lo")) & (F.col("hi") <= F.col("last"))).groupBy("lo", "hi").agg(F.max_by("part", "number").alias("part"))
+    parts = [r.part for r in held.select("part").distinct().collect()]
+    if not parts:
+        return spark.createDataFrame([], f"{_ROWS}, run_key string")
+    rows = spark.read.schema(_ROWS).parquet(*(f"{path}/parts/{p}" for p in parts))
+    rows = rows.withColumn("part", F.regexp_extract(F.col("_metadata.file_path"), r"/parts/([0-9a-f]+)/", 1))
+    live = rows.join(held, (rows["part"] == held["part"]) & F.col("row_index").between(F.col("lo"), F.col("hi")))
+    return live.select("row_index", "status", "payload", F.lit(run_key).alias("run_key"))
 
 
 def write_documents(documents: DataFrame, path: str) -> None:

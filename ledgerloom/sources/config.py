@@ -7,7 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import strip
+from ledgerloom.functions.scalars import strip, token_estimate
+from ledgerloom.operators.graph import numbered
 
 PRIORITY = "section string, field string, sources array<string>"
 #: What holds where a section has no default of its own.
@@ -48,11 +49,31 @@ def exploded(priority: DataFrame) -> DataFrame:
     return priority.select("section", "field", F.posexplode("sources").alias("ord", "source"))
 
 
-def read_bank(spark: SparkSession, path: str) -> DataFrame:
-    """One entry for each JSON file, named by it; files that are broken or lack question, keywords or description are left out."""
+REQUIRED = ["description", "keywords", "question"]
+
+
+def bank_entries(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """texts (field, value) of JSON entries -> entries, and rejected ones (field, reason); each text is in one of the two.
+
+    An entry is an object with question, keywords and description, if only null ones.
+    """
+    read = texts.withColumn("v", F.try_parse_json("value"))
+    lacking = F.filter(F.array(*(F.when(F.try_variant_get("v", f"$.{k}", "variant").isNull(), F.lit(k)) for k in REQUIRED)), lambda x: x.isNotNull())
+    reason = F.when(F.col("v").isNull(), "no JSON").when(~F.schema_of_variant("v").startswith("OBJECT"), "no object").when(F.size(lacking) > 0, F.concat(F.lit("missing "), F.array_join(lacking, ", ")))
+    marked = read.withColumn("reason", reason)
+    kept = marked.where("reason is null").select("field", F.from_json("value", ENTRY).alias("e")).select("field", "e.*")
+    return kept, marked.where("reason is not null").select("field", "reason")
+
+
+def read_bank_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The entries of JSON files, named by them, and the files that hold none, with the reason: see ``bank_entries``."""
     name = F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)\.json$", 1)
-    rows = spark.read.text(path, wholetext=True).select(name.alias("field"), F.from_json("value", ENTRY).alias("e"))
-    return rows.select("field", "e.*").where("question is not null and keywords is not null and description is not null")
+    return bank_entries(spark.read.text(path, wholetext=True).select(name.alias("field"), "value"))
+
+
+def read_bank(spark: SparkSession, path: str) -> DataFrame:
+    """The entries alone that have a question, keywords and a description."""
+    return read_bank_files(spark, path)[0].where("question is not null and keywords is not null and description is not null")
 
 
 def _filled(c: Column) -> Column:
@@ -127,9 +148,19 @@ def spec_owners(spec: DataFrame) -> DataFrame:
     return each.groupBy("property").agg(F.sort_array(F.collect_list("field")).alias("fields"))
 
 
+def token_rows(bank: DataFrame, most: int = 200) -> DataFrame:
+    """bank (kind, field, retrieval) -> (tokens, chars, terms, kind, field, long, place) of its passages, the longest first: a range sort, whose
+    partitions are counted, so the places don't come from one task."""
+    passage = F.coalesce("retrieval.hypothetical_passage", F.lit(""))
+    kind = F.col("kind") if "kind" in bank.columns else F.lit("")
+    rows = bank.select(token_estimate(passage).alias("tokens"), F.length(passage).alias("chars"), F.coalesce(F.when(F.col("retrieval.bm25_terms").isNotNull(), F.size("retrieval.bm25_terms")), F.lit(0)).alias("terms"), kind.alias("kind"), "field")
+    ordered = numbered(rows, *(F.desc(c) for c in ("tokens", "chars", "terms", "kind", "field")))
+    return ordered.select("tokens", "chars", "terms", "kind", "field", (F.col("tokens") > most).alias("long"), F.col("seq").alias("place"))
+
+
 def token_audit(bank: DataFrame) -> DataFrame:
-    """(least, middle, most, entries) of the passages' token estimates; of an even number, the upper middle."""
-    n = (F.length("retrieval.hypothetical_passage") / 3.5).cast("int")
-    sizes = F.sort_array(F.collect_list(n))
-    g = bank.agg(sizes.alias("s"))
-    return g.select(F.array_min("s").alias("least"), F.get("s", F.floor(F.size("s") / 2).cast("int")).alias("middle"), F.array_max("s").alias("most"), F.size("s").alias("entries"))
+    """(least, middle, most, entries) of the passages' token estimates: the last, the middle (of n, number n // 2 from 0) and the first of ``token_rows``."""
+    rows = token_rows(bank)
+    n = rows.count()
+    at = lambda place: F.max(F.when(F.col("place") == place, F.col("tokens")))
+    return rows.agg(at(n).alias("least"), at(n // 2 + 1).alias("middle"), at(1).alias("most"), F.count(F.lit(1)).alias("entries"))
