@@ -437,9 +437,14 @@ def conflict_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.legacy_strings(audits.withColumn("internal", F.map_from_entries(F.array_sort(F.transform(F.filter("letters", lambda x: F.map_contains_key("internal", x["source"])), lambda x: F.struct(x["source"].alias("key"), F.col("internal")[x["source"]].alias("value"))), lambda a, b: F.array_position(F.array(*map(F.lit, dt.SOURCES)), a["key"]).cast("int") - F.array_position(F.array(*map(F.lit, dt.SOURCES)), b["key"]).cast("int"))))).select("artifact_id", "internal_conflict", "external_conflict")
 
 
-@_query("select 'free' as catalog, 'x:free' as id union all select 'empty', 'curated'")
+@_query("""
+with m as (select s_suppkey as pos, case when s_suppkey % 4 = 0 then 's' || s_suppkey || ':free' else 's' || s_suppkey end as id, cast(floor(abs(s_acctbal)) as bigint) as length, s_suppkey % 4 = 0 or s_suppkey % 5 = 0 as free from supplier)
+select 'whole' as catalog, pos, id, arg_min(id, (-length, pos)) filter (where free) over () as best from m union all select 'empty', 0, 'curated', 'none'""")
 def catalog_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best free model, and the first curated row of an empty catalog."""
-    rows = spark.createDataFrame([("y", "Y", "5", ("1", "1"), 0), ("x:free", "X", "7", None, 1)], f"{catalog.MODEL}, pos int")
-    curated = catalog.or_curated(rows.limit(0), [("curated", "C", "1")])
-    return spark.createDataFrame([("free", catalog.default_model(rows, "none"))], "catalog string, id string").unionByName(curated.select(F.lit("empty").alias("catalog"), "id"))
+    """The catalog of all suppliers with its best free model, and the curated row of an empty catalog, whose default is the fallback."""
+    key = F.col("s_suppkey").cast("string")
+    price = F.when(F.col("s_suppkey") % 5 == 0, F.struct(F.lit("0").alias("prompt"), F.lit("0").alias("completion")))
+    models = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), key, F.when(F.col("s_suppkey") % 4 == 0, ":free").otherwise("")).alias("id"), F.col("s_name").alias("name"), F.floor(F.abs("s_acctbal")).cast("string").alias("context_length"), price.alias("pricing"), F.col("s_suppkey").alias("pos"))
+    whole = catalog.or_curated(models, [("curated", "C", "1")]).select(F.lit("whole").alias("catalog"), "pos", "id", F.lit(catalog.default_model(models, "none")).alias("best"))
+    empty = models.limit(0)
+    return whole.unionByName(catalog.or_curated(empty, [("curated", "C", "1")]).select(F.lit("empty").alias("catalog"), "pos", "id", F.lit(catalog.default_model(empty, "none")).alias("best")))

@@ -9,6 +9,7 @@ from ledgerloom.functions import scalars as fn
 from ledgerloom.functions import text as tx
 from ledgerloom.functions.licenses import license_in_text, normalize_license
 from ledgerloom.operators import fields, graph, retrieval, routing, validate
+from ledgerloom.operators.scratch import fresh_path, stored
 from ledgerloom.operators.resolve import first_by_priority, prioritise, resolve, resolve_dates, resolve_fuzzy
 from ledgerloom.plans import driver_tables as dt
 from ledgerloom.plans.driver_tables import table
@@ -179,7 +180,6 @@ def bm25_top_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same ranks from an inverted index that is written first and then read by the terms."""
     from ledgerloom.operators.inverted import bm25_from_index, build_index
-    from ledgerloom.operators.scratch import fresh_path
 
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
     index = build_index(docs, fresh_path(spark, "index"), ("source",))
@@ -218,8 +218,11 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     queries = e.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
     # The second ranking sees unit vectors, so it orders by angle.
+    # Unit vectors are written, so that a norm is worked out once a vector and not for each of its components.
     unit = lambda df: df.withColumn("embedding", F.col("embedding").cast("array<double>")).withColumn("n", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))).where("n > 0").withColumn("embedding", F.transform("embedding", lambda x: x / F.col("n"))).drop("n")
-    return retrieval.fuse([retrieval.dense_top(queries, e), retrieval.dense_top(unit(queries), unit(e))], ("query_id",)).select("query_id", "doc_id", "rrf")
+    units = stored(unit(e), fresh_path(spark, "units"))
+    asked = units.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return retrieval.fuse([retrieval.dense_top(queries, e), retrieval.dense_top(asked, units)], ("query_id",)).select("query_id", "doc_id", "rrf")
 
 
 _SIMILAR = r"""
@@ -378,13 +381,17 @@ def _bundle(spark: SparkSession, sf_dir: str, o: DataFrame) -> DataFrame:
 
 
 @_query("""
-select * from (values ('direct', 'default', 'repo,hub'), ('direct', 'license', 'hub'), ('direct', 'size', 'paper,hub'), ('data', 'default', 'hub')) t(section, field, sources)""")
+select section, field, string_agg(source, ',' order by ord) as sources from (
+  select case when s_suppkey % 2 = 0 then 'direct' else 'data' end as section, 'f' || s_suppkey as field, unnest(case when s_suppkey % 3 = 0 then ['paper', 'hub'] when s_suppkey % 3 = 1 then ['hub', 'repo'] else ['repo'] end) as source,
+    generate_subscripts(case when s_suppkey % 3 = 0 then ['paper', 'hub'] when s_suppkey % 3 = 1 then ['hub', 'repo'] else ['repo'] end, 1) as ord from supplier) group by all""")
 def priority_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the suppliers' lists is both bundled and the user's, a third bundled alone, a third the user's alone."""
     from ledgerloom.sources.config import overlay
 
-    schema = "section string, field string, sources array<string>"
-    bundled = spark.createDataFrame([("direct", "default", ["hub", "repo"]), ("direct", "license", ["hub"]), ("data", "default", ["hub"])], schema)
-    own = spark.createDataFrame([("direct", "default", ["repo", "hub"]), ("direct", "size", ["paper", "hub"])], schema)
+    k = F.col("s_suppkey")
+    named = table(spark, sf_dir, "supplier").select(k, F.when(k % 2 == 0, "direct").otherwise("data").alias("section"), F.concat(F.lit("f"), k.cast("string")).alias("field"))
+    bundled = named.where("s_suppkey % 3 < 2").select("section", "field", F.array(F.lit("hub"), F.lit("repo")).alias("sources"))
+    own = named.where("s_suppkey % 3 <> 1").select("section", "field", F.when(k % 3 == 0, F.array(F.lit("paper"), F.lit("hub"))).otherwise(F.array(F.lit("repo"))).alias("sources"))
     return overlay(bundled, own).select("section", "field", F.array_join("sources", ",").alias("sources"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import missing_to_null
+from ledgerloom.operators.graph import numbered
 
 # Columns that tell the kind of a batch, and what empty cells say.
 AI_COLUMNS, DATA_COLUMNS = ["autonomyType", "typeOfModel", "trainedOnDatasets"], ["datasetType", "datasetSize", "dataCollectionProcess"]
@@ -23,11 +24,10 @@ def batch_kind(columns: Sequence[str]) -> str | None:
 
 
 def read_batch(spark: SparkSession, path: str, start_row: int = 1, limit: int | None = None) -> DataFrame:
-    """A CSV file's rows with row_index from 1 in the file's order; a batch file is small."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    place = F.row_number().over(Window.orderBy("__id")).alias("row_index")
-    numbered = rows.withColumn("__id", F.monotonically_increasing_id()).select("*", place).drop("__id").where(F.col("row_index") >= start_row)
-    return numbered if limit is None else numbered.where(F.col("row_index") < start_row + limit)
+    """A CSV file's rows with row_index from 1 in the file's order, which is that of its partitions."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"').withColumn("__id", F.monotonically_increasing_id())
+    placed = numbered(rows, "__id").withColumn("row_index", F.col("seq").cast("int")).drop("__id", "seq").where(F.col("row_index") >= start_row)
+    return placed if limit is None else placed.where(F.col("row_index") < start_row + limit)
 
 
 def remaining(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -107,9 +107,13 @@ def write_documents(documents: DataFrame, path: str) -> None:
 
 
 def write_combined(documents: DataFrame, path: str) -> None:
-    """documents (kind, artifact_id, json) as one JSON array for each kind, put together from sorted lines; meant for batches."""
-    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("artifact_id", "json"))), lambda x: x["json"]), ",")
-    documents.groupBy("kind").agg(F.concat(F.lit("["), rows, F.lit("]")).alias("value")).write.partitionBy("kind").text(path)
+    """documents (kind, artifact_id, json) as one JSON array for each kind: its folder's files, one after the other by name, are the array, by
+    artifact. Each document is a line; the first begins the array, the last ends it, so no task holds a kind."""
+    placed = numbered(documents.select("kind", "artifact_id", "json"), "kind", "artifact_id", "json")
+    ends = placed.groupBy("kind").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    line = F.concat(F.when(F.col("seq") == F.col("first"), "[").otherwise(","), "json", F.when(F.col("seq") == F.col("last"), "]").otherwise(""))
+    rows = placed.join(F.broadcast(ends), "kind").select("kind", "seq", line.alias("value"))  # there are two kinds
+    rows.repartitionByRange("kind", "seq").sortWithinPartitions("kind", "seq").select("kind", "value").write.partitionBy("kind").text(path)
 
 
 def batch_records(bom_fields: DataFrame, kind: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.graph import numbered
+
 MODEL = "id string, name string, context_length string, pricing struct<prompt:string,completion:string>"
 
 
@@ -19,13 +21,15 @@ def free_models(models: DataFrame) -> DataFrame:
 
 
 def ranked(models: DataFrame) -> DataFrame:
-    """With place: by context length, the longest first, no number as 0; equal ones in the catalog's order. A catalog is a small table."""
-    return models.withColumn("place", F.row_number().over(Window.orderBy(F.coalesce(F.col("context_length").try_cast("long"), F.lit(0)).desc(), "pos")))
+    """With place: by context length, the longest first, no number as 0; equal ones in the catalog's order. A range sort, whose partitions are counted."""
+    length = F.coalesce(F.col("context_length").try_cast("long"), F.lit(0))
+    return numbered(models, length.desc(), F.asc("pos")).withColumn("place", F.col("seq").cast("int")).drop("seq")
 
 
 def default_model(models: DataFrame, fallback: str) -> str:
     """The best free model's id."""
-    best = ranked(free_models(models)).where("place = 1").select("id").first()
+    length = F.coalesce(F.col("context_length").try_cast("long"), F.lit(0))
+    best = free_models(models).agg(F.min_by("id", F.struct(-length, "pos")).alias("id")).where("id is not null").first()
     return best.id if best else fallback
 
 
@@ -34,4 +38,4 @@ def or_curated(models: DataFrame, curated: list[tuple[str, str, str]]) -> DataFr
     if not models.isEmpty():
         return models
     rows = models.sparkSession.createDataFrame([(i, n, c, None, p) for p, (i, n, c) in enumerate(curated)], f"{MODEL}, pos int")
-    return rows.select(*(F.col(c).cast(models.schema[c].dataType).alias(c) for c in models.columns))
+    return rows.select(*(F.col(c).cast(models.schema[c].dataType.simpleString()).alias(c) for c in models.columns))

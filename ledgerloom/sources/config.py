@@ -23,7 +23,7 @@ def choose_path(explicit: str | None = None, pinned: str | None = None, variable
 
 
 def read_priority(spark: SparkSession, path: str) -> DataFrame:
-    """{section: {field: [source]}} as rows; keys that begin with $ are comments; a broken file gives no rows."""
+    """{section: {field: [source]}} as rows; sections that begin with $ are comments; a broken file gives no rows."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m")).where("m is not null")
     sections = raw.select(F.explode("m").alias("section", "body")).where(~F.col("section").startswith("$"))
     rows = sections.select(F.when(F.col("section") == "dataset", "data").otherwise(F.col("section")).alias("section"), F.explode(F.from_json("body", "map<string,array<string>>")).alias("field", "sources"))

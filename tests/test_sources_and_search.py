@@ -86,3 +86,11 @@ def test_names_are_resolved_by_search(spark):
     assert [r.identifier for r in graph.resolve_names(nodes, known, least=0.5).sort(F.asc_nulls_last("target"), "kind").collect()] == [None, "org/b", "org/b", "o/n", None, "d/squad", None]
     exact = {r.target: r.identifier for r in graph.resolve_names(nodes, known).collect()}
     assert exact["bert-base "] is None and exact["BERT BASE"] == "org/b"
+
+
+def test_combined_documents_are_arrays_in_order(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"a{i:03d}", json.dumps({"i": i})) for k in ("ai", "data") for i in range(50)] + [("other", "x", "{}")], "kind string, artifact_id string, json string").repartition(6)
+    batch.write_combined(docs, str(tmp_path / "out"))
+    for kind, want in (("ai", [{"i": i} for i in range(50)]), ("data", [{"i": i} for i in range(50)]), ("other", [{}])):
+        text = "".join(p.read_text() for p in sorted((tmp_path / "out" / f"kind={kind}").glob("*.txt")))
+        assert json.loads(text) == want
