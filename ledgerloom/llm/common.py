@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the word rules: space, and tab to carriage return.
@@ -40,8 +40,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(clean, None)
     spark.conf.set(clean, "true")
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,6 +65,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def named(column: str) -> Column:
+    """A column by its name as it stands, whatever dots and quotes are in it."""
+    quoted = column.replace("`", "``")
+    return F.col(f"`{quoted}`")
+
+
 def crc_mod(column: str, m: int):
     """crc32(column as text) mod m; null where the column is null."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(m))

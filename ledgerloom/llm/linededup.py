@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, discard, forget, materialise, meet_counted, scratch_path
+from .common import BLANKS, ascii_lower, discard, forget, materialise, meet_counted, named, scratch_path
 
 RUN = "h1 long, h2 long, n_docs long, last_doc long"
 
@@ -23,15 +23,35 @@ class LineRuns:
     A line hash is in one run only: that of the batch it came with first. What later batches add to known lines lies
     in update runs beside them. Level 0 gets a run with each batch; when a level has ``fanout`` runs, they are merged into
     one run of the next level, so that after n batches there are about log(n) levels of ``fanout`` - 1 runs at most. Updates
-    are compacted with them. A store is opened again by its folder.
+    are compacted with them. A store is opened again by its folder: a manifest, written last and whole, names what counts, so after a
+    failure the store is as it was before the batch, and what the batch had written is nobody's.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
         self.folder = folder or scratch_path(spark, "line-runs")
-        at = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-        self.names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+        self.stale: list[str] = []
+        at, fs = self._at("")
+        found = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().startswith("manifest-")) if fs.exists(at) else []
+        self.version = int(found[-1].split("-")[1]) if found else 0
+        self.names = [r.value for r in spark.read.text(f"{self.folder}/{found[-1]}").collect() if r.value] if found else []
+
+    def _at(self, name: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _commit(self) -> None:
+        """The manifest of what there is now; then what it no longer names goes."""
+        self.version += 1
+        beside, fs = self._at(f"_next-{uuid.uuid4().hex}")
+        out = fs.create(beside, True)
+        out.write(bytearray("\n".join(self.names).encode()))
+        out.close()
+        if not fs.rename(beside, self._at(f"manifest-{self.version:09d}")[0]):
+            raise RuntimeError(f"{self.folder} was changed by somebody else")
+        for x in self.stale:
+            discard(self.spark, f"{self.folder}/{x}")
+        self.stale = []
 
     def level(self, n: int, kind: str = "run") -> list[str]:
         return [x for x in self.names if x.startswith(f"{kind}-{n}-")]
@@ -57,7 +77,7 @@ class LineRuns:
             self._write(merged.repartition("h1", "h2").sortWithinPartitions("h1", "h2"), kind, level + 1)
             for x in old:
                 self.names.remove(x)
-                discard(self.spark, f"{self.folder}/{x}")
+                self.stale.append(x)
 
     def add(self, batch: DataFrame) -> None:
         """Merge-join a batch (h1, h2, doc_id), one row for each document with the line, with all runs.
@@ -68,11 +88,13 @@ class LineRuns:
         own = batch.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
         if not self.names:
             self._write(own.sortWithinPartitions("h1", "h2"), "run", 0)
+            self._commit()
             return
         known = self.runs().select("h1", "h2", F.lit(True).alias("known"))
         met = materialise(own.join(known.hint("merge"), ["h1", "h2"], "left"), "met")
         self._write(met.where("known is null").drop("known"), "run", 0)
         self._write(met.where("known").drop("known"), "update", 0)
+        self._commit()
         forget(met)
 
     def totals(self) -> DataFrame:
@@ -85,7 +107,7 @@ class LineRuns:
 def _marked(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
     """(row, lines, drops): each row of docs as a struct, the lines of its text and the positions of those that go."""
     spark = docs.sparkSession
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc"), "text")
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc"), "text")
     lines = rows.where("doc is not null").select("doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keys = lines.select("doc", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     postings = materialise(keys.select(F.col("doc").alias("doc_id"), "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.xxhash64(F.lit(2), "doc"), F.lit(batches)).cast("int").alias("batch")), "postings")
@@ -123,4 +145,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
 def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
     """docs with all columns, their texts without the lines that ``dedup_lines`` drops; texts that lose none stay as they are."""
     whole = _marked(docs, min_chars, min_docs, batches, fanout)
-    return whole.select(*(F.when(F.size("drops") == 0, F.col("row.text")).otherwise(_kept_text()).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return whole.select(*(F.when(F.size("drops") == 0, F.col("row.text")).otherwise(_kept_text()).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
