@@ -14,7 +14,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise
+from .common import ascii_lower, materialise, named
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -241,7 +241,7 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     A row's spans go with the row itself, so rows of null or repeated ids are redacted like any other, whatever columns
     there are; null texts stay null, and an empty table stays empty. Nothing is shuffled but counts.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"), "doc_id", "text")
     found = _judged(candidates(rows, "row"), threshold)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
@@ -254,4 +254,4 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     done = found.select("row", F.when(F.size("spans") > 0, F.aggregate(ordered, zero, step)).alias("done"))
     clean = F.concat(F.array_join(F.col("done.parts"), ""), F.substring(text, F.col("done.at") + 1, F.length(text)))
-    return done.select(*(F.when(F.col("done").isNotNull(), clean).otherwise(text).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return done.select(*(F.when(F.col("done").isNotNull(), clean).otherwise(text).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
