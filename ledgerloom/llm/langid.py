@@ -390,4 +390,6 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
             else:
                 yield batch.filter(pa.array([any(word_key(w) for w in (x or "").split()) for x in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Names of any kind go by places.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
