@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialise
+from ledgerloom.llm.common import materialise, named
 from ledgerloom.llm.langid import accepted, learn
 from ledgerloom.llm.linededup import drop_lines
 from ledgerloom.llm.neardup import one_of_each
@@ -19,7 +19,7 @@ from ledgerloom.llm.pii import redact
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
-    return docs.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return docs.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else named(c) for c in docs.columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
