@@ -71,10 +71,11 @@ def _first_pass(audit: Audit):
     return run
 
 
-def _routed(salts: int, shards: int, audit: Audit):
+def _routed(salts: int, shards: int, large: dict[tuple[str, str], int], audit: Audit):
     """(salt, shard, kind 1, lang, source, body): texts as chunks of padded terms, each term in its shard's chunks.
 
-    A term's shard is its crc32; a chunk's salt depends on its place in the task alone, so a task that is run again deals alike.
+    A term's shard is its crc32. A source's chunks have one salt, made of its name, so that its counts meet early; those of ``large`` ones
+    have as many as are told, in turn by a chunk's place in the task, so a task that is run again deals alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +88,8 @@ def _routed(salts: int, shards: int, audit: Audit):
             rows = []
             for key in keys:
                 number += 1
-                rows.append((zlib.crc32(b"%d:%d" % (part, number)) % salts, key[2], 1, key[0], key[1], (b" " + b" ".join(held.pop(key)) + b" ").decode()))
+                turn = (part + number) % large.get(key[:2], 1)
+                rows.append(((zlib.crc32("\0".join(key[:2]).encode()) + turn) % salts, key[2], 1, key[0], key[1], (b" " + b" ".join(held.pop(key)) + b" ").decode()))
                 del sizes[key]
             types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["salt", "shard", "kind", "lang", "source", "body"])
@@ -125,29 +127,37 @@ def _routed(salts: int, shards: int, audit: Audit):
 
 
 def _recounted(audit: Audit):
-    """Counts of kept terms in (salt, shard, kind, lang, source, body), sorted: of each salt and shard first the terms, then the chunks."""
+    """Counts of kept terms in (salt, shard, kind, lang, source, body), sorted: of each salt and shard first the terms, then the chunks, source by source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        at, terms, number, kept, machine = None, [], {}, {}, None
-        tally: dict[tuple, Counter] = {}
-
-        def told() -> Iterator[pa.RecordBatch]:
-            names, parts = pa.array(terms, pa.string()), []
-            for (lang, source), c in tally.items():
-                found = np.fromiter(c.keys(), np.int64, len(c))
-                mine = np.fromiter(map(kept[lang].__contains__, found.tolist()), bool, len(c))
-                parts.append((lang, source, names.take(pa.array(found[mine])), np.fromiter(c.values(), np.int64, len(c))[mine]))
-            tally.clear()
-            return _counted(parts)
+        at, of, terms, number, kept, machine = None, None, [], {}, {}, None
+        tally: Counter = Counter()
+        names, parts, size = None, [], 0
+
+        def close() -> None:
+            """What was counted for one source of one group."""
+            nonlocal names, size
+            if tally:
+                names = pa.array(terms, pa.string()) if names is None else names
+                found = np.fromiter(tally.keys(), np.int64, len(tally))
+                mine = np.fromiter(map(kept[of[0]].__contains__, found.tolist()), bool, len(tally))
+                parts.append((*of, names.take(pa.array(found[mine])), np.fromiter(tally.values(), np.int64, len(tally))[mine]))
+                size += len(tally)
+                tally.clear()
 
         for batch in batches:
             for i in range(batch.num_rows):
                 salt, shard, kind, lang, source, body = (c[i].as_py() for c in batch.columns)
+                if (lang, source) != of or (salt, shard) != at or len(tally) > audit.tallies:
+                    close()
+                    of = (lang, source)
+                    if size > audit.tallies:
+                        yield from _counted(parts)
+                        parts, size = [], 0
                 if (salt, shard) != at:
-                    yield from told()
-                    at, terms, number, kept, machine = (salt, shard), [], {}, {}, None
+                    at, terms, number, kept, machine, names = (salt, shard), [], {}, {}, None, None
                 if kind == 0:
                     own = kept.setdefault(lang, set())
                     for term in body.split(" "):
@@ -161,10 +171,9 @@ def _recounted(audit: Audit):
                         for n, term in enumerate(terms):
                             machine.add_word(f" {term} ", n)
                         machine.make_automaton()
-                    tally.setdefault((lang, source), Counter()).update(map(itemgetter(1), machine.iter(body)))
-                    if sum(map(len, tally.values())) > audit.tallies:
-                        yield from told()
-        yield from told()
+                    tally.update(map(itemgetter(1), machine.iter(body)))
+        close()
+        yield from _counted(parts)
 
     return run
 
@@ -260,8 +269,8 @@ def source_divergence(docs: DataFrame, audit: Audit = Audit()) -> DataFrame:
 
     First pass: exact document frequencies of all terms of each language, tallied in tasks before they are shuffled. Second
     pass: texts become chunks of padded terms, which meet an automaton of at most ``terms`` kept terms. There are as many shards
-    of the vocabulary as that takes, a term goes to its shard's chunks alone, and chunks are dealt by salts to groups of 32 MB of text or
-    four times the vocabulary, so neither a frequent source nor a large vocabulary makes a large task, and vocabulary copies are
+    of the vocabulary as that takes, a term goes to its shard's chunks alone, and chunks are dealt by source to groups of some 32 MB of text or
+    four times the vocabulary, those of a larger source to several, so neither a frequent source nor a large vocabulary makes a large task, and vocabulary copies are
     a quarter of the text at most. Postings hold only what occurs. A pair's sum over all kept terms is worked out from each
     source's histogram of shares (with the other's floor) and a correction for the terms that both have.
 
@@ -281,8 +290,11 @@ def source_divergence(docs: DataFrame, audit: Audit = Audit()) -> DataFrame:
     lot = F.pmod(F.xxhash64("term"), F.lit(max(1, n_terms // (2000 * shards))))
     packed = kept.groupBy("lang", "shard", lot.alias("lot")).agg(F.array_join(F.collect_list("term"), " ").alias("body"))
     vocabulary = packed.select(F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "shard", F.lit(0).alias("kind"), "lang", F.lit("").alias("source"), "body")
-    chunks = rows.mapInArrow(_routed(salts, shards, audit), "salt int, shard int, kind int, lang string, source string, body string")
-    met = vocabulary.unionByName(chunks).repartition("salt", "shard").sortWithinPartitions("salt", "shard", "kind")
+    # No more of these than there are salts, as each has a salt's share of the text at least.
+    share = max(1, text // salts)
+    large = {(r.lang, r.source): -(-r.n // share) for r in first.where(~is_term & (F.col("n") > share)).select("lang", "source", "n").collect()} if salts > 1 else {}
+    chunks = rows.mapInArrow(_routed(salts, shards, large, audit), "salt int, shard int, kind int, lang string, source string, body string")
+    met = vocabulary.unionByName(chunks).repartition("salt", "shard").sortWithinPartitions("salt", "shard", "kind", "lang", "source")
     counts = met.mapInArrow(_recounted(audit), COUNTED).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
     postings = materialise(counts, "postings")
 
