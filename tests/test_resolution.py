@@ -253,18 +253,18 @@ def test_whole_table_queries(spark, sf, tmp_path, monkeypatch):
 
     rows = [(i, v) for i, v in vectors if v]
     first, second = brute(rows), brute([(i, norm(v)) for i, v in rows if any(v)])
-    assert {(x.query_id, x.doc_id): (x.score, x["rank"]) for x in queries.knn_topk_all(spark, str(tmp_path)).collect()} == first and len(first) == 201
+    assert {(x.query_id, x.doc_id): (x.score, x["rank"]) for x in queries.knn_topk(spark, str(tmp_path)).collect()} == first and len(first) == 201
     fused = {k: round(sum(1 / (60 + ranks[k][1]) for ranks in (first, second) if k in ranks), 6) for k in first.keys() | second.keys()}
-    assert {(x.query_id, x.doc_id): x.rrf for x in queries.rrf_fusion_all(spark, str(tmp_path)).collect()} == pytest.approx(fused)
+    assert {(x.query_id, x.doc_id): x.rrf for x in queries.rrf_fusion(spark, str(tmp_path)).collect()} == pytest.approx(fused)
     sets = {i: (b, set(f"{n} {t}".lower().split())) for i, b, n, t in parts}
     want = {(a, b): round(len(sets[a][1] & sets[b][1]) / len(sets[a][1] | sets[b][1]), 6) for a in sets for b in sets if a < b and sets[a][0] == sets[b][0] and len(sets[a][1] & sets[b][1]) >= 0.6 * len(sets[a][1] | sets[b][1])}
-    got = [tuple(x) for x in queries.jaccard_tags_all(spark, str(tmp_path)).collect()]
+    got = [tuple(x) for x in queries.jaccard_tags(spark, str(tmp_path)).collect()]
     assert {(a, b): s for a, b, s in got} == want and len(got) == len(want) > 100
     con = duckdb.connect()
     for name in ("customer", "orders"):
         con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
-    whole = sorted(con.execute(queries.ORACLE_SQL["linked_bundle_all"]).fetchall())
-    assert sorted(tuple(x) for x in queries.linked_bundle_all(spark, sf).collect()) == whole and sum(x[1] == "Order" for x in whole) == con.execute("select count(*) from orders").fetchone()[0]
+    whole = sorted(con.execute(queries.ORACLE_SQL["linked_bundle"]).fetchall())
+    assert sorted(tuple(x) for x in queries.linked_bundle(spark, sf).collect()) == whole and sum(x[1] == "Order" for x in whole) == con.execute("select count(*) from orders").fetchone()[0]
 
 
 def test_knn_of_the_first_queries(spark, sf):
