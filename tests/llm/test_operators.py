@@ -380,15 +380,58 @@ def test_registered_tokenizer_queries(spark, sf, docs):
     for r in queries.op6_byte_bpe(spark, sf).collect():
         ids = codec.encode_ordinary(by_id[r.doc_id] or "")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids)).encode()), sha((by_id[r.doc_id] or "").encode()))
+    of_doc, of_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in queries.op9_packing(spark, sf).collect():
         ids = np.array([*tokenizer.encode(by_id[r.doc_id] or "", add_special_tokens=False).ids, 1], dtype="<u4")
         assert r.doc_tokens == len(ids) and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+        of_doc[r.doc_id].append((r.start, r.length, r.doc_tokens))
+        of_sequence[r.sequence_id].append((r.offset, r.length))
+    # Each id of every document lies in exactly one piece; sequences have no gaps and keep their size.
+    assert set(of_doc) == set(by_id) and docs.count() == len(by_id)
+    for pieces in of_doc.values():
+        pieces.sort()
+        assert [a for a, _, _ in pieces] == [sum(n for _, n, _ in pieces[:i]) for i in range(len(pieces))]
+        assert sum(n for _, n, _ in pieces) == pieces[0][2] and all(n > 0 for _, n, _ in pieces)
+    for pieces in of_sequence.values():
+        pieces.sort()
+        assert [a for a, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))]
+        assert sum(n for _, n in pieces) <= 2048
     more = "/root/testdata/sf0.01"
     out = queries.op5_compression_quality(spark, more).join(spark.read.parquet(f"{more}/labels.parquet"), "doc_id").collect()
     assert all(r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
     assert np.mean([r.predicted == r.quality for r in out if r.held_out]) > 0.9
 
 
+def test_registered_quality_scores_equal_texts_packed_again(spark, sf):
+    """Every row of op5: its whole text is packed piece by piece under the fitted dictionaries, and the calibrator is written out."""
+    import zstandard
+
+    from ledgerloom.llm import queries
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    learnt = common.crc_mod("doc_id", 4) != 2
+    model = quality.learn(docs.where(learnt), labels.where(learnt), "quality", quality.Training())
+    assert model.good != model.bad and any(model.weights)
+
+    def size(raw, dictionary):
+        packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(packer.compress(raw[i : i + 1024])) for i in range(0, len(raw), 1024))
+
+    def score(text):
+        raw = (text or "").encode()
+        d, s = 0.0, 0.0
+        if raw:
+            good, bad = size(raw, model.good), size(raw, model.bad)
+            d, s = 10 * (bad - good) / (bad + good), min(good, bad) / len(raw)
+        odds = sum(w * x for w, x in zip(model.weights, (d, d * abs(d), s, s * s, d * s, 1)))
+        return 1 / (1 + math.exp(-max(-30, min(30, odds))))
+
+    by_id, rows = texts(docs), queries.op5_compression_quality(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(by_id)
+    for r in rows:
+        assert r.score == pytest.approx(score(by_id[r.doc_id]), abs=1e-9)
+
+
 def test_language_id(spark, docs, odd, none):
     model = langid.learn(docs, common.crc_mod("doc_id", 5) != 0, langid.Training(texts=40, steps=30))
     out = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(common.crc_mod("doc_id", 5) == 0).collect()
@@ -406,6 +449,37 @@ def test_language_id(spark, docs, odd, none):
     assert sum(r.words for r in runs) == 80 and {"en", "de"} <= {r.lang for r in runs}
 
 
+def plain_chain(text, model):
+    """(posteriors of the words with a letter) by forward and backward sums in logarithms, word by word over the whole text."""
+    words = (text or "").split()
+    score = [model.weights[np.unique(langid.features([langid.word_key(w)], model.lexicon)[0])].sum(axis=0, dtype=float) for w in words]
+    add = lambda x, axis: np.logaddexp.reduce(x, axis=axis)
+    moves, ahead, behind = model.moves.astype(float), [], []
+    for e in score:
+        ahead.append(e if not ahead else e + add(ahead[-1][:, None] + moves, 0))
+    for e in reversed(score):
+        behind.append(np.zeros(len(e)) if not behind else add(moves + (last + behind[-1])[None, :], 1))
+        last = e
+    both = [a + b for a, b in zip(ahead, reversed(behind))]
+    return [np.exp(x - add(x, 0)) for x, w in zip(both, words) if langid.word_key(w)]
+
+
+def test_registered_language_scores_equal_plain_sums(spark, sf, docs):
+    """Every row of op10: label and score from word posteriors that another forward-backward gives with the fitted weights."""
+    from ledgerloom.llm import queries
+
+    model = langid.learn(docs, common.crc_mod("doc_id", 5) != 0)
+    by_id, rows = texts(docs), queries.op10_language_id(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(by_id) and any(r.lang_pred != "und" for r in rows)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        if found := plain_chain(by_id[r.doc_id], model):
+            mean = np.mean(found, axis=0)
+            assert r.score == pytest.approx(mean.max(), abs=1e-5) and mean[model.labels.index(r.lang_pred)] == pytest.approx(mean.max(), abs=1e-5)
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
 def test_every_language_is_learnt(spark):
     """More than 200 languages, each of words of its own; and a bound that fails loudly."""
     import string

@@ -7,9 +7,10 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
-from test_operators import _base_spans, _components
+from test_operators import _base_spans, _components, plain_chain
 
 import corpus_pipeline
+from ledgerloom.llm import langid
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +39,17 @@ def test_language_stage_rejects_only_texts_without_language(steps):
     assert gone == {10_000, 10_001, 10_002}
 
 
+def test_language_stage_decides_as_plain_sums_do(spark, steps):
+    """The mean of each lettered word's highest posterior, from another forward-backward, is 0.4 at least where a text stays."""
+    docs = spark.createDataFrame(steps[0], "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.learn(docs, F.lit(True))
+    kept = {r.doc_id for r in steps[1]}
+    for r in steps[0]:
+        found = plain_chain(r.text, model)
+        sure = np.mean([x.max() for x in found]) if found else 0.0
+        assert (r.doc_id in kept) == (sure >= 0.4) or abs(sure - 0.4) < 1e-5
+
+
 def test_line_stage(steps):
     holders = collections.defaultdict(set)
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
