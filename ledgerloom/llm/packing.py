@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -84,28 +85,31 @@ class VectorPacker:
         if len(self.waiting) <= least:
             return
         items = self.waiting
-        sizes = np.array([(len(p.ids), 1, int(p.loss.sum())) for p in items], dtype=np.int64).reshape(-1, 3)
+        # A row for each limit.
+        sizes = np.array([[len(p.ids) for p in items], [1] * len(items), [np.count_nonzero(p.loss) for p in items]], dtype=np.int64)
+        shares = sizes / self.full[:, None]
         alive = np.ones(len(items), dtype=bool)
         left = len(items)
         room = self._room()
         while left > least:
-            fits = alive & (sizes <= room).all(axis=1)
+            fits = alive & (sizes <= room[:, None]).all(axis=0)
             if fits.any():
-                gain = np.where(fits, (sizes / self.full) @ (room / self.full), -1.0)
+                gain = np.where(fits, (room / self.full) @ shares, -1.0)
                 i = int(gain.argmax())
                 self.open.append(items[i])
-                room = room - sizes[i]
+                room = room - sizes[:, i]
                 alive[i] = False
                 left -= 1
             else:
-                i = int(np.where(alive, sizes[:, 0], -1).argmax())
+                i = int(np.where(alive, sizes[0], -1).argmax())
                 n = self._longest_head(items[i], room) if room[1] > 0 else 0
                 if n:
                     head, rest = self._cut(items[i], n)
                     self.open.append(head)
                     room = room - np.array([n, 1, int(head.loss.sum())])
                     items[i] = rest
-                    sizes[i] = len(rest.ids), 1, int(rest.loss.sum())
+                    sizes[:, i] = len(rest.ids), 1, int(rest.loss.sum())
+                    shares[:, i] = sizes[:, i] / self.full
             if room[0] == 0 or room[1] == 0 or (not fits.any() and n == 0):
                 yield self.open
                 self.open, room = [], np.array(self.limits)
@@ -148,9 +152,6 @@ class WordEncoder:
         #: Texts of special tokens, which the tokenizer takes out before it splits.
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
-    def _words(self, text: str) -> list[str]:
-        return [text] if text[1:].isalpha() and text[0] == " " else self.split(text)
-
     def _learn(self, words: list[str]) -> None:
         mapped = [w.encode().decode("latin-1").translate(self.to_letters) for w in words]
         parts = [mapped[i : i + self.together] for i in range(0, len(mapped), self.together)]
@@ -169,10 +170,19 @@ class WordEncoder:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        words = [None if any(t in x for t in self.special) else self._words(x) for x in texts]
-        if new := list({w for ws in words if ws for w in ws}.difference(known)):
+        split = self.split
+        words = [(x,) if x[1:].isalpha() and x[0] == " " else split(x) for x in texts]
+        every = "\n".join(texts)
+        special = {i for i, x in enumerate(texts) if any(t in x for t in self.special)} if any(t in every for t in self.special) else ()
+        for i in special:
+            words[i] = ()
+        if new := list(set(chain.from_iterable(words)).difference(known)):
             self._learn(new)
-        return [np.array(self.whole.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() if ws is None else b"".join(map(known.__getitem__, ws)) for x, ws in zip(texts, words)]
+        of = known.__getitem__
+        out = [of(ws[0]) if len(ws) == 1 else b"".join(map(of, ws)) for ws in words]
+        for i in special:
+            out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return out
 
 
 @lru_cache(maxsize=2)
