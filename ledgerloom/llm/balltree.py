@@ -104,43 +104,63 @@ def _probe(k: int, scale: int):
         kth = floors.copy()
         scores, found = np.full((len(q), k), NONE, dtype=np.int64), np.full((len(q), k), MOST, dtype=np.int64)
 
-        def limit(node: int, who: np.ndarray) -> np.ndarray:
-            """No point of the node has a larger product; a little is added for what doubles round off. Beyond doubles there is no bound."""
-            top = q[who] @ centres[node] + norms[who] * radii[node]
-            top = top + 1e-9 * (np.abs(top) + norms[who] * (np.sqrt((centres[node] ** 2).sum()) + radii[node])) + 1e-9
+        def limits() -> np.ndarray:
+            """No point of a node has a larger product; a little is added for what doubles round off. Beyond doubles there is no bound."""
+            top = q @ centres.T + norms[:, None] * radii
+            top = top + 1e-9 * (np.abs(top) + norms[:, None] * (np.sqrt((centres**2).sum(axis=1)) + radii)) + 1e-9
             return np.where(np.isfinite(top), top, np.inf)
 
-        def visit(node: int, level: int, who: np.ndarray) -> None:
-            who = who[limit(node, who) >= kth[who]]
+        def first_leaves() -> np.ndarray:
+            """The leaf that each query comes to first, at the child of larger bound all the way; -1 where its bound is too low."""
+            node = np.zeros(len(q), dtype=int)
+            for _ in range(depth):
+                left = 2 * node + 1
+                node = left + (most[every, left] < most[every, left + 1])
+            return np.where(most[every, node] >= kth, node, -1)
+
+        def look(node: int, who: np.ndarray) -> None:
+            """Compares these queries with all points of a leaf."""
+            leaf = node - (2**depth - 1)
+            own = ids[bounds[leaf] : bounds[leaf + 1]]
+            products = _products(q[who], points[bounds[leaf] : bounds[leaf + 1]])
+            products[own == query_ids[who][:, None]] = NONE
+            some = (products >= np.maximum(kth[who], -float(MOST))[:, None]).any(axis=1)
+            who, products = who[some], products[some]
             if not len(who):
                 return
-            if level == depth:
-                leaf = node - (2**depth - 1)
-                own = ids[bounds[leaf] : bounds[leaf + 1]]
-                products = _products(q[who], points[bounds[leaf] : bounds[leaf + 1]])
-                products[own == query_ids[who][:, None]] = NONE
-                some = (products >= np.maximum(kth[who], -float(MOST))[:, None]).any(axis=1)
-                who, products = who[some], products[some]
-                both, names = np.concatenate((scores[who], products), axis=1), np.concatenate((found[who], np.broadcast_to(own, products.shape)), axis=1)
+            both, names = np.concatenate((scores[who], products), axis=1), np.concatenate((found[who], np.broadcast_to(own, products.shape)), axis=1)
+            order = np.lexsort((names, ~both), axis=-1)
+            both, names = np.take_along_axis(both, order, axis=1), np.take_along_axis(names, order, axis=1)
+            if repeats:
+                both = np.where(_first_of_each(np.where(both > NONE, names, MOST)), both, NONE)
                 order = np.lexsort((names, ~both), axis=-1)
                 both, names = np.take_along_axis(both, order, axis=1), np.take_along_axis(names, order, axis=1)
-                if repeats:
-                    both = np.where(_first_of_each(np.where(both > NONE, names, MOST)), both, NONE)
-                    order = np.lexsort((names, ~both), axis=-1)
-                    both, names = np.take_along_axis(both, order, axis=1), np.take_along_axis(names, order, axis=1)
-                scores[who], found[who] = both[:, :k], np.where(both > NONE, names, MOST)[:, :k]
-                last = scores[who, k - 1]
-                kth[who] = np.where(last > NONE, np.maximum(kth[who], last), kth[who])
+            scores[who], found[who] = both[:, :k], np.where(both > NONE, names, MOST)[:, :k]
+            last = scores[who, k - 1]
+            kth[who] = np.where(last > NONE, np.maximum(kth[who], last), kth[who])
+
+        def visit(node: int, level: int, who: np.ndarray) -> None:
+            who = who[most[who, node] >= kth[who]]
+            if not len(who):
+                return
+            if level == depth:
+                who = who[first[who] != node]
+                if len(who):
+                    look(node, who)
                 return
             left, right = 2 * node + 1, 2 * node + 2
-            first = limit(left, who) >= limit(right, who)
-            for side, a, b in ((first, left, right), (~first, right, left)):
-                if side.any():
-                    visit(a, level + 1, who[side])
-                    visit(b, level + 1, who[side])
+            if 2 * np.count_nonzero(most[who, left] >= most[who, right]) < len(who):
+                left, right = right, left
+            visit(left, level + 1, who)
+            visit(right, level + 1, who)
 
+        every = np.arange(len(q))
         with np.errstate(over="ignore", invalid="ignore"):
-            visit(0, 0, np.arange(len(q)))
+            most = limits()
+            first = first_leaves()
+            for node in np.unique(first[first >= 0]):
+                look(node, np.nonzero(first == node)[0])
+            visit(0, 0, every)
         at, place = np.nonzero(scores > NONE)
         return at, found[at, place], scores[at, place]
 
@@ -151,7 +171,9 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
     """vectors (vec_id, embedding) -> (query_id, rank, vec_id, score long): each query's k largest integer inner products.
 
     Components become floor(scale * x). ``is_query``: a condition on vec_id. Each shard's ball tree is descended
-    depth first, the child of the larger upper bound first, by the queries of a block at once; a branch is left
+    depth first by the queries of a block at once. Each query first goes to a leaf by the child of its larger upper
+    bound; then all go through the rest together, at a node to the child first whose bound is larger for most of those left there,
+    so that a leaf is compared once with all queries that need it. A query leaves a branch
     when its bound is below the kth score so far, which starts at the best that earlier lots of shards gave. Ties go
     to smaller vec_ids. Vectors that are null, empty or hold null or non-finite components take no part, as rows
     of null vec_id; zero vectors do. Scores beyond a long are held to its range. Rows that repeat a vec_id are one

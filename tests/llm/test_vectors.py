@@ -3,6 +3,7 @@
 import collections
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,37 @@ def test_repeated_ids_and_huge_components(spark, monkeypatch):
     assert len({x[2] for x in near}) == 5 and [x[1] for x in near] == [1, 2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_tree_compares_whole_blocks_with_leaves(monkeypatch, clusters):
+    """Where no branch can be left, a leaf is compared with its first queries and with the rest, not with each group of equal paths; scores, ties and floors are those of brute force."""
+    calls, pairs, own = [], [], balltree._products
+    monkeypatch.setattr(balltree, "_products", lambda q, p: (calls.append(1), pairs.append(len(q) * len(p)), own(q, p))[-1])
+    r = np.random.default_rng(6)
+    v = r.normal(size=(4000, 32))
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    if clusters:
+        v = 5 * v[:clusters, None] + 0.05 * v.reshape(clusters, -1, 32)
+        v = v.reshape(-1, 32)
+    v[1000:1100] = v[:100]  # ties
+    ids = r.permutation(len(v)).astype(np.int64)
+    table = pa.table({"vec_id": ids, "v": pa.array(list(v))})
+    row = balltree._build(256)((pa.scalar(32), pa.scalar(0)), table).to_pylist()[0]
+    w, leaves = np.floor(256 * v), 2 ** row["depth"]
+    asked = np.arange(0, 4000, 16)
+    s = (w[asked] @ w.T).astype(np.int64)
+    s[np.arange(len(asked)), asked] = balltree.NONE
+    want = [[(int(ids[j]), int(x[j])) for j in np.lexsort((ids, ~x))[:5]] for x in s]
+    for floors in (np.full(len(asked), -np.inf), np.array([x[2][1] for x in want], dtype=float)):
+        calls.clear(), pairs.clear()
+        at, found, scores = balltree._probe(5, 256)(row, ids[asked], v[asked], floors)
+        for i, x in enumerate(want):
+            got = [(int(n), int(c)) for n, c in zip(found[at == i], scores[at == i]) if c >= floors[i]]
+            assert got == [y for y in x if y[1] >= floors[i]]
+        assert len(calls) <= 2 * leaves
+        if clusters:
+            assert sum(pairs) < 0.3 * len(asked) * len(v)
+
+
 def test_registered_queries(spark, sf):
     """op3 equals brute force; op7 has the right columns, ranks, scores and recall."""
     rows = [(r.vec_id, np.array(r.embedding, dtype=float)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
