@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.scalars import named_entities, slug
 
 from .fields import real_conflict
+from .search import search_names
 
 # Relationship fields in order, what each means and the kind of its targets.
 RELATIONS = [("trainedOnDatasets", "trainedOn", "data"), ("testedOnDatasets", "testedOn", "data"), ("modelLineage", "dependsOn", "ai")]
@@ -218,40 +219,6 @@ def resolve_names(nodes: DataFrame, catalog: DataFrame, least: float | None = No
 IDENTIFIER = r"^[^/\s]+/[^/\s]+$"
 
 
-def trigrams(name: Column) -> Column:
-    """The distinct runs of three letters of a name with two spaces before and one behind it."""
-    padded = F.concat(F.lit("  "), name, F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
-
-
-def search_names(asked: DataFrame, names: DataFrame, least: float) -> DataFrame:
-    """asked (kind, name_key) and names (kind, name, pos, identifier), each once -> (kind, name_key, name, identifier, similarity): the hit of the
-    largest share of common trigrams (of all of both), of ``least`` (above 0) at least; of equal ones the smallest pos.
-
-    An inverted join by prefixes: in the order from the rarest trigram of all names, two such sets share one of the first
-    n - ceil(least * n) + 1 of each, and their sizes differ by that share at most. So trigrams that most names have bring nothing together;
-    those that meet are compared whole.
-    """
-    q = asked.select("kind", "name_key", trigrams(F.col("name_key")).alias("q"))
-    c = names.select("kind", "name", "pos", "identifier", trigrams(F.col("name")).alias("c"))
-    often = c.select("kind", F.explode("c").alias("gram")).groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("n"))
-
-    def posted(rows: DataFrame, grams: str, own: list[str]) -> DataFrame:
-        each = rows.select("kind", *own, F.size(grams).alias(f"size_{grams}"), F.explode(grams).alias("gram")).join(often, ["kind", "gram"], "left")
-        ordered = each.groupBy("kind", *own, f"size_{grams}").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("o"))
-        size = F.col(f"size_{grams}")
-        prefix = size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + 1
-        return ordered.select("kind", *own, f"size_{grams}", F.explode(F.slice("o", F.lit(1), prefix)).alias("p")).select("kind", *own, f"size_{grams}", "p.gram")
-
-    near = F.least("size_q", "size_c") >= F.greatest("size_q", "size_c") * F.lit(least) - 1e-9
-    met = posted(q, "q", ["name_key"]).join(posted(c, "c", ["name"]), ["kind", "gram"]).where(near).select("kind", "name_key", "name").distinct()
-    both = met.join(q, ["kind", "name_key"]).join(c, ["kind", "name"])
-    common = F.size(F.array_intersect("q", "c"))
-    hits = both.withColumn("similarity", common / (F.size("q") + F.size("c") - common)).where(F.col("similarity") >= least)
-    best = hits.groupBy("kind", "name_key").agg(F.min_by(F.struct("name", "identifier", "similarity"), F.struct(-F.col("similarity"), "pos")).alias("b"))
-    return best.select("kind", "name_key", "b.*")
-
-
 def first_of_type(nodes: DataFrame, *types: str) -> DataFrame:
     """nodes (doc_id, node_id, type) -> (doc_id, type, first): the first id of each type in a document, by its pos if there is one."""
     order = "pos" if "pos" in nodes.columns else "node_id"

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import graph
+from ledgerloom.operators import graph, search
 from ledgerloom.sources import batch, config
 
 ROWS = "row_index long, status string, payload string"
@@ -80,6 +80,23 @@ def test_search_equals_comparing_all_names(spark):
     assert got == want and len(got) > 20
 
 
+def test_names_of_common_words_are_searched_without_comparing_all(spark, monkeypatch):
+    r = random.Random(5)
+    names = [f"model {r.choice(('large', 'small', 'hot'))} {r.choice(('ring', 'bolt'))} number {i}" for i in r.sample(range(100_000, 999_999), 600)]
+    catalog = spark.createDataFrame([("ai", n, i, f"id{i}") for i, n in enumerate(names)], "kind string, name string, pos int, identifier string")
+    forms = [lambda n: n, lambda n: n.replace("number", "nunber"), lambda n: n.replace("model", "modell"), lambda n: "unlike " + n[-6:]]
+    asked = sorted({forms[i % 4](n) for i, n in enumerate(names)})
+    odd = sorted({n[:20] + r.choice("xyz") + n[21:] for n in names[::40]} | {"mo" + n[-9:] for n in names[::60]} | {"", "model", "model large ring"})
+    met, inner = [], search.candidates
+    monkeypatch.setattr(search, "candidates", lambda *a: met.append(inner(*a)) or met[-1])
+    for those in (asked, odd):
+        got = {x.name_key: (x.name, round(x.similarity, 9)) for x in graph.search_names(spark.createDataFrame([("ai", a) for a in those], "kind string, name_key string"), catalog, 0.6).collect()}
+        best = {a: min((-similarity(a, n), i, n) for i, n in enumerate(names)) for a in those}
+        assert got == {a: (n, round(-s, 9)) for a, (s, _, n) in best.items() if -s >= 0.6} and len(got) > 5
+    # All names have most trigrams in common, and 600 asked ones would meet some 100 each by these.
+    assert met[0].count() < 3 * len(asked)
+
+
 def test_names_are_resolved_by_search(spark):
     known = spark.createDataFrame([("ai", "Bert Base", "org/b", 1), ("ai", "bert base", "late/b", 2), ("data", "Squad", "d/squad", 1)], "kind string, name string, identifier string, pos int")
     nodes = spark.createDataFrame([("bert-base ", "ai"), ("BERT BASE", "ai"), ("o/n", "ai"), ("squadd", "data"), ("squad", "ai"), ("", "ai"), (None, "ai")], "target string, kind string")
