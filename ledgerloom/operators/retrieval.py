@@ -12,11 +12,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerloom.functions.text import useful
 
+from .scratch import fresh_path, stored
+
 # Candidates of each ranker and source, chunks of a question, the constant of rank fusion, BM25's parameters.
 CANDIDATES, FINAL, RRF_K = 20, 10, 60
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Vectors of a shard, and queries of a block, about.
 SHARD, QUERIES = 8192, 256
+#: Ids of an array of a class, and pairs that a task returns, about.
+IDS, PAIRS = 512, 4_000_000
 
 
 def l2_distance(a: Column, b: Column) -> Column:
@@ -175,21 +179,41 @@ def sources_used(ranked: DataFrame) -> DataFrame:
 def similar_sets(sets: DataFrame, least: float, on: tuple[str, ...] = ()) -> DataFrame:
     """sets (*on, id, tokens) -> (*on, a, b, similarity) of all pairs a < b of a group with a Jaccard similarity of ``least`` (above 0) at least.
 
-    Ids are unique. In the order from the rarest token of a group, two such sets of n tokens share one of the first
-    n - ceil(least * n) + 1 of each; only pairs that meet there are verified. Empty and null sets have no pairs.
+    Ids are unique. Equal sets of a group are one class, and only classes are compared: in the order from the rarest token of a group's classes, two such
+    sets of n tokens share one of the first n - ceil(least * n) + 1 of each; only pairs that meet there are verified. Ids of a class lie in arrays of
+    bounded size, two of which meet in a row for each pair of similar classes, so pairs of ids are first made where they are returned. Empty and null sets have no pairs.
     """
-    distinct = sets.select(*on, "id", F.array_distinct("tokens").alias("tokens")).where(F.size("tokens") > 0)
-    each = distinct.select(*on, "id", F.explode("tokens").alias("token"))
-    often = each.groupBy(*on, "token").agg(F.count("*").alias("n"))
-    ordered = each.join(often, [*on, "token"]).groupBy(*on, "id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
+    spark = sets.sparkSession
+    distinct = sets.select(*on, "id", F.array_sort(F.array_distinct("tokens")).alias("tokens")).where(F.exists("tokens", lambda x: x.isNotNull()) & F.col("id").isNotNull())
+    for c in on:
+        distinct = distinct.where(F.col(c).isNotNull())
+    classes = distinct.groupBy(*on, "tokens").agg(F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id())
+    classes = stored(classes.withColumn("blocks", F.ceil(F.col("n") / IDS).cast("int")), fresh_path(spark, "classes"))
+    each = classes.select(*on, "node", F.explode("tokens").alias("token"))
+    often = each.groupBy(*on, "token").agg(F.count("*").alias("often"))
+    ordered = each.join(often, [*on, "token"]).groupBy(*on, "node").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("t"))
     # A little is taken off so that rounding up never shortens a prefix.
     size = F.size("t")
     prefix = size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + 1
-    posted = ordered.select(*on, "id", size.alias("size"), F.explode(F.slice("t", F.lit(1), prefix)).alias("p")).select(*on, "id", "size", F.col("p.token").alias("token"))
-    a, b = (posted.select(*on, "token", F.col("id").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
-    met = a.join(b, [*on, "token"]).where("a < b").where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(least) - 1e-9).select(*on, "a", "b").distinct()
-    ta, tb = (distinct.select(F.col("id").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    pairs = met.join(ta, "a").join(tb, "b")
+    posted = ordered.select(*on, "node", size.alias("size"), F.explode(F.slice("t", F.lit(1), prefix)).alias("p")).select(*on, "node", "size", F.col("p.token").alias("token"))
+    a, b = (posted.select(*on, "token", F.col("node").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
+    met = a.join(b, [*on, "token"]).where("a < b").where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(least) - 1e-9).select("a", "b").distinct()
+    ta, tb = (classes.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("blocks").alias(f"blocks_{x}")) for x in "ab")
     both = F.size(F.array_intersect("ta", "tb"))
-    value = both / (F.size("ta") + F.size("tb") - both)
-    return pairs.select(*on, "a", "b", value.alias("similarity")).where(F.col("similarity") >= least)
+    near = met.join(ta, "a").join(tb.join(classes.select(F.col("node").alias("b"), *on), "b"), "b").withColumn("similarity", both / (F.size("ta") + F.size("tb") - both)).where(F.col("similarity") >= least)
+    same = classes.where("n > 1").select(*on, F.col("node").alias("a"), F.col("node").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb"), F.col("blocks").alias("blocks_a"), F.col("blocks").alias("blocks_b"), F.lit(1.0).alias("similarity"))
+    near = stored(near.select(*same.columns).unionByName(same.where(F.lit(least <= 1))), fresh_path(spark, "near"))
+
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    ids = distinct.join(classes, [*on, "tokens"]).groupBy("node", block.alias("block")).agg(F.collect_list("id").alias("ids"))
+    ids = stored(ids, fresh_path(spark, "ids"))
+    each = near.withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1))).withColumn("block_b", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)))
+    each = each.where("a <> b or block_a <= block_b").select(*on, "a", "block_a", "b", "block_b", "similarity")
+    for x in "ab":
+        each = each.join(ids.select(F.col("node").alias(x), F.col("block").alias(f"block_{x}"), F.col("ids").alias(f"ids_{x}")), [x, f"block_{x}"])
+    # Rows of arrays are few for the pairs that they hold, so they are dealt out by these.
+    made = near.agg(F.sum(F.col("na") * F.col("nb"))).first()[0] or 0
+    dealt = each.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), made // PAIRS), "a", "block_a", "b", "block_b")
+    pairs = dealt.select(*on, F.col("a").alias("class_a"), F.col("b").alias("class_b"), "block_a", "block_b", "ids_b", "similarity", F.explode("ids_a").alias("x"))
+    pairs = pairs.select(*on, "class_a", "class_b", "block_a", "block_b", "similarity", "x", F.explode("ids_b").alias("y")).where("x < y or (x > y and (class_a <> class_b or block_a <> block_b))")
+    return pairs.select(*on, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")

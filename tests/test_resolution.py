@@ -267,6 +267,24 @@ def test_whole_table_queries(spark, sf, tmp_path, monkeypatch):
     assert sorted(tuple(x) for x in queries.linked_bundle(spark, sf).collect()) == whole and sum(x[1] == "Order" for x in whole) == con.execute("select count(*) from orders").fetchone()[0]
 
 
+def test_copies_become_pairs_only_where_they_are_returned(spark, monkeypatch):
+    import random
+
+    from ledgerloom.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "IDS", 4)
+    r = random.Random(6)
+    rows = [(r.choice(("g", "h", None)), i, r.choice((["a", "b", "c"], ["c", "b", "a", "a"], ["a", "b", "c", "d"], ["e", None], [None], [], None))) for i in r.sample(range(1000), 150)]
+    rows += [("h", 2000 + i, [f"{i}", "a"]) for i in range(20)]
+    pairs = retrieval.similar_sets(spark.createDataFrame(rows, "g string, id long, tokens array<string>"), 0.6, ("g",))
+    sets = [(g, i, set(t)) for g, i, t in rows if g and t and set(t) != {None}]
+    want = {(g, i, j): len(x & y) / len(x | y) for g, i, x in sets for h, j, y in sets if g == h and i < j and len(x & y) >= 0.6 * len(x | y)}
+    got = pairs.collect()
+    assert {(x.g, x.a, x.b): x.similarity for x in got} == want and len(got) == len(want) > 300
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("Generate") < plan.index("Exchange")  # nothing is shuffled once there are pairs
+
+
 def test_knn_of_the_first_queries(spark, sf):
     import duckdb
 
