@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .retrieval import B, CANDIDATES, FLOOR, K1, tokens
+from .retrieval import B, CANDIDATES, FLOOR, K1
 from .scratch import discard, stored
 
-#: Levels of weight in a unit, postings of a block about, folders of postings, and the lowest ids that a corpus keeps at hand.
+#: Levels of weight in a unit, postings of a row at most, folders of postings, and the lowest ids that a corpus keeps at hand.
 LEVELS, BLOCK, BUCKETS, AT_HAND = 20, 128, 64, 1000
+#: Bytes of texts that a task turns into postings at once, about.
+AT_ONCE = 24 << 20
 #: Terms that are given to the scan by name; with more of them their folders are.
 NAMED = 1000
 #: What rounding scores to six digits can move.
@@ -23,7 +29,7 @@ class Index:
     """Where an index lies, and the columns that tell its corpora apart.
 
     ``corpora`` (*on, n, mean, mean_idf, first_ids), ``terms`` (bucket, *on, term, df, levels), ``postings`` (bucket, *on, term, level,
-    docs: doc_id and weight) and ``documents`` (*on, doc_id). A posting's weight is what BM25 makes of its frequency and of its document's
+    doc_ids, weights) and ``documents`` (*on, doc_id). A posting's weight is what BM25 makes of its frequency and of its document's
     length; a level is a twentieth of that, and ``levels`` holds the number and the largest weight of each level's postings.
     """
 
@@ -35,7 +41,7 @@ class Index:
             return spark.read.parquet(f"{self.path}/{name}")
         # Its schema is told, as folders of an empty index hold no file to read it from.
         known = self.table(spark, "documents")
-        posting = known.select(*self.on, F.lit("").alias("term"), F.lit(0).alias("level"), F.array(F.struct("doc_id", F.lit(0.0).alias("weight"))).alias("docs"), F.lit(0).alias("bucket"))
+        posting = known.select(*self.on, F.lit("").alias("term"), F.lit(0).alias("level"), F.array("doc_id").alias("doc_ids"), F.array(F.lit(0.0)).alias("weights"), F.lit(0).alias("bucket"))
         return spark.read.schema(posting.schema).parquet(f"{self.path}/{name}")
 
 
@@ -48,25 +54,76 @@ def _with_corpus(rows: DataFrame, corpora: DataFrame, on: tuple[str, ...]) -> Da
     return rows.join(corpora, list(on)) if on else rows.crossJoin(F.broadcast(corpora))
 
 
+def _posted(keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(*keys, doc_id, mean, text of small letters in bytes) -> (*keys, term, level, n, top, doc_ids, weights): postings of what a task holds at once, by
+    term and level, BLOCK to a row at most. ``mean`` is the corpus's mean length."""
+
+    def post(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        terms, often, each, lengths = [], [], [], []
+        for text in table.column(keys + 2).to_pylist():
+            words = text.split()  # of bytes: at ASCII white space, as Spark's \s
+            counts = Counter(words)
+            terms.extend(counts)
+            often.extend(counts.values())
+            each.append(len(counts))
+            lengths.append(len(words))
+        if not terms:
+            return
+        named = pa.array(terms, pa.binary()).dictionary_encode()
+        row, tf, code = np.repeat(np.arange(len(each)), each), np.array(often), named.indices.to_numpy()
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.array(lengths)[row] / table.column(keys + 1).to_numpy()[row]))
+        level = np.floor(weight * LEVELS).astype(np.int32)
+        corpus = np.zeros(len(each), dtype=np.int64)
+        for k in range(keys):
+            own = table.column(k).combine_chunks().dictionary_encode()
+            corpus = np.unique(corpus * len(own.dictionary) + own.indices.to_numpy(), return_inverse=True)[1]
+        corpus = corpus[row]
+        order = np.lexsort((level, code, corpus))
+        row, code, level, corpus, weight = row[order], code[order], level[order], corpus[order], weight[order]
+        new = np.concatenate(([True], (code[1:] != code[:-1]) | (level[1:] != level[:-1]) | (corpus[1:] != corpus[:-1])))
+        begun = np.flatnonzero(new)
+        starts = np.flatnonzero((np.arange(len(row)) - begun[np.cumsum(new) - 1]) % BLOCK == 0)
+        ends = pa.array(np.append(starts, len(row)).astype(np.int32))
+        own = table.select(range(keys)).take(pa.array(row[starts])) if keys else table
+        columns = [own.column(k).combine_chunks() for k in range(keys)]
+        columns += [named.dictionary.take(pa.array(code[starts])).cast(pa.string()), pa.array(level[starts]), pa.array(np.diff(ends.to_numpy()).astype(np.int64)), pa.array(np.maximum.reduceat(weight, starts))]
+        columns += [pa.ListArray.from_arrays(ends, table.column(keys).combine_chunks().take(pa.array(row))), pa.ListArray.from_arrays(ends, pa.array(weight))]
+        out = pa.RecordBatch.from_arrays(columns, [*table.column_names[:keys], "term", "level", "n", "top", "doc_ids", "weights"])
+        for at in range(0, out.num_rows, 50_000):
+            yield out.slice(at, 50_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.nbytes for x in held) >= AT_ONCE:
+                yield from post(held)
+                held = []
+        if held:
+            yield from post(held)
+
+    return run
+
+
 def build_index(docs: DataFrame, path: str, on: tuple[str, ...] = ()) -> Index:
     """Index docs (*on, doc_id, text) under ``path``; ids are unique in a corpus.
 
-    Postings of one term and level lie in blocks of some 128 by a hash of the document, so a stop word of a huge corpus is no
-    large group; nothing is sorted within a term. Null texts are documents without words; a null corpus is no corpus.
+    A task turns its own documents into postings by term and level, some 128 to a row at most, so what is moved is few rows and a stop word of a huge corpus is
+    no large group; nothing is sorted within a term. Null texts are documents without words; a null corpus is no corpus.
     """
     spark, keys, index = docs.sparkSession, list(on), Index(path.rstrip("/"), on)
     docs = docs.dropna(subset=keys) if keys else docs
-    sized = docs.select(*keys, "doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t")).withColumn("length", F.size("t"))
-    sizes = stored(sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")), f"{path}/_sizes")
-    counted = sized.select(*keys, "doc_id", "length", F.explode("t").alias("term")).groupBy(*keys, "doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    weighted = _with_corpus(counted, sizes, on).select(*keys, "term", "doc_id", weight.alias("weight")).withColumn("level", F.floor(F.col("weight") * LEVELS).cast("int"))
-    weighted = stored(weighted, f"{path}/_weighted")
-
-    levels = weighted.groupBy(*keys, "term", "level").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("top"))
-    levels = stored(levels, f"{path}/_levels")
+    text = F.coalesce("text", F.lit(""))
+    sizes = stored(docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.regexp_count(text, F.lit(r"\S+"))).alias("mean")), f"{path}/_sizes")
+    given = _with_corpus(docs.select(*keys, "doc_id", F.lower(text).cast("binary").alias("text")), sizes.drop("n"), on).select(*keys, "doc_id", "mean", "text")
+    schema = docs.select(*keys, F.lit("").alias("term"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("top"), F.array("doc_id").alias("doc_ids"), F.array(F.lit(0.0)).alias("weights")).schema
+    parts = stored(given.mapInArrow(_posted(len(keys)), schema), f"{path}/_parts")
+
+    levels = parts.groupBy(*keys, "term", "level").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
     of_term = levels.groupBy(*keys, "term").agg(F.sum("n").alias("df"), F.sort_array(F.collect_list(F.struct("level", "n", "top")), asc=False).alias("levels"))
-    terms = stored(of_term.select(_bucket(F.col("term")).alias("bucket"), *keys, "term", "df", "levels").repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"), f"{path}/terms")
+    of_term = stored(of_term.select(_bucket(F.col("term")).alias("bucket"), *keys, "term", "df", "levels"), f"{path}/_terms")
+    terms = stored(of_term.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"), f"{path}/terms")
     idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     means = _with_corpus(terms, sizes, on).groupBy(*keys).agg(F.avg(idf).alias("mean_idf"))
 
@@ -77,11 +134,9 @@ def build_index(docs: DataFrame, path: str, on: tuple[str, ...] = ()) -> Index:
     corpora.write.parquet(f"{path}/corpora")
     docs.select(*keys, "doc_id").write.parquet(f"{path}/documents")
 
-    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).alias("block")
-    blocks = weighted.join(levels.drop("top"), [*keys, "term", "level"]).groupBy(*keys, "term", "level", block).agg(F.collect_list(F.struct("doc_id", "weight")).alias("docs"))
-    placed = blocks.select(_bucket(F.col("term")).alias("bucket"), *keys, "term", "level", "docs").repartitionByRange("bucket", "term", "level").sortWithinPartitions("bucket", "term", "level")
+    placed = parts.select(_bucket(F.col("term")).alias("bucket"), *keys, "term", "level", "doc_ids", "weights").repartitionByRange("bucket", "term", "level").sortWithinPartitions("bucket", "term", "level")
     placed.write.partitionBy("bucket").parquet(f"{path}/postings")
-    for name in ("_sizes", "_weighted", "_levels"):
+    for name in ("_sizes", "_parts", "_terms"):
         discard(spark, f"{path}/{name}")
     return index
 
@@ -129,8 +184,8 @@ def bm25_from_index(index: Index, queries: DataFrame, k: int = CANDIDATES, floor
     postings = index.table(spark, "postings")
     for hint in hints:
         postings = postings.where(hint)
-    parts = postings.drop("bucket").join(levels, [*keys, "term", "level"]).select("query_id", *keys, "factor", "pruned", F.explode("docs").alias("d"))
-    hits = parts.groupBy("query_id", *keys, F.col("d.doc_id").alias("doc_id")).agg(F.round(F.sum(F.col("factor") * F.col("d.weight")), 6).alias("score"), F.first("pruned").alias("pruned"))
+    parts = postings.drop("bucket").join(levels, [*keys, "term", "level"]).select("query_id", *keys, "factor", "pruned", F.explode(F.arrays_zip("doc_ids", "weights")).alias("d"))
+    hits = parts.groupBy("query_id", *keys, F.col("d.doc_ids").alias("doc_id")).agg(F.round(F.sum(F.col("factor") * F.col("d.weights")), 6).alias("score"), F.first("pruned").alias("pruned"))
     scored = hits.drop("pruned")
     by_score = Window.partitionBy("query_id", *keys).orderBy(F.desc("score"), "doc_id")
     if keys:
