@@ -16,6 +16,8 @@ from .scratch import discard, stored
 
 #: Levels of weight in a unit, postings of a row at most, folders of postings, and the lowest ids that a corpus keeps at hand.
 LEVELS, BLOCK, BUCKETS, AT_HAND = 20, 128, 64, 1000
+#: Postings of a term that a task holds at once; fewer aren't told apart by level.
+FEW = 32
 #: Bytes of texts that a task turns into postings at once, about.
 AT_ONCE = 24 << 20
 #: Terms that are given to the scan by name; with more of them their folders are.
@@ -30,7 +32,7 @@ class Index:
 
     ``corpora`` (*on, n, mean, mean_idf, first_ids), ``terms`` (bucket, *on, term, df, levels), ``postings`` (bucket, *on, term, level,
     doc_ids, weights) and ``documents`` (*on, doc_id). A posting's weight is what BM25 makes of its frequency and of its document's
-    length; a level is a twentieth of that, and ``levels`` holds the number and the largest weight of each level's postings.
+    length; a level is a twentieth of that. A row's level is the least of its postings', and ``levels`` holds the number and the largest weight of the postings in each level's rows.
     """
 
     path: str
@@ -81,7 +83,10 @@ def _posted(keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         corpus = corpus[row]
         order = np.lexsort((level, code, corpus))
         row, code, level, corpus, weight = row[order], code[order], level[order], corpus[order], weight[order]
-        new = np.concatenate(([True], (code[1:] != code[:-1]) | (level[1:] != level[:-1]) | (corpus[1:] != corpus[:-1])))
+        new = np.concatenate(([True], (code[1:] != code[:-1]) | (corpus[1:] != corpus[:-1])))
+        # A term's few postings stay together, at the lowest of their levels.
+        many = np.diff(np.append(np.flatnonzero(new), len(row)))[np.cumsum(new) - 1] >= FEW
+        new[1:] |= many[1:] & (level[1:] != level[:-1])
         begun = np.flatnonzero(new)
         starts = np.flatnonzero((np.arange(len(row)) - begun[np.cumsum(new) - 1]) % BLOCK == 0)
         ends = pa.array(np.append(starts, len(row)).astype(np.int32))
@@ -120,10 +125,12 @@ def build_index(docs: DataFrame, path: str, on: tuple[str, ...] = ()) -> Index:
     schema = docs.select(*keys, F.lit("").alias("term"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("top"), F.array("doc_id").alias("doc_ids"), F.array(F.lit(0.0)).alias("weights")).schema
     parts = stored(given.mapInArrow(_posted(len(keys)), schema), f"{path}/_parts")
 
-    levels = parts.groupBy(*keys, "term", "level").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-    of_term = levels.groupBy(*keys, "term").agg(F.sum("n").alias("df"), F.sort_array(F.collect_list(F.struct("level", "n", "top")), asc=False).alias("levels"))
-    of_term = stored(of_term.select(_bucket(F.col("term")).alias("bucket"), *keys, "term", "df", "levels"), f"{path}/_terms")
-    terms = stored(of_term.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"), f"{path}/terms")
+    parts = parts.select(_bucket(F.col("term")).alias("bucket"), "*")
+
+    # One shuffle brings a term's rows together for both sums and the order.
+    levels = parts.select("bucket", *keys, "term", "level", "n", "top").repartitionByRange("bucket", "term").groupBy("bucket", *keys, "term", "level").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+    of_term = levels.groupBy("bucket", *keys, "term").agg(F.sum("n").alias("df"), F.sort_array(F.collect_list(F.struct("level", "n", "top")), asc=False).alias("levels"))
+    terms = stored(of_term.sortWithinPartitions("bucket", "term"), f"{path}/terms")
     idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     means = _with_corpus(terms, sizes, on).groupBy(*keys).agg(F.avg(idf).alias("mean_idf"))
 
@@ -134,9 +141,9 @@ def build_index(docs: DataFrame, path: str, on: tuple[str, ...] = ()) -> Index:
     corpora.write.parquet(f"{path}/corpora")
     docs.select(*keys, "doc_id").write.parquet(f"{path}/documents")
 
-    placed = parts.select(_bucket(F.col("term")).alias("bucket"), *keys, "term", "level", "doc_ids", "weights").repartitionByRange("bucket", "term", "level").sortWithinPartitions("bucket", "term", "level")
+    placed = parts.select("bucket", *keys, "term", "level", "doc_ids", "weights").repartitionByRange("bucket", "term", "level").sortWithinPartitions("bucket", "term", "level")
     placed.write.partitionBy("bucket").parquet(f"{path}/postings")
-    for name in ("_sizes", "_parts", "_terms"):
+    for name in ("_sizes", "_parts"):
         discard(spark, f"{path}/{name}")
     return index
 

@@ -61,6 +61,16 @@ def test_reads_only_the_terms_and_levels_that_count(spark, capsys):
     assert "text" not in plan
 
 
+def test_a_tasks_few_postings_of_a_term_are_one_row(spark):
+    """Single postings would be as many rows to move as there are words in documents."""
+    docs = corpus(spark, 7, 80).coalesce(1)
+    index = build_index(docs, fresh_path(spark, "index"), ("source",))
+    rows, terms = index.table(spark, "postings"), index.table(spark, "terms")
+    assert rows.count() == terms.count() > 50
+    assert rows.select(F.sum(F.size("doc_ids"))).first() == terms.select(F.sum("df")).first()
+    assert rows.where(F.floor(F.array_min("weights") * inverted.LEVELS) != F.col("level")).isEmpty()
+
+
 def test_retrieval_by_an_index_of_chunks(spark):
     r = random.Random(9)
     chunks = [(a, s, i, " ".join(r.choice(["alpha", "beta", "gamma", "delta", "words"]) for _ in range(12)), [r.random(), r.random()]) for a in ("m1", "m2") for s in ("hub", "repo") for i in range(15)]
